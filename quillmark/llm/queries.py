@@ -32,6 +32,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.token_shards import token_shards
+
+    return token_shards(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.token_counts import token_counts
 
@@ -39,7 +45,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op3_bpe, op7_token_counts)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_bpe, op4_token_shards, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
