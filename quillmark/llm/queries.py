@@ -24,6 +24,12 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.pii import pii_digest
+
+    return pii_digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,8 +50,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.secrets import secrets_digest
+
+    return secrets_digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op3_bpe, op4_token_shards, op7_token_counts)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_pii, op3_bpe, op4_token_shards, op7_token_counts, op9_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
