@@ -42,12 +42,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word in reading order, and per text the number of words before it (one entry more than texts)."""
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = FOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word in reading order, and per text the number of words before it (one entry more than texts).
+
+    ``table`` gives each byte's part in a word's hash; a word is a run of bytes whose part isn't 0.
+    """
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    folded = FOLD[data]
+    folded = table[data]
     inside = folded != 0
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
