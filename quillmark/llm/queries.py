@@ -44,12 +44,30 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.langid import language_id
+
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.token_counts import token_counts
 
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.quality import quality
+
+    return quality(_table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.secrets import secrets_digest
 
@@ -57,7 +75,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_pii, op3_bpe, op4_token_shards, op7_token_counts, op9_secrets)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_pii, op3_bpe, op4_token_shards, op5_language_id, op6_decontamination, op7_token_counts, op8_quality, op9_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
