@@ -74,8 +74,14 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(_table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.html_text import extracted
+
+    return extracted(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_pii, op3_bpe, op4_token_shards, op5_language_id, op6_decontamination, op7_token_counts, op8_quality, op9_secrets)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_pii, op3_bpe, op4_token_shards, op5_language_id, op6_decontamination, op7_token_counts, op8_quality, op9_secrets, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
