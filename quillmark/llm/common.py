@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a table of short rows that are broadcast at most.
+BROADCAST_ROWS = 400_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``, or a local default when a test leaves it unset."""
@@ -36,6 +39,11 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def small(keys: DataFrame) -> DataFrame:
+    """A stored table of short rows, marked for broadcast if its counted size allows; a larger one is joined by shuffling."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes a table that ``stored`` wrote and that no later plan reads."""
     path = getattr(df, "_quillmark_path", None)

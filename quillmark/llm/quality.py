@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quillmark.llm.common import blocks, drop_stored, large_text, per_batch, stored
+from quillmark.llm.common import blocks, drop_stored, large_text, per_batch, small, stored
 from quillmark.llm.words import shingles, words
 
 #: Share of texts that a step keeps, the factor that makes its covariance consistent with 4 normal statistics, least texts of a group, most steps.
@@ -157,15 +157,15 @@ def estimates(docs: DataFrame, lang: str = "lang", source: str = "source", text:
     groups = F.array(F.concat(F.lit("2"), "lang_source"), F.concat(F.lit("1"), "only_lang"), F.lit("0"))
     every = rows.select(F.explode(groups).alias("of"), *x)
     middle = every.groupBy("of").agg(*(F.percentile_approx(x[i], 0.5, 1000).alias(f"m_{i}") for i in range(p)))
-    off = every.join(middle, "of").groupBy("of", *(f"m_{i}" for i in range(p)))
+    off = every.join(small(stored(middle, "middle")), "of").groupBy("of", *(f"m_{i}" for i in range(p)))
     start = off.agg(*(F.percentile_approx(F.abs(x[i] - F.col(f"m_{i}")), 0.5, 1000).alias(f"d_{i}") for i in range(p)))
     spread = lambda i: F.pow(F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(floors[i])), 2)
     squares = [(spread(i) if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)]
     held = stored(_factored(start.select("of", *(f"m_{i}" for i in range(p)), *squares)).withColumn("det", F.lit(float("inf"))), "estimate")
     for _ in range(STEPS):
-        far = every.join(held, "of").select("of", *x, squared_distance(x).alias("d2"))
+        far = every.join(small(held), "of").select("of", *x, squared_distance(x).alias("d2"))
         limit = far.groupBy("of").agg(F.percentile_approx("d2", COVER, 1000).alias("most"))
-        near = far.join(limit, "of").where("d2 <= most")
+        near = far.join(small(stored(limit, "limit")), "of").where("d2 <= most")
         means = [F.avg(x[i]).alias(f"m_{i}") for i in range(p)]
         square = lambda i, j: CONSISTENT * F.covar_pop(x[i], x[j])
         squares = [(F.greatest(square(i, j), F.lit(floors[i] ** 2)) if i == j else square(i, j)).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)]
@@ -202,7 +202,7 @@ def judged(docs: DataFrame, lang: str = "lang", source: str = "source", text: st
     for i, name in enumerate(_VECTOR):
         if name != "word_length":
             shift = shift + (x[i] - F.col(f"m_{i}")) / FLOORS[name]
-    marked = with_statistics(docs, text).withColumn("lang_source", _group(lang, source)).join(known, "lang_source", "left")
+    marked = with_statistics(docs, text).withColumn("lang_source", _group(lang, source)).join(small(known), "lang_source", "left")
     marked = marked.withColumn("__base_failed", base_failed()).withColumn("__distance", squared_distance(x)).withColumn("__worse", shift > 0)
     far = F.coalesce((F.col("__distance") > CUTOFF) & F.col("__worse"), F.lit(False))
     marked = marked.withColumn("__kept", ~F.col("__base_failed") & ~far)
