@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from quillmark.llm.common import per_batch, texts
 
 #: Most words in each generation of a worker's memory.
-MEMORY = 250_000
+MEMORY = 120_000
 _ALL, _STEP, _SPREAD = 0xFFFFFFFFFFFFFFFF, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
 
