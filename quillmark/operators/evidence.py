@@ -20,8 +20,8 @@ def pooled_sites(sites: DataFrame, material: float | None = None) -> DataFrame:
     Means are weighted by n, rmse through squares; other metrics are not poolable and keep their range. Ties are listed, in order.
     """
     kind = F.try_element_at(F.create_map(*(F.lit(x) for pair in POOLED.items() for x in pair)), F.col("metric"))
-    mean = F.sum(F.col("value") * F.col("n")) / F.sum("n")
-    square = F.sqrt(F.sum(F.col("value") * F.col("value") * F.col("n")) / F.sum("n"))
+    mean = ratio(F.sum(F.col("value") * F.col("n")), F.sum("n"))
+    square = F.sqrt(ratio(F.sum(F.col("value") * F.col("value") * F.col("n")), F.sum("n")))
     better = [m for m, d in DIRECTIONS.items() if d == "lower_is_better"]
     grouped = sites.groupBy("metric").agg(mean.alias("mean"), square.alias("square"), F.min("value").alias("min"), F.max("value").alias("max"), F.collect_list(F.struct("site", "value")).alias("all"))
     at = lambda c: F.array_join(F.array_sort(F.transform(F.filter("all", lambda x: x["value"] == F.col(c)), lambda x: x["site"])), ",")

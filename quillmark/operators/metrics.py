@@ -22,7 +22,8 @@ def spearman(df: DataFrame, y: str, p: str) -> DataFrame:
     two = average_rank(df, p).select(F.col(p), F.col("rank").alias("__rb"))
     ranked = df.select(y, p).join(one, y).join(two, p)
     fine = (F.count(F.lit(1)) >= 2) & (F.stddev_pop("__ra") > 0) & (F.stddev_pop("__rb") > 0)
-    value = F.greatest(F.least(F.corr("__ra", "__rb"), number(1)), number(-1))
+    correlation = ratio(F.covar_pop("__ra", "__rb"), F.stddev_pop("__ra") * F.stddev_pop("__rb"))  # corr() raises on constants
+    value = F.greatest(F.least(correlation, number(1)), number(-1))
     return ranked.agg(F.count(F.lit(1)).alias("n"), F.when(fine, value).alias("spearman"))
 
 

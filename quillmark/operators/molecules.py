@@ -19,10 +19,10 @@ def fingerprint(df: DataFrame, key: str, smiles: str, bits: int = 256, shortest:
     """(key, idx, value): counts of hashed character n-grams, scaled to unit length, sparse."""
     s = F.col(smiles)
     grams = F.flatten(F.transform(F.sequence(F.lit(shortest), F.lit(longest)), lambda n: F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.substring(s, i, n))).otherwise(F.expr("cast(array() as array<string>)"))))
-    at = F.pmod(F.conv(F.substring(F.sha2(F.col("gram"), 256), 1, 8), 16, 10).cast("long"), F.lit(bits))
-    counts = df.select(F.col(key), F.explode(grams).alias("gram")).groupBy(key, at.alias("idx")).agg(F.count(F.lit(1)).cast("double").alias("k"))
-    norm = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("k") * F.col("k"))).alias("norm"))
-    return counts.join(norm, key).select(key, "idx", (F.col("k") / F.col("norm")).alias("value"))
+    at = F.pmod(F.conv(F.substring(F.sha2(F.col("__gram"), 256), 1, 8), 16, 10).cast("long"), F.lit(bits))
+    counts = df.select(F.col(key), F.explode(grams).alias("__gram")).groupBy(key, at.alias("idx")).agg(F.count(F.lit(1)).cast("double").alias("__k"))
+    norm = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("__k") * F.col("__k"))).alias("__norm"))
+    return counts.join(norm, key).select(key, "idx", (F.col("__k") / F.col("__norm")).alias("value"))
 
 
 def dense_fingerprint(df: DataFrame, key: str, smiles: str, bits: int = 256) -> DataFrame:

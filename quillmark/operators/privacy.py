@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.functions.stats import number
+from quillmark.functions.stats import number, ratio
 from quillmark.operators.ordered import running
 
 #: Signal from which a risk is moderate, and high.
@@ -29,12 +29,12 @@ def membership_audit(df: DataFrame, member: str, loss_column: str) -> DataFrame:
     counts = df.groupBy(F.col(loss_column).alias("loss")).agg(F.count_if(F.col(member)).alias("m"), F.count_if(~F.col(member)).alias("o"))
     size = counts.agg(F.sum("m").alias("tm"), F.sum("o").alias("to"), F.sum(F.col("m") * F.col("loss")).alias("lm"), F.sum(F.col("o") * F.col("loss")).alias("lo"))
     placed = running(counts, [], "loss", ["m", "o"]).crossJoin(size)
-    low = 0.5 * ((F.col("before_m") + F.col("m")) / F.col("tm") + 1 - (F.col("before_o") + F.col("o")) / F.col("to"))
+    low = 0.5 * (ratio(F.col("before_m") + F.col("m"), F.col("tm")) + 1 - ratio(F.col("before_o") + F.col("o"), F.col("to")))
     wins = F.col("m") * (F.col("to") - F.col("before_o") - F.col("o") + F.col("o") / 2)  # a member scores above others of a larger loss
     one = placed.withColumn("low", low)
     both = one.select("*", F.explode(F.array(F.struct(F.lit(0).alias("d"), F.col("low").alias("acc")), F.struct(F.lit(1).alias("d"), (1 - F.col("low")).alias("acc")))).alias("x"))
     best = both.agg(F.max(F.struct(F.round("x.acc", 12).alias("acc"), (-F.col("x.d")).alias("d"), (-F.col("loss")).alias("t"))).alias("best"))
-    area = placed.agg((F.sum(wins) / (F.max("tm") * F.max("to"))).alias("directional"), F.max("tm").alias("n_member"), F.max("to").alias("n_nonmember"), F.max(F.col("lm") / F.col("tm")).alias("member_loss"), F.max(F.col("lo") / F.col("to")).alias("nonmember_loss"))
+    area = placed.agg(ratio(F.sum(wins), F.max("tm") * F.max("to")).alias("directional"), F.max("tm").alias("n_member"), F.max("to").alias("n_nonmember"), F.max(ratio(F.col("lm"), F.col("tm"))).alias("member_loss"), F.max(ratio(F.col("lo"), F.col("to"))).alias("nonmember_loss"))
     out = area.crossJoin(best).select(
         "n_member", "n_nonmember", F.greatest(number(0), (F.col("best.acc") - 0.5) * 2).alias("advantage"), F.greatest("directional", 1 - F.col("directional")).alias("auc"),
         (-F.col("best.t")).alias("threshold"), F.when(F.col("best.d") == 0, "loss_le").otherwise("loss_gt").alias("direction"), "member_loss", "nonmember_loss",
@@ -46,7 +46,7 @@ def membership_audit(df: DataFrame, member: str, loss_column: str) -> DataFrame:
 def bounded_center(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """One row (n, clipped_mean, sensitivity): the part of a bounded mean that is computed before noise; noise is drawn on the driver alone."""
     clipped = F.least(F.greatest(F.col(column), number(low)), number(high))
-    return df.agg(F.count(F.lit(1)).alias("n"), F.avg(clipped).alias("clipped_mean"), ((number(high) - number(low)) / F.count(F.lit(1))).alias("sensitivity"))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.avg(clipped).alias("clipped_mean"), ratio(number(high) - number(low), F.count(F.lit(1))).alias("sensitivity"))
 
 
 def suppressed(df: DataFrame, column: str, least: int, approved: list[str] | None = None, unit: str | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ def numeric(df: DataFrame, cohort: str, column: str) -> DataFrame:
                    *(F.count_if(who & gone).alias(f"missing_{side}") for side, who in (("reference", ref), ("current", cur))))
     counts = df.where(~gone).groupBy(c.alias("value")).agg(F.count_if(ref).alias("r"), F.count_if(cur).alias("u"))
     placed = running(counts, [], "value", ["r", "u"])
-    gap = F.abs((F.col("before_r") + F.col("r")) / F.col("n_reference") - (F.col("before_u") + F.col("u")) / F.col("n_current"))
+    gap = F.abs(ratio(F.col("before_r") + F.col("r"), F.col("n_reference")) - ratio(F.col("before_u") + F.col("u"), F.col("n_current")))
     distance = placed.crossJoin(stats.select("n_reference", "n_current")).agg(F.max(gap).alias("ks"))
     return stats.crossJoin(distance).select(
         F.lit(column).alias("feature"), "n_reference", "n_current", "missing_reference", "missing_current", "mean_reference", "mean_current", "std_reference", "std_current",
@@ -35,7 +35,7 @@ def categorical(df: DataFrame, cohort: str, column: str) -> DataFrame:
     ref, cur = F.col(cohort) == "reference", F.col(cohort) == "current"
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("level")).agg(F.count_if(ref).alias("r"), F.count_if(cur).alias("u"))
     totals = counts.agg(F.sum("r").alias("tr"), F.sum("u").alias("tu"), F.least(F.min(F.when(F.col("r") > 0, F.col("r"))), F.min(F.when(F.col("u") > 0, F.col("u")))).alias("min_cell"))
-    tv = counts.crossJoin(totals).agg((F.sum(F.abs(F.col("r") / F.col("tr") - F.col("u") / F.col("tu"))) / 2).alias("tv"))
+    tv = counts.crossJoin(totals).agg((F.sum(F.abs(ratio(F.col("r"), F.col("tr")) - ratio(F.col("u"), F.col("tu")))) / 2).alias("tv"))
     lost = df.agg(F.count_if(ref & F.col(column).isNull()).alias("missing_reference"), F.count_if(cur & F.col(column).isNull()).alias("missing_current"))
     return totals.crossJoin(tv).crossJoin(lost).select(F.lit(column).alias("feature"), F.col("tr").alias("n_reference"), F.col("tu").alias("n_current"), "missing_reference", "missing_current", "min_cell", "tv")
 
@@ -52,7 +52,7 @@ def degradation(df: DataFrame, cohort: str, y: str, p: str, columns: list[str],
     grouped = rows.groupBy("slice_column", "slice_value").agg(F.count_if(ref).alias("n_reference"), F.count_if(cur).alias("n_current"), pick(ref).alias("mr"), pick(cur).alias("mc"))
     size = df.agg(F.count_if(ref).alias("tr"), F.count_if(cur).alias("tc"))
     sign = 1.0 if DIRECTIONS[metric] == "lower_is_better" else -1.0
-    change = F.col("n_current") / F.col("tc") - F.col("n_reference") / F.col("tr")
+    change = ratio(F.col("n_current"), F.col("tc")) - ratio(F.col("n_reference"), F.col("tr"))
     status = F.when(F.col("n_reference") == 0, "new_slice").when(F.col("n_current") == 0, "missing_slice").when(F.least("n_reference", "n_current") < least, "skipped_min_slice_size").otherwise("evaluated")
     worse = F.when(F.col("status") == "evaluated", sign * (F.col("mc") - F.col("mr")))
     out = grouped.crossJoin(size).withColumn("status", status).withColumn("prevalence_change", change).withColumn("degradation", worse)
