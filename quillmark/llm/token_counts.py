@@ -156,7 +156,7 @@ class Counter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        letters = _byte_letters()
+        letters = byte_letters()
         self.merge = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
@@ -243,7 +243,7 @@ class Counter:
         return found[back]
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The printable character that stands for each byte in the file's vocabulary."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     letters, extra = {b: chr(b) for b in shown}, 0

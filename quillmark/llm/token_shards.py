@@ -12,53 +12,122 @@ document in the sequence (u64, one entry more); left and right symbols of the ru
 from __future__ import annotations
 
 import functools
+import json
 import os
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import blocks, drop_stored, scratch, shared_dir, stored, texts
+from quillmark.llm.token_counts import byte_letters
 
 #: Tokens of a shard (a longer document is a shard of its own), rounds, most new rules in a round, least occurrences.
-SHARD, ROUNDS, RULES, LEAST = 1 << 20, 8, 512, 16
+SHARD, ROUNDS, RULES, LEAST = 1 << 20, 5, 1024, 16
 MAGIC = b"QTS1"
-_BLOCK, _MEMORY = 1 << 20, 300_000
+#: Characters encoded at once; words, and parts between spaces, in each generation of a worker's memory.
+_BLOCK, _WORDS, _PIECES = 1 << 20, 300_000, 150_000
 
 
 # ids
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library; what stands between two spaces is encoded once and remembered.
+    """Ids by the tokenizers library; each word is encoded once and remembered.
 
-    Sound for tokenizers that drop white space and never join text across a space, as those with word ends do.
+    Sound for tokenizers that drop white space, lower the case, part letters, digits and other characters and never join text across a space. What stands between two
+    spaces is taken apart by the tokenizer's own pattern where it holds plain Latin letters alone, of which case and composition are certain; else it goes to the library whole.
     """
 
+    #: Characters that normalisation leaves alone but for case: ASCII and precomposed Latin-1 letters.
+    PLAIN = regex.compile(r"[\x21-\x7E\n\xC0-\xD6\xD8-\xF6\xF8-\xFF]*+").fullmatch
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.special = tuple(x["content"] for x in spec["added_tokens"])
+        steps = spec["pre_tokenizer"]
+        first = (steps.get("pretokenizers") or [steps])[0]
+        normal = json.dumps(spec["normalizer"])
+        split = first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and '"Lowercase"' in normal
+        self.find = regex.compile(first["pattern"]["Regex"]).findall if split else None
+        levels = [first, *(steps.get("pretokenizers") or [])[1:]]
+        plain = len(levels) == 2 and levels[1].get("type") == "ByteLevel" and not levels[1].get("add_prefix_space") and not levels[1].get("use_regex")
+        self.find = self.find if plain else None
+        self.code = "H" if self.kind == "<u2" else "I"  # both are little-endian on the machines that Spark runs on
+        self.letters = byte_letters()
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+
+    def _library(self, new: list[str]):
+        run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        for low in range(0, len(new), 2000):
+            for e in run(new[low : low + 2000], add_special_tokens=False):
+                yield array(self.code, e.ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one plain word by the library's model, whose alphabet stands for bytes."""
+        if not word.isascii():
+            word = "".join(map(self.letters.__getitem__, word.encode()))
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+
+    def _apart(self, piece: str) -> list[str] | None:
+        """The words of a piece of plain characters, else None."""
+        if not piece.isascii() and not self.PLAIN(piece):
+            return None
+        if piece.isalpha():
+            return [piece.lower()]
+        if piece[:-1].isalpha() and piece[-1] in ".,;:!?":
+            return [piece[:-1].lower(), piece[-1]]
+        if not self.PLAIN(piece) or any(x in piece for x in self.special):
+            return None
+        return self.find(piece.lower())
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Remembers all pieces; what memory held before its last clearing is taken over, the rest is encoded."""
+        if len(self.words) > _WORDS:
+            self.words, self.old_words = {}, self.words
+        if len(self.pieces) > _PIECES:
+            self.pieces, self.old_pieces = {}, self.pieces
+        whole, known, old_pieces, old_words = [], self.words, self.old_pieces, self.old_words
+        for p in pieces - self.pieces.keys():
+            ids = old_pieces.get(p)
+            if ids is None:
+                words = self._apart(p) if self.find else None
+                if words is None:
+                    whole.append(p)
+                    continue
+                parts = []
+                for w in words:
+                    own = known.get(w)
+                    if own is None:
+                        own = old_words.get(w)
+                        known[w] = own = self._word(w) if own is None else own
+                    parts.append(own)
+                ids = parts[0] if len(parts) == 1 else b"".join(parts)
+            self.pieces[p] = ids
+        self.pieces.update(zip(whole, self._library(whole)))
 
     def encode(self, rows: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian ids of each text, of 16 bits where the vocabulary allows, else of 32."""
         parts = [t.split(" ") for t in rows]
-        known = self.known
-        if len(known) > _MEMORY:
-            known.clear()
-        new = list({p for own in parts for p in own} - known.keys())
-        run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for low in range(0, len(new), 2000):
-            some = new[low : low + 2000]
-            known.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in run(some, add_special_tokens=False))))
-        return [b"".join(map(known.__getitem__, own)) for own in parts]
+        self._learn({p for own in parts for p in own})
+        get = self.pieces.__getitem__
+        return [b"".join(map(get, own)) for own in parts]
 
 
 @functools.cache
@@ -68,7 +137,8 @@ def encoder(path: str) -> LibraryEncoder:
 
 def _encode(path: str, end: int):
     def run(batches):
-        use, last = encoder(path), np.array([end], "<u4").tobytes()
+        use = encoder(path)
+        last = np.array([end], use.kind).tobytes()
         for batch in batches:
             rows = batch.column(1).to_pylist()
             at = np.concatenate([[0], np.cumsum([len(t) for t in rows])])
@@ -93,11 +163,16 @@ def repair(sequence: np.ndarray, barrier: np.ndarray) -> tuple[np.ndarray, np.nd
     for _ in range(ROUNDS):
         if len(sequence) < 2:
             break
-        pair = (sequence[:-1].astype(np.int64) << 32) | sequence[1:]
+        # a table of hashed counts names the slots that can hold frequent pairs; only pairs in these are counted exactly
+        slot = ((sequence[:-1].astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (sequence[1:].astype(np.uint32) * np.uint32(0x85EBCA77))) >> np.uint32(12)
         free = ~barrier[:-1]
-        ordered = np.sort(pair[free])
-        if not len(ordered):
+        load = np.bincount(slot[free], minlength=1 << 20)
+        least = max(LEAST, int(np.partition(load, -2 * RULES)[-2 * RULES]))
+        maybe = np.flatnonzero(free & (load >= least)[slot])
+        if not len(maybe):
             break
+        pair = (sequence[maybe].astype(np.int64) << 32) | sequence[maybe + 1]
+        ordered = np.sort(pair)
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         count = np.diff(np.append(edge, len(ordered)))
         often = np.flatnonzero(count >= LEAST)
@@ -107,13 +182,13 @@ def repair(sequence: np.ndarray, barrier: np.ndarray) -> tuple[np.ndarray, np.nd
         chosen = np.sort(ordered[edge[often]])
         at = np.searchsorted(chosen, pair)
         at[at == len(chosen)] = 0
-        hit = free & (chosen[at] == pair)
-        place = np.flatnonzero(hit)
+        hit = chosen[at] == pair
+        place, at = maybe[hit], at[hit]
         run = np.flatnonzero(np.concatenate([[True], np.diff(place) != 1])) if len(place) else place
         offset = np.arange(len(place)) - np.repeat(run, np.diff(np.append(run, len(place))))
-        place = place[offset % 2 == 0]
+        place, at = place[offset % 2 == 0], at[offset % 2 == 0]
         sequence = sequence.copy()
-        sequence[place] = symbol + at[place]
+        sequence[place] = symbol + at
         barrier = barrier.copy()
         barrier[place] = barrier[place + 1]
         keep = np.ones(len(sequence), bool)
@@ -187,6 +262,10 @@ class Shard:
         """Ids of the i-th document."""
         return expand(self.sequence[int(self.stop[i]) : int(self.stop[i + 1])], self.left, self.right, self.first).astype("<u4")
 
+    def every(self) -> np.ndarray:
+        """Ids of all documents, end to end."""
+        return expand(self.sequence, self.left, self.right, self.first).astype("<u4")
+
     def token(self, i: int, k: int) -> int:
         """The k-th id of the i-th document: a search in the summed expansion lengths, then one way down the rules."""
         part = self.sequence[int(self.stop[i]) : int(self.stop[i + 1])]
@@ -202,7 +281,7 @@ class Shard:
         return symbol
 
 
-def _write(batches):
+def _write(batches, kind: str):
     part, shard, before = TaskContext.get().partitionId(), 0, 0
     keys, rows, size = [], [], 0
 
@@ -215,7 +294,7 @@ def _write(batches):
 
     for batch in batches:
         for key, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own = np.frombuffer(ids.as_buffer(), "<u4")
+            own = np.frombuffer(ids.as_buffer(), kind)
             if size and size + len(own) > SHARD:
                 yield row()
             keys.append(key)
@@ -236,8 +315,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int = 1, key:
     spark = docs.sparkSession
     ids = stored(texts(docs, key, text).mapInArrow(_encode(tokenizer, end), "doc_id long, ids binary"), "ids")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = ids.repartitionByRange(parts, "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(_write, _SHARD).write.option("compression", "zstd").parquet(path)
+    ordered = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    kind = encoder(tokenizer).kind
+    ordered.mapInArrow(lambda batches: _write(batches, kind), _SHARD).write.option("compression", "zstd").parquet(path)
     drop_stored(ids)
 
 
@@ -251,8 +331,10 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for blob, base in zip(batch.column(0), batch.column(1).to_pylist()):
                 shard = Shard(blob.as_buffer())
-                crc = [zlib.crc32(shard.document(i).tobytes()) for i in range(len(shard))]
-                start = base + np.concatenate([[0], np.cumsum(shard.count)[:-1]]).astype(np.int64)
+                ends = np.cumsum(shard.count).astype(np.int64)
+                ids, start = memoryview(shard.every().tobytes()), ends - shard.count.astype(np.int64)
+                crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(start.tolist(), ends.tolist())]
+                start = base + start
                 keys = pa.array(shard.keys, mask=shard.null.astype(bool))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(start), pa.array(shard.count.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
