@@ -17,7 +17,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from quillmark.llm.common import per_batch, texts
+from quillmark.llm.common import per_batch, texts, worker_store
 
 #: Most words in each generation of a worker's memory.
 MEMORY = 120_000
@@ -181,14 +181,12 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """The codec of a rank file, built once in each worker."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    store = worker_store("bpe")
+    if (path, pattern) not in store:
+        store[path, pattern] = Codec(path, pattern)
+    return store[path, pattern]
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

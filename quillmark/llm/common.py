@@ -58,6 +58,16 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
 
+_held: dict = {"owner": None, "store": {}}
+
+
+def worker_store(owner: str) -> dict:
+    """What an operator keeps in a Python worker between tasks; workers outlive stages, so the store of another operator is dropped first."""
+    if _held["owner"] != owner:
+        _held["owner"], _held["store"] = owner, {}
+    return _held["store"]
+
+
 def large_text(column: pa.ChunkedArray | pa.Array) -> tuple["np.ndarray", "np.ndarray"]:
     """UTF-8 bytes of a string column without nulls and the offset of each row in them."""
     import numpy as np

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from quillmark.llm.common import blocks, large_text, per_batch
+from quillmark.llm.common import blocks, large_text, per_batch, worker_store
 from quillmark.llm.words import words
 
 #: Words of a window; bytes of benchmark text in a broadcast.
@@ -158,6 +158,7 @@ _ADDED = StructType([StructField("__n_words", LongType()), StructField("__hits",
 
 def _step(shared, text_at: int, first: bool):
     def make(batch):
+        worker_store("decontaminate")
         bench = shared.value
         data, offsets = large_text(batch.column(text_at).fill_null(""))
         counts, hits, items = [], [], []

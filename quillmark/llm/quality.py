@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quillmark.llm.common import blocks, drop_stored, large_text, per_batch, small, stored
+from quillmark.llm.common import blocks, drop_stored, large_text, per_batch, small, stored, worker_store
 from quillmark.llm.words import shingles, words
 
 #: Share of texts that a step keeps, the factor that makes its covariance consistent with 4 normal statistics, least texts of a group, most steps.
@@ -90,8 +90,9 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     names = [f"__{s}" for s in _STATS]
 
     def make(batch):
+        worker_store("quality")
         data, offsets = large_text(batch.column(at).fill_null(""))
-        parts = [block_statistics(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]) for low, high in blocks(offsets, 1 << 20)]
+        parts = [block_statistics(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]) for low, high in blocks(offsets, 1 << 19)]
         found = np.concatenate(parts, axis=1)
         return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x.astype(np.int64)) for x in found)], [*batch.schema.names, *names])
 
