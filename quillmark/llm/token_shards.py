@@ -125,7 +125,7 @@ class LibraryEncoder:
     def encode(self, rows: list[str]) -> list[bytes]:
         """Little-endian ids of each text, of 16 bits where the vocabulary allows, else of 32."""
         parts = [t.split(" ") for t in rows]
-        self._learn({p for own in parts for p in own})
+        self._learn(set().union(*parts))
         get = self.pieces.__getitem__
         return [b"".join(map(get, own)) for own in parts]
 
@@ -164,11 +164,13 @@ def repair(sequence: np.ndarray, barrier: np.ndarray) -> tuple[np.ndarray, np.nd
         if len(sequence) < 2:
             break
         # a table of hashed counts names the slots that can hold frequent pairs; only pairs in these are counted exactly
-        slot = ((sequence[:-1].astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (sequence[1:].astype(np.uint32) * np.uint32(0x85EBCA77))) >> np.uint32(12)
-        free = ~barrier[:-1]
-        load = np.bincount(slot[free], minlength=1 << 20)
+        narrow = sequence.astype(np.uint32)
+        slot = (((narrow[:-1] * np.uint32(0x9E3779B1)) ^ (narrow[1:] * np.uint32(0x85EBCA77))) >> np.uint32(12)).astype(np.intp)
+        slot[barrier[:-1]] = 1 << 20  # no pair
+        load = np.bincount(slot, minlength=(1 << 20) + 1)
+        load[-1] = 0
         least = max(LEAST, int(np.partition(load, -2 * RULES)[-2 * RULES]))
-        maybe = np.flatnonzero(free & (load >= least)[slot])
+        maybe = np.flatnonzero((load >= least)[slot])
         if not len(maybe):
             break
         pair = (sequence[maybe].astype(np.int64) << 32) | sequence[maybe + 1]
