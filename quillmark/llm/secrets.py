@@ -18,7 +18,7 @@ BASE = ("assign", "access", "hex")
 #: Kinds in the order that ties take; the last three are the method's own.
 KINDS = (*BASE, "private_key", "service_token", "web_token")
 #: Version of the rules below; findings of other versions aren't used.
-VERSION = "1"
+VERSION = "1.1"
 #: The base patterns, without matches that would be dropped where the pattern can leave them out.
 _NAME = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
 ASSIGN = rf"""({_NAME})["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
@@ -27,12 +27,20 @@ HEX = r"(?:\G|(?<![0-9a-f]))[0-9a-f]{16,}+"
 PRIVATE_KEY = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
 SERVICE_TOKEN = r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,255}+|xox[abprs]-[A-Za-z0-9-]{10,250}+|sk_live_[A-Za-z0-9]{16,250}+)"
 WEB_TOKEN = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"
+#: What the masks cover besides: a key's body up to the matching END line, or its base64 lines if there is none; tokens of any length.
+_GAP = r"""(?:\s|\\[nr]|["'+>#*|])"""
+KEY_BLOCK = (
+    r"-----BEGIN ([A-Z ]{0,40})PRIVATE KEY-----(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END \1PRIVATE KEY-----"
+    rf"|(?:\s*+(?:Proc-Type|DEK-Info):[^\n]*+)*+(?:{_GAP}++[A-Za-z0-9/][A-Za-z0-9+/]{{31,}}+=*+)*+(?:{_GAP}++[A-Za-z0-9+/]++=*+(?=[\x20\t\r]*+(?:\n|$)))?+)"
+)
+LONG_TOKEN = r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+)"
+COVERS = ("key_block", "long_token")
 MARK = "[secret]"
 _LEDGER = f"blob string, rules string, found {SPAN}"
 
 
 def found_spans(text: Column) -> Column:
-    """All spans of a text column without nulls."""
+    """All spans of a text column without nulls: those of KINDS, and those of COVERS, which count for masks alone."""
     has = lambda s: F.contains(text, F.lit(s))
     checks = {
         "assign": (ASSIGN, has("=") | has(":"), lambda x: F.length(F.regexp_extract(x, ASSIGN, 2)) >= 12),
@@ -41,8 +49,10 @@ def found_spans(text: Column) -> Column:
         "private_key": (PRIVATE_KEY, has("-----BEGIN "), None),
         "service_token": (SERVICE_TOKEN, has("gh") | has("xox") | has("sk_live_"), None),
         "web_token": (WEB_TOKEN, has("eyJ"), None),
+        "key_block": (KEY_BLOCK, has("-----BEGIN "), None),
+        "long_token": (LONG_TOKEN, has("gh") | has("xox") | has("sk_live_"), None),
     }
-    return merged(*(spans(matches(text, pattern, hint), kind, rank, keep) for rank, (kind, (pattern, hint, keep)) in enumerate((k, checks[k]) for k in KINDS)))
+    return merged(*(spans(matches(text, pattern, hint), kind, rank, keep) for rank, (kind, (pattern, hint, keep)) in enumerate((k, checks[k]) for k in (*KINDS, *COVERS))))
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -76,7 +86,7 @@ def secrets_digest(docs: DataFrame, ledger: str | None = None, key: str = "doc_i
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, blob) of every row, by a new ledger unless one is given."""
     found = F.col("found")
     return scan(docs, ledger or scratch(docs.sparkSession, "ledger"), key=key, text=text).select(
-        "doc_id", *(counted(found, k).alias(f"n_{k}") for k in BASE), F.sha2(listed(of_kind(found, *BASE)), 256).alias("base_sha256"), listed(found).alias("spans"), "blob"
+        "doc_id", *(counted(found, k).alias(f"n_{k}") for k in BASE), F.sha2(listed(of_kind(found, *BASE)), 256).alias("base_sha256"), listed(of_kind(found, *KINDS)).alias("spans"), "blob"
     )
 
 

@@ -151,6 +151,28 @@ def test_secrets_and_ledger(spark, tmp_path):
         assert secret_base(masked[i] or "") == "" and (masked[i] == t or secret_base(t) or "[secret]" in masked[i])
 
 
+def test_masks_cover_whole_keys_and_tokens(spark):
+    draw = random.Random(3)
+    lines = ["".join(draw.choice("ABCdefgXYZ0189+/ghijk") for _ in range(64)) for _ in range(400)]
+    body, head, end = "\n".join([*lines, "Zz12=="]), "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [
+        f"before\n{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{body}\n{end}\nafter it",
+        f"before {head}\n{body}\n\nafter it, no end line",
+        f'{{"key": "{head}\\n' + "\\n".join(lines) + f'\\n{end}\\n", "after": 1}}',
+        f"{head}\n{body}\n{head}\n{body}\n{end} after",
+        "a ghp_" + "aB3" * 200 + " after",
+        "a xoxb-" + "aB3-" * 200 + "\nafter",
+        "a sk_live_" + "aB3" * 200 + ", after",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    masked = [r["text"] for r in secrets.without_secrets(docs).orderBy("doc_id").collect()]
+    assert masked == [
+        "before\n[secret]\nafter it", "before [secret]\n\nafter it, no end line", '{"key": "[secret]\\n", "after": 1}', "[secret]\n[secret] after", "a [secret] after", "a [secret]\nafter", "a [secret], after",
+    ]
+    spans = [r["spans"] for r in secrets.secrets_digest(docs).orderBy("doc_id").collect()]
+    assert spans[0] == f"private_key:7:{7 + len(head)}" and spans[4] == "service_token:2:261"  # listed as in the SQL
+
+
 def test_bpe_round_trip(spark):
     ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(RANKS, "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
