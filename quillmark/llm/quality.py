@@ -3,8 +3,8 @@
 Each text gives a vector of transformed statistics. For every language and source, the minimum covariance determinant of these
 vectors is found by concentration steps: the COVER share of texts nearest to the present centre gives the next centre and covariance, until no
 determinant falls any more. Steps start from medians and absolute deviations; each is an aggregation over all texts. A text is
-rejected if its Mahalanobis distance under the estimate is too large and its statistics are worse than the centre's. Groups of fewer than
-LEAST texts use their language's estimate, and small languages that of all texts.
+rejected if its Mahalanobis distance under the estimate is too large and its statistics are worse than the centre's, where words that are
+longer or shorter than the centre's both count as worse, or if its word length alone is that far. Groups of fewer than LEAST texts use their language's estimate, and small languages that of all texts.
 """
 
 from __future__ import annotations
@@ -201,10 +201,12 @@ def judged(docs: DataFrame, lang: str = "lang", source: str = "source", text: st
     shift = F.lit(0.0)
     x = list(vector().values())
     for i, name in enumerate(_VECTOR):
-        if name != "word_length":
-            shift = shift + (x[i] - F.col(f"m_{i}")) / FLOORS[name]
+        off = x[i] - F.col(f"m_{i}")
+        shift = shift + (F.abs(off) if name == "word_length" else off) / FLOORS[name]
+    at = _VECTOR.index("word_length")
+    odd = F.pow(x[at] - F.col(f"m_{at}"), 2) > CUTOFF * sum((F.pow(F.col(f"l_{at}_{k}"), 2) for k in range(at + 1)), F.lit(0.0))
     marked = with_statistics(docs, text).withColumn("lang_source", _group(lang, source)).join(small(known), "lang_source", "left")
-    marked = marked.withColumn("__base_failed", base_failed()).withColumn("__distance", squared_distance(x)).withColumn("__worse", shift > 0)
+    marked = marked.withColumn("__base_failed", base_failed()).withColumn("__distance", squared_distance(x)).withColumn("__worse", (shift > 0) | odd)
     far = F.coalesce((F.col("__distance") > CUTOFF) & F.col("__worse"), F.lit(False))
     marked = marked.withColumn("__kept", ~F.col("__base_failed") & ~far)
     return marked.select(*(F.col(f"`{c}`") for c in docs.columns), *(f"__{s}" for s in _STATS), "__base_failed", "__distance", "__kept")

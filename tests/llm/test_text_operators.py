@@ -317,6 +317,16 @@ def test_quality_outliers_without_clean_losses(spark):
     assert quality.good(docs).columns == docs.columns and quality.quality(docs.where("false")).count() == 0
 
 
+def test_quality_rejects_outliers_of_word_length_alone(spark):
+    draw = random.Random(9)
+    clean = [" ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 8))) for _ in range(draw.randint(20, 200))) + " #" * (i % 3) for i in range(150)]
+    blobs = [" ".join("".join(draw.choice("ABCDefgh0123") for _ in range(64)) for _ in range(40)) for _ in range(10)]
+    spaced = [" ".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200)) for _ in range(10)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(clean + blobs + spaced)], "doc_id int, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(docs).collect()}
+    assert all(got[i] for i in range(150)) and not any(got[i] for i in range(150, 170))
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
