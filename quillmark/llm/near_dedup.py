@@ -7,8 +7,10 @@ similarity, from its shingles, of at least the threshold. Classes are the connec
 Equal shingle sets are one set from the start, so copies never meet each other. A bucket (texts with one band in
 common) is read in the order of a range sort, which splits large buckets over tasks; each text is compared
 with the first of its bucket in LEADING bands. Where a bucket still holds several classes afterwards, each of its texts is compared by signature with the
-OTHERS texts before it that are of other classes, and likely pairs are verified. That covers small buckets in full;
-larger ones are taken again in a new order until a round finds no new link.
+OTHERS texts before it that are of other classes, and likely pairs are verified; each class takes its likeliest pair first. That
+covers small buckets in full; larger ones are taken again in a new order until a round finds no new link. The texts of those that
+hold several classes even then are compared exactly: by a prefix filter, texts of the least similarity have one of their rarest
+shingles in common, and all pairs of different classes with such a shingle that can be similar enough are verified.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ OTHERS, SLACK = 64, 0.09
 LEADING = 8
 _SKETCH = "doc_id long, set_a long, set_b long, size int, bands array<long>, brief binary, shingles binary"
 _BLOCK = 1 << 19
+#: Cells in which the texts of a shingle are counted, and texts of a shingle that meet in a task.
+_CELLS, _TILE = 1 << 18, 2048
 
 
 def _sketch_block(ids, data, offsets, size, rows, count):
@@ -102,8 +106,11 @@ def _leaders(batches):
     yield from pa.table(out).to_batches(max_chunksize=50_000)
 
 
-def _others(threshold: float, most: int, likely: float):
-    """For sorted rows (bucket, rep, size, component, brief): each row's list of those among the ``most`` rows before it that are of other classes and whose signatures agree enough."""
+def _others(threshold: float, most: int, likely: float, best: bool):
+    """For sorted rows (bucket, rep, size, component, brief): each row's list of those among the ``most`` rows before it that are of other classes and whose signatures agree enough.
+
+    With ``best``, only the pair of each class that agrees most.
+    """
 
     def run(batches):
         rows = [x for x in batches if x.num_rows]
@@ -112,7 +119,7 @@ def _others(threshold: float, most: int, likely: float):
         table = pa.Table.from_batches(rows)
         bucket, rep, size, own = (table.column(c).to_numpy() for c in ("bucket", "rep", "size", "component"))
         brief = np.frombuffer(large_text(table.column("brief").cast(pa.large_binary()))[0], np.uint8).reshape(len(rep), -1)
-        rows_of, reps_of = [], []
+        rows_of, reps_of, agree_of, own_of = [], [], [], []
         for lag in range(1, min(most, len(rep) - 1) + 1):
             same = bucket[lag:] == bucket[:-lag]
             if not same.any():
@@ -122,10 +129,21 @@ def _others(threshold: float, most: int, likely: float):
             at = np.flatnonzero(near)
             for low in range(0, len(at), 4096):
                 part = at[low : low + 4096]
-                part = part[(brief[part + lag] == brief[part]).mean(axis=1) >= likely]
+                agree = (brief[part + lag] == brief[part]).mean(axis=1)
+                part, agree = part[agree >= likely], agree[agree >= likely]
                 rows_of.append(rep[part + lag])
                 reps_of.append(rep[part])
-        if rows_of:
+                agree_of.append(agree)
+                own_of.append(np.stack([own[part + lag], own[part]]))
+        if rows_of and best:  # a row for each class: its likeliest pair
+            x, y, agree, of = np.concatenate(rows_of), np.concatenate(reps_of), np.concatenate(agree_of), np.concatenate(own_of, axis=1).reshape(2, -1)
+            at, of = np.tile(np.arange(len(x)), 2), of.reshape(-1)
+            order = np.lexsort((-agree[at], of))
+            at, of = at[order], of[order]
+            top = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool)
+            at, of = at[top], of[top]
+            yield from pa.table({"of": of, "agree": agree[at], "a": np.minimum(x[at], y[at]), "b": np.maximum(x[at], y[at])}).to_batches(max_chunksize=50_000)
+        elif rows_of:
             pairs = np.unique(np.stack([np.concatenate(rows_of), np.concatenate(reps_of)]), axis=1)
             first = np.flatnonzero(np.concatenate([[True], pairs[0, 1:] != pairs[0, :-1]])) if pairs.shape[1] else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.append(first, pairs.shape[1]).astype(np.int32)), pa.array(pairs[1]))
@@ -134,6 +152,93 @@ def _others(threshold: float, most: int, likely: float):
     return run
 
 
+def _cell_counts(batches):
+    """For rows (shingles): how many of them have a shingle of each cell."""
+    count = np.zeros(_CELLS, np.int64)
+    for batch in batches:
+        for x in batch.column(0):
+            short = np.unique(np.frombuffer(x.as_buffer(), "<u4"))
+            count += np.bincount(short % _CELLS, minlength=_CELLS)
+    at = np.flatnonzero(count)
+    yield from pa.table({"cell": at, "n": count[at]}).to_batches(max_chunksize=50_000)
+
+
+def _prefixes(threshold: float, count: np.ndarray):
+    """For rows (rep, component, shingles): a row for each of the rarest shingles, one of which any other set of the similarity ``threshold`` has among its own.
+
+    A shingle of more than _TILE texts has its texts dealt to tiles; a row goes to every pair of tiles with its own.
+    """
+
+    def run(batches):
+        for batch in batches:
+            reps, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for rep, component, x in zip(reps, own, batch.column(2)):
+                short = np.unique(np.frombuffer(x.as_buffer(), "<u4"))
+                n = len(short)
+                order = np.lexsort((short, count[short % _CELLS]))[: n - int(np.ceil(threshold * n - 1e-9)) + 1]
+                token = short[order].astype(np.int64)
+                tiles = -(-count[token % _CELLS] // _TILE)
+                mine = (int(mix(np.array([rep]).view(np.uint64))[0] >> np.uint64(1)) % tiles).repeat(tiles)
+                at = np.repeat(np.arange(len(token)), tiles)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
+                yield from pa.table({
+                    "token": token[at], "low": np.minimum(mine, other), "high": np.maximum(mine, other), "tile": mine, "rep": np.full(len(at), rep), "component": np.full(len(at), component),
+                    "size": np.full(len(at), n), "place": at,
+                }).to_batches()
+
+    return run
+
+
+def _prefix_pairs(threshold: float):
+    """For rows of ``_prefixes`` sorted by (token, low, high): the pairs of different classes that may have the similarity ``threshold``."""
+
+    def run(batches):
+        rows = [x for x in batches if x.num_rows]
+        if not rows:
+            return
+        table = pa.Table.from_batches(rows)
+        token, low, high, tile, rep, own, size, place = (table.column(c).to_numpy() for c in ("token", "low", "high", "tile", "rep", "component", "size", "place"))
+        new = (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        first = np.flatnonzero(np.concatenate([[True], new]))
+        mixed = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+        held, kept = [], 0
+        for start, end in zip(first[mixed], np.append(first[1:], len(token))[mixed]):
+            every = np.arange(start, end)
+            left, right = (every, every) if low[start] == high[start] else (every[tile[start:end] == low[start]], every[tile[start:end] == high[start]])
+            for at in range(0, len(left), 256):
+                x, y = left[at : at + 256, None], right[None, :]
+                # the first common shingle bounds what the rest can have in common
+                most = np.minimum(size[x] - place[x], size[y] - place[y])
+                i, j = np.nonzero((own[x] != own[y]) & (most * (1 + threshold) >= threshold * (size[x] + size[y]) - 1e-6))
+                a, b = rep[x[i, 0]], rep[y[0, j]]
+                held.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+                kept += len(a)
+                if kept > 1 << 20:
+                    held, kept = [np.unique(np.concatenate(held, axis=1), axis=1)], 0
+                    yield from pa.table({"a": held[0][0], "b": held[0][1]}).to_batches(max_chunksize=50_000)
+                    held = []
+        if held:
+            pairs = np.unique(np.concatenate(held, axis=1), axis=1)
+            yield from pa.table({"a": pairs[0], "b": pairs[1]}).to_batches(max_chunksize=50_000)
+
+    return run
+
+
+def _exact_pairs(some: DataFrame, sketch: DataFrame, head: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """All pairs (a, b) of different classes among the texts of ``some`` (rep, component) that a prefix filter lets through."""
+    owners = head.join(some.select("rep", "component").distinct(), "rep").select("set_a", "set_b", "doc_id", "rep", "component")
+    held = sketch.select("set_a", "set_b", "doc_id", "shingles").join(owners, ["set_a", "set_b", "doc_id"])
+    held = stored(held.groupBy("rep", "component").agg(F.first("shingles").alias("shingles")), "left")
+    count = np.zeros(_CELLS, np.int64)
+    for row in held.select("shingles").mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+        count[row[0]] = row[1]
+    rows = held.mapInArrow(_prefixes(threshold, count), "token long, low long, high long, tile long, rep long, component long, size long, place long")
+    dealt = rows.repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high")
+    out = stored(dealt.mapInArrow(_prefix_pairs(threshold), "a long, b long").distinct(), "exact")
+    drop_stored(held)
+    return out
+
+
 def _verifier(threshold: float):
     """Keeps pairs whose shingle sets have at least the similarity ``threshold``."""
 
@@ -206,28 +311,45 @@ def near_duplicates(
     pairs = led.select("rep", "size", "leader", "leader_size").union(across).toDF("x", "n", "y", "m")
     near = pairs.where(F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m"))
     links = _verified(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), sketch, head, threshold)
-    labels, turn = components(links), 0
+    labels, turn, best = components(links), 0, True
     drop_stored(links)
     while True:
         owned = buckets.select("bucket", "rep", "size").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = owned.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k")).where("low <> high")
         if turn:  # smaller buckets were compared in full
             mixed = mixed.where(F.col("k") > others + 1)
-        some = stored(owned.join(mixed.select("bucket"), "bucket", "left_semi").withColumn("turn", F.xxhash64("rep", F.lit(turn))), "mixed")
+        some = stored(owned.join(mixed.select("bucket", "k"), "bucket").withColumn("turn", F.xxhash64("rep", F.lit(turn))), "mixed")
         if some.isEmpty():
             break
         briefs = sketch.select("set_a", "set_b", "doc_id", "brief").join(head.select("set_a", "set_b", "doc_id", "rep"), ["set_a", "set_b", "doc_id"])
         again = some.join(briefs.select("rep", "brief"), "rep").repartitionByRange(parts, "bucket", "turn").sortWithinPartitions("bucket", "turn")
-        near = again.select("bucket", "rep", "size", "component", "brief").mapInArrow(_others(threshold, others, threshold - SLACK), "x long, others array<long>")
-        # rows have the same order in all buckets, so a pair is always in the list of the same text: at most ``others`` entries from each band
-        each = near.groupBy("x").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others")).select("x", F.explode("others").alias("y"))
-        pairs = each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        again = again.select("bucket", "rep", "size", "component", "brief")
+        if best:  # then the same order again for all that is left
+            near = again.mapInArrow(_others(threshold, others, threshold - SLACK, True), "of long, agree double, a long, b long")
+            pairs = near.groupBy("of").agg(F.max(F.struct("agree", "a", "b")).alias("top")).select("top.a", "top.b")
+        else:
+            near = again.mapInArrow(_others(threshold, others, threshold - SLACK, False), "x long, others array<long>")
+            # rows have the same order in all buckets, so a pair is always in the list of the same text: at most ``others`` entries from each band
+            each = near.groupBy("x").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others")).select("x", F.explode("others").alias("y"))
+            pairs = each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         more = _verified(pairs, sketch, head, threshold)
-        drop_stored(some)
-        if more.isEmpty():
+        found = not more.isEmpty()
+        large = some.where(F.col("k") > others + 1)
+        if not found and not best:
+            if not large.isEmpty():
+                exact = _exact_pairs(large, sketch, head, threshold, parts)
+                last = _verified(exact, sketch, head, threshold)
+                labels = _joined(labels, last)
+                drop_stored(exact)
+                drop_stored(last)
+            drop_stored(more)
+            drop_stored(some)
             break
-        labels, turn = _joined(labels, more), turn + 1
+        if found:
+            labels = _joined(labels, more)
+        turn, best = turn + (not best), False
         drop_stored(more)
+        drop_stored(some)
     drop_stored(buckets)
     named = head.select("set_a", "set_b", "doc_id", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
