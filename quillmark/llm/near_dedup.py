@@ -106,6 +106,13 @@ def _leaders(batches):
     yield from pa.table(out).to_batches(max_chunksize=50_000)
 
 
+def _dealt(rows: DataFrame, parts: int, most: int) -> DataFrame:
+    """``rows`` (bucket, turn, k) sorted by bucket and turn, buckets of up to ``most`` + 1 rows whole in a partition; a larger one is dealt out by ranges of turn."""
+    share = F.col("turn").cast("double") / F.lit(2.0**64) + 0.5
+    piece = F.when(F.col("k") <= most + 1, F.lit(0)).otherwise(F.floor(share * F.ceil(F.col("k") / (16 * most))))
+    return rows.withColumn("piece", piece).repartition(parts, "bucket", "piece").sortWithinPartitions("bucket", "turn")
+
+
 def _others(threshold: float, most: int, likely: float, best: bool):
     """For sorted rows (bucket, rep, size, component, brief): each row's list of those among the ``most`` rows before it that are of other classes and whose signatures agree enough.
 
@@ -322,7 +329,7 @@ def near_duplicates(
         if some.isEmpty():
             break
         briefs = sketch.select("set_a", "set_b", "doc_id", "brief").join(head.select("set_a", "set_b", "doc_id", "rep"), ["set_a", "set_b", "doc_id"])
-        again = some.join(briefs.select("rep", "brief"), "rep").repartitionByRange(parts, "bucket", "turn").sortWithinPartitions("bucket", "turn")
+        again = _dealt(some.join(briefs.select("rep", "brief"), "rep"), parts, others)
         again = again.select("bucket", "rep", "size", "component", "brief")
         if best:  # then the same order again for all that is left
             near = again.mapInArrow(_others(threshold, others, threshold - SLACK, True), "of long, agree double, a long, b long")

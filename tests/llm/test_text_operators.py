@@ -86,6 +86,16 @@ def test_near_duplicates_in_large_buckets_of_many_classes(spark):
     assert len(set(want.values())) == 200 and got == want
 
 
+def test_small_buckets_stay_whole(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select((F.col("id") % 60).alias("bucket"), F.xxhash64("id").alias("turn"), F.lit(50).alias("k"))
+    rows = rows.union(spark.range(5000).select(F.lit(99).cast("long"), F.xxhash64("id"), F.lit(5000)))
+    got = near_dedup._dealt(rows, 7, 64).withColumn("part", F.spark_partition_id()).groupBy("bucket").agg(F.countDistinct("part").alias("n"), F.count("*").alias("k")).collect()
+    assert len(got) == 61 and all(r["n"] == 1 and r["k"] == 50 for r in got if r["bucket"] != 99)
+    assert [r["n"] > 1 for r in got if r["bucket"] == 99] == [True]
+
+
 def test_one_of_each_keeps_columns_and_null_keys(spark):
     docs = spark.createDataFrame([(3, "a b c d e f", 1), (1, "a b c d e f", 2), (1, "a b c d e f", 2), (None, "zz", 3)], "doc_id long, text string, n_chars int")
     assert sorted(near_dedup.one_of_each(docs).collect(), key=str) == sorted([(1, "a b c d e f", 2), (None, "zz", 3)], key=str)
