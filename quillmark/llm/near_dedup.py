@@ -27,8 +27,8 @@ from quillmark.llm.words import mix, shingles, words
 
 #: Words in a shingle, least similarity, coordinates of a band, bands (a pair at 0.8 is missed with probability 5e-6).
 SIZE, THRESHOLD, ROWS, BANDS = 5, 0.8, 6, 40
-#: Rows of a bucket that are compared with each in a round, and how far below the threshold signatures may agree (3.5 deviations) for a pair to be verified.
-OTHERS, SLACK = 64, 0.09
+#: Rows of a bucket that are compared with each in a round, and how far below the threshold signatures may agree (5 deviations) for a pair to be verified.
+OTHERS, SLACK = 64, 0.13
 #: Bands whose buckets link each text to their first one before any other comparison.
 LEADING = 8
 _SKETCH = "doc_id long, set_a long, set_b long, size int, bands array<long>, brief binary, shingles binary"

@@ -86,6 +86,14 @@ def test_near_duplicates_in_large_buckets_of_many_classes(spark):
     assert len(set(want.values())) == 200 and got == want
 
 
+def test_signature_filter_loses_no_more_than_the_bands():
+    from math import comb
+
+    n, t = near_dedup.ROWS * near_dedup.BANDS, near_dedup.THRESHOLD
+    lost = sum(comb(n, k) * t**k * (1 - t) ** (n - k) for k in range(n) if k / n < t - near_dedup.SLACK)
+    assert lost < 1e-5, lost
+
+
 def test_small_buckets_stay_whole(spark):
     from pyspark.sql import functions as F
 
