@@ -73,14 +73,14 @@ def test_near_duplicates_in_large_buckets_of_many_classes(spark):
     draw = random.Random(5)
     passage, texts = [f"p{i}" for i in range(90)], []
     for i in range(200):
-        own = [f"q{draw.randrange(10**6)}" for _ in range(60)]
+        own = [f"q{draw.randrange(10**6)}" for _ in range(30)]
         texts.append(" ".join(passage + own))
         if i % 10 == 0:
             texts.append(" ".join([*passage, *own[:-3], "x", "y", "z"]))
     order = list(range(len(texts)))
     draw.shuffle(order)
     docs = spark.createDataFrame([(i, texts[j]) for i, j in enumerate(order)], "doc_id int, text string")
-    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs, rows=1, count=12, others=2).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs, rows=1, count=4, others=1).collect()}
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (texts[j].split() for j in order)]
     want = {i: min(j for j in range(len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(len(sets))}
     assert len(set(want.values())) == 200 and got == want
