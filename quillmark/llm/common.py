@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a table of short rows that are broadcast at most.
-BROADCAST_ROWS = 400_000
+#: Bytes of a table that are broadcast at most, and what a field of varying length counts as besides its own bytes.
+BROADCAST_BYTES, FIELD = 16 << 20, 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,8 +40,13 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def small(keys: DataFrame) -> DataFrame:
-    """A stored table of short rows, marked for broadcast if its counted size allows; a larger one is joined by shuffling."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    """``keys``, marked for broadcast if its measured size is within BROADCAST_BYTES; a larger table is joined by shuffling."""
+    wide = [f.name for f in keys.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    own = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in wide), F.lit(FIELD * (1 + len(keys.columns))))
+    nested = sum(len(f.dataType.fields) for f in keys.schema.fields if f.dataType.typeName() == "struct")
+    lists = sum((FIELD * 6 * F.greatest(F.size(F.col(f"`{f.name}`")), F.lit(0)) for f in keys.schema.fields if f.dataType.typeName() == "array"), F.lit(FIELD * nested))
+    size = keys.agg(F.sum((own + lists).cast("long"))).first()[0] or 0
+    return F.broadcast(keys) if size <= BROADCAST_BYTES else keys
 
 
 def drop_stored(df: DataFrame) -> None:
@@ -53,6 +58,16 @@ def drop_stored(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def unused(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """``names``, each with as many underscores before it as it takes to differ from every column of ``docs`` in any case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return tuple(out)
+
+
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key (long) and text (null becomes empty) under fixed names, whatever else the table holds."""
     return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))

@@ -1,16 +1,15 @@
 """MinHash near-duplicate classes.
 
 Texts become sets of five-word shingles (``words`` defines a word). DartMinHash signatures are cut into
-bands; texts with a common band are candidates, and each candidate pair that is kept has an exact
-similarity, from its shingles, of at least the threshold. Classes are the connected components of kept pairs.
-
-Equal shingle sets are one set from the start, so copies never meet each other. A bucket (texts with one band in
-common) is read in the order of a range sort, which splits large buckets over tasks; each text is compared
-with the first of its bucket in LEADING bands. Where a bucket still holds several classes afterwards, each of its texts is compared by signature with the
-OTHERS texts before it that are of other classes, and likely pairs are verified; each class takes its likeliest pair first. That
-covers small buckets in full; larger ones are taken again in a new order until a round finds no new link. The texts of those that
-hold several classes even then are compared exactly: by a prefix filter, texts of the least similarity have one of their rarest
-shingles in common, and all pairs of different classes with such a shingle that can be similar enough are verified.
+bands; texts with a common band (a bucket) are candidates, and a pair of them is linked if its exact similarity, from its shingles (as
+32-bit hashes), is at least the threshold. Classes are the connected components of links.
+
+Equal shingle sets are one set from the start, so copies never meet each other. In LEADING bands each text is compared with one
+text of its bucket, the leader: the text that shares most buckets with most others, which in a group of near copies is the one
+that they were made from. Buckets whose texts are of one class by then are done. In all others, of any band, every text is compared
+exactly with every text of another class: a task takes a bucket with the shingles of its texts, finds all intersections by products of
+0/1 matrices, and gives only the links that join classes, fewer than the bucket has texts. A bucket that is too large for a task is dealt to tiles, each
+pair of which meets in a task; the texts of its largest class aren't compared with each other and so are sent to few tasks.
 """
 
 from __future__ import annotations
@@ -20,21 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import blocks, drop_stored, large_text, small, stored, texts, worker_store
+from quillmark.llm.common import blocks, drop_stored, large_text, small, stored, unused, worker_store
 from quillmark.llm.components import components
 from quillmark.llm.dartminhash import bands, signatures
 from quillmark.llm.words import mix, shingles, words
 
 #: Words in a shingle, least similarity, coordinates of a band, bands (a pair at 0.8 is missed with probability 5e-6).
 SIZE, THRESHOLD, ROWS, BANDS = 5, 0.8, 6, 40
-#: Rows of a bucket that are compared with each in a round, and how far below the threshold signatures may agree (5 deviations) for a pair to be verified.
-OTHERS, SLACK = 64, 0.13
-#: Bands whose buckets link each text to their first one before any other comparison.
+#: Bands whose buckets link each text to their leader before any other comparison.
 LEADING = 8
-_SKETCH = "doc_id long, set_a long, set_b long, size int, bands array<long>, brief binary, shingles binary"
+#: Texts, and bytes of shingles, of a bucket that a task compares at once; columns of a matrix.
+TILE, TILE_BYTES, _COLUMNS = 1024, 8 << 20, 2048
 _BLOCK = 1 << 19
-#: Cells in which the texts of a shingle are counted, and texts of a shingle that meet in a task.
-_CELLS, _TILE = 1 << 18, 2048
 
 
 def _sketch_block(ids, data, offsets, size, rows, count):
@@ -48,13 +44,13 @@ def _sketch_block(ids, data, offsets, size, rows, count):
     runs, row = runs[new], row[new]
     start = np.searchsorted(row, np.arange(len(ids) + 1))
     signature = signatures(runs, start, rows * count)
-    key, brief = bands(signature, rows), (signature & np.uint64(0xFF)).astype(np.uint8)
+    key = bands(signature, rows)
     total = np.zeros((2, len(runs) + 1), np.uint64)
     np.cumsum(mix(runs ^ np.uint64(0x5851F42D4C957F2D)), out=total[0, 1:])
     np.cumsum(mix(runs ^ np.uint64(0x14057B7EF767814F)), out=total[1, 1:])
     digest = (total[:, start[1:]] - total[:, start[:-1]]).view(np.int64)
     short = (runs & np.uint64(0xFFFFFFFF)).astype("<u4")
-    return np.diff(start), key, brief, digest, short, start
+    return np.diff(start), key, digest, short, start
 
 
 def _sketcher(size: int, rows: int, count: int):
@@ -63,189 +59,117 @@ def _sketcher(size: int, rows: int, count: int):
     def run(batches):
         worker_store("near_dedup")
         for batch in batches:
-            ids = batch.column(0)
-            data, offsets = large_text(batch.column(1))
+            data, offsets = large_text(batch.column(2))
             for low, high in blocks(offsets, _BLOCK):
                 at = offsets[low : high + 1]
                 part = data[at[0] : at[-1]]
-                n, key, brief, digest, short, start = _sketch_block(range(high - low), part, at - at[0], size, rows, count)
+                n, key, digest, short, start = _sketch_block(range(high - low), part, at - at[0], size, rows, count)
                 for i in np.flatnonzero(n == 0):  # no words: only equal texts are copies
                     raw = hashlib.blake2b(part[at[i] - at[0] : at[i + 1] - at[0]].tobytes(), digest_size=16).digest()
                     digest[:, i] = np.frombuffer(raw, np.int64)
                 flat = pa.array(key[n > 0].reshape(-1))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * count)]).astype(np.int32)), flat)
                 blob = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer((start * 4).astype(np.int32)), pa.py_buffer(short)])
-                briefs = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer((np.arange(high - low + 1) * brief.shape[1]).astype(np.int32)), pa.py_buffer(brief)])
+                own = [batch.column(c).slice(low, high - low) for c in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(low, high - low), pa.array(digest[0]), pa.array(digest[1]), pa.array(n.astype(np.int32)), lists, briefs, blob],
-                    ["doc_id", "set_a", "set_b", "size", "bands", "brief", "shingles"],
+                    [*own, pa.array(digest[0]), pa.array(digest[1]), pa.array(n.astype(np.int32)), lists, blob], ["doc_id", "hash", "set_a", "set_b", "size", "bands", "shingles"]
                 )
 
     return run
 
 
-def _leaders(batches):
-    """For sorted rows (bucket, rep, size): each row of a bucket with its first row, and the buckets at a partition's ends."""
+def _shared(batches):
+    """Of rows (band, bucket, rep, size) sorted by bucket, those whose bucket has more of them, and those at a partition's ends; ``n`` counts the bucket's rows in the partition."""
     rows = [x for x in batches if x.num_rows]
     if not rows:
         return
     table = pa.Table.from_batches(rows)
-    bucket, rep, size = (table.column(c).to_numpy() for c in ("bucket", "rep", "size"))
+    bucket = table.column("bucket").to_numpy()
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     length = np.diff(np.append(first, len(bucket)))
     keep = length > 1
     keep[[0, -1]] = True  # the bucket may go on in the neighbouring partition
     chosen = np.repeat(keep, length)
-    lead = np.repeat(first, length)[chosen]
-    edge = np.zeros(len(length), bool)
-    edge[[0, -1]] = True
-    out = {
-        "band": table.column("band").to_numpy()[chosen], "bucket": bucket[chosen], "rep": rep[chosen], "size": size[chosen], "leader": rep[lead], "leader_size": size[lead],
-        "edge": np.repeat(edge, length)[chosen],
-    }
-    yield from pa.table(out).to_batches(max_chunksize=50_000)
+    kept = table.filter(pa.array(chosen)).append_column("n", pa.array(np.repeat(length, length)[chosen]))
+    yield from kept.to_batches(max_chunksize=50_000)
 
 
-def _dealt(rows: DataFrame, parts: int, most: int) -> DataFrame:
-    """``rows`` (bucket, turn, k) sorted by bucket and turn, buckets of up to ``most`` + 1 rows whole in a partition; a larger one is dealt out by ranges of turn."""
-    share = F.col("turn").cast("double") / F.lit(2.0**64) + 0.5
-    piece = F.when(F.col("k") <= most + 1, F.lit(0)).otherwise(F.floor(share * F.ceil(F.col("k") / (16 * most))))
-    return rows.withColumn("piece", piece).repartition(parts, "bucket", "piece").sortWithinPartitions("bucket", "turn")
-
-
-def _others(threshold: float, most: int, likely: float, best: bool):
-    """For sorted rows (bucket, rep, size, component, brief): each row's list of those among the ``most`` rows before it that are of other classes and whose signatures agree enough.
-
-    With ``best``, only the pair of each class that agrees most.
-    """
-
-    def run(batches):
-        rows = [x for x in batches if x.num_rows]
-        if not rows:
-            return
-        table = pa.Table.from_batches(rows)
-        bucket, rep, size, own = (table.column(c).to_numpy() for c in ("bucket", "rep", "size", "component"))
-        brief = np.frombuffer(large_text(table.column("brief").cast(pa.large_binary()))[0], np.uint8).reshape(len(rep), -1)
-        rows_of, reps_of, agree_of, own_of = [], [], [], []
-        for lag in range(1, min(most, len(rep) - 1) + 1):
-            same = bucket[lag:] == bucket[:-lag]
-            if not same.any():
-                break
-            near = same & (own[lag:] != own[:-lag])
-            near &= np.minimum(size[lag:], size[:-lag]) >= threshold * np.maximum(size[lag:], size[:-lag])
-            at = np.flatnonzero(near)
-            for low in range(0, len(at), 4096):
-                part = at[low : low + 4096]
-                agree = (brief[part + lag] == brief[part]).mean(axis=1)
-                part, agree = part[agree >= likely], agree[agree >= likely]
-                rows_of.append(rep[part + lag])
-                reps_of.append(rep[part])
-                agree_of.append(agree)
-                own_of.append(np.stack([own[part + lag], own[part]]))
-        if rows_of and best:  # a row for each class: its likeliest pair
-            x, y, agree, of = np.concatenate(rows_of), np.concatenate(reps_of), np.concatenate(agree_of), np.concatenate(own_of, axis=1).reshape(2, -1)
-            at, of = np.tile(np.arange(len(x)), 2), of.reshape(-1)
-            order = np.lexsort((-agree[at], of))
-            at, of = at[order], of[order]
-            top = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool)
-            at, of = at[top], of[top]
-            yield from pa.table({"of": of, "agree": agree[at], "a": np.minimum(x[at], y[at]), "b": np.maximum(x[at], y[at])}).to_batches(max_chunksize=50_000)
-        elif rows_of:
-            pairs = np.unique(np.stack([np.concatenate(rows_of), np.concatenate(reps_of)]), axis=1)
-            first = np.flatnonzero(np.concatenate([[True], pairs[0, 1:] != pairs[0, :-1]])) if pairs.shape[1] else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, pairs.shape[1]).astype(np.int32)), pa.array(pairs[1]))
-            yield from pa.table({"x": pairs[0, first], "others": lists}).to_batches(max_chunksize=5_000)
-
-    return run
-
-
-def _cell_counts(batches):
-    """For rows (shingles): how many of them have a shingle of each cell."""
-    count = np.zeros(_CELLS, np.int64)
+def _groups(batches, keys: list[str]):
+    """The rows of each run of equal ``keys`` as a table; one run is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        for x in batch.column(0):
-            short = np.unique(np.frombuffer(x.as_buffer(), "<u4"))
-            count += np.bincount(short % _CELLS, minlength=_CELLS)
-    at = np.flatnonzero(count)
-    yield from pa.table({"cell": at, "n": count[at]}).to_batches(max_chunksize=50_000)
-
-
-def _prefixes(threshold: float, count: np.ndarray):
-    """For rows (rep, component, shingles): a row for each of the rarest shingles, one of which any other set of the similarity ``threshold`` has among its own.
-
-    A shingle of more than _TILE texts has its texts dealt to tiles; a row goes to every pair of tiles with its own.
-    """
-
-    def run(batches):
-        for batch in batches:
-            reps, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for rep, component, x in zip(reps, own, batch.column(2)):
-                short = np.unique(np.frombuffer(x.as_buffer(), "<u4"))
-                n = len(short)
-                order = np.lexsort((short, count[short % _CELLS]))[: n - int(np.ceil(threshold * n - 1e-9)) + 1]
-                token = short[order].astype(np.int64)
-                tiles = -(-count[token % _CELLS] // _TILE)
-                mine = (int(mix(np.array([rep]).view(np.uint64))[0] >> np.uint64(1)) % tiles).repeat(tiles)
-                at = np.repeat(np.arange(len(token)), tiles)
-                other = np.arange(len(at)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
-                yield from pa.table({
-                    "token": token[at], "low": np.minimum(mine, other), "high": np.maximum(mine, other), "tile": mine, "rep": np.full(len(at), rep), "component": np.full(len(at), component),
-                    "size": np.full(len(at), n), "place": at,
-                }).to_batches()
-
-    return run
+        if not batch.num_rows:
+            continue
+        of = np.stack([batch.column(k).to_numpy() for k in keys])
+        first = np.flatnonzero(np.concatenate([[True], (of[:, 1:] != of[:, :-1]).any(axis=0)]))
+        for low, high in zip(first.tolist(), [*first[1:].tolist(), batch.num_rows]):
+            key = tuple(of[:, low].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def joining_links(rep: np.ndarray, own: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links between texts of ``left`` and of ``right`` (places in ``sets``) that are similar enough and join different classes ``own``: enough of them to join all classes that any such link joins."""
+    size = np.array([len(x) for x in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), size)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = count > 1  # the others are in one text
+    place = np.cumsum(common) - 1
+    kept = common[column]
+    row, column = row[kept], place[column][kept]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    wide = int(common.sum())
+    both = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, wide, _COLUMNS):
+        a, b = np.searchsorted(column, [low, low + _COLUMNS])
+        matrix = np.zeros((len(sets), min(_COLUMNS, wide - low)), np.float32)
+        matrix[row[a:b], column[a:b] - low] = 1
+        both += matrix[left] @ matrix[right].T
+    label, out = own.copy(), []
+    for i, x in enumerate(left.tolist()):
+        same = both[i].astype(np.float64)
+        near = right[(same >= threshold * (size[x] + size[right] - same) - 1e-9) & (label[right] != label[x])]
+        if len(near):
+            classes, at = np.unique(label[near], return_index=True)
+            out.extend((int(rep[x]), int(y)) for y in rep[near[at]])
+            label[np.isin(label, classes)] = label[x]
+    return out
 
 
-def _prefix_pairs(threshold: float):
-    """For rows of ``_prefixes`` sorted by (token, low, high): the pairs of different classes that may have the similarity ``threshold``."""
+def _compared(threshold: float):
+    """For rows (bucket, low, high, tile, rep, component, shingles) sorted by the first three: links that join classes, between the tiles ``low`` and ``high`` of each bucket."""
 
     def run(batches):
-        rows = [x for x in batches if x.num_rows]
-        if not rows:
-            return
-        table = pa.Table.from_batches(rows)
-        token, low, high, tile, rep, own, size, place = (table.column(c).to_numpy() for c in ("token", "low", "high", "tile", "rep", "component", "size", "place"))
-        new = (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        first = np.flatnonzero(np.concatenate([[True], new]))
-        mixed = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
-        held, kept = [], 0
-        for start, end in zip(first[mixed], np.append(first[1:], len(token))[mixed]):
-            every = np.arange(start, end)
-            left, right = (every, every) if low[start] == high[start] else (every[tile[start:end] == low[start]], every[tile[start:end] == high[start]])
-            for at in range(0, len(left), 256):
-                x, y = left[at : at + 256, None], right[None, :]
-                # the first common shingle bounds what the rest can have in common
-                most = np.minimum(size[x] - place[x], size[y] - place[y])
-                i, j = np.nonzero((own[x] != own[y]) & (most * (1 + threshold) >= threshold * (size[x] + size[y]) - 1e-6))
-                a, b = rep[x[i, 0]], rep[y[0, j]]
-                held.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-                kept += len(a)
-                if kept > 1 << 20:
-                    held, kept = [np.unique(np.concatenate(held, axis=1), axis=1)], 0
-                    yield from pa.table({"a": held[0][0], "b": held[0][1]}).to_batches(max_chunksize=50_000)
-                    held = []
-        if held:
-            pairs = np.unique(np.concatenate(held, axis=1), axis=1)
-            yield from pa.table({"a": pairs[0], "b": pairs[1]}).to_batches(max_chunksize=50_000)
+        out = []
+        for table in _groups(batches, ["bucket", "low", "high"]):
+            tile, rep, own = (table.column(c).to_numpy() for c in ("tile", "rep", "component"))
+            if own.min() == own.max():
+                continue
+            low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+            sets = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("shingles")]
+            every = np.arange(len(rep))
+            left, right = (every[tile == low], every[tile == high]) if low != high else (every, every)
+            if low == high:  # the largest class isn't compared with itself
+                classes, count = np.unique(own, return_counts=True)
+                left = every[own != classes[count.argmax()]]
+            if len(left) and len(right):
+                out += joining_links(rep, own, sets, left, right, threshold)
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _exact_pairs(some: DataFrame, sketch: DataFrame, head: DataFrame, threshold: float, parts: int) -> DataFrame:
-    """All pairs (a, b) of different classes among the texts of ``some`` (rep, component) that a prefix filter lets through."""
-    owners = head.join(some.select("rep", "component").distinct(), "rep").select("set_a", "set_b", "doc_id", "rep", "component")
-    held = sketch.select("set_a", "set_b", "doc_id", "shingles").join(owners, ["set_a", "set_b", "doc_id"])
-    held = stored(held.groupBy("rep", "component").agg(F.first("shingles").alias("shingles")), "left")
-    count = np.zeros(_CELLS, np.int64)
-    for row in held.select("shingles").mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
-        count[row[0]] = row[1]
-    rows = held.mapInArrow(_prefixes(threshold, count), "token long, low long, high long, tile long, rep long, component long, size long, place long")
-    dealt = rows.repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high")
-    out = stored(dealt.mapInArrow(_prefix_pairs(threshold), "a long, b long").distinct(), "exact")
-    drop_stored(held)
-    return out
-
-
 def _verifier(threshold: float):
     """Keeps pairs whose shingle sets have at least the similarity ``threshold``."""
 
@@ -262,19 +186,16 @@ def _verifier(threshold: float):
     return run
 
 
-def _verified(pairs: DataFrame, sketch: DataFrame, head: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose exact similarity is enough, stored."""
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose similarity is enough, stored; ``sets`` has (rep, shingles)."""
     pairs = stored(pairs.where("a <> b").distinct(), "pairs")
-    needed = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    owners = stored(head.join(needed, "rep").select("set_a", "set_b", "doc_id", "rep"), "owners")
-    used = sketch.select("set_a", "set_b", "doc_id", "shingles").join(small(owners), ["set_a", "set_b", "doc_id"])
-    used = stored(used.groupBy("rep").agg(F.first("shingles").alias("shingles")), "used")
+    needed = stored(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct(), "needed")
+    used = stored(sets.join(small(needed), "rep"), "used")
     one, two = used.select(F.col("rep").alias("a"), F.col("shingles").alias("p")), used.select(F.col("rep").alias("b"), F.col("shingles").alias("q"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "p", "q")
     out = stored(joined.mapInArrow(_verifier(threshold), "a long, b long"), "links")
-    drop_stored(pairs)
-    drop_stored(owners)
-    drop_stored(used)
+    for table in (pairs, needed, used):
+        drop_stored(table)
     return out
 
 
@@ -291,85 +212,105 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
+def _led(buckets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of each text and the leader of its bucket, if their sizes allow the similarity ``threshold``."""
+    central = buckets.groupBy("rep").agg(F.sum("n").alias("central"))
+    first = buckets.where(F.col("band") < LEADING)
+    lead = first.join(central, "rep").groupBy("bucket").agg(F.max(F.struct("central", "rep", "size")).alias("lead"))
+    pairs = first.join(lead, "bucket").select(F.col("rep").alias("x"), F.col("size").alias("n"), F.col("lead.rep").alias("y"), F.col("lead.size").alias("m"))
+    near = pairs.where((F.col("x") != F.col("y")) & (F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m")))
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _mixed(buckets: DataFrame, labels: DataFrame, tile: int) -> DataFrame:
+    """Rows (bucket, low, high, tile, rep, component) of the buckets of several classes, once for each pair of tiles that a text is part of.
+
+    A bucket that fits in a task is one tile. In others, the texts of the largest class have tiles of their own, which meet those of the
+    other texts but not each other.
+    """
+    owned = buckets.select("bucket", "rep", "size").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    each = owned.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("size").cast("long") * 4).alias("bytes"))
+    of = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.sum("k").alias("k"), F.sum("bytes").alias("bytes"), F.max(F.struct("k", "bytes", "component")).alias("top"))
+    tiles = lambda k, size: F.greatest(F.ceil(k / tile), F.ceil(size / TILE_BYTES), F.lit(1))
+    whole = (F.col("k") <= tile) & (F.col("bytes") <= TILE_BYTES)
+    of = of.where("classes > 1").select(
+        "bucket", F.when(~whole, F.col("top.component")).alias("top"),
+        F.when(whole, F.lit(1)).otherwise(tiles(F.col("k") - F.col("top.k"), F.col("bytes") - F.col("top.bytes"))).alias("others"),
+        F.when(whole, F.lit(0)).otherwise(tiles(F.col("top.k"), F.col("top.bytes"))).alias("tops"),
+    )
+    turn, is_top = F.xxhash64("rep"), F.coalesce(F.col("component") == F.col("top"), F.lit(False))
+    placed = owned.join(of, "bucket").withColumn("tile", F.when(is_top, F.col("others") + F.pmod(turn, F.col("tops"))).otherwise(F.pmod(turn, F.col("others"))))
+    most = F.when(is_top, F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1
+    rows = placed.select("bucket", "tile", "rep", "component", F.explode(F.sequence(F.lit(0).cast("long"), most.cast("long"))).alias("other"))
+    return rows.select("bucket", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "rep", "component")
+
+
+def _classified(docs: DataFrame, key: str, text: str, size: int, threshold: float, rows: int, count: int, tile: int) -> DataFrame:
+    """(doc_id, hash, class_id, component, n_shingles) of every row, stored; ``hash`` is that of the text, ``component`` names the class for keys that are null too."""
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    own = F.col(f"`{key}`")
+    own = own.cast("long") if dict(docs.dtypes)[key] in ("tinyint", "smallint", "int") else own
+    named = docs.select(own.alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    kinds = f"doc_id {named.schema['doc_id'].dataType.simpleString()}, hash long, set_a long, set_b long, size int, bands array<long>, shingles binary"
+    sketch = stored(named.mapInArrow(_sketcher(size, rows, count), kinds).withColumn("row", F.monotonically_increasing_id()), "sketch")
+    # one row stands for each set of shingles and gives it its name, "rep"
+    head = stored(sketch.groupBy("set_a", "set_b").agg(F.min("row").alias("rep"), F.min("doc_id").alias("doc_id"), F.max("size").alias("size")), "heads")
+    reps = head.where("size > 0").select("rep")
+    sets = sketch.select(F.col("row").alias("rep"), "shingles")
+    banded = sketch.select(F.col("row").alias("rep"), "size", "bands").join(small(reps), "rep", "left_semi").select(F.posexplode("bands").alias("band", "bucket"), "rep", "size")
+    ordered = banded.repartitionByRange(parts, "bucket", "rep").sortWithinPartitions("bucket")
+    buckets = stored(ordered.mapInArrow(_shared, "band int, bucket long, rep long, size int, n long"), "buckets")
+    links = _verified(_led(buckets, threshold), sets, threshold)
+    labels = components(links)
+    drop_stored(links)
+    mixed = stored(_mixed(buckets, labels, tile), "mixed")
+    asked = stored(mixed.select("rep").distinct(), "asked")
+    held = mixed.join(sets.join(small(asked), "rep"), "rep").repartition(parts, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    links = stored(held.mapInArrow(_compared(threshold), "a long, b long").distinct(), "links")
+    for table in (mixed, asked, buckets):
+        drop_stored(table)
+    labels = _joined(labels, links)
+    owned = head.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    smallest = owned.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    classes = owned.join(smallest, "component").select("set_a", "set_b", "class_id", "component")
+    out = stored(sketch.join(classes, ["set_a", "set_b"]).select("doc_id", "hash", "class_id", "component", F.col("size").alias("n_shingles")), "classes")
+    for table in (links, labels, head, sketch):
+        drop_stored(table)
+    return out
+
+
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, threshold: float = THRESHOLD, rows: int = ROWS, count: int = BANDS, others: int = OTHERS
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, threshold: float = THRESHOLD, rows: int = ROWS, count: int = BANDS, tile: int = TILE
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (the smallest doc_id of its class), n_shingles.
 
     Null text counts as empty. A text of one to four words is one shingle; texts without words are a class only with
-    equal texts. Rows with equal doc_id are separate texts, each with its own row. A null doc_id stays null and belongs
-    to the class of its text. Other columns don't matter. An empty table gives no rows.
+    equal texts. Rows with equal doc_id are separate texts, each with its own row. A null doc_id stays null and its row belongs
+    to the class of its text; class_id is null only where no text of the class has a key. Keys may be numbers or text. Other columns don't matter, texts may have any length, and an empty table
+    gives no rows. The result is a table in the shared folder.
     """
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    sketch = stored(texts(docs, key, text).mapInArrow(_sketcher(size, rows, count), _SKETCH), "sketch")
-    # one document stands for each set of shingles; "rep" names the set
-    head = sketch.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"))
-    head = stored(head.where("doc_id is not null").withColumn("rep", F.xxhash64("set_a", "set_b")), "heads")
-    own = sketch.select("set_a", "set_b", "doc_id", "size", "bands").where("size > 0").join(small(head.drop("size", "rep")), ["set_a", "set_b", "doc_id"], "left_semi")
-    banded = own.select(F.posexplode("bands").alias("band", "bucket"), F.xxhash64("set_a", "set_b").alias("rep"), "size")
-    ordered = banded.repartitionByRange(parts, "bucket", "rep").sortWithinPartitions("bucket", "rep")
-    buckets = stored(ordered.mapInArrow(_leaders, "band int, bucket long, rep long, size int, leader long, leader_size int, edge boolean"), "buckets")
-    # a bucket that a partition's end cuts has a leader in each part: these are joined to the smallest
-    led = buckets.where(F.col("band") < LEADING)
-    cut = led.where("edge").select("bucket", "leader", "leader_size").distinct()
-    least = cut.groupBy("bucket").agg(F.min(F.struct("leader", "leader_size")).alias("least"))
-    across = cut.join(least, "bucket").select("leader", "leader_size", F.col("least.leader").alias("y"), F.col("least.leader_size").alias("m"))
-    pairs = led.select("rep", "size", "leader", "leader_size").union(across).toDF("x", "n", "y", "m")
-    near = pairs.where(F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m"))
-    links = _verified(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), sketch, head, threshold)
-    labels, turn, best = components(links), 0, True
-    drop_stored(links)
-    while True:
-        owned = buckets.select("bucket", "rep", "size").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = owned.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k")).where("low <> high")
-        if turn:  # smaller buckets were compared in full
-            mixed = mixed.where(F.col("k") > others + 1)
-        some = stored(owned.join(mixed.select("bucket", "k"), "bucket").withColumn("turn", F.xxhash64("rep", F.lit(turn))), "mixed")
-        if some.isEmpty():
-            break
-        briefs = sketch.select("set_a", "set_b", "doc_id", "brief").join(head.select("set_a", "set_b", "doc_id", "rep"), ["set_a", "set_b", "doc_id"])
-        again = _dealt(some.join(briefs.select("rep", "brief"), "rep"), parts, others)
-        again = again.select("bucket", "rep", "size", "component", "brief")
-        if best:  # then the same order again for all that is left
-            near = again.mapInArrow(_others(threshold, others, threshold - SLACK, True), "of long, agree double, a long, b long")
-            pairs = near.groupBy("of").agg(F.max(F.struct("agree", "a", "b")).alias("top")).select("top.a", "top.b")
-        else:
-            near = again.mapInArrow(_others(threshold, others, threshold - SLACK, False), "x long, others array<long>")
-            # rows have the same order in all buckets, so a pair is always in the list of the same text: at most ``others`` entries from each band
-            each = near.groupBy("x").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others")).select("x", F.explode("others").alias("y"))
-            pairs = each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        more = _verified(pairs, sketch, head, threshold)
-        found = not more.isEmpty()
-        large = some.where(F.col("k") > others + 1)
-        if not found and not best:
-            if not large.isEmpty():
-                exact = _exact_pairs(large, sketch, head, threshold, parts)
-                last = _verified(exact, sketch, head, threshold)
-                labels = _joined(labels, last)
-                drop_stored(exact)
-                drop_stored(last)
-            drop_stored(more)
-            drop_stored(some)
-            break
-        if found:
-            labels = _joined(labels, more)
-        turn, best = turn + (not best), False
-        drop_stored(more)
-        drop_stored(some)
-    drop_stored(buckets)
-    named = head.select("set_a", "set_b", "doc_id", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    classes = named.join(smallest, "component").select("set_a", "set_b", "class_id")
-    return sketch.join(classes, ["set_a", "set_b"], "left").select("doc_id", "class_id", F.col("size").alias("n_shingles"))
+    return _classified(docs, key, text, size, threshold, rows, count, tile).select("doc_id", "class_id", "n_shingles")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose key names a class: one document of each class, all columns.
+    """One row of ``docs`` of each class, with the columns that it had: that of the smallest key.
 
-    Of several rows with that key one is kept. A row with a null key can't be named and is kept.
+    Null keys come after all others; of rows with the same key and different texts, that of the smallest hash of its text is taken, and of
+    rows with the same key and text any one. Clashing names of other columns don't matter.
     """
-    kept = near_duplicates(docs, key, text, **options).where("class_id = doc_id").select(F.col("doc_id").alias("__key")).distinct()
-    marked = docs.withColumn("__key", F.col(f"`{key}`").cast("long"))
-    named = marked.join(kept, "__key", "left_semi").dropDuplicates(["__key"])
-    return named.unionByName(marked.where("__key is null")).drop("__key")
+    choice = {"size": SIZE, "threshold": THRESHOLD, "rows": ROWS, "count": BANDS, "tile": TILE} | options
+    found = _classified(docs, key, text, **choice)
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
+    first = found.groupBy("component").agg(F.min(rank).alias("first"))
+    each = found.groupBy("component", "doc_id", "hash").agg(F.count(F.lit(1)).alias("copies")).join(first, "component")
+    chosen = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash"))
+    id_, hash_ = unused(docs, "__key", "__hash")
+    each = stored(each.select(F.col("doc_id").alias(id_), F.col("hash").alias(hash_), "copies", chosen.alias("chosen")), "survivors")
+    at = F.col(f"`{key}`").cast(each.schema[id_].dataType).eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))) == F.col(hash_))
+    gone, again = each.where("not chosen").select(id_, hash_), each.where("chosen and copies > 1").select(id_, hash_)
+    kept = docs.join(small(gone), at, "left_anti")
+    if again.isEmpty():
+        return kept
+    once = kept.join(small(again), at, "left_anti")
+    return once.unionByName(kept.join(small(again), at).dropDuplicates([id_, hash_]).select(*(F.col(f"`{c}`") for c in docs.columns)))

@@ -80,34 +80,75 @@ def test_near_duplicates_in_large_buckets_of_many_classes(spark):
     order = list(range(len(texts)))
     draw.shuffle(order)
     docs = spark.createDataFrame([(i, texts[j]) for i, j in enumerate(order)], "doc_id int, text string")
-    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs, rows=1, count=4, others=1).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs, rows=1, count=4, tile=16).collect()}
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (texts[j].split() for j in order)]
     want = {i: min(j for j in range(len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(len(sets))}
     assert len(set(want.values())) == 200 and got == want
 
 
-def test_signature_filter_loses_no_more_than_the_bands():
-    from math import comb
-
-    n, t = near_dedup.ROWS * near_dedup.BANDS, near_dedup.THRESHOLD
-    lost = sum(comb(n, k) * t**k * (1 - t) ** (n - k) for k in range(n) if k / n < t - near_dedup.SLACK)
-    assert lost < 1e-5, lost
-
-
-def test_small_buckets_stay_whole(spark):
-    from pyspark.sql import functions as F
-
-    rows = spark.range(3000).select((F.col("id") % 60).alias("bucket"), F.xxhash64("id").alias("turn"), F.lit(50).alias("k"))
-    rows = rows.union(spark.range(5000).select(F.lit(99).cast("long"), F.xxhash64("id"), F.lit(5000)))
-    got = near_dedup._dealt(rows, 7, 64).withColumn("part", F.spark_partition_id()).groupBy("bucket").agg(F.countDistinct("part").alias("n"), F.count("*").alias("k")).collect()
-    assert len(got) == 61 and all(r["n"] == 1 and r["k"] == 50 for r in got if r["bucket"] != 99)
-    assert [r["n"] > 1 for r in got if r["bucket"] == 99] == [True]
-
-
-def test_one_of_each_keeps_columns_and_null_keys(spark):
-    docs = spark.createDataFrame([(3, "a b c d e f", 1), (1, "a b c d e f", 2), (1, "a b c d e f", 2), (None, "zz", 3)], "doc_id long, text string, n_chars int")
-    assert sorted(near_dedup.one_of_each(docs).collect(), key=str) == sorted([(1, "a b c d e f", 2), (None, "zz", 3)], key=str)
+def test_bands_miss_few_pairs_at_the_threshold():
+    assert (1 - near_dedup.THRESHOLD**near_dedup.ROWS) ** near_dedup.BANDS < 1e-5
+
+
+def test_near_copies_of_one_text_give_candidates_in_proportion(spark, monkeypatch):
+    counted = {}
+    stored = near_dedup.stored
+
+    def watch(df, name, *more):
+        out = stored(df, name, *more)
+        counted.setdefault(name, []).append(out.count() if name in ("pairs", "links") else 0)
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", watch)
+    sizes = {}
+    for n in (200, 400):
+        draw, counted = random.Random(11), {}
+        base, texts = [f"w{draw.randrange(10**6)}" for _ in range(150)], []
+        for i in range(n):
+            own = list(base)
+            for at in draw.sample(range(150), 3):
+                own[at] = f"x{draw.randrange(10**6)}"
+            texts.append(" ".join(own))
+        got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), tile=64).collect()
+        sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+        group = list(range(n))
+        for i in range(n):
+            for j in range(i):
+                if group[i] != group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+        assert {r["doc_id"]: r["class_id"] for r in got} == dict(enumerate(group))
+        sizes[n] = counted
+    assert sum(sizes[400]["pairs"]) < 3 * sum(sizes[200]["pairs"]) and sum(sizes[400]["pairs"]) < 8 * 400, sizes
+    assert all(x < 40 * n for n, c in sizes.items() for x in c["links"]), sizes
+
+
+def test_joining_links_are_enough():
+    draw = np.random.default_rng(3)
+    sets = [np.unique(draw.integers(0, 60, 50)).astype("<u4") for _ in range(60)]
+    own, every = np.arange(60) // 2, np.arange(60)
+    links = near_dedup.joining_links(every, own, sets, every, every, 0.45)
+    near = [(i, j) for i in range(60) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.45 * len(np.union1d(sets[i], sets[j]))]
+
+    def classes(pairs):
+        label = own.copy()
+        for i, j in pairs:
+            label[label == label[i]] = label[j]
+        return [label.tolist().index(x) for x in label]
+
+    assert classes(links) == classes(near) and set(links) <= {(i, j) for i, j in near} | {(j, i) for i, j in near} and len(links) < 60
+
+
+def test_one_of_each_keeps_columns_and_any_keys(spark):
+    kinds = "doc_id long, text string, n_chars int, `component` int, `__q_key` string, copies int"
+    rows = [(3, "a b c d e f", 1), (1, "a b c d e f", 2), (1, "a b c d e f", 2), (None, "zz", 3), (None, "A b c d e f", 4), (7, "q r s t u v", 5), (7, "other words with the same key here", 6), (8, "q r s t u v", 7)]
+    docs = spark.createDataFrame([(*r, 0, "x", 1) for r in rows], kinds)
+    got = sorted((r["doc_id"] or 0, r["n_chars"]) for r in near_dedup.one_of_each(docs).collect())
+    assert got == [(0, 3), (1, 2), (7, 5), (7, 6)] and near_dedup.one_of_each(docs).columns == docs.columns
+    classes = near_dedup.near_duplicates(docs).collect()
+    assert sorted((str(r["doc_id"]), str(r["class_id"])) for r in classes) == sorted([("3", "1"), ("1", "1"), ("1", "1"), ("None", "None"), ("None", "1"), ("7", "7"), ("7", "7"), ("8", "7")])
     assert near_dedup.near_duplicates(docs.where("false")).count() == 0
+    named = spark.createDataFrame([("b", "a b c d e f"), ("a", "a b c d e f"), ("c", None)], "doc_id string, text string")
+    assert sorted(near_dedup.one_of_each(named).collect(), key=str) == [("a", "a b c d e f"), ("c", None)]
 
 
 def test_weighted_signatures_estimate_weighted_jaccard():
