@@ -1,17 +1,17 @@
 """Token counts by a compiled finite-state tokenizer.
 
-The rule that cuts text into pre-tokens is a deterministic transducer over character classes; each transition says
+Two deterministic transducers are run one inside the other. The first cuts text into pre-tokens: it reads character classes, and each transition says
 whether a pre-token begins before the character it reads or before the one it read last. Texts are laid end to end and cut into
 chunks of equal length; every chunk is run from all states at once, which gives its state map, the maps are
 composed by a parallel prefix scan, and a second run from each chunk's true first state emits the cuts.
-Pre-tokens are then transitions of a word transducer that is compiled as words appear: each is annotated with the number
-of tokens that it emits, found once by merging.
+
+The second, ``MergeTransducer``, reads the bytes of a pre-token; each transition is annotated with the tokens that it emits. Its states are compiled from the
+tokenizer's merges as texts ask for them. Annotated sums of whole words are remembered with the words themselves, which are compared character by character.
 """
 
 from __future__ import annotations
 
 import functools
-import heapq
 import json
 import unicodedata
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillmark.llm.common import blocks, per_batch, texts
-from quillmark.llm.words import _power_tables, mix
+from quillmark.llm.remembered import Remembered, unit_keys
 
 #: Characters in a chunk, bytes worked on at once, words in a worker's table.
 CHUNK, BLOCK, TABLE = 128, 1 << 20, 600_000
@@ -150,43 +150,152 @@ def cuts(points: np.ndarray) -> np.ndarray:
     return mark
 
 
+class MergeTransducer:
+    """Counts the tokens of a byte string under ranked merges, one byte at a time.
+
+    Of all prefixes of a pre-token, each has one encoding, and that of a prefix is that of a shorter prefix and one token more: the token that ends there
+    whose neighbour before it stays apart from it when both are merged. So after each byte the machine only needs, for every place from which
+    a token may still go on (the bytes since then begin a token), the last token before that place and how many tokens the encoding had there, less those that
+    it has now. These are its states; a transition is annotated with the change of the number of tokens. States and transitions are made once each.
+    """
+
+    def __init__(self, merges: list[tuple[str, str]], letters: list[str], most: int = 400_000):
+        self.rank = {pair: i for i, pair in enumerate(merges)}
+        self.halves = {}
+        for i, (a, b) in enumerate(merges):
+            self.halves.setdefault(a + b, (a, b, i))
+        self.letters, self.most = letters, most
+        self.trie: list[dict[int, int]] = [{}]
+        self.token_at: list[str | None] = [None]
+        byte_of = {c: b for b, c in enumerate(letters)}
+        for token in (*letters, *self.halves):
+            node = 0
+            for c in token:
+                b = byte_of[c]
+                below = self.trie[node].get(b)
+                if below is None:
+                    below = self.trie[node][b] = len(self.trie)
+                    self.trie.append({})
+                    self.token_at.append(None)
+                node = below
+            self.token_at[node] = token
+        self.real: dict[str, bool] = {}
+        self.spines: dict[tuple[str, int], list[tuple[str, int]]] = {}
+        self.apart_of: dict[tuple[str, str], bool] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all states."""
+        self.names: dict[tuple, int] = {}
+        self.keys: list[tuple] = []
+        self.steps: list[dict[int, tuple[int, int]]] = []
+        self.start = self._state(((0, None, 0),))
+
+    def _state(self, key: tuple) -> int:
+        found = self.names.get(key)
+        if found is None:
+            found = self.names[key] = len(self.keys)
+            self.keys.append(key)
+            self.steps.append({})
+        return found
+
+    def _spine(self, token: str, side: int) -> list[tuple[str, int]]:
+        """The symbols at the left (0) or right (1) end of a token while it is merged from bytes, each with the rank of the merge that takes it in."""
+        found = self.spines.get((token, side))
+        if found is None:
+            found, now, taken = [], token, len(self.rank) + 1
+            while True:
+                found.append((now, taken))
+                halves = self.halves.get(now)
+                if halves is None:
+                    break
+                now, taken = halves[side], halves[2]
+            found.reverse()
+            self.spines[token, side] = found
+        return found
+
+    def _apart(self, a: str, b: str) -> bool:
+        """True if ``a`` followed by ``b`` stay two tokens: no merge over the border between them comes before the merges that make them."""
+        known = self.apart_of.get((a, b))
+        if known is None:
+            left, right, i, j, known = self._spine(a, 1), self._spine(b, 0), 0, 0, True
+            while True:
+                (x, x_goes), (y, y_goes) = left[i], right[j]
+                over = self.rank.get((x, y))
+                # of equal merges the leftmost comes first: one inside ``a`` before that over the border, and that before one inside ``b``
+                if over is not None and over < x_goes and over <= y_goes:
+                    known = False
+                    break
+                if i + 1 == len(left) and j + 1 == len(right):
+                    break
+                if x_goes <= y_goes:
+                    i += 1
+                else:
+                    j += 1
+            self.apart_of[a, b] = known
+        return known
+
+    def _is_real(self, token: str) -> bool:
+        """True if the bytes of a vocabulary entry are encoded as that entry: its halves are, and they stay apart until they are merged."""
+        known = self.real.get(token)
+        if known is None:
+            halves = self.halves.get(token)
+            if halves is None:
+                known = True
+            else:
+                a, b, at = halves
+                known = self._is_real(a) and self._is_real(b)
+                left, right, i, j = self._spine(a, 1), self._spine(b, 0), 0, 0
+                while known and (i + 1 < len(left) or j + 1 < len(right)):
+                    (x, x_goes), (y, y_goes) = left[i], right[j]
+                    over = self.rank.get((x, y))
+                    if over is not None and over < x_goes and over <= y_goes:
+                        known = False
+                    elif x_goes <= y_goes:
+                        i += 1
+                    else:
+                        j += 1
+            self.real[token] = known
+        return known
+
+    def _compile(self, state: int, byte: int) -> tuple[int, int]:
+        going, best = [], None
+        for node, last, count in self.keys[state]:
+            to = self.trie[node].get(byte)
+            if to is None:
+                continue
+            going.append((to, last, count))
+            if best is None:
+                token = self.token_at[to]
+                if token is not None and self._is_real(token) and (last is None or self._apart(last, token)):
+                    best = token, count + 1
+        token, emitted = best
+        key = tuple((to, last, count - emitted) for to, last, count in going if self.trie[to]) + ((0, token, 0),)
+        step = self.steps[state][byte] = self._state(key), emitted
+        return step
+
+    def tokens(self, word: bytes) -> int:
+        """Tokens of a pre-token: the sum over the transitions that it takes."""
+        if len(self.keys) > self.most:
+            self.clear()
+        state, total, steps = self.start, 0, self.steps
+        for byte in word:
+            step = steps[state].get(byte) or self._compile(state, byte)
+            state = step[0]
+            total += step[1]
+        return total
+
+
 class Counter:
     """Token counts under one tokenizer file of merges."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        letters = byte_letters()
-        self.merge = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merge[a, b] = rank
-        self.letters = letters
+        merges = [tuple(pair.split(" ")) if isinstance(pair, str) else tuple(pair) for pair in spec["model"]["merges"]]
+        self.machine = MergeTransducer(merges, byte_letters())
         self.special = [x["content"] for x in spec["added_tokens"]]
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-
-    def tokens(self, word: str) -> int:
-        """Tokens of a pre-token: pairs of linked symbols are merged by rank, leftmost first."""
-        symbols = [self.letters[b] for b in word.encode()]
-        n, get = len(symbols), self.merge.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := get((symbols[i], symbols[i + 1]))) is not None]
-        heapq.heapify(heap)
-        left = n
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if symbols[i] != a or j >= n or symbols[j] != b:
-                continue
-            symbols[i], symbols[j], left = a + b, None, left - 1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (r := get((a + b, symbols[k]))) is not None:
-                    heapq.heappush(heap, (r, i, a + b, symbols[k]))
-            if (h := before[i]) >= 0 and (r := get((symbols[h], a + b))) is not None:
-                heapq.heappush(heap, (r, h, symbols[h], a + b))
-        return left
+        self.known = Remembered(TABLE, "<u4", "<i8")
 
     def count(self, rows: list[str]) -> np.ndarray:
         """Tokens of each text; strings of added tokens are one token each, and text goes on anew after them."""
@@ -211,37 +320,16 @@ class Counter:
             after = np.searchsorted(gaps, begin)
             stop = np.append(gaps, len(points))[after]
             ends = np.minimum(ends, stop)
-        power, inverse = _power_tables(len(points))
-        total = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power[: len(points)], out=total[1:])
-        key = mix((total[ends] - total[begin]) * inverse[begin] + (ends - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        counts = self._counts(key, begin, ends, points)
+        tokens = self.machine.tokens
+        make = lambda own: [(tokens(points[begin[i] : ends[i]].tobytes().decode("utf-32-le").encode()),) for i in own]
+        slots = self.known.slots_of(unit_keys(points, begin, ends), points, begin, ends, make)
+        counts = self.known.values[self.known.at[slots]]
         lengths = np.array([len(t) for t in rows]) + 1
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         sums = np.concatenate([[0], np.cumsum(counts)])
         at = np.searchsorted(begin, np.append(starts, len(points) + 1))
         return extra + sums[at[1:]] - sums[at[:-1]]
 
-    def _counts(self, key, begin, ends, points) -> np.ndarray:
-        unique, first, back = np.unique(key, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, unique)
-        at[at == len(self.keys)] = 0
-        known = self.keys[at] == unique if len(self.keys) else np.zeros(len(unique), bool)
-        found = np.zeros(len(unique), np.int32)
-        if len(self.keys):
-            found[known] = self.counts[at[known]]
-        for i in np.flatnonzero(~known).tolist():
-            where = first[i]
-            found[i] = self.tokens(points[begin[where] : ends[where]].tobytes().decode("utf-32-le"))
-        if not known.all():
-            if len(self.keys) > TABLE:
-                self.keys, self.counts = unique, found
-            else:
-                keys, counts = np.concatenate([self.keys, unique[~known]]), np.concatenate([self.counts, found[~known]])
-                order = np.argsort(keys)
-                self.keys, self.counts = keys[order], counts[order]
-        return found[back]
-
 
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in the file's vocabulary."""
@@ -261,7 +349,10 @@ def counter(path: str) -> Counter:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every text. Null and empty texts have no bytes and no tokens."""
+    """(doc_id, n_bytes, n_tokens, over_limit) of every row, repeated rows included.
+
+    Null and empty texts have no bytes and no tokens; texts may have any length; a null key stays null; an empty table gives no rows. Other columns don't matter.
+    """
 
     def make(batch):
         use, rows = counter(path), batch.column(1).to_pylist()
