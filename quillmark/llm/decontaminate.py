@@ -1,10 +1,11 @@
 """Benchmark decontamination by suffix arrays of the training texts.
 
-Texts are read as words. A shard of texts (about a megabyte) gets a suffix array: the places from which enough words follow that stand together in the
-benchmark, sorted by the ten words there. Every window of the benchmark is sought in it by binary search, which
-gives all its places; overlapping places make up the longest verbatim matches. A window is ten consecutive words of an item, or all words of a shorter item.
+Texts are read as words. A shard of texts (about a megabyte) gets a suffix array: the suffixes that begin in runs of words in which every two neighbours stand together in the
+benchmark too, sorted by prefix doubling over whole runs; from any other place no match of a window's length can begin. Every suffix of every benchmark item that holds a window is sought
+in it by binary search, which gives all places that share its first window. Each such place is followed to the longest verbatim match, and matches that begin earlier
+on the same line are left out. A window is ten consecutive words of an item, or all words of a shorter item.
 
-The benchmark is broadcast in blocks of a bounded size, each of which is one more step over the same rows, so that its length doesn't matter.
+The benchmark is broadcast in blocks of a bounded size. Each block is a pass over the table; the passes' results are written between them, so that no task holds more than one block.
 """
 
 from __future__ import annotations
@@ -13,48 +14,45 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from quillmark.llm.common import blocks, large_text, per_batch, worker_store
+from quillmark.llm.common import blocks, large_text, per_batch, stored, unused, worker_store
 from quillmark.llm.words import words
 
-#: Words of a window; bytes of benchmark text in a broadcast.
-WINDOW, BROADCAST = 10, 16 << 20
-_BLOCK = 1 << 20
+#: Words of a window; bytes of benchmark text in a broadcast; least and most bytes of a shard.
+WINDOW, BROADCAST, _LEAST, _MOST = 10, 16 << 20, 1 << 20, 8 << 20
 
 
 class Benchmark:
-    """A block of benchmark items: its vocabulary, pairs of neighbouring words, and windows with the items that hold them."""
+    """A block of benchmark items: its vocabulary, pairs of neighbouring words, and the different windows with the item suffixes that begin with them."""
 
     def __init__(self, items: list[tuple[str, str]]):
         raw = [t.encode() for _, t in items]
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         hashes, before = words(np.frombuffer(b"".join(raw), np.uint8), offsets)
-        self.items = [i for i, _ in items]
+        self.items, self.shard = [i for i, _ in items], int(min(max(offsets[-1], _LEAST), _MOST))
         self.vocabulary = np.unique(hashes)
-        self.bits = 21 if len(self.vocabulary) + 1 < 1 << 21 else 32
         ids = self.numbers(hashes)
-        count = np.diff(before)
+        self.begin, self.end = before[:-1], before[1:]
+        self.ids = np.concatenate([ids, np.zeros(WINDOW, np.int64)])
         pair = (ids[:-1] << np.int64(32)) | ids[1:]
         inner = np.ones(max(len(ids) - 1, 0), bool)
         inner[before[1:-1][(before[1:-1] > 0) & (before[1:-1] < len(ids))] - 1] = False
         self.pairs = np.unique(pair[inner]) if len(pair) else np.zeros(0, np.int64)
+        count = np.diff(before)
         size = np.minimum(count, WINDOW)
         runs = np.where(count > 0, count - size + 1, 0)
-        item = np.repeat(np.arange(len(items)), runs)
-        at = before[item] + np.arange(len(item)) - np.repeat(np.cumsum(runs) - runs, runs)
-        length = size[item]
-        stop = at + length
-        keys = packed(ids, at, stop, self.bits)
-        whole = np.concatenate([keys, length[None].astype(np.uint64)]).T
-        unique, back = np.unique(whole, axis=0, return_inverse=True) if len(whole) else (whole, np.zeros(0, np.int64))
-        self.windows, self.lengths = np.ascontiguousarray(unique[:, :-1].T), unique[:, -1].astype(np.int64)
-        order = np.argsort(back.reshape(-1), kind="stable")
-        self.owners, self.owner_at = item[order], np.searchsorted(back.reshape(-1)[order], np.arange(len(unique) + 1))
+        self.item = np.repeat(np.arange(len(items)), runs)
+        self.suffix = before[self.item] + np.arange(len(self.item)) - np.repeat(np.cumsum(runs) - runs, runs)
+        length = size[self.item]
+        cells = np.stack([np.where(k < length, self.ids[self.suffix + k], 0) for k in range(WINDOW)], axis=1) if len(self.item) else np.zeros((0, WINDOW), np.int64)
+        _, first, back = np.unique(cells, axis=0, return_index=True, return_inverse=True)
+        self.first, self.lengths = self.suffix[first], length[first]
+        self.owners = np.argsort(back.reshape(-1), kind="stable")
+        self.owner_at = np.searchsorted(back.reshape(-1)[self.owners], np.arange(len(first) + 1))
         self.shortest = int(self.lengths.min()) if len(self.lengths) else WINDOW
-        self.last = self.windows | _tail(self.lengths, self.bits)
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word in the vocabulary from 1, 0 for others."""
@@ -64,79 +62,99 @@ class Benchmark:
         return np.where(self.vocabulary[at] == hashes, at + 1, 0)
 
 
-def packed(ids: np.ndarray, at: np.ndarray, stop: np.ndarray, bits: int) -> np.ndarray:
-    """The WINDOW words from each place on as rows of integers that compare as the words do; words from ``stop`` on are 0."""
-    each = 64 // bits
-    out = np.zeros((-(-WINDOW // each), len(at)), np.uint64)
-    padded = np.concatenate([ids, np.zeros(WINDOW, ids.dtype)]).astype(np.uint64)
-    for k in range(WINDOW):
-        shift = np.uint64(bits * (each - 1 - k % each))
-        out[k // each] |= np.where(at + k < stop, padded[at + k], np.uint64(0)) << shift
-    return out
-
-
-def _tail(length: np.ndarray, bits: int) -> np.ndarray:
-    """All ones after the first ``length`` words."""
-    each = 64 // bits
-    out = np.zeros((-(-WINDOW // each), len(length)), np.uint64)
-    for k in range(WINDOW):
-        shift = np.uint64(bits * (each - 1 - k % each))
-        out[k // each] |= np.where(length <= k, np.uint64((1 << bits) - 1), np.uint64(0)) << shift
-    return out
-
-
-def _bound(array: np.ndarray, sought: np.ndarray, after: bool) -> np.ndarray:
-    """For each sought row, how many rows of the sorted array come before it, or before and equal to it."""
-    low, high = np.zeros(sought.shape[1], np.int64), np.full(sought.shape[1], array.shape[1], np.int64)
-    while (open_ := low < high).any():
-        middle = np.where(open_, (low + high) // 2, 0)
-        less, same = np.zeros(len(low), bool), np.ones(len(low), bool)
-        for a, s in zip(array, sought):
-            x = a[middle]
-            less |= same & (x < s)
-            same &= x == s
-        right = open_ & (less | (same if after else False))
-        low, high = np.where(right, middle + 1, low), np.where(open_ & ~right, middle, high)
-    return low
-
-
-def matches(bench: Benchmark, hashes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marks of the words inside an occurrence of a window, and the (text, item) pairs that share one."""
+def suffix_array(line: np.ndarray) -> np.ndarray:
+    """Places of the positive numbers in ``line``, sorted by the numbers from there up to the next 0."""
+    live = np.flatnonzero(line)
+    after = np.append(np.flatnonzero(line == 0), len(line))
+    longest = int((after[np.searchsorted(after, live)] - live).max()) if len(live) else 0
+    rank, step = np.concatenate([line, np.zeros(1, np.int64)]), 1
+    while step < longest:
+        key = rank[live] * (int(rank.max()) + 1) + rank[np.minimum(live + step, len(line))]
+        unique, back = np.unique(key, return_inverse=True)
+        rank = np.zeros_like(rank)
+        rank[live] = back + 1
+        if len(unique) == len(live):
+            break
+        step *= 2
+    return live[np.argsort(rank[live], kind="stable")]
+
+
+def bounds(array: np.ndarray, line: np.ndarray, sought: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each ``sought[begin:begin + length]``, the range of the suffix array ``array`` of ``line`` whose suffixes begin with it."""
+    line = np.concatenate([line, np.zeros(WINDOW, np.int64)])
+    out = []
+    for after in (False, True):
+        low, high = np.zeros(len(begin), np.int64), np.full(len(begin), len(array), np.int64)
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            middle = (low[open_] + high[open_]) // 2
+            right = np.full(len(open_), after)  # equal in all words
+            same = np.arange(len(open_))
+            for k in range(WINDOW):
+                same = same[length[open_[same]] > k]
+                if not len(same):
+                    break
+                x, y = line[array[middle[same]] + k], sought[begin[open_[same]] + k]
+                right[same[x != y]] = (x < y)[x != y]
+                same = same[x == y]
+            low[open_[right]] = middle[right] + 1
+            high[open_[~right]] = middle[~right]
+            open_ = open_[low[open_] < high[open_]]
+        out.append(low)
+    return out[0], out[1]
+
+
+def matches(bench: Benchmark, hashes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marks of the words inside an occurrence of a window, the (text, item) pairs that share one, and the longest matches (text, its word, item, its word, words)."""
     n, rows = len(hashes), len(before) - 1
-    nothing = np.zeros(n, bool), np.zeros((2, 0), np.int64)
+    nothing = np.zeros(n, bool), np.zeros((2, 0), np.int64), np.zeros((5, 0), np.int64)
     if not n or not len(bench.lengths):
         return nothing
     ids = bench.numbers(hashes)
     row = np.repeat(np.arange(rows), np.diff(before))
-    stop = before[row + 1]
     good = np.zeros(n, bool)  # this word and the next stand together in the benchmark
     two = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0) & (row[:-1] == row[1:]))
     if len(two) and len(bench.pairs):
         pair = (ids[two] << np.int64(32)) | ids[two + 1]
         at = np.minimum(np.searchsorted(bench.pairs, pair), len(bench.pairs) - 1)
         good[two[bench.pairs[at] == pair]] = True
-    bad = np.append(np.flatnonzero(~good), n)
-    reach = bad[np.searchsorted(bad, np.arange(n))] - np.arange(n) + 1
-    start = np.flatnonzero((ids > 0) & (reach >= bench.shortest))
-    if not len(start):
+    first = np.flatnonzero(np.concatenate([[True], ~good[:-1]]))  # of runs
+    size = np.diff(np.append(first, n))
+    chosen = (size >= bench.shortest) & (ids[first] > 0)
+    first, size = first[chosen], size[chosen]
+    if not len(first):
         return nothing
-    keys = packed(ids, start, stop[start], bench.bits)
-    order = np.lexsort(keys[::-1])
-    suffixes, start = keys[:, order], start[order]  # the suffix array
-    low, high = _bound(suffixes, bench.windows, False), _bound(suffixes, bench.last, True)
+    # the runs, each with a 0 after it
+    start = np.concatenate([[0], np.cumsum(size + 1)])
+    place = np.repeat(first - start[:-1], size + 1) + np.arange(start[-1])
+    line = ids[np.minimum(place, n - 1)]
+    line[start[1:] - 1] = 0
+    array = suffix_array(line)
+    low, high = bounds(array, line, bench.ids, bench.first, bench.lengths)
     found = np.flatnonzero(high > low)
     if not len(found):
         return nothing
+    spread = lambda begin, times: np.repeat(begin, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     times = (high - low)[found]
-    window = np.repeat(found, times)
-    place = start[np.repeat(low[found], times) + np.arange(len(window)) - np.repeat(np.cumsum(times) - times, times)]
+    window, at = np.repeat(found, times), array[spread(low[found], times)]
     cover = np.zeros(n + 1, np.int64)
-    np.add.at(cover, place, 1)
-    np.add.at(cover, place + bench.lengths[window], -1)
-    held = np.unique(np.stack([row[place], window]), axis=1)
-    owners = bench.owner_at[held[1] + 1] - bench.owner_at[held[1]]
-    own = bench.owners[np.repeat(bench.owner_at[held[1]], owners) + np.arange(owners.sum()) - np.repeat(np.cumsum(owners) - owners, owners)]
-    return np.cumsum(cover)[:-1] > 0, np.unique(np.stack([np.repeat(held[0], owners), own]), axis=1)
+    np.add.at(cover, place[at], 1)
+    np.add.at(cover, place[at] + bench.lengths[window], -1)
+    times = bench.owner_at[window + 1] - bench.owner_at[window]
+    own = bench.owners[spread(bench.owner_at[window], times)]
+    at, item, suffix, length = np.repeat(at, times), bench.item[own], bench.suffix[own], np.repeat(bench.lengths[window], times)
+    held = np.unique(np.stack([row[place[at]], item]), axis=1)
+    # a match that goes on to the left was found there
+    begins = (at == 0) | (suffix == bench.begin[item]) | (line[at - 1] != bench.ids[suffix - 1])
+    at, item, suffix, length = at[begins], item[begins], suffix[begins], length[begins].copy()
+    line = np.append(line, 0)
+    going = np.arange(len(at))
+    while len(going):
+        to = suffix[going] + length[going]
+        going = going[(to < bench.end[item[going]]) & (line[np.minimum(at[going] + length[going], len(line) - 1)] == bench.ids[to])]
+        length[going] += 1
+    text = row[place[at]]
+    return np.cumsum(cover)[:-1] > 0, held, np.stack([text, place[at] - before[text], item, suffix - bench.begin[item], length])
 
 
 def _blocks_of(benchmark: DataFrame, item: str, text: str):
@@ -144,96 +162,98 @@ def _blocks_of(benchmark: DataFrame, item: str, text: str):
     part, size = [], 0
     rows = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     for row in rows.toLocalIterator():
-        if part and size + len(row.t) > BROADCAST:
+        if part and size + len(row.t.encode()) > BROADCAST:
             yield Benchmark(part)
             part, size = [], 0
         part.append((row.i, row.t))
         size += len(row.t.encode())
-    if part:
-        yield Benchmark(part)
+    yield Benchmark(part)
 
 
-_ADDED = StructType([StructField("__n_words", LongType()), StructField("__hits", BinaryType()), StructField("__items", ArrayType(StringType()))])
+_PLACE = StructType([StructField("start", LongType()), StructField("item", StringType()), StructField("item_start", LongType()), StructField("length", LongType())])
+_ADDED = StructType([StructField("n_words", LongType()), StructField("hits", BinaryType()), StructField("items", ArrayType(StringType())), StructField("matches", ArrayType(_PLACE))])
+_ARROW = pa.struct([
+    ("n_words", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.string())),
+    ("matches", pa.list_(pa.struct([("start", pa.int64()), ("item", pa.string()), ("item_start", pa.int64()), ("length", pa.int64())]))),
+])
 
 
-def _step(shared, text_at: int, first: bool):
+def _step(shared, text_at: int, name: str, first: bool):
+    """Adds what a block of the benchmark has in common with each text to the column ``name``."""
+
     def make(batch):
         worker_store("decontaminate")
         bench = shared.value
         data, offsets = large_text(batch.column(text_at).fill_null(""))
-        counts, hits, items = [], [], []
-        if not first:
-            hits, items = batch.column("__hits").to_pylist(), [set(x) for x in batch.column("__items").to_pylist()]
-        for low, high in blocks(offsets, _BLOCK):
+        old = [None] * batch.num_rows if first else batch.column(name).to_pylist()
+        out = []
+        for low, high in blocks(offsets, bench.shard):
             at = offsets[low : high + 1]
             hashes, before = words(data[at[0] : at[-1]], at - at[0])
-            mark, pairs = matches(bench, hashes, before)
-            counts.extend(np.diff(before).tolist())
-            if first:
-                hits.extend([None] * (high - low))
-                items.extend(set() for _ in range(high - low))
+            mark, pairs, longest = matches(bench, hashes, before)
+            new = [x or {"n_words": int(k), "hits": None, "items": [], "matches": []} for x, k in zip(old[low:high], np.diff(before))]
             for i in np.unique(pairs[0]).tolist():
-                own = np.packbits(mark[before[i] : before[i + 1]])
-                old = hits[low + i]
-                hits[low + i] = (own if old is None else own | np.frombuffer(old, np.uint8)).tobytes()
+                own, was = np.packbits(mark[before[i] : before[i + 1]]), new[i]["hits"]
+                new[i]["hits"] = (own if was is None else own | np.frombuffer(was, np.uint8)).tobytes()
             for i, item in pairs.T.tolist():
-                items[low + i].add(bench.items[item])
-        new = [pa.array(counts, pa.int64()), pa.array(hits, pa.binary()), pa.array([list(x) for x in items], pa.list_(pa.string()))]
-        kept = [c for c, n in zip(batch.columns, batch.schema.names) if n not in _ADDED.names]
-        names = [n for n in batch.schema.names if n not in _ADDED.names]
-        return pa.RecordBatch.from_arrays([*kept, *new], [*names, *_ADDED.names])
+                new[i]["items"].append(bench.items[item])
+            for i, start, item, item_start, length in longest.T.tolist():
+                new[i]["matches"].append({"start": start, "item": bench.items[item], "item_start": item_start, "length": length})
+            out += new
+        kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n != name]
+        return pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(out, _ARROW)], [*(n for n, _ in kept), name])
 
     return per_batch(make)
 
 
-def _summary():
-    names = ["__n_words", "__n_hit", "__longest", "__n_items", "__items_sha256"]
-
-    def make(batch):
-        at = {n: i for i, n in enumerate(batch.schema.names)}
-        n_words, hits, items = (batch.column(at[n]).to_pylist() for n in _ADDED.names)
-        n_hit, longest = np.zeros(len(hits), np.int64), np.zeros(len(hits), np.int64)
-        for i, own in enumerate(hits):
-            if own is not None:
-                mark = np.unpackbits(np.frombuffer(own, np.uint8))
-                n_hit[i] = mark.sum()
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]])))
-                longest[i] = (edge[1::2] - edge[::2]).max()
-        digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-        kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n not in _ADDED.names]
-        new = [pa.array(n_words, pa.int64()), pa.array(n_hit), pa.array(longest), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string())]
-        return pa.RecordBatch.from_arrays([*(c for _, c in kept), *new], [*(n for n, _ in kept), *names])
-
-    return per_batch(make), names
-
-
-def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` with __n_words, __n_hit, __longest (words of the longest verbatim match), __n_items and __items_sha256.
+def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` with one more column, and its name: (n_words, hits: a bit for each word, packed, null if none is hit, items, matches: the longest verbatim ones).
 
     Null and empty texts have no words; items without words have no windows. A null item_id counts as the empty string; items of the
-    same id are one item. Without benchmark items nothing is hit.
+    same id are one item. Without benchmark items nothing is hit. Repeated rows have their own results, texts may have any length, and the columns of ``docs`` may have any names.
     """
-    spark, out, first = docs.sparkSession, docs, True
+    spark, (name,) = docs.sparkSession, unused(docs, "__found")
     fields = list(docs.schema.fields)
-    for bench in _blocks_of(benchmark, item, item_text):
+    out = docs
+    for i, bench in enumerate(_blocks_of(benchmark, item, item_text)):
+        out = stored(out, "passes") if i else out
         shared = spark.sparkContext.broadcast(bench)
-        out = out.mapInArrow(_step(shared, docs.columns.index(text), first), StructType([*fields, *_ADDED.fields]))
-        first = False
-    if first:
-        shared = spark.sparkContext.broadcast(Benchmark([]))
-        out = out.mapInArrow(_step(shared, docs.columns.index(text), True), StructType([*fields, *_ADDED.fields]))
-    make, names = _summary()
-    kinds = [LongType(), LongType(), LongType(), LongType(), StringType()]
-    return out.mapInArrow(make, StructType([*fields, *(StructField(n, k) for n, k in zip(names, kinds))]))
+        out = out.mapInArrow(_step(shared, docs.columns.index(text), name, i == 0), StructType([*fields, StructField(name, _ADDED)]))
+    return out, name
+
+
+def _summary(name: str, at: int):
+    def make(batch):
+        rows = []
+        for x in batch.column(at).to_pylist():
+            mark = np.unpackbits(np.frombuffer(x["hits"] or b"", np.uint8))
+            places = sorted({(m["start"], m["item"], m["item_start"], m["length"]) for m in x["matches"]})
+            items = sorted(set(x["items"]))
+            rows.append((x["n_words"], int(mark.sum()), len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), max((p[3] for p in places), default=0), ",".join(":".join(map(str, p)) for p in places)))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+        new = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([batch.column(0), *new[:4], pa.array([r[1] > 0 for r in rows]), *new[4:]], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "matches"])
+
+    return per_batch(make)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest) of every row."""
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, matches) of every row; see ``with_matches`` for nulls and other cases.
+
+    ``matches`` lists the longest verbatim matches as word:item:word of the item:words, comma-joined, in order; ``longest`` is the length of the longest one.
+    """
     only = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    out = with_matches(only, benchmark, "text", item, item_text)
-    return out.select("doc_id", *(F.col(f"__{n}").alias(n) for n in ("n_words", "n_hit", "n_items", "items_sha256")), (F.col("__n_hit") > 0).alias("contaminated"), F.col("__longest").alias("longest"))
+    out, name = with_matches(only, benchmark, "text", item, item_text)
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, matches string"
+    return out.select("doc_id", name).mapInArrow(_summary(name, 1), schema)
+
+
+def hit(found: str) -> Column:
+    """True where a row of ``with_matches`` shares a window with the benchmark."""
+    return F.col(f"`{found}`.hits").isNotNull()
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that share no window with the benchmark, with the columns that they had."""
-    return with_matches(docs, benchmark, text, item, item_text).where("__n_hit = 0").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that share no window with the benchmark, with the columns that they had; see ``with_matches`` for nulls and other cases."""
+    out, name = with_matches(docs, benchmark, text, item, item_text)
+    return out.where(~hit(name)).select(*(F.col(f"`{c}`") for c in docs.columns))
