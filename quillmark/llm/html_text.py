@@ -1,10 +1,13 @@
 """Main text of web pages by site style trees.
 
 The pages of a host are merged into a tree of style nodes: a node is the path of container elements with their classes and ids.
-Each node has a presentation importance, the entropy of its children's styles over the pages that hold it, and a
-content importance, one less the mean entropy of its text features: a text on every page of the host says nothing, a text on
-one page says all. Branches of low importance are removed from every page, as are elements whose meaning is known
-(navigation, forms, scripts and so on). Where a page marks its article, only that is read.
+Each node has a presentation importance, by the entropy H over its pages of the sequences of blocks that stand in it: 1 - exp(-H), one less the share of an even choice among
+as many sequences as H amounts to. Menus, notices and footers look the same on every page, articles don't. And it has a
+content importance, one less the mean entropy of the texts of its branch: a text on every page of the host says nothing, a text on
+one page says all. A node's importance weighs the two by its number of sequences, and a branch is as important as its most important node. From each page, branches go that are
+much less important than the most important branch of the page, and those of low content importance; elements whose meaning is known (navigation, forms, scripts and so
+on) go as well. Inside a marked article, or an element named as one, only content decides; where a
+page marks its article, only that is read. Hosts of few pages have no tree; known elements and marks decide there alone.
 """
 
 from __future__ import annotations
@@ -19,8 +22,10 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.common import per_batch, stored
 
-#: Importance below which a branch goes, least pages of a node, weight of the content in a node with one child style, bytes of trees that are broadcast.
-THRESHOLD, PAGES, WEIGHT, BROADCAST = 0.3, 4, 0.9, 32 << 20
+#: Share of the importance of a page's most important branch below which a branch goes, content importance below which it goes even inside an article.
+SHARE, CONTENT = 0.85, 0.3
+#: Least pages of a node that is judged, and their least part of the host's; weight of the content in a node with one sequence of blocks; bytes of trees that are broadcast.
+PAGES, PART, WEIGHT, BROADCAST = 8, 0.001, 0.5, 32 << 20
 _BLOCKS = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul video audio iframe".split())
 _CONTAINERS = frozenset("article aside body center div dl fieldset footer form header main menu nav ol section table td ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,21 +45,21 @@ _ENDING = {name: re.compile(f"</{name}(?=[\\s/>])[^>]*>?", re.I) for name in _RA
 
 
 class _Element:
-    __slots__ = ("name", "path", "dropped", "article")
+    __slots__ = ("name", "path", "dropped", "article", "named")
 
-    def __init__(self, name, path, dropped, article):
-        self.name, self.path, self.dropped, self.article = name, path, dropped, article
+    def __init__(self, name, path, dropped, article, named):
+        self.name, self.path, self.dropped, self.article, self.named = name, path, dropped, article, named
 
 
-_seen_tags: dict[tuple[str, str], tuple[str, bool]] = {}
+_seen_tags: dict[tuple[str, str], tuple[str, bool, bool]] = {}
 
 
-def _style(name: str, attributes: str) -> tuple[str, bool]:
-    """An element's style (name, classes and id without digits) and whether it is known not to be content."""
+def _style(name: str, attributes: str) -> tuple[str, bool, bool]:
+    """An element's style (name, classes and id without digits), whether it is known not to be content, and whether it is named as an article is."""
     key = (name, attributes)
     found = _seen_tags.get(key)
     if found is None:
-        style, noise = [name], name in _DROPPED
+        style, noise, named = [name], name in _DROPPED, False
         if attributes:
             for attribute, *values in _ATTRIBUTE.findall(attributes):
                 value = next((v for v in values if v), "")
@@ -62,6 +67,7 @@ def _style(name: str, attributes: str) -> tuple[str, bool]:
                 if attribute in ("class", "id"):
                     words = [w.lower() for w in _WORD.findall(value)]
                     style.append(("." if attribute == "class" else "#") + "-".join(words))
+                    named |= not _MAIN.isdisjoint(words)
                     if name not in ("body", "html", "article", "main", "p", "h1") and not _NOISE.isdisjoint(words) and _MAIN.isdisjoint(words):
                         noise = True
                     elif name in ("article", "section", "div", "ol", "ul", "li") and not {"comment", "comments", "reply", "replies"}.isdisjoint(words):
@@ -74,25 +80,25 @@ def _style(name: str, attributes: str) -> tuple[str, bool]:
                     noise = True
         if len(_seen_tags) > 50_000:
             _seen_tags.clear()
-        found = _seen_tags[key] = "".join(style), noise
+        found = _seen_tags[key] = "".join(style), noise, named
     return found
 
 
 def parts(source: str):
-    """The texts and block borders of a page in order: (element, text), where a text of None ends a block.
+    """The texts and block borders of a page in order: (element, text, block), where a text of None ends a block and ``block`` names one that begins in the element.
 
     Tags need not be balanced: an end tag ends the elements opened since its start tag and is ignored without one; paragraphs,
     list items, cells and so on end where a new one begins. Comments, scripts and styles give nothing.
     """
-    root = _Element("", "", False, False)
+    root = _Element("", "", False, False, False)
     stack, at, end = [root], 0, len(source)
     while at < end:
         token = _TOKEN.search(source, at)
         if token is None:
-            yield stack[-1], html_module.unescape(source[at:])
+            yield stack[-1], html_module.unescape(source[at:]), None
             return
         if token.start() > at:
-            yield stack[-1], html_module.unescape(source[at : token.start()])
+            yield stack[-1], html_module.unescape(source[at : token.start()]), None
         at = token.end()
         name = token[2] or token[5]
         if not name:
@@ -100,7 +106,7 @@ def parts(source: str):
         name = name.lower()
         if token[1] or token[4]:
             if name in _BLOCKS:
-                yield stack[-1], None
+                yield stack[-1], None, None
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
                     del stack[k:]
@@ -114,9 +120,9 @@ def parts(source: str):
                 close = _ENDING[name].search(source, at)
                 at = close.end() if close else end
             continue
-        if name in _BLOCKS:
-            yield stack[-1], None
         if name in _VOID:
+            if name in _BLOCKS:
+                yield stack[-1], None, name
             continue
         ends, scope = _ENDS.get(name, (None, None))
         if ends or name in _CLOSES_P:
@@ -131,20 +137,22 @@ def parts(source: str):
                     break
                 if stack[k].name in scope:
                     break
-        if attributes.endswith("/") and name not in _BLOCKS:
+        if name in _BLOCKS:
+            yield stack[-1], None, name
+        elif attributes.endswith("/"):
             continue
         top = stack[-1]
-        style, noise = _style(name, attributes)
+        style, noise, named = _style(name, attributes)
         article = top.article or name == "article" or name == "main"
         if name == "header":
             noise = noise or not top.article
         path = f"{top.path}/{style}" if name in _CONTAINERS else top.path
-        stack.append(_Element(name, path, top.dropped or noise, article))
+        stack.append(_Element(name, path, top.dropped or noise, article, top.named or named or article))
 
 
 def _features(source: str):
-    """(path, kind, feature) of a page: kind 0 a node's presence, 1 its children's styles, 2 a text."""
-    out, children, text = set(), {"": set()}, []
+    """(path, kind, feature) of a page: kind 0 a node's presence, 1 its sequence of blocks, 2 a text."""
+    out, blocks, text = set(), {"": []}, []
 
     def close(element):
         if text:
@@ -154,54 +162,47 @@ def _features(source: str):
                 out.add((element.path, 2, xxhash.xxh3_64_intdigest(words) >> 1))
 
     last = None
-    for element, piece in parts(source):
+    for element, piece, block in parts(source):
         if element is not last:
             path = element.path
-            while path not in children:
-                children[path] = set()
-                parent = path.rpartition("/")[0]
-                children.setdefault(parent, set()).add(path)
-                path = parent
+            while path not in blocks:
+                blocks[path] = []
+                path = path.rpartition("/")[0]
             last = element
+        if block:
+            blocks[element.path].append(block)
         if piece is None:
             close(element)
         else:
             text.append(piece)
     if last is not None:
         close(last)
-    for path, below in children.items():
+    for path, below in blocks.items():
         out.add((path, 0, 0))
-        out.add((path, 1, xxhash.xxh3_64_intdigest("\n".join(sorted(below))) >> 1))
+        out.add((path, 1, xxhash.xxh3_64_intdigest(" ".join(below)) >> 1))
     return out
 
 
-def main_text(source: str, noise: frozenset[str] = frozenset()) -> str:
-    """A page's main text without the branches in ``noise``; if that leaves nothing, without regard to them."""
-    kept, plain, inside, inside_plain, marked = [], [], [], [], False
-    verdict: dict[str, bool] = {}
-    for element, piece in parts(source):
-        if element.dropped:
+def main_text(source: str, tree: dict[str, tuple[float, float]] | None = None, known: bool = True) -> str:
+    """A page's main text under its host's ``tree``: the importance of each branch, by its path, and its content importance.
+
+    Inside an article, or an element named as one, only content decides. If nothing is left, low importance isn't regarded, and then low content neither. Without
+    ``known``, the tree alone decides: names and marks of elements aren't regarded.
+    """
+    all_of, marked, tree = [], False, tree or {}
+    for element, piece, _ in parts(source):
+        if known and element.dropped:
             piece = None
-        marked |= element.article and not element.dropped
-        piece = " " if piece is None else piece
-        bad = False
-        if noise:
-            path = element.path
-            bad = verdict.get(path)
-            if bad is None:
-                steps = path.split("/")
-                bad = verdict[path] = any("/".join(steps[: k + 1]) in noise for k in range(len(steps)))
-        plain.append(piece)
-        kept.append(" " if bad else piece)
-        if element.article:
-            inside_plain.append(piece)
-            inside.append(" " if bad else piece)
-        else:
-            inside_plain.append(" ")
-            inside.append(" ")
-    for chosen in (inside, inside_plain) if marked else (kept, plain):
-        text = " ".join("".join(chosen).split())
-        if text:
+        marked |= known and element.article and not element.dropped
+        all_of.append((" " if piece is None else piece, element.path, known and element.named, known and element.article))
+    paths = {path for _, path, _, _ in all_of}
+    above = {path: ["/".join(steps[: k + 1]) for k in range(1, len(steps))] for path in paths if (steps := path.split("/"))}
+    least = SHARE * max((tree[x][0] for way in above.values() for x in way if x in tree), default=0.0)
+    verdict = {p: (any(x in tree and tree[x][0] < least for x in way), any(x in tree and tree[x][1] < CONTENT for x in way)) for p, way in above.items()}
+    for step in range(3):
+        text = "".join(" " if (step < 1 and verdict[path][0] and not named) or (step < 2 and verdict[path][1]) or (marked and not article) else piece for piece, path, named, article in all_of)
+        text = " ".join(text.split())
+        if text or not tree:
             return text
     return ""
 
@@ -212,7 +213,7 @@ def host(url) -> "F.Column":
 
 
 def style_trees(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path, pages, importance) of every style node of every host; the tree is summed up by partial aggregations alone."""
+    """(host, path, pages, content, own, importance) of every style node of every host, ``own`` without regard to the nodes below; the tree is summed up by partial aggregations alone."""
 
     def make(batch):
         hosts, paths, kinds, features = [], [], [], []
@@ -240,26 +241,35 @@ def style_trees(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     branch = branch.groupBy("host", "path").agg(F.sum("features").alias("all_features"), F.sum("feature_sum").alias("all_sum"))
     joined = nodes.join(branch, ["host", "path"], "left").where("pages > 1")
     size = F.log(F.col("pages"))
-    presentation = 1 - F.col("style_sum") / (F.col("pages") * size)  # entropy of the styles, to the base of the pages
+    presentation = 1 - F.exp(F.col("style_sum") / F.col("pages") - size)
     content = F.coalesce(1 - F.col("all_sum") / (F.col("all_features") * size), F.lit(0.0))
     share = F.pow(F.lit(WEIGHT), F.col("styles"))
-    return joined.select("host", "path", F.col("pages").cast("long").alias("pages"), ((1 - share) * presentation + share * content).alias("importance"))
+    each = stored(joined.select("host", "path", F.col("pages").cast("long").alias("pages"), content.alias("content"), ((1 - share) * presentation + share * content).alias("own")), "importance")
+    highest = each.select("host", F.explode(above).alias("path"), "own").groupBy("host", "path").agg(F.max("own").alias("importance"))
+    return each.join(highest, ["host", "path"])
 
 
-def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of every page. Null or empty html gives the empty string; pages without a host share a tree of their own.
+def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", known: bool = True) -> DataFrame:
+    """(page_id, url, text, n_chars) of every row, whatever its key. Null or empty html gives the empty string; pages without a host share a tree of their own.
 
-    A page is parsed twice, for the trees and for its text. The trees' removed paths are joined to the pages by broadcast if their size is
-    within BROADCAST bytes, else by a shuffled join.
+    A repeated page counts as often as it occurs. Pages may have any length; other columns don't matter; an empty table gives no rows. A page is parsed twice, for the trees and for its text. A host's tree, of at most 1 / PART times the
+    nodes of a page, is joined to its pages by broadcast if all trees are within BROADCAST bytes, else by a shuffled join. Without ``known``, trees alone decide.
     """
-    trees = style_trees(pages, url, html).where((F.col("importance") < THRESHOLD) & (F.col("pages") >= PAGES) & (F.col("path") != ""))
-    noise = stored(trees.groupBy("host").agg(F.collect_list("path").alias("noise")), "noise")
-    size = noise.agg(F.sum(F.length("host") + F.length(F.array_join("noise", "/")) + 64)).first()[0] or 0
+    trees = style_trees(pages, url, html)
+    whole = trees.groupBy("host").agg(F.max("pages").alias("host_pages"))  # the root is on every page
+    judged = trees.join(whole, "host").where((F.col("path") != "") & (F.col("pages") >= F.greatest(F.lit(PAGES), F.col("host_pages") * PART)))
+    of_host = stored(judged.groupBy("host").agg(F.collect_list(F.struct("path", "importance", "content")).alias("tree")), "trees")
+    size = of_host.agg(F.sum(F.length("host") + 64 + F.aggregate("tree", F.lit(0), lambda n, x: n + F.length(x["path"]) + 40))).first()[0] or 0
 
     def make(batch):
-        texts = [main_text(source, frozenset(paths or ())) for source, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        seen, texts = {}, []
+        hosts, trees_of = batch.column(3).to_pylist(), batch.column(4)
+        for i, (source, name) in enumerate(zip(batch.column(2).to_pylist(), hosts)):
+            if name not in seen:
+                seen[name] = {x["path"]: (x["importance"], x["content"]) for x in trees_of[i].as_py() or ()}
+            texts.append(main_text(source, seen[name], known))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
-    joined = rows.withColumn("host", host(F.col("url"))).join(F.broadcast(noise) if size <= BROADCAST else noise, "host", "left")
-    return joined.select("page_id", "url", "html", "noise").mapInArrow(per_batch(make), "page_id long, url string, text string, n_chars long")
+    joined = rows.withColumn("host", host(F.col("url"))).join(F.broadcast(of_host) if size <= BROADCAST else of_host, "host", "left")
+    return joined.select("page_id", "url", "html", "host", "tree").mapInArrow(per_batch(make), "page_id long, url string, text string, n_chars long")
