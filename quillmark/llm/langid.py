@@ -7,23 +7,24 @@ seen one ends the walk, and a byte seen nowhere costs eight bits (escape method
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import blocks, large_text, per_batch
+from quillmark.llm.common import blocks, drop_stored, large_text, per_batch, small, stored
 
-#: Longest context in bytes, and the bound of the sample: texts of a language, characters of a text in it.
+#: Longest context in bytes, and the bound of the sample: texts of a language, characters that are learnt from the beginning of a text in it.
 ORDER, SAMPLE, LONGEST = 4, 400, 20_000
+#: How many times the sample is ranked to find it.
+SPARE = 4
 #: Grams whose code lengths a worker remembers; evidence of a text counts as that of this many bytes at most.
 MEMORY, EVIDENCE = 400_000, 64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-_LETTER = re.compile(r"[^\W\d_]").search
+_LETTER = regex.compile(r"\p{L}").search
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -117,30 +118,33 @@ def remainder(key: Column) -> Column:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """A model from at most SAMPLE different texts of at most LONGEST characters for each label, those of the smallest hashes.
+    """A model from at most SAMPLE different texts for each label, those of the smallest hashes; of a longer text its first LONGEST characters are learnt from.
 
     Only rows that are not held out and have a key, a text and a label are learnt from.
     """
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
-    rows = rows.where((remainder(F.col("key")) != 0) & F.col("lang").isNotNull() & (F.length("text") <= LONGEST)).withColumn("hash", F.xxhash64("text"))
-    best = rows.groupBy("lang", "hash").agg(F.min("key").alias("key"))
+    rows = rows.where((remainder(F.col("key")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("hash", F.xxhash64("text"))
+    each = stored(rows.groupBy("lang", "hash").agg(F.min("key").alias("key")), "texts")
+    # hashes are spread evenly over their range: below SPARE times the share that the sample has of a label's texts there are always enough, and few to rank
+    size = each.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("hash").cast("double") / F.lit(2.0**64) + 0.5
+    best = each.join(small(size), "lang").where(share * F.col("n") <= SAMPLE * SPARE)
     best = best.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("hash"))).where(F.col("place") <= SAMPLE)
     chosen = best.select("lang", "hash", "key").collect()  # at most SAMPLE of each label
+    drop_stored(each)
     if not chosen:
         return Model({})
-    small = docs.sparkSession.createDataFrame([tuple(x) for x in chosen], best.select("lang", "hash", "key").schema)
+    picked = docs.sparkSession.createDataFrame([tuple(x) for x in chosen], best.select("lang", "hash", "key").schema)
     sample: dict[str, dict[int, str]] = {}
-    for row in rows.join(F.broadcast(small), ["lang", "hash", "key"], "left_semi").select("lang", "hash", "text").collect():
+    for row in rows.join(F.broadcast(picked), ["lang", "hash", "key"], "left_semi").select("lang", "hash", F.substring("text", 1, LONGEST).alias("text")).collect():
         sample.setdefault(row.lang, {})[row.hash] = row.text
     return Model({k: [v[h] for h in sorted(v)] for k, v in sample.items()})
 
 
-_models: dict[int, Model] = {}
-
-
 def predicted(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every whole text; ``und`` and 0 for texts that are null or hold no letter, or without a model.
+    """(doc_id, lang_pred, score) of every row; ``und`` and 0 for texts that are null or hold no letter (\\p{L}), or without a model.
 
+    Whole texts of any length are read; of languages with equally short codes the first by name is taken; repeated rows have a row each, and other columns don't matter.
     The score is the predicted language's share of the probability, the evidence of a text counted as that of EVIDENCE bytes at most.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
