@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from quillmark.llm.pii import IBAN_LENGTHS
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = f"regexp_extract_all(translate(coalesce(text,''),'{_UPPER}','{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
-DECONTAMINATION = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id::varchar AS item, {_WORDS} AS w FROM benchmark),
- bw AS (SELECT item, w, len(w) AS n, least(10,len(w)) AS l FROM b WHERE len(w)>0), bi AS (SELECT item, w, l, unnest(range(1, n-l+2)) AS i FROM bw),
- win AS (SELECT DISTINCT item, l, array_to_string(w[i:i+l-1],' ') AS k FROM bi),
+DECONTAMINATION = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), b AS (SELECT row_number() OVER () AS b, coalesce(item_id::varchar,'') AS item, {_WORDS} AS w FROM benchmark),
+ bi AS (SELECT b, item, w, least(10,len(w)) AS l, unnest(range(1, len(w)-least(10,len(w))+2)) AS j FROM b WHERE len(w)>0), win AS (SELECT b, item, l, j, array_to_string(w[j:j+l-1],' ') AS k FROM bi),
  dl AS (SELECT r, w, l, unnest(range(1, len(w)-l+2)) AS i FROM d, (SELECT DISTINCT l FROM win) WHERE len(w)>=l), dk AS (SELECT r, l, i, array_to_string(w[i:i+l-1],' ') AS k FROM dl),
- m AS (SELECT DISTINCT r, item, dk.l, i FROM dk JOIN win ON dk.l=win.l AND dk.k=win.k), h AS (SELECT DISTINCT r, unnest(range(i, i+l)) AS p FROM m),
- g AS (SELECT r, p, p-row_number() OVER (PARTITION BY r ORDER BY p) AS island FROM h), s AS (SELECT r, max(c) AS longest, sum(c)::bigint AS n_hit FROM (SELECT r, island, count(*) AS c FROM g GROUP BY 1,2) GROUP BY 1),
+ m AS (SELECT r, b, item, dk.l, i, j FROM dk JOIN win ON dk.l=win.l AND dk.k=win.k), h AS (SELECT DISTINCT r, unnest(range(i, i+l)) AS p FROM m), s AS (SELECT r, count(*) AS n_hit FROM h GROUP BY r),
+ g AS (SELECT *, i-row_number() OVER (PARTITION BY r, b, l, i-j ORDER BY i) AS island FROM m), x AS (SELECT r, item, min(i)-1 AS s, min(j)-1 AS t, count(*)+l-1 AS n FROM g GROUP BY r, b, item, l, i-j, island),
+ y AS (SELECT r, max(n) AS longest, string_agg(s||':'||item||':'||t||':'||n, ',' ORDER BY s, item, t, n) AS matches FROM (SELECT DISTINCT * FROM x) GROUP BY r),
  t AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY 1)
- SELECT doc_id::bigint AS doc_id, len(w)::bigint AS n_words, coalesce(n_hit,0) AS n_hit, coalesce(n_items,0) AS n_items, sha256(coalesce(items,'')) AS items_sha256, coalesce(n_hit,0)>0 AS contaminated, coalesce(longest,0) AS longest
- FROM d LEFT JOIN s USING (r) LEFT JOIN t USING (r)"""
+ SELECT doc_id::bigint AS doc_id, len(w)::bigint AS n_words, coalesce(n_hit,0) AS n_hit, coalesce(n_items,0) AS n_items, sha256(coalesce(items,'')) AS items_sha256, coalesce(n_hit,0)>0 AS contaminated, coalesce(longest,0)::bigint AS longest, coalesce(matches,'') AS matches
+ FROM d LEFT JOIN s USING (r) LEFT JOIN t USING (r) LEFT JOIN y USING (r)"""
 
 
 def _found(kind: str, rank: int, pattern: str, keep: str = "true", before: str = "", score: str = "1.0") -> str:
@@ -63,7 +65,7 @@ _PII = " UNION ALL ".join(
         _found("ip", 1, "[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+", "list_bool_and([ltrim(x,'0')='' OR (length(ltrim(x,'0'))<=3 AND try_cast(ltrim(x,'0') AS int)<=255) FOR x IN string_split(m,'.')])"),
         _found("card", 2, "[0-9](?:[\\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}"),
         _found("phone", 3, "\\+[0-9][\\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15"),
-        _found("iban", 4, "[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]){11,30}\\b", _MOD97, before="[^A-Za-z0-9]"),
+        _found("iban", 4, "(?:" + "|".join(f"{c}[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for c, n in IBAN_LENGTHS.items()) + ")\\b", _MOD97, before="[^A-Za-z0-9]"),
         _found("ssn", 5, "[0-9]{3}-[0-9]{2}-[0-9]{4}\\b", "NOT regexp_matches(text[e+1:e+1],'[0-9-]')", before="[^0-9-]"),
     ]
 )
