@@ -7,18 +7,17 @@ appends their findings, and joins the ledger back to every row that holds the bl
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import scratch, texts
+from quillmark.llm.common import scratch, small, stored, unused
 from quillmark.llm.native_spans import SPAN, counted, listed, masked, matches, merged, of_kind, spans
 
 BASE = ("assign", "access", "hex")
 #: Kinds in the order that ties take; the last three are the method's own.
 KINDS = (*BASE, "private_key", "service_token", "web_token")
-#: Version of the rules below; findings of other versions aren't used.
-VERSION = "1.1"
 #: The base patterns, without matches that would be dropped where the pattern can leave them out.
 _NAME = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
 ASSIGN = rf"""({_NAME})["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
@@ -36,6 +35,8 @@ KEY_BLOCK = (
 LONG_TOKEN = r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+)"
 COVERS = ("key_block", "long_token")
 MARK = "[secret]"
+#: Version of the rules above, which changes with any of them; findings of other versions aren't used.
+VERSION = hashlib.sha256("\n".join((*KINDS, *COVERS, ASSIGN, ACCESS, HEX, PRIVATE_KEY, SERVICE_TOKEN, WEB_TOKEN, KEY_BLOCK, LONG_TOKEN)).encode()).hexdigest()[:16]
 _LEDGER = f"blob string, rules string, found {SPAN}"
 
 
@@ -57,53 +58,67 @@ def found_spans(text: Column) -> Column:
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The ledger's rows; none if nothing was scanned yet."""
-    try:
-        return spark.read.schema(_LEDGER).parquet(path)
-    except AnalysisException:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         return spark.createDataFrame([], _LEDGER)
+    return spark.read.schema(_LEDGER).parquet(path)
 
 
-def scan(docs: DataFrame, ledger: str, version: str = VERSION, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, blob, found) of every row, after the blobs that ``ledger`` lacks under ``version`` were scanned and appended to it.
+def known_blobs(spark: SparkSession, ledger: str, version: str) -> DataFrame:
+    """(blob, found) of the ledger under one version, once for each blob, stored."""
+    return stored(read_ledger(spark, ledger).where(F.col("rules") == version).select("blob", "found").dropDuplicates(["blob"]), "known")
+
 
-    A scan that fails appends nothing; one that is run again scans what is still unseen. Null text is the empty blob. Rows with the same
-    key and several texts have their own findings each.
+def scan_unseen(docs: DataFrame, ledger: str, version: str = VERSION, key: str = "doc_id", text: str = "text") -> None:
+    """Scans the blobs that ``ledger`` lacks under ``version``, one text of each, and appends their findings to it.
+
+    A scan that fails appends nothing; one that is run again scans what is still unseen.
     """
     spark = docs.sparkSession
-    rows = texts(docs, key, text).withColumn("blob", F.sha2("text", 256))
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.select(F.xxhash64(F.col(f"`{key}`").cast("string")).alias("owner"), F.sha2(whole, 256).alias("blob"), whole.alias("text"))
     seen = read_ledger(spark, ledger).where(F.col("rules") == version).select("blob")
-    # one row of each unseen blob; a null key stands behind all others
-    own = F.coalesce("doc_id", F.lit(9223372036854775807)).alias("owner")
-    first = rows.select("blob", own).groupBy("blob").agg(F.min("owner").alias("owner")).join(seen, "blob", "left_anti")
-    unseen = rows.select("blob", own, "text").join(first, ["owner", "blob"], "left_semi")
+    first = rows.groupBy("blob").agg(F.min("owner").alias("owner")).join(seen, "blob", "left_anti")
+    unseen = rows.join(first, ["owner", "blob"], "left_semi")
     found = unseen.select("blob", F.lit(version).alias("rules"), found_spans(F.col("text")).alias("found")).groupBy("blob", "rules").agg(F.first("found").alias("found"))
     found.write.mode("append").option("compression", "zstd").parquet(ledger)
-    known = read_ledger(spark, ledger).where(F.col("rules") == version).select("blob", "found").dropDuplicates(["blob"])
-    return rows.select("doc_id", "blob").join(known, "blob", "left").select("doc_id", "blob", "found")
+
+
+def scan(docs: DataFrame, ledger: str, version: str = VERSION, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, blob, found) of every row, after ``scan_unseen``.
+
+    Null text is the empty blob; texts may have any length. Rows with the same key and several texts have their own findings each, repeated rows a row each. Keys may be of any
+    simple type and may be null. Other columns don't matter. An empty table gives no rows.
+    """
+    scan_unseen(docs, ledger, version, key, text)
+    known = known_blobs(docs.sparkSession, ledger, version)
+    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256).alias("blob"))
+    return rows.join(known, "blob", "left").select("doc_id", "blob", "found")
 
 
 def secrets_digest(docs: DataFrame, ledger: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, blob) of every row, by a new ledger unless one is given."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, blob) of every row, by a new ledger unless one is given; see ``scan`` for nulls and other cases."""
     found = F.col("found")
     return scan(docs, ledger or scratch(docs.sparkSession, "ledger"), key=key, text=text).select(
-        "doc_id", *(counted(found, k).alias(f"n_{k}") for k in BASE), F.sha2(listed(of_kind(found, *BASE)), 256).alias("base_sha256"), listed(of_kind(found, *KINDS)).alias("spans"), "blob"
+        F.col("doc_id").cast("long").alias("doc_id"), *(counted(found, k).alias(f"n_{k}") for k in BASE), F.sha2(listed(of_kind(found, *BASE)), 256).alias("base_sha256"), listed(of_kind(found, *KINDS)).alias("spans"), "blob"
     )
 
 
 def without_secrets(docs: DataFrame, ledger: str | None = None, text: str = "text", length: str = "n_chars") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by a mark, and ``length``, if there is such a column, set anew where text was changed.
 
-    No row is dropped; rows without secrets stay as they are.
+    No row is dropped; rows without secrets stay as they are, null texts too. Texts may have any length, repeated rows are changed alike, and other columns may have any names and types.
     """
     spark = docs.sparkSession
     ledger = ledger or scratch(spark, "ledger")
-    scan(docs, ledger, key=docs.columns[0] if "doc_id" not in docs.columns else "doc_id", text=text)
-    dirty = read_ledger(spark, ledger).where((F.col("rules") == VERSION) & (F.size("found") > 0)).select(F.col("blob").alias("__blob"), F.col("found").alias("__found")).dropDuplicates(["__blob"])
+    scan_unseen(docs, ledger, key="doc_id" if "doc_id" in docs.columns else text, text=text)
+    blob, found = unused(docs, "__blob", "__found")
+    dirty = known_blobs(spark, ledger, VERSION).where(F.size("found") > 0).select(F.col("blob").alias(blob), F.col("found").alias(found))
     own = F.col(f"`{text}`")
-    joined = docs.withColumn("__blob", F.sha2(F.coalesce(own, F.lit("")), 256)).join(dirty, "__blob", "left")
-    changed = F.col("__found").isNotNull()
-    out = joined.withColumn(text, F.when(changed, masked(own, F.col("__found"), MARK)).otherwise(own))
+    joined = docs.withColumn(blob, F.sha2(F.coalesce(own, F.lit("")), 256)).join(small(dirty), blob, "left")
+    changed = F.col(found).isNotNull()
+    out = joined.withColumn(text, F.when(changed, masked(own, F.col(found), MARK)).otherwise(own))
     if length in docs.columns:
         kind = docs.schema[length].dataType
-        out = out.withColumn(length, F.when(changed, F.length(F.col(f"`{text}`")).cast(kind)).otherwise(F.col(length)))
+        out = out.withColumn(length, F.when(changed, F.length(F.col(f"`{text}`")).cast(kind)).otherwise(F.col(f"`{length}`")))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
