@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import plain
 import pytest
 import tiktoken
 
@@ -28,7 +29,7 @@ def table(spark, texts, **more):
     return spark.createDataFrame([*rows, rows[0]], "doc_id int, text string, lang string, source string, blob int, start string, found string").repartition(3)
 
 
-FUZZ = ["a", "B", "'s", "'ll", "'r", " ", "  ", "\n", "\t", "　", "\x85", "é", "漢", "1", "!", "😀", "<|endoftext|>", " \n ", "_"]
+FUZZ = ["a", "B", "É", "×", "|", "\u0301", "Σ", "'s", "'ll", "'r", " ", "  ", "\n", "\t", "　", "\x85", "é", "漢", "1", "!", "😀", "<|endoftext|>", " \n ", "_"]
 
 
 def fuzz(n, seed=1):
@@ -190,8 +191,8 @@ def test_pii(spark):
     for i, t in enumerate(texts):
         assert got[i]["base_sha256"] == hashlib.sha256(pii_base(t or "").encode()).hexdigest(), t
     assert pii.pii_digest(table(spark, texts)).count() == len(texts) + 1
-    extra = pii.pii_digest(spark.createDataFrame([(1, "my ssn 123-45-6789 and GB82 WEST 1234 5698 7654 32"), (2, "123-45-6789 GB83 WEST 1234 5698 7654 32")], "doc_id int, text string"))
-    assert [r["spans"] for r in extra.orderBy("doc_id").collect()] == ["ssn:7:18,iban:23:50", ""]
+    extra = pii.pii_digest(spark.createDataFrame([(1, "my ssn 123-45-6789 and GB82 WEST 1234 5698 7654 32"), (2, "123-45-6789 GB83 WEST 1234 5698 7654 32"), (3, "IBAN DE89370400440532013000 EUR today"), (4, "GB82 WEST 1234 5698 7654 32 BIC"), (5, "XX82 WEST 1234 5698 7654 32")], "doc_id int, text string"))
+    assert [r["spans"] for r in extra.orderBy("doc_id").collect()] == ["ssn:7:18,iban:23:50", "", "iban:5:27", "iban:0:27", ""]
 
 
 SECRET = {"assign": r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
@@ -222,6 +223,9 @@ def test_secrets_and_ledger(spark, tmp_path):
     assert secrets.read_ledger(spark, ledger).count() == scanned + 1
     secrets.scan(docs, ledger, version="2")
     assert secrets.read_ledger(spark, ledger).count() == 2 * scanned + 1
+    assert secrets.read_ledger(spark, f"file://{tmp_path}/none").count() == 0
+    named = spark.createDataFrame([("a", "token = abcdefghijklmnop", "x"), (None, None, "y"), ("a", "", "z")], "name string, text string, __blob string")
+    assert sorted(secrets.without_secrets(named).collect(), key=str) == [("a", "", "z"), ("a", "[secret]", "x"), (None, None, "y")]
     masked = {r["doc_id"]: r["text"] for r in secrets.without_secrets(docs, ledger).collect()}
     for i, t in enumerate(texts):
         assert secret_base(masked[i] or "") == "" and (masked[i] == t or secret_base(t) or "[secret]" in masked[i])
@@ -277,6 +281,29 @@ def test_token_counts(spark):
         assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((t or "").encode()), n > 1024), t
 
 
+def test_merge_transducer_against_the_library():
+    from tokenizers import Tokenizer
+
+    library, draw = Tokenizer.from_file(JSON), random.Random(14)
+    machine = token_counts.Counter(JSON).machine
+    vocabulary = [t for t in sorted(library.get_vocab()) if not t.startswith("<|")]
+    letters = {c: b for b, c in enumerate(machine.letters)}
+    for _ in range(3000):
+        word = "".join(draw.choice(vocabulary) for _ in range(draw.randint(1, 3)))
+        assert machine.tokens(bytes(letters[c] for c in word)) == len(library.model.tokenize(word)), word
+    assert machine.tokens(b"a" * 5000) == len(library.model.tokenize("a" * 5000))
+
+
+def test_remembered_units_are_compared():
+    from quillmark.llm.remembered import Remembered
+
+    memory, line = Remembered(100, "u1", "<i8"), np.frombuffer(b"abcabdxyz", np.uint8)
+    begin, end = np.array([0, 3, 6, 0]), np.array([3, 6, 9, 3])
+    for _ in range(2):  # all units have one hash
+        slots = memory.slots_of(np.zeros(4, np.uint64), line, begin, end, lambda own: [[int(begin[i]), 7] for i in own])
+        assert [memory.values[memory.at[s] : memory.at[s] + memory.count[s]].tolist() for s in slots] == [[0, 7], [3, 7], [6, 7], [0, 7]]
+
+
 def test_state_maps_compose():
     step, _ = token_counts.compiled()
     draw = np.random.default_rng(1)
@@ -303,11 +330,26 @@ def test_token_shards(spark, monkeypatch):
     assert token_shards.token_shards(rows.where("false"), WORDS).count() == 0
 
 
+def test_other_tokenizers_get_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    library, texts = Tokenizer.from_file(JSON), fuzz(60, 5)
+    got = token_shards.token_shards(table(spark, texts).dropDuplicates(["doc_id"]), JSON).orderBy("doc_id").collect()
+    for r, t in zip(got, texts):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes())), t
+
+
 def test_repair_random_access():
     draw = np.random.default_rng(2)
     documents = [draw.choice([5, 6, 7, 70_000], n, p=[0.5, 0.3, 0.19, 0.01]).astype("<u4") for n in (0, 1, 3000, 2, 777)]
     shard = token_shards.Shard(token_shards.pack([1, 2, None, 4, 5], documents))
     assert len(shard.left) > 0
+    flat = shard.sequence[shard.sequence >= 0]
+    pairs = collections.Counter()
+    for a, b in zip(shard.stop[:-1].tolist(), shard.stop[1:].tolist()):
+        pairs.update(zip(flat[a : b - 1].tolist(), flat[a + 1 : b].tolist()))
+    assert max(v for (x, y), v in pairs.items() if x != y) < token_shards.LEAST  # no pair is left that occurs often
     for i, d in enumerate(documents):
         assert (shard.document(i) == d).all() and all(shard.token(i, k) == d[k] for k in range(0, len(d), 13))
 
@@ -316,22 +358,69 @@ def test_language_id(spark):
     words = {"aa": ["bla", "blu", "kli"], "bb": ["zor", "zeft", "mux"]}
     draw = random.Random(7)
     rows = [(i, " ".join(draw.choice(words[k]) for _ in range(20)), k, 1) for i in range(200) for k in [draw.choice(["aa", "bb"])]]
-    rows += [(500, None, "aa", 1), (501, "", None, 1), (502, "123 !!", "bb", 1), (None, "zor zeft", "bb", 1), (503, "zor", None, 1)]
+    rows += [(500, None, "aa", 1), (501, "", None, 1), (502, "123 !!", "bb", 1), (None, "zor zeft", "bb", 1), (503, "zor", None, 1), (504, "\u00bd \u00b2 \u2167", "aa", 1)]
     got = langid.language_id(spark.createDataFrame(rows, "doc_id int, text string, lang string, score int")).collect()
     assert len(got) == len(rows)
     by = {r["doc_id"]: r for r in got}
     held = [r for r in rows if r[0] is not None and r[0] < 500 and zlib.crc32(str(r[0]).encode()) % 5 == 0]
     assert held and all(by[i]["lang_pred"] == k and by[i]["held_out"] and 0 <= by[i]["score"] <= 1 for i, _, k, _ in held)
-    assert [by[i]["lang_pred"] for i in (500, 501, 502, 503)] == ["und", "und", "und", "bb"]
+    assert [by[i]["lang_pred"] for i in (500, 501, 502, 503, 504)] == ["und", "und", "und", "bb", "und"]
     none = langid.language_id(spark.createDataFrame([(1, "zor", None)], "doc_id int, text string, lang string")).first()
     assert none["lang_pred"] == "und" and none["score"] == 0
 
 
-def test_context_tree_lengths_are_complete():
-    data = np.frombuffer(b"abracadabra abracadabra", np.uint8)
-    tree = langid.Trees(langid._grams(data, np.array([0, len(data)])))
-    known = langid._grams(data, np.array([0, len(data)]))
-    assert tree.bits(known).sum() < 8 * len(data) / 2 and (tree.bits(known) > 0).all()
+def test_code_lengths_against_a_plain_model():
+    from math import log2
+
+    draw = random.Random(12)
+    learnt = ["".join(draw.choice("abcab\u00e9 Z") for _ in range(draw.randint(0, 40))) for _ in range(20)]
+    asked = learnt[:5] + ["".join(draw.choice("abxyz\u00e9 ") for _ in range(30)) for _ in range(20)] + [""]
+    model = langid.Model({"k": learnt})
+    fold = lambda t: bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in t.encode())
+    counts = collections.defaultdict(collections.Counter)
+    for t in map(fold, learnt):
+        padded = b"\n" * langid.ORDER + t
+        for i in range(langid.ORDER, len(padded)):
+            for k in range(langid.ORDER + 1):
+                counts[padded[i - k : i]][padded[i]] += 1
+
+    def bits(t):
+        total, padded = 0.0, b"\n" * langid.ORDER + t
+        for i in range(langid.ORDER, len(padded)):
+            for k in range(langid.ORDER, -1, -1):
+                seen = counts.get(padded[i - k : i])
+                if seen is None:
+                    continue
+                every, kinds = sum(seen.values()), len(seen)
+                if padded[i] in seen:
+                    total += log2((every + kinds) / seen[padded[i]])
+                    break
+                total += log2((every + kinds) / kinds)
+            else:
+                total += 8
+        return total
+
+    raw = [t.encode() for t in asked]
+    got = model.bits(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    assert np.allclose(got[:, 0], [bits(fold(t)) for t in asked], atol=1e-6)
+
+
+def test_long_texts_of_a_label_are_learnt(spark):
+    keys = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, ("bla " if i % 2 else "zor ") * (9_000 if i % 2 else 5), "aa" if i % 2 else "bb") for i in keys] + [(1000, "bla bla", None)]
+    got = langid.language_id(spark.createDataFrame(rows, "doc_id int, text string, lang string")).where("doc_id = 1000").first()
+    assert got["lang_pred"] == "aa"
+
+
+def test_suffix_array():
+    draw = np.random.default_rng(4)
+    for most in (2, 5):
+        line = draw.integers(0, most, 400)
+        line[-1] = 0
+        ends = [int(np.flatnonzero(line[i:] == 0)[0]) + i for i in range(len(line))]
+        got = decontaminate.suffix_array(line)
+        cut = [tuple(line[i : ends[i]]) for i in got]
+        assert sorted(got.tolist()) == np.flatnonzero(line).tolist() and cut == sorted(cut)
 
 
 @pytest.mark.parametrize("limit", [16 << 20, 150])
@@ -340,7 +429,7 @@ def test_decontamination(spark, monkeypatch, limit):
     draw = random.Random(3)
     some = lambda n: " ".join(draw.choice(["a", "b", "c", "D", "é"]) for _ in range(n))
     items = [(i, some(draw.choice([0, 3, 7, 9, 10, 12, 15]))) for i in range(40)] + [(None, "zz"), (5, "c c c d d d a b a a a"), (6, None)]
-    texts = [some(draw.randint(0, 60)) for _ in range(400)] + [None, "", "zz zz", "a " * 3000]
+    texts = [some(draw.randint(0, 60)) for _ in range(300)] + [None, "", "zz zz", "a " * 300]
     windows = collections.defaultdict(set)
     for i, t in items:
         w = WORD.findall(lower(t))
@@ -357,8 +446,22 @@ def test_decontamination(spark, monkeypatch, limit):
                     hit.update(range(j, j + n))
                     found |= own
         r = got[i]
+        places = set()
+        for own, t2 in items:
+            v = WORD.findall(lower(t2))
+            n = min(10, len(v))
+            for j in range(len(w)):
+                for k in range(len(v) - n + 1 if n else 0):
+                    size = 0
+                    while j + size < len(w) and k + size < len(v) and w[j + size] == v[k + size]:
+                        size += 1
+                    if size >= n and not (j and k and w[j - 1] == v[k - 1]):
+                        places.add((j, "" if own is None else str(own), k, size))
+        assert r["matches"] == ",".join(":".join(map(str, p)) for p in sorted(places)) and r["longest"] == max((p[3] for p in places), default=0)
         assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(w), len(hit), len(found), bool(hit))
         assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+    clashing = spark.createDataFrame([(1, texts[0], ["k"], "u")], "doc_id int, text string, __items array<string>, __found string")
+    assert decontaminate.clean(clashing, spark.createDataFrame([(1, "nothing of this is there")], "item_id int, text string")).collect() == clashing.collect()
     empty = decontaminate.contamination(table(spark, ["a b"]), spark.createDataFrame([], "item_id int, text string"))
     assert empty.first()["n_hit"] == 0
 
@@ -391,6 +494,24 @@ def test_quality_outliers_without_clean_losses(spark):
     got = {r["doc_id"]: r["kept"] for r in quality.quality(docs).collect()}
     assert all(got[i] for i in range(150)) and not any(got[i] for i in range(150, 180))
     assert quality.good(docs).columns == docs.columns and quality.quality(docs.where("false")).count() == 0
+    clashing = docs.selectExpr("*", "doc_id as n", "'u' as lang_source", "1 as m_0", "text as __statistics", "2 as __group")
+    kept = quality.good(clashing).collect()
+    assert {r["doc_id"] for r in kept} == set(range(150)) and {r["lang_source"] for r in kept} == {"u"} and all(r["n"] == r["doc_id"] for r in kept)
+
+
+def test_quality_verdicts_against_plain_concentration_steps(spark):
+    draw = random.Random(10)
+    rows = []
+    for i in range(400):
+        lang, source = ("en", "de")[i % 2], ("s", "t", None)[i % 9 // 4]
+        words = ["".join(draw.choice("abcdefgh") for _ in range(draw.randint(1, 6 + 3 * (i % 2)))) for _ in range(draw.randint(5, 120))]
+        for k in range(draw.choice([0, 0, 0, 2, 30])):
+            words[draw.randrange(len(words))] += draw.choice(["#", "**", "%%%%"])
+        rows.append((i, " ".join(words) + draw.choice(["", "\nline one\nline one"]), lang, source))
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")).collect()}
+    for (i, *_), (distance, kept) in zip(rows, plain.verdicts(rows)):
+        assert np.isclose(got[i]["distance"], distance, rtol=1e-6) and got[i]["kept"] == kept, i
+    assert any(not r["kept"] and not r["base_failed"] for r in got.values())
 
 
 def test_quality_rejects_outliers_of_word_length_alone(spark):
@@ -425,6 +546,44 @@ def test_style_tree_removes_repeated_branches(spark):
     assert all(got[i]["text"] == t and got[i]["n_chars"] == len(t) for i, t in enumerate(texts)) and got[99]["text"] == ""
 
 
+def test_branch_importance_against_plain_entropies(spark):
+    draw = random.Random(15)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
+    pages = []
+    for i in range(14):
+        menu = "".join(f"<li>{w}</li>" for w in ("one", "two", "three")[: 2 + i % 2])
+        body = "".join(f"<p>{word()}</p>" for _ in range(1 + draw.randint(0, 5)))
+        pages.append((i, f"<body><div class=m><ul>{menu}</ul></div><div class=b>{body}</div></body>", draw.choice(["h", "h", "g"])))
+    rows = [(i, f"http://{h}.example/", page) for i, page, h in pages]
+    got = {(r["host"], r["path"]): r for r in html_text.style_trees(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    for h in "gh":
+        own = [page for _, page, name in pages if name == h]
+        m = len(own)
+
+        def importance(shapes, texts):
+            counts = collections.Counter(shapes)
+            entropy = -sum(k / m * np.log(k / m) for k in counts.values())
+            content = 1 - sum(np.log(sum(t in page for page in own)) / np.log(m) for t in texts) / len(texts)
+            share = html_text.WEIGHT ** len(counts)
+            return (1 - share) * (1 - np.exp(-entropy)) + share * content
+
+        listed = [f"<li>{w}</li>" for w in ("one", "two", "three") if any(f"<li>{w}</li>" in page for page in own)]
+        menu = importance([page.count("<li>") for page in own], listed)
+        outer = importance([0] * m, listed)
+        body = importance([page.count("<p>") for page in own], list({t for page in own for t in re.findall("<p>.*?</p>", page)}))
+        assert np.isclose(got[f"{h}.example", "/body/div.m/ul"]["own"], menu) and np.isclose(got[f"{h}.example", "/body/div.b"]["own"], body)
+        assert np.isclose(got[f"{h}.example", "/body/div.m"]["own"], outer) and np.isclose(got[f"{h}.example", "/body/div.m"]["importance"], max(menu, outer))
+
+
+def test_trees_alone_find_the_text_of_the_test_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    both = html_text.extracted(pages).select("page_id", "text").join(html_text.extracted(pages, known=False).select("page_id", "text").withColumnRenamed("text", "alone"), "page_id")
+    trees = html_text.style_trees(pages).where("path = '/body/article'").selectExpr("host", "pages").collect()
+    judged = {r["host"] for r in trees if r["pages"] >= html_text.PAGES}
+    rows = both.join(pages.select("page_id", html_text.host(pages["url"]).alias("host")), "page_id").where("host in ({})".format(",".join(f"'{h}'" for h in judged))).collect()
+    assert len(rows) > 1000 and all(r["text"] == r["alone"] != "" for r in rows)
+
+
 def test_pipeline_on_small_tables(spark):
     import corpus_pipeline
 
