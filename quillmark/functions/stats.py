@@ -47,10 +47,12 @@ def r2(y: Column, p: Column) -> Column:
     return F.when(F.count(y) < 2, None).when(constant & (sse == 0), 1.0).when(constant, 0.0).otherwise(1 - sse / F.nullif(sst, F.lit(0.0)))
 
 
-def partials(y: Column, p: Column) -> list[Column]:
-    """Sums from which regression metrics of any union of groups follow."""
-    e = y - p
-    return [F.count(F.lit(1)).alias("n"), F.sum(F.abs(e)).alias("sa"), F.sum(e * e).alias("ss"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy")]
+def partials(y: Column, p: Column, centre: Column | None = None) -> list[Column]:
+    """Sums from which regression metrics of any union of groups follow; sums of targets are taken from ``centre``, with their extremes."""
+    e, c = y - p, y if centre is None else y - centre
+    return [
+        F.count(F.lit(1)).alias("n"), F.sum(F.abs(e)).alias("sa"), F.sum(e * e).alias("ss"), F.sum(c).alias("sy"), F.sum(c * c).alias("syy"), F.min(y).alias("lo"), F.max(y).alias("hi"),
+    ]
 
 
 def label_index(c: Column, labels: list[str]) -> Column:

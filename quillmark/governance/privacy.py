@@ -15,6 +15,11 @@ def laplace(scale: float, draw: random.Random) -> float:
     return -scale * math.copysign(1.0, u) * math.log1p(-2 * min(abs(u), 0.5 - 2**-54))
 
 
+def _source(seed: int | None) -> random.Random:
+    """The system's randomness; a seeded generator only where a test names a seed."""
+    return random.SystemRandom() if seed is None else random.Random(seed)
+
+
 def _positive(value: float, name: str) -> Fraction:
     if isinstance(value, bool) or not math.isfinite(value) or value <= 0:
         raise ValueError(f"{name} must be finite and above 0")
@@ -31,10 +36,14 @@ class Budget:
         return sum((e for _, e in self.entries), Fraction(0))
 
     def spend(self, epsilon: float, label: str = "") -> None:
-        cost = _positive(epsilon, "epsilon")
-        if self.spent() + cost > self.limit:
+        self.spend_all([(label, epsilon)])
+
+    def spend_all(self, charges: list[tuple[str, float]]) -> None:
+        """Charges all of (label, epsilon) or none."""
+        costs = [(label, _positive(epsilon, "epsilon")) for label, epsilon in charges]
+        if self.spent() + sum((c for _, c in costs), Fraction(0)) > self.limit:
             raise ValueError("the privacy budget is exhausted")
-        self.entries.append((label, cost))
+        self.entries += costs
 
 
 class LedgerBudget:
@@ -57,13 +66,17 @@ class LedgerBudget:
         return sum((Fraction.from_float(float.fromhex(e)) for (e,) in db.execute("SELECT epsilon FROM charge")), Fraction(0))
 
     def spend(self, epsilon: float, label: str = "") -> None:
-        cost = _positive(epsilon, "epsilon")
+        self.spend_all([(label, epsilon)])
+
+    def spend_all(self, charges: list[tuple[str, float]]) -> None:
+        """Charges all of (label, epsilon) or none, in one transaction."""
+        cost = sum((_positive(epsilon, "epsilon") for _, epsilon in charges), Fraction(0))
         with closing(self._open()) as db:
             db.execute("BEGIN IMMEDIATE")
             try:
                 if self._sum(db) + cost > self.limit:
                     raise ValueError("the privacy budget is exhausted")
-                db.execute("INSERT INTO charge (label, epsilon) VALUES (?, ?)", (label, float(epsilon).hex()))
+                db.executemany("INSERT INTO charge (label, epsilon) VALUES (?, ?)", [(label, float(epsilon).hex()) for label, epsilon in charges])
                 db.execute("COMMIT")
             except BaseException:
                 db.execute("ROLLBACK")
@@ -75,20 +88,19 @@ def release_mean(mean: float, n: int, low: float, high: float, epsilon: float, b
     if n <= 0 or not low < high:
         raise ValueError("a bounded mean needs rows and low < high")
     budget.spend(epsilon, label)
-    return mean + laplace((high - low) / n / epsilon, random.Random(seed))
+    return mean + laplace((high - low) / n / epsilon, _source(seed))
 
 
 def release_means(centers: list[tuple[str, float, int, float, float]], total: float, budget, weights: list[float] | None = None, seed: int | None = None) -> dict[str, float]:
-    """Several means (label, mean, n, low, high) that share ``total`` by weight; shares are rounded down, so that they never exceed it."""
+    """Several means (label, mean, n, low, high) that share ``total`` by weight; shares are rounded down, so that they never exceed it, and are charged together or not at all."""
     shares = [Fraction.from_float(float(w)) for w in weights or [1.0] * len(centers)]
-    draw, out, every = random.Random(seed), {}, _positive(total, "epsilon")
+    draw, out, every = _source(seed), {}, _positive(total, "epsilon")
     parts = []
     for share in shares:
         exact = every * share / sum(shares)
         value = float(exact)
         parts.append(math.nextafter(value, 0.0) if Fraction.from_float(value) > exact else value)
-    for (label, *_), part in zip(centers, parts):
-        budget.spend(part, label)
+    budget.spend_all([(label, part) for (label, *_), part in zip(centers, parts)])
     for (label, mean, n, low, high), part in zip(centers, parts):
         out[label] = mean + laplace((high - low) / n / part, draw)
     return out
@@ -97,5 +109,5 @@ def release_means(centers: list[tuple[str, float, int, float, float]], total: fl
 def perturbed(metrics: dict[str, float], epsilon: float, sensitivity: float, seed: int | None = None) -> dict[str, float]:
     """Metrics with Laplace noise in their order; undefined ones stay so and take no draw. This makes no formal privacy claim."""
     _positive(epsilon, "epsilon")
-    draw = random.Random(seed)
+    draw = _source(seed)
     return {k: v if v is None or math.isnan(v) else v + laplace(sensitivity / epsilon, draw) for k, v in metrics.items()}

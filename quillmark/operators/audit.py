@@ -16,6 +16,16 @@ def roles(column: str, rules: Mapping[str, Sequence[str]]) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.col(column).cast("string"))
 
 
+def mapped_roles(df: DataFrame, column: str, rules: Mapping[str, Sequence[str]], name: str = "role", allow_missing: bool = False) -> DataFrame:
+    """``df`` with the role of each row; raises for partition names that no list has, and for missing ones unless these are allowed."""
+    out = df.withColumn(name, roles(column, rules))
+    bad = F.col(name).isNull() & (F.col(column).isNotNull() if allow_missing else F.lit(True))
+    found = [r[0] for r in out.where(bad).select(F.col(column).cast("string")).distinct().limit(3).collect()]
+    if found:
+        raise ValueError(f"partitions aren't mapped to a role: {found}")
+    return out
+
+
 def excluded(rules: Sequence[Mapping]) -> Column:
     """Whether any rule excludes a row: is_missing, equals, less_than or greater_than; a missing value meets only is_missing."""
     out = F.lit(False)
@@ -93,21 +103,38 @@ def conflicts(df: DataFrame, entity: str, target: str, tolerance: float = 0.0) -
     return counted.agg(F.coalesce(F.sum(F.when(differ, F.col("k"))), F.lit(0)).alias("affected_records"))
 
 
-def chronology(df: DataFrame, role: str, time: str, evaluation: str = "test") -> DataFrame:
-    """One row: affected_records, rows of other roles not strictly before the first evaluation row."""
-    first = df.where(F.col(role) == evaluation).agg(F.min(time).alias("__first"))
-    return df.crossJoin(first).agg(F.count_if((F.col(role) != evaluation) & (F.col(time) >= F.col("__first"))).alias("affected_records"))
+def chronology(df: DataFrame, role: str, time: str, evaluation: str = "test", cutoff=None, strictly: bool = True) -> DataFrame:
+    """One row: affected_records, rows of other roles not before (``strictly``, or at the latest at) the first evaluation row or the ``cutoff``, and evaluation rows before the cutoff."""
+    first = df.where(F.col(role) == evaluation).agg(F.min(time).alias("__first")).withColumn("__cut", F.lit(None).cast(df.schema[time].dataType) if cutoff is None else F.lit(cutoff).cast(df.schema[time].dataType))
+    limit = F.coalesce("__cut", "__first")
+    late = F.col(time) >= limit if strictly else F.col(time) > limit
+    early = F.coalesce(F.col(time) < F.col("__cut"), F.lit(False))
+    return df.crossJoin(first).agg(F.count_if(F.when(F.col(role) != evaluation, late).otherwise(early)).alias("affected_records"))
+
+
+class OverBudget(ValueError):
+    """A check would need more pairs than its design allows."""
+
+
+def near_duplicate_finding(df: DataFrame, key: str, vector: str, role: str, pairs: Sequence[tuple[str, str]], threshold: float, budget: int = 100_000_000, policy: str = "forbid") -> DataFrame:
+    """(check, affected_records, status) of ``near_duplicates``; beyond the budget the status is pair_budget_exceeded, as nothing was looked at."""
+    try:
+        found = near_duplicates(df, key, vector, role, pairs, threshold, budget)
+    except OverBudget:
+        return df.sparkSession.range(1).select(F.lit("near_duplicates").alias("check"), F.lit(None).cast("long").alias("affected_records"), F.lit("pair_budget_exceeded").alias("status"))
+    touched = found.select(F.explode(F.array(F.col("key_a"), F.col("key_b"))).alias("k")).distinct().agg(F.count(F.lit(1)).alias("affected_records"))
+    return finding("near_duplicates", touched, policy)
 
 
 def near_duplicates(df: DataFrame, key: str, vector: str, role: str, pairs: Sequence[tuple[str, str]], threshold: float, budget: int = 100_000_000) -> DataFrame:
     """(key_a, key_b, similarity): vectors of forbidden role pairs with a cosine of at least the threshold, exactly.
 
-    The number of pairs is checked before; beyond ``budget`` the audit isn't run, as the declared limit of the check. Each side is cut into blocks
+    The number of pairs is checked before; beyond ``budget`` the check isn't run and raises OverBudget, which ``near_duplicate_finding`` turns into a finding. Each side is cut into blocks
     that are paired, so no table is broadcast whole.
     """
     sizes = {r[role]: r["k"] for r in df.groupBy(role).agg(F.count(F.lit(1)).alias("k")).collect()}
     if sum(sizes.get(a, 0) * sizes.get(b, 0) for a, b in pairs) > budget:
-        raise ValueError("not_supported_resource_limit: more pairs than the declared budget")
+        raise OverBudget("more pairs than the declared budget")
     norm = lambda v: F.sqrt(F.aggregate(v, number(0), lambda s, x: s + x.cast("double") * x.cast("double")))
     ready = df.select(F.col(key).alias("key"), F.col(role).alias("role"), F.col(vector).alias("v"), norm(F.col(vector)).alias("norm"))
     blocks = 8
@@ -119,6 +146,75 @@ def near_duplicates(df: DataFrame, key: str, vector: str, role: str, pairs: Sequ
     return found.where(F.col("similarity") >= threshold)
 
 
+def tanimoto(df: DataFrame, key: str, features: str, role: str, pairs: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
+    """(key_a, key_b, similarity): rows of forbidden role pairs whose feature sets (arrays of distinct values) have a Tanimoto similarity of at least the threshold.
+
+    Exact by a prefix filter: sets that are similar enough share one of the rarest features of either, so rows only meet where they do. Frequent features are
+    hardly ever among a set's rarest.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(role).alias("role"), F.array_distinct(features).alias("set")).where(F.size("set") > 0)
+    often = rows.select(F.explode("set").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("often"))
+    counted = rows.select("key", "role", F.size("set").alias("n"), F.explode("set").alias("feature")).join(often, "feature")
+    ordered = counted.groupBy("key", "role", "n").agg(F.array_sort(F.collect_list(F.struct("often", "feature"))).alias("ordered"))  # the features of one row
+    first = F.slice("ordered", 1, (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int"))
+    heads = ordered.select("key", "role", "n", F.explode(F.transform(first, lambda x: x["feature"])).alias("feature"))
+    a, b = (heads.select(*(F.col(c).alias(f"{c}_{side}") for c in ("key", "role", "n")), "feature") for side in "ab")
+    wanted = _any((F.col("role_a") == x) & (F.col("role_b") == y) for x, y in pairs)
+    fits = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9
+    met = a.join(b, "feature").where(wanted & fits).select("key_a", "role_a", "key_b", "role_b").distinct()
+    sets = rows.select("key", "role", "set")
+    both = met.join(sets.toDF("key_a", "role_a", "set_a"), ["key_a", "role_a"]).join(sets.toDF("key_b", "role_b", "set_b"), ["key_b", "role_b"])
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    found = both.select("key_a", "key_b", (common / (F.size("set_a") + F.size("set_b") - common)).alias("similarity"))
+    return found.where(F.col("similarity") >= F.lit(threshold) - 1e-12)
+
+
+def examples(df: DataFrame, key: str, most: int = 10) -> DataFrame:
+    """One row (examples): the ``most`` smallest keys of a finding's rows."""
+    return df.select(F.col(key).cast("string").alias("k")).distinct().orderBy("k").limit(most).agg(F.array_sort(F.collect_list("k")).alias("examples"))
+
+
+def audited(df: DataFrame, design: Mapping) -> DataFrame:
+    """All findings (check, affected_records, status) that a ``design`` asks for, of rows with a role.
+
+    ``design`` has key, role, evaluation, exclusions, and by name of a check its settings, each with a ``policy``: duplicates {columns}, overlap {columns, pairs},
+    repeated {entity}, conflicts {entity, target, tolerance}, chronology {time, cutoff, strictly_before}. Exclusions are applied before anything looks at values. A check whose columns the table
+    lacks is not_testable.
+    """
+    key, role, evaluation = design["key"], design["role"], design.get("evaluation", "test")
+    kept = df.where(~((F.col(role) == evaluation) & excluded(design.get("exclusions", ()))))
+    runs = {
+        "duplicates": lambda c: duplicates(kept, c["columns"]),
+        "overlap": lambda c: overlap(kept, c["columns"], role, c["pairs"]),
+        "repeated": lambda c: repeated(kept, c["entity"], key, role),
+        "conflicts": lambda c: conflicts(kept, c["entity"], c["target"], c.get("tolerance", 0.0)),
+        "chronology": lambda c: chronology(kept, role, c["time"], evaluation, c.get("cutoff"), c.get("strictly_before", True)),
+    }
+    out = None
+    for name, run in runs.items():
+        settings = design.get(name)
+        if settings is None:
+            continue
+        needed = [*settings.get("columns", ()), *(settings[k] for k in ("entity", "target", "time") if k in settings)]
+        there = all(c in df.columns for c in needed)
+        counted = run(settings) if there else df.sparkSession.range(1).select(F.lit(0).alias("affected_records"))
+        row = finding(name, counted, settings.get("policy", "forbid"), there)
+        out = row if out is None else out.union(row)
+    if out is None:
+        raise ValueError("the design asks for no check")
+    return out
+
+
+def consistent(findings: DataFrame, summary: DataFrame) -> DataFrame:
+    """One row (consistent): whether a summary (status, failed, warned, not_testable) is the one that its findings give."""
+    names = ["status", "failed", "warned", "not_testable"]
+    own = rolled_up(findings).select(*(F.col(c).alias(f"__{c}") for c in names))
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return summary.crossJoin(own).agg((F.bool_and(same) & (F.count(F.lit(1)) == 1)).alias("consistent"))
+
+
 def rolled_up(findings: DataFrame) -> DataFrame:
     """One row (status, failed, warned, not_testable): the worst status of all findings."""
     counts = findings.agg(*(F.count_if(F.col("status") == s).alias(name) for s, name in (("fail", "failed"), ("warn", "warned"), ("not_testable", "not_testable"))))

@@ -42,6 +42,20 @@ def auroc(df: DataFrame, y: str, score: str, by: list[str] | None = None, weight
     return placed.groupBy(*by).agg(F.sum("__pos").cast("long").alias("n_pos"), F.sum("__neg").cast("long").alias("n_neg"), ratio(wins, total).alias("auroc"))
 
 
+def with_baseline(df: DataFrame, y: str, p: str, baseline: str) -> DataFrame:
+    """One row (n, mae, rmse, r2, base_mae, base_rmse, base_r2) of a candidate and a baseline in the same table, in one pass."""
+    from quillmark.functions.stats import mae, r2, rmse
+
+    target = F.col(y)
+    each = [f(target, F.col(c)).alias(f"{prefix}{name}") for prefix, c in (("", p), ("base_", baseline)) for name, f in (("mae", mae), ("rmse", rmse), ("r2", r2))]
+    return df.agg(F.count(F.lit(1)).alias("n"), *each)
+
+
+def distinct_sets(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row with the sorted different values of each column; for columns of few values, such as labels, tasks and models."""
+    return df.agg(*(F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in columns))
+
+
 def binary(df: DataFrame, y: str, score: str, by: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
     """n, accuracy, f1, positive_rate and auroc of labels 0 and 1 with scores; f1 is 0 without positives on either side."""
     by = by or []
@@ -70,14 +84,14 @@ def multiclass(df: DataFrame, y: str, probs: str, classes: int) -> DataFrame:
     base = df.agg(
         F.count(F.lit(1)).alias("n"), F.avg((guess == truth).cast("double")).alias("accuracy"),
         F.avg(-F.log(F.greatest(F.least(true_p, number(1 - EPSILON)), number(EPSILON)))).alias("log_loss"),
-        F.avg(F.array_max(p)).alias("mean_confidence"), F.avg(entropy).alias("mean_entropy"), *counts,
+        F.avg(F.array_max(p)).alias("mean_confidence"), F.min(F.array_max(p)).alias("min_confidence"), F.max(F.array_max(p)).alias("max_confidence"), F.avg(entropy).alias("mean_entropy"), *counts,
     )
     f1 = [F.coalesce(ratio(2.0 * F.col(f"tp{k}"), 1.0 * (F.col(f"t{k}") + F.col(f"g{k}"))), number(0)) for k in range(classes)]
     macro = sum(f1[1:], f1[0]) / classes
     weighted = sum((f1[k] * F.col(f"t{k}") for k in range(1, classes)), f1[0] * F.col("t0")) / F.col("n")
     by_class = df.select(truth.alias("truth"), F.posexplode(p).alias("class", "score")).select("class", "score", (F.col("truth") == F.col("class")).cast("int").alias("is"))
     areas = auroc(by_class, "is", "score", ["class"]).agg(F.when(F.count("auroc") == classes, F.avg("auroc")).alias("macro_auroc_ovr"))
-    out = base.select("n", "accuracy", macro.alias("macro_f1"), weighted.alias("weighted_f1"), "log_loss", "mean_confidence", "mean_entropy")
+    out = base.select("n", "accuracy", macro.alias("macro_f1"), weighted.alias("weighted_f1"), "log_loss", "mean_confidence", "min_confidence", "max_confidence", "mean_entropy")
     return out.crossJoin(areas)  # one row each
 
 

@@ -6,12 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Most ranges of a running sum.
-PARTS = 256
+#: Most ranges of a running sum, and values of a text column from which ranges are cut.
+PARTS, SAMPLE = 256, 4096
+
+
+def _cuts(df: DataFrame, order: str, parts: int) -> list:
+    """Values that cut ``order`` into about ``parts`` ranges of equal size: quantiles of numbers; of texts those of the SAMPLE values of the smallest hashes."""
+    if dict(df.dtypes)[order] != "string":
+        return df.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []
+    some = sorted(r[0] for r in df.where(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order), order).limit(SAMPLE).collect())
+    return [some[len(some) * k // parts] for k in range(1, parts)] if some else []
 
 
 def running(df: DataFrame, by: list[str], order: str, sums: list[str]) -> DataFrame:
-    """``df`` with before_<c>: the sum of column ``c`` over the rows before, in the order of the number ``order`` within ``by``.
+    """``df`` with before_<c>: the sum of column ``c`` over the rows before, in the order of the number or text ``order`` within ``by``.
 
     Quantiles of ``order``, at most PARTS of them, cut the rows into ranges; each range sums up its own rows, and a table of one row for each range and
     group says what came before. The cuts are constants of the plan, so that a range is the same wherever it is computed again. ``order`` should be
@@ -20,8 +28,7 @@ def running(df: DataFrame, by: list[str], order: str, sums: list[str]) -> DataFr
     parts = min(PARTS, max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     cuts = []
     if parts > 1:
-        found = df.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10_000)).first()[0]
-        cuts = sorted(set(found or []))
+        cuts = sorted(set(_cuts(df, order, parts)))
     below = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
     dealt = df.withColumn("__part", F.when(F.col(order).isNull(), -1).otherwise(below))
     totals = dealt.groupBy("__part", *by).agg(*(F.sum(c).alias(f"__t_{c}") for c in sums))

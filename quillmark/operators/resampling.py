@@ -1,7 +1,8 @@
 """Bootstrap and randomization by counted hash draws.
 
 A draw is a hash of the seed, stratum, replicate and slot, so a result doesn't depend on partitions, retries or random state. Rows shrink to
-sums by unit first; replicates then add up the sums of the drawn units. Each stratum keeps its number of units.
+sums by unit first; replicates then add up the sums of the drawn units. Each stratum keeps its number of units. Units that fit are
+broadcast to their draws, so that only one partial sum for each replicate and task is shuffled.
 """
 
 from __future__ import annotations
@@ -10,58 +11,99 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmark.functions.stats import partials, ratio
+from quillmark.functions.stats import label_index, partials, ratio
+from quillmark.operators.ordered import running
 
-#: Share of replicates that must be defined, and the least of them.
-VALID, FEWEST = 0.8, 20
-SUMS = ("n", "sa", "ss", "sy", "syy")
+#: Share of replicates that must be defined, and the least of them; most rows of a replicate; bytes of units that are broadcast.
+VALID, FEWEST, MOST_ROWS, BROADCAST = 0.8, 20, 2_000_000, 64 << 20
+SUMS = ("n", "sa", "ss", "sy", "syy", "lo", "hi")
+#: Sums that are combined by minimum or maximum rather than added up.
+_EXTREMES = {"lo": F.min, "hi": F.max}
+#: Most numbers made from a row at once.
+_BLOCK = 1024
 
 
-def draw(size: Column, *key: Column | str, mode: str = "md5") -> Column:
-    """A number from 0 to size - 1 from the parts of a key."""
+def draw(size: Column, *key: Column | str, mode: str = "xxhash64") -> Column:
+    """A number from 0 to size - 1 from the parts of a key, by a hash of 64 bits, or by 60 bits of md5, which other engines have too."""
     text = F.concat_ws("|", *(k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in key))
-    value = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") if mode == "md5" else F.xxhash64(text)
+    value = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long") if mode == "md5" else F.xxhash64(text)
     return F.pmod(value, size.cast("long"))
 
 
+def combined(sums: list[str]) -> list[Column]:
+    return [_EXTREMES.get(c, F.sum)(c).alias(c) for c in sums]
+
+
+def fitting(units: DataFrame) -> DataFrame:
+    """``units``, marked for broadcast if their counted rows are within BROADCAST bytes."""
+    return F.broadcast(units) if units.count() * 16 * (len(units.columns) + 1) <= BROADCAST else units
+
+
 def indexed(units: DataFrame, unit: str, strata: list[str]) -> DataFrame:
-    """``units`` (one row each) with slot, the place of a unit among its stratum's in string order, and size, the stratum's units."""
-    own = W.partitionBy(*strata) if strata else W.partitionBy(F.lit(0))
-    return units.withColumn("slot", F.row_number().over(own.orderBy(F.col(unit).cast("string"))) - 1).withColumn("size", F.count(F.lit(1)).over(own))
+    """``units`` (one row each) with slot, the place of a unit among its stratum's in string order, and size, the stratum's units. No task holds a whole stratum."""
+    named = units.withColumn("__unit", F.col(unit).cast("string")).withColumn("__one", F.lit(1).cast("long"))
+    placed = running(named, strata, "__unit", ["__one"]).withColumnRenamed("before___one", "slot").drop("__unit", "__one")
+    sizes = units.groupBy(*strata).agg(F.count(F.lit(1)).alias("size"))
+    return placed.join(sizes, strata) if strata else placed.crossJoin(sizes)
+
+
+def numbered(df: DataFrame, count: Column, name: str, first: Column | None = None) -> DataFrame:
+    """``df`` with a row for each number from ``first`` (0) on, ``count`` of them; no array is longer than _BLOCK or than a _BLOCK-th of the count."""
+    begin = F.lit(0).cast("long") if first is None else first.cast("long")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((count - 1) / _BLOCK).cast("long")))
+    rows = df.where(count > 0).withColumn("__begin", begin).withColumn("__count", count.cast("long")).withColumn("__block", blocks)
+    low, last = F.col("__block") * _BLOCK, F.least((F.col("__block") + 1) * _BLOCK, F.col("__count")) - 1
+    return rows.withColumn(name, F.explode(F.sequence(low + F.col("__begin"), last + F.col("__begin")))).drop("__begin", "__count", "__block")
 
 
 def unit_sums(df: DataFrame, y: str, p: str, unit: str, strata: list[str] | None = None) -> DataFrame:
-    """Regression sums of each unit."""
-    return df.groupBy(*(strata or []), unit).agg(*partials(F.col(y), F.col(p)))
+    """Regression sums of each unit; targets are taken from their mean over all rows, so that large offsets don't cancel."""
+    centred = df.crossJoin(df.agg(F.coalesce(F.avg(y), F.lit(0.0)).alias("__mean")))
+    return centred.groupBy(*(strata or []), unit).agg(*partials(F.col(y), F.col(p), F.col("__mean")))
+
 
+def drawn(table: DataFrame, resamples: int, seed: int, strata: list[str], mode: str) -> DataFrame:
+    """(strata, b, slot): as many draws with replacement from each stratum of an indexed ``table`` as it has units, for each replicate."""
+    slots = numbered(table.select(*strata, F.col("slot").alias("__slot"), "size"), F.lit(resamples), "b")
+    label = F.concat_ws("/", *(F.col(s).cast("string") for s in strata)) if strata else F.lit("")
+    return slots.select(*strata, "b", draw(F.col("size"), seed, label, F.col("b"), F.col("__slot"), mode=mode).alias("slot"))
 
-def replicates(units: DataFrame, unit: str, resamples: int, seed: int, sums: list[str], strata: list[str] | None = None, mode: str = "md5") -> DataFrame:
+
+def replicates(units: DataFrame, unit: str, resamples: int, seed: int, sums: list[str], strata: list[str] | None = None, mode: str = "xxhash64") -> DataFrame:
     """(b, sums): totals of ``resamples`` draws with replacement of whole units, within strata."""
     strata = strata or []
     table = indexed(units, unit, strata)
-    slots = table.select(*strata, "slot", "size", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    label = F.concat_ws("/", *(F.col(s).cast("string") for s in strata)) if strata else F.lit("")
-    drawn = slots.select(*strata, "b", draw(F.col("size"), seed, label, F.col("b"), F.col("slot"), mode=mode).alias("slot"))
-    return drawn.join(table.select(*strata, F.col("slot").cast("long").alias("slot"), *sums), [*strata, "slot"]).groupBy("b").agg(*(F.sum(c).alias(c) for c in sums))
+    return drawn(table, resamples, seed, strata, mode).join(fitting(table.select(*strata, "slot", *sums)), [*strata, "slot"]).groupBy("b").agg(*combined(sums))
 
 
-def hierarchical(units: DataFrame, root: str, unit: str, resamples: int, seed: int, sums: list[str]) -> DataFrame:
-    """(b, sums): roots are drawn, then as many units of each drawn root as it has."""
-    table = indexed(units, unit, [root]).withColumnRenamed("slot", "child").withColumnRenamed("size", "children")
-    roots = indexed(units.groupBy(root).agg(F.count(F.lit(1)).alias("children")), root, [])
-    slots = roots.select("slot", "size", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    first = slots.select("b", "slot", draw(F.col("size"), seed, "root", F.col("b"), F.col("slot")).alias("at"))
-    chosen = first.join(roots.select(F.col("slot").cast("long").alias("at"), root, "children"), "at")
-    below = chosen.select("b", "slot", root, "children", F.explode(F.sequence(F.lit(0), (F.col("children") - 1).cast("int"))).alias("c"))
-    second = below.select("b", root, draw(F.col("children"), seed, "child", F.col("b"), F.col("slot"), F.col("c")).alias("child"))
-    return second.join(table.select(root, F.col("child").cast("long").alias("child"), *sums), [root, "child"]).groupBy("b").agg(*(F.sum(c).alias(c) for c in sums))
+def nested(rows: DataFrame, levels: list[str], resamples: int, seed: int, sums: list[str], mode: str = "xxhash64") -> DataFrame:
+    """(b, sums): roots are drawn, then as many children of each drawn node as it has, level by level; ``rows`` is one row for each path of ``levels``.
+
+    With a row's id as the last level, rows of the leaves are drawn again as well. Multiplicities aren't stored: each drawn node is a row.
+    """
+    if not 1 <= len(levels) <= 8:
+        raise ValueError("one to eight levels are supported")
+    roots = indexed(rows.select(levels[0]).distinct(), levels[0], [])
+    first = numbered(roots.select(F.col("slot").alias("__slot"), "size"), F.lit(resamples), "b")
+    now = first.select("b", F.col("__slot").cast("string").alias("path"), draw(F.col("size"), seed, "root", F.col("b"), F.col("__slot"), mode=mode).alias("slot"))
+    now = now.join(fitting(roots.select("slot", levels[0])), "slot").select("b", "path", levels[0])
+    for k in range(1, len(levels)):
+        above, own, last = levels[:k], levels[k], k + 1 == len(levels)
+        kept = [*above, own, *(sums if last else [])]
+        table = indexed(rows.select(*kept) if last else rows.select(*kept).distinct(), own, above)
+        sizes = table.groupBy(*above).agg(F.max("size").alias("size"))
+        below = numbered(now.join(fitting(sizes), above), F.col("size"), "c")
+        name = "child" + (str(k) if k > 1 else "")
+        picked = below.select("b", F.concat_ws("|", "path", F.col("c").cast("string")).alias("path"), *above, draw(F.col("size"), seed, name, F.col("b"), F.col("path"), F.col("c"), mode=mode).alias("slot"))
+        now = picked.join(fitting(table.select(*above, own, "slot", *(sums if last else []))), [*above, "slot"]).drop("slot")
+    return (now if len(levels) > 1 else now.join(fitting(rows.select(levels[0], *sums)), levels[0])).groupBy("b").agg(*combined(sums))
 
 
 def metric_values(suffix: str = "") -> dict[str, Column]:
     """mae, rmse and r2 from sums; r2 is null for a constant target."""
-    n, sa, ss, sy, syy = (F.col(c + (suffix if c in ("sa", "ss") else "")) for c in SUMS)
+    n, sa, ss, sy, syy = (F.col(c + (suffix if c in ("sa", "ss") else "")) for c in SUMS[:5])
     sst = syy - sy * sy / n
-    return {"mae": sa / n, "rmse": F.sqrt(ss / n), "r2": F.when(sst > 1e-9 * syy, 1 - ss / sst)}
+    return {"mae": sa / n, "rmse": F.sqrt(ss / n), "r2": F.when((F.col("lo") < F.col("hi")) & (sst > 1e-13 * syy), 1 - ss / sst)}
 
 
 def interval(values: DataFrame, column: str, resamples: int, by: list[str] | None = None, level: float = 0.95) -> DataFrame:
@@ -75,55 +117,118 @@ def interval(values: DataFrame, column: str, resamples: int, by: list[str] | Non
     return out.select(*(by or []), F.when(enough, F.col("lower")).alias("lower"), F.when(enough, F.col("upper")).alias("upper"), "valid_resamples", F.when(enough, "evaluated").otherwise("insufficient_valid_resamples").alias("status"))
 
 
-def intervals(estimate: DataFrame, values: DataFrame, resamples: int, level: float = 0.95) -> DataFrame:
-    """(metric, estimate, lower, upper, valid_resamples, status) of the regression metrics from totals and from replicates."""
+def intervals(estimate: DataFrame, values: DataFrame, resamples: int, level: float = 0.95, most: int = MOST_ROWS) -> DataFrame:
+    """(metric, estimate, lower, upper, valid_resamples, status) of the regression metrics from totals and from replicates.
+
+    If any replicate holds more than ``most`` rows there are no intervals, and the status says so: no draw is ever left out to keep the limit.
+    """
     def long(df, name):
         one = F.array(*(F.struct(F.lit(m).alias("metric"), v.alias(name)) for m, v in metric_values().items()))
         return df.select(F.explode(one).alias("x")).select("x.*")
 
     points = long(estimate, "estimate")
     found = interval(long(values, "value"), "value", resamples, ["metric"], level)
-    status = F.when(F.col("estimate").isNull(), "undefined_point_estimate").otherwise(F.col("status"))
-    return points.join(found, "metric").select("metric", "estimate", "lower", "upper", "valid_resamples", status.alias("status"))
+    return guarded(points.join(found, "metric"), values, most)
+
+
+def guarded(found: DataFrame, values: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """``found`` (metric, estimate, lower, upper, valid_resamples, status) under the limit of rows in a replicate of ``values`` (n)."""
+    over = F.coalesce(F.col("__rows") > most, F.lit(False))
+    status = F.when(over, "not_supported_resource_limit").when(F.col("estimate").isNull(), "undefined_point_estimate").otherwise(F.col("status"))
+    limit = lambda c: F.when(~over, F.col(c)).alias(c)
+    joined = found.crossJoin(values.agg(F.max("n").alias("__rows")))
+    return joined.select("metric", "estimate", limit("lower"), limit("upper"), F.when(over, F.lit(0).cast("long")).otherwise(F.col("valid_resamples")).alias("valid_resamples"), status.alias("status"))
 
 
 def totals(units: DataFrame) -> DataFrame:
-    return units.agg(*(F.sum(c).alias(c) for c in SUMS))
+    return units.agg(*combined(list(SUMS)))
 
 
-def stratified_auroc(df: DataFrame, y: str, score: str, resamples: int, seed: int) -> DataFrame:
+def stratified_auroc(df: DataFrame, y: str, score: str, resamples: int, seed: int, mode: str = "xxhash64") -> DataFrame:
     """(b, auroc): each class keeps its number of rows.
 
     Rows shrink to a count for each distinct score and class; a drawn row number falls into the score whose running count covers it.
     """
     from quillmark.operators.metrics import auroc
-    from quillmark.operators.ordered import running
 
-    counts = df.groupBy(y, score).agg(F.count(F.lit(1)).alias("k"))
-    placed = running(counts, [y], score, ["k"]).withColumnRenamed("before_k", "first")
-    classes = counts.groupBy(y).agg(F.sum("k").alias("size"))
-    slots = classes.select(y, "size", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).select(y, "size", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("slot"))
-    at = slots.select(y, "b", draw(F.col("size"), seed, F.col(y), F.col("b"), F.col("slot")).alias("at")).groupBy(y, "b", "at").agg(F.count(F.lit(1)).alias("times"))
-    rows = placed.select(y, score, F.explode(F.sequence(F.col("first").cast("long"), (F.col("first") + F.col("k") - 1).cast("long"))).alias("at"))
-    drawn = at.join(rows, [y, "at"]).groupBy("b", y, score).agg(F.sum("times").alias("w"))
-    return auroc(drawn, y, score, ["b"], "w")
+    placed = _placed(df, y, score)
+    return auroc(_stratified(placed, y, resamples, seed, mode).withColumnRenamed("times", "w"), y, score, ["b"], "w")
+
+
+def _placed(df: DataFrame, y: str, *others: str) -> DataFrame:
+    """A row for each different (y, others) with k, its rows, first, those of its class before it, and size, those of its class."""
+    counts = df.groupBy(y, *others).agg(F.count(F.lit(1)).alias("k"))
+    order = others[0] if len(others) == 1 else "__order"
+    if len(others) != 1:
+        counts = counts.withColumn("__order", F.concat_ws("|", *(F.col(c).cast("string") for c in others)))
+    placed = running(counts, [y], order, ["k"]).withColumnRenamed("before_k", "first").drop("__order")
+    return placed.join(counts.groupBy(y).agg(F.sum("k").alias("size")), y)
+
+
+def _stratified(placed: DataFrame, y: str, resamples: int, seed: int, mode: str) -> DataFrame:
+    """(b, y, others, times) of draws of rows, as many in each class as it has. Every row of a class is a slot, and no array holds them all."""
+    others = [c for c in placed.columns if c not in (y, "k", "first", "size")]
+    rows = numbered(placed, F.col("k"), "slot", F.col("first"))
+    slots = numbered(rows.select(y, "size", F.col("slot").alias("__slot")), F.lit(resamples), "b")
+    at = slots.select(y, "b", draw(F.col("size"), seed, F.col(y), F.col("b"), F.col("__slot"), mode=mode).alias("slot"))
+    return at.join(fitting(rows.select(y, "slot", *others)), [y, "slot"]).groupBy("b", y, *others).agg(F.count(F.lit(1)).alias("times"))
+
+
+def _classes(cells: DataFrame, by: list[str], y: str, p: str, times: str) -> DataFrame:
+    """(by, n, accuracy, macro_f1, weighted_f1) from counts of (y, p); a class without rows and predictions has no part in macro_f1, one without hits has an f1 of 0."""
+    both = F.array(F.struct(F.col(y).alias("class"), F.col(times).alias("actual"), F.lit(0).cast("long").alias("said"), F.when(F.col(y) == F.col(p), F.col(times)).otherwise(0).alias("hit")), F.struct(F.col(p).alias("class"), F.lit(0).cast("long").alias("actual"), F.col(times).alias("said"), F.lit(0).cast("long").alias("hit")))
+    per = cells.select(*by, F.explode(both).alias("x")).groupBy(*by, F.col("x.class").alias("class")).agg(*(F.sum(f"x.{c}").alias(c) for c in ("actual", "said", "hit")))
+    f1 = 2 * F.col("hit") / (F.col("actual") + F.col("said"))
+    return per.groupBy(*by).agg(F.sum("actual").alias("n"), (F.sum("hit") / F.sum("actual")).alias("accuracy"), F.avg(f1).alias("macro_f1"), (F.sum(f1 * F.col("actual")) / F.sum("actual")).alias("weighted_f1"))
+
+
+def stratified_classes(df: DataFrame, y: str, p: str, resamples: int, seed: int, mode: str = "xxhash64") -> DataFrame:
+    """(b, n, accuracy, macro_f1, weighted_f1) of predicted classes: each class keeps its number of rows, whatever the number of classes."""
+    return _classes(_stratified(_placed(df, y, p), y, resamples, seed, mode), ["b"], y, p, "times")
+
+
+def class_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
+    """One row (n, accuracy, macro_f1, weighted_f1)."""
+    return _classes(df.groupBy(y, p).agg(F.count(F.lit(1)).alias("k")).withColumn("__all", F.lit(0)), ["__all"], y, p, "k").drop("__all")
+
+
+def cluster_classes(df: DataFrame, y: str, p: str, unit: str, resamples: int, seed: int, strata: list[str] | None = None, mode: str = "xxhash64") -> DataFrame:
+    """(b, n, accuracy, macro_f1, weighted_f1) of predicted classes under draws of whole units."""
+    strata = strata or []
+    cells = df.groupBy(*strata, unit, y, p).agg(F.count(F.lit(1)).alias("times"))
+    table = indexed(df.select(*strata, unit).distinct(), unit, strata)
+    held = table.select(*strata, unit, "slot").join(cells, [*strata, unit]).select(*strata, "slot", y, p, "times")
+    counted = drawn(table, resamples, seed, strata, mode).join(fitting(held), [*strata, "slot"]).groupBy("b", y, p).agg(F.sum("times").alias("times"))
+    return _classes(counted, ["b"], y, p, "times")
+
+
+def cluster_auroc(df: DataFrame, y: str, score: str, unit: str, resamples: int, seed: int, strata: list[str] | None = None, mode: str = "xxhash64") -> DataFrame:
+    """(b, auroc) under draws of whole units; rows shrink to a count for each unit, class and score first."""
+    from quillmark.operators.metrics import auroc
+
+    strata = strata or []
+    cells = df.groupBy(*strata, unit, y, score).agg(F.count(F.lit(1)).alias("times"))
+    table = indexed(df.select(*strata, unit).distinct(), unit, strata)
+    held = table.select(*strata, unit, "slot").join(cells, [*strata, unit]).select(*strata, "slot", y, score, "times")
+    counted = drawn(table, resamples, seed, strata, mode).join(fitting(held), [*strata, "slot"]).groupBy("b", y, score).agg(F.sum("times").alias("w"))
+    return auroc(counted, y, score, ["b"], "w")
 
 
-def flip(seed: int, permutation: Column, unit: Column) -> Column:
+def flip(seed: int, permutation: Column, unit: Column, mode: str = "xxhash64") -> Column:
     """A fair coin of a permutation and unit."""
-    return draw(F.lit(2), seed + 1, permutation, unit) == 1
+    return draw(F.lit(2), seed + 1, permutation, unit, mode=mode) == 1
 
 
-def swap_test(units: DataFrame, unit: str, permutations: int, seed: int, metric: str = "mae") -> DataFrame:
-    """(observed, extreme, valid, p_value): models are swapped by whole units; ``units`` has sa_a, ss_a, sa_b, ss_b and n.
+def swap_test(units: DataFrame, unit: str, permutations: int, seed: int, metric: str = "mae", mode: str = "xxhash64") -> DataFrame:
+    """(observed, extreme, valid, p_value): models are swapped by whole units; ``units`` has n and the sums of both models: sa_a and sa_b for mae, ss_a and ss_b for rmse, hit_a and hit_b for accuracy, loss_a and loss_b for log_loss.
 
     Two-sided: the share of permutations whose improvement is at least as large as the observed one, both counted with it.
     """
-    every = units.select("*", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("b"))
-    swapped = flip(seed, F.col("b"), F.col(unit))
+    every = numbered(units, F.lit(permutations), "b")
+    swapped = flip(seed, F.col("b"), F.col(unit), mode)
     pick = lambda c: (F.sum(F.when(swapped, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))), F.sum(F.when(swapped, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))))
-    value = {"mae": lambda s, n: s / n, "rmse": lambda s, n: F.sqrt(s / n)}[metric]
-    c = {"mae": "sa", "rmse": "ss"}[metric]
+    value = {"rmse": lambda s, n: F.sqrt(s / n), "accuracy": lambda s, n: -s / n}.get(metric, lambda s, n: s / n)  # more hits are better
+    c = {"mae": "sa", "rmse": "ss", "accuracy": "hit", "log_loss": "loss"}[metric]
     a, b = pick(c)
     permuted = every.groupBy("b").agg((value(b, F.sum("n")) - value(a, F.sum("n"))).alias("value"))
     seen = units.agg((value(F.sum(f"{c}_b"), F.sum("n")) - value(F.sum(f"{c}_a"), F.sum("n"))).alias("observed"))
@@ -131,6 +236,28 @@ def swap_test(units: DataFrame, unit: str, permutations: int, seed: int, metric:
     return joined.withColumn("p_value", (F.col("extreme") + 1) / (F.col("valid") + 1))
 
 
+def swap_outcome(tested: DataFrame, permutations: int, exchangeable: bool) -> DataFrame:
+    """``tested`` (a row of ``swap_test``) with status; p_value is null unless units were declared exchangeable and max(20, 80 %) of the permutations are valid."""
+    need = max(FEWEST, -(-int(VALID * 1000) * permutations // 1000))
+    status = F.when(F.lit(not exchangeable), "not_supported_exchangeability_not_declared").when(F.col("observed").isNull(), "undefined_point_estimate").when(F.col("valid") < need, "insufficient_valid_permutations").otherwise("evaluated")
+    return tested.withColumn("status", status).withColumn("p_value", F.when(F.col("status") == "evaluated", F.col("p_value")))
+
+
+def ladder(df: DataFrame, enabled: bool = True, least: int = 20) -> DataFrame:
+    """One row (status, n): whether intervals are computed at all: disabled, skipped_min_samples or evaluated."""
+    status = F.when(F.lit(not enabled), "disabled").when(F.col("n") < least, "skipped_min_samples").otherwise("evaluated")
+    return df.agg(F.count(F.lit(1)).alias("n")).select(status.alias("status"), "n")
+
+
+def family(slices: DataFrame, declared: DataFrame, keys: list[str], p: str, method: str, alpha: float = 0.05) -> DataFrame:
+    """``adjusted`` over the slices that a design declares and those that it doesn't: a declared slice that is absent has no p and the status missing_prespecified_slice."""
+    both = declared.select(*keys).distinct().withColumn("__declared", F.lit(True)).join(slices.withColumn("__there", F.lit(True)), keys, "full_outer")
+    label = F.concat_ws("/", *(F.col(k).cast("string") for k in keys))
+    found = adjusted(both.withColumn("__label", label), p, method, alpha, "__label")
+    status = F.when(F.col("__there").isNull(), "missing_prespecified_slice").otherwise(F.col("status"))
+    return found.withColumn("status", status).withColumn("prespecified", F.coalesce("__declared", F.lit(False))).drop("__declared", "__there", "__label")
+
+
 def plan_status(df: DataFrame, unit: str, parent: str | None = None, stratum: str | None = None, least: int = 5) -> DataFrame:
     """One row (status, n_units, min_size, max_size, median_size): whether the units fit for resampling."""
     checks = df.groupBy(unit).agg(F.count(F.lit(1)).alias("k"), (F.countDistinct(stratum) if stratum else F.lit(1)).alias("strata"), (F.countDistinct(parent) if parent else F.lit(1)).alias("parents"), (F.min(stratum) if stratum else F.lit("")).alias("of"))
@@ -161,4 +288,7 @@ def adjusted(df: DataFrame, p: str, method: str, alpha: float = 0.05, tie: str =
     return out.select(*df.columns, value.alias("adjusted_p"), F.coalesce(value <= alpha, F.lit(False)).alias("reject"), F.when(F.col(p).isNull(), "missing").otherwise("evaluated").alias("status"))
 
 
-__all__ = ["adjusted", "draw", "flip", "hierarchical", "indexed", "interval", "intervals", "plan_status", "ratio", "replicates", "stratified_auroc", "swap_test", "totals", "unit_sums"]
+__all__ = [
+    "adjusted", "class_metrics", "cluster_auroc", "cluster_classes", "combined", "draw", "drawn", "family", "fitting", "flip", "guarded", "indexed", "interval", "intervals", "label_index", "ladder", "nested",
+    "numbered", "plan_status", "ratio", "replicates", "stratified_auroc", "stratified_classes", "swap_outcome", "swap_test", "totals", "unit_sums",
+]

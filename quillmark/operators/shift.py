@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.functions.stats import DIRECTIONS, mae, missing, ratio, rmse
@@ -59,6 +62,45 @@ def degradation(df: DataFrame, cohort: str, y: str, p: str, columns: list[str],
     return out.select("slice_column", "slice_value", "n_reference", "n_current", "prevalence_change", (F.abs("prevalence_change") > prevalence_threshold).alias("material"), "degradation", ratio(F.col("degradation"), F.abs("mr")).alias("relative"), "status")
 
 
+def ranked(degradations: DataFrame) -> DataFrame:
+    """``degradations`` with rank: the worst evaluated slice is 1; ties by slice_column and slice_value; slices that aren't evaluated have none."""
+    fine = F.col("status") == "evaluated"
+    order = W.partitionBy(fine).orderBy(F.desc("degradation"), "slice_column", "slice_value")  # a row for each slice, not for each row of data
+    return degradations.withColumn("rank", F.when(fine, F.row_number().over(order)))
+
+
+def diagnose(df: DataFrame, cohort: str, key: str, y: str, p: str, slices: list[str], numbers: Sequence[str] = (), labels: Sequence[str] = (), unit: str | None = None, independent: bool = False, metric: str = "mae", resamples: int = 1000, seed: int = 13, least: int = 5) -> dict[str, DataFrame]:
+    """The whole diagnosis of two cohorts: slices (ranked degradations), numeric and categorical features, and overall (degradation, lower, upper, valid_resamples, status).
+
+    The interval draws the units of each cohort apart; it is only given for cohorts that are declared independent and share neither rows nor units.
+    """
+    from quillmark.operators import resampling
+
+    own, c = unit or key, {"mae": "sa", "rmse": "ss"}[metric]
+    e = F.col(y) - F.col(p)
+    units = df.groupBy(cohort, own).agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs(e) if c == "sa" else e * e).alias(c))
+    sums = []
+    for side in ("reference", "current"):
+        for x in ("n", c):
+            units = units.withColumn(f"{x}_{side}", F.when(F.col(cohort) == side, F.col(x)).otherwise(F.lit(0)))
+            sums.append(f"{x}_{side}")
+    value = lambda side: ratio(F.col(f"{c}_{side}"), F.col(f"n_{side}")) if c == "sa" else F.sqrt(ratio(F.col(f"{c}_{side}"), F.col(f"n_{side}")))
+    change = value("current") - value("reference")
+    point = units.agg(*(F.sum(x).alias(x) for x in sums)).select(change.alias("degradation"))
+    status = cohort_status(df, cohort, key, own, independent)
+    if status == "evaluated":
+        draws = resampling.replicates(units, own, resamples, seed, sums, [cohort]).select("b", change.alias("v"))
+        overall = point.crossJoin(resampling.interval(draws, "v", resamples))
+    else:
+        overall = point.select("degradation", F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"), F.lit(0).cast("long").alias("valid_resamples"), F.lit(status).alias("status"))
+    out = {"slices": ranked(degradation(df, cohort, y, p, slices, metric, least)), "overall": overall}
+    for name, columns, one in (("numeric", numbers, numeric), ("categorical", labels, categorical)):
+        for column in columns:
+            part = one(df, cohort, column)
+            out[name] = out[name].union(part) if name in out else part
+    return out
+
+
 def cohort_status(df: DataFrame, cohort: str, key: str, unit: str, independent: bool) -> str:
     """Whether an interval of the change may be given: cohorts must be declared independent and share neither rows nor units."""
     if not independent:

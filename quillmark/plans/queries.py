@@ -62,12 +62,12 @@ def _multi_sql() -> str:
     f1 = [f"coalesce(2.0::double*tp{k}/nullif(t{k}+g{k},0),0.0::double)" for k in range(3)]
     sums = ", ".join(f"sum((y={k} AND g={k})::int)::double AS tp{k}, sum((y={k})::int)::double AS t{k}, sum((g={k})::int)::double AS g{k}" for k in range(3))
     return f"""WITH {MULTI}, v AS (SELECT y, probs, list_position(probs, list_max(probs))-1 AS g FROM eval_multi),
- b AS (SELECT count(*) AS n, avg((y=g)::int) AS accuracy, avg(-ln(greatest(least(probs[y+1],1-2.220446049250313e-16),2.220446049250313e-16))) AS log_loss, avg(list_max(probs)) AS mc,
+ b AS (SELECT count(*) AS n, avg((y=g)::int) AS accuracy, avg(-ln(greatest(least(probs[y+1],1-2.220446049250313e-16),2.220446049250313e-16))) AS log_loss, avg(list_max(probs)) AS mc, min(list_max(probs)) AS mic, max(list_max(probs)) AS mac,
  avg(-(probs[1]*ln(probs[1])+probs[2]*ln(probs[2])+probs[3]*ln(probs[3]))) AS me, {sums} FROM v),
  e AS (SELECT unnest([0,1,2]) AS k, unnest(probs) AS score, y FROM v), s AS (SELECT k, score, sum((y=k)::int)::double AS pos, sum((y<>k)::int)::double AS neg FROM e GROUP BY k, score),
  c AS (SELECT *, sum(neg) OVER (PARTITION BY k ORDER BY score) AS cneg FROM s), a AS (SELECT k, sum(pos*(cneg-neg/2))/(sum(pos)*sum(neg)) AS auroc FROM c GROUP BY k)
  SELECT n, round(accuracy,6) AS accuracy, round(({'+'.join(f1)})/3,6) AS macro_f1, round(({'+'.join(f'{x}*t{k}' for k, x in enumerate(f1))})/n,6) AS weighted_f1, round(log_loss,6) AS log_loss,
- round(mc,6) AS mean_confidence, round(me,6) AS mean_entropy, round((SELECT avg(auroc) FROM a),6) AS macro_auroc_ovr FROM b"""
+ round(mc,6) AS mean_confidence, round(mic,6) AS min_confidence, round(mac,6) AS max_confidence, round(me,6) AS mean_entropy, round((SELECT avg(auroc) FROM a),6) AS macro_auroc_ovr FROM b"""
 
 
 @query(_multi_sql())
@@ -154,6 +154,19 @@ def paired_alignment(spark, sf_dir):
     return rounded(paired.alignment(a, b, "sample_id", "y", ["region"]))
 
 
+@query(f"""WITH {BIN}, v AS (SELECT CASE WHEN sample_id%400=3 THEN '  ' WHEN sample_id%400=5 THEN NULL ELSE (sample_id-(sample_id%500=7)::int)::varchar END AS id, CASE WHEN sample_id%300=1 THEN 7.0 ELSE y END::double AS y,
+ CASE WHEN sample_id%700=2 THEN 'inf'::double WHEN sample_id%700=4 THEN 'nan'::double WHEN sample_id%700=6 THEN 1.5 ELSE score END AS score FROM eval_bin), k AS (SELECT id, count(*) AS k FROM v GROUP BY id)
+ SELECT (SELECT count(*) FROM v) AS "rows", (SELECT count(*) FROM v WHERE id IS NULL OR trim(id)='') AS blank_ids, (SELECT sum(k-1)::bigint FROM k WHERE trim(id)<>'') AS repeated_ids,
+ count(*) FILTER (isnan(score) OR isinf(score) OR score IS NULL) AS not_finite, count(*) FILTER (y NOT IN (0,1)) AS bad_targets, count(*) FILTER (score<0 OR score>1) AS out_of_range FROM v""")
+def paired_faults(spark, sf_dir):
+    k = F.col("sample_id")
+    v = eval_bin(spark, sf_dir).select(
+        F.when(k % 400 == 3, "  ").when(k % 400 == 5, None).otherwise((k - (k % 500 == 7).cast("int")).cast("string")).alias("id"), F.when(k % 300 == 1, 7.0).otherwise(F.col("y")).cast("double").alias("y"),
+        F.when(k % 700 == 2, float("inf")).when(k % 700 == 4, float("nan")).when(k % 700 == 6, 1.5).otherwise(F.col("score")).alias("score"),
+    )
+    return rounded(paired.faults(v, "id", "y", "score", "binary"))
+
+
 def _improve(source: str, keys: str) -> str:
     value = {
         "mae": ("avg(abs(y-{p}))", -1), "rmse": ("sqrt(avg((y-{p})*(y-{p})))", -1), "r2": ("1-sum((y-{p})*(y-{p}))/nullif(var_pop(y)*count(*),0)", 1),
@@ -176,12 +189,14 @@ def paired_slices(spark, sf_dir):
     return rounded(paired.slice_improvement(eval_reg(spark, sf_dir), "y", "p_a", "p_b", _SLICED, 5, 0.05))
 
 
-_H = "(('0x'||substr(md5({k}),1,8))::bigint)"
-_SUMS = "count(*) AS n, sum(abs(y-p_a)) AS sa, sum((y-p_a)*(y-p_a)) AS ss, sum(y) AS sy, sum(y*y) AS syy"
+_H = "(('0x'||substr(md5({k}),1,15))::bigint)"
+_SUMS = "count(*) AS n, sum(abs(y-p_a)) AS sa, sum((y-p_a)*(y-p_a)) AS ss, sum(y-m) AS sy, sum((y-m)*(y-m)) AS syy, min(y) AS lo, max(y) AS hi"
+_CENTRED = "(SELECT *, avg(y) OVER () AS m FROM eval_reg)"
+_TOTAL = "sum(n)::bigint AS n, sum(sa) AS sa, sum(ss) AS ss, sum(sy) AS sy, sum(syy) AS syy, min(lo) AS lo, max(hi) AS hi"
 
 
 def _metric_rows(source: str, extra: str = "") -> str:
-    each = {"mae": "sa/n", "rmse": "sqrt(ss/n)", "r2": "CASE WHEN syy-sy*sy/n > 1e-9*syy THEN 1-ss/(syy-sy*sy/n) END"}
+    each = {"mae": "sa/n", "rmse": "sqrt(ss/n)", "r2": "CASE WHEN lo < hi THEN 1-ss/(syy-sy*sy/n) END"}
     return " UNION ALL ".join(f"SELECT {extra} '{m}' AS metric, {v} AS v FROM {source}" for m, v in each.items())
 
 
@@ -192,15 +207,16 @@ def _interval(replicates: str, totals: str) -> str:
 
 def _boot(unit: str, stratum: str) -> str:
     s = f"{stratum} AS st," if stratum else "'' AS st,"
-    return f"""u AS (SELECT {s} {unit} AS unit, {_SUMS} FROM eval_reg GROUP BY 1,2), x AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY unit::varchar COLLATE "C")-1 AS slot, count(*) OVER (PARTITION BY st) AS size FROM u),
+    return f"""u AS (SELECT {s} {unit} AS unit, {_SUMS} FROM {_CENTRED} GROUP BY 1,2), x AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY unit::varchar COLLATE "C")-1 AS slot, count(*) OVER (PARTITION BY st) AS size FROM u),
  d AS (SELECT st, b, {_H.format(k=f"'{SEED}|'||st||'|'||b||'|'||slot")}%size AS at FROM x, range({R}) t(b)),
- r AS (SELECT d.b, sum(n)::bigint AS n, sum(sa) AS sa, sum(ss) AS ss, sum(sy) AS sy, sum(syy) AS syy FROM d JOIN x ON d.st=x.st AND d.at=x.slot GROUP BY d.b),
- t AS (SELECT sum(n)::bigint AS n, sum(sa) AS sa, sum(ss) AS ss, sum(sy) AS sy, sum(syy) AS syy FROM u)"""
+ r AS (SELECT d.b, {_TOTAL} FROM d JOIN x ON d.st=x.st AND d.at=x.slot GROUP BY d.b),
+ t AS (SELECT {_TOTAL} FROM u)"""
 
 
-def _boot_query(spark, sf_dir, unit, strata):
-    units = resampling.unit_sums(eval_reg(spark, sf_dir), "y", "p_a", unit, strata)
-    found = resampling.replicates(units, unit, R, SEED, list(resampling.SUMS), strata)
+def _boot_query(spark, sf_dir, unit, strata, offset=0.0):
+    v = eval_reg(spark, sf_dir).withColumn("y", F.col("y") + offset).withColumn("p_a", F.col("p_a") + offset)
+    units = resampling.unit_sums(v, "y", "p_a", unit, strata)
+    found = resampling.replicates(units, unit, R, SEED, list(resampling.SUMS), strata, "md5")
     return rounded(resampling.intervals(resampling.totals(units), found, R))
 
 
@@ -214,21 +230,30 @@ def boot_cluster(spark, sf_dir):
     return _boot_query(spark, sf_dir, "unit", None)
 
 
+_OFFSET = REG.replace("eval_reg AS (", "eval_raw AS (") + ", eval_reg AS (SELECT * REPLACE (y+1e9::double AS y, p_a+1e9::double AS p_a) FROM eval_raw)"
+
+
+@query(f"WITH {_OFFSET}, {_boot('unit', '').replace(' COLLATE \"C\"', '')} {_interval('r', 't')}".replace(",6)", ",4)"))
+def boot_cluster_offset(spark, sf_dir):
+    found = _boot_query(spark, sf_dir, "unit", None, 1e9)
+    return found.select("metric", *(F.round(c, 4).alias(c) for c in ("estimate", "lower", "upper")), "valid_resamples", "status")
+
+
 @query(f"WITH {REG}, {_boot('unit', 'stratum').replace(' COLLATE \"C\"', '')} {_interval('r', 't')}")
 def boot_cluster_strata(spark, sf_dir):
     return _boot_query(spark, sf_dir, "unit", ["stratum"])
 
 
-@query(f"""WITH {REG}, u AS (SELECT nation AS st, unit, {_SUMS} FROM eval_reg GROUP BY 1,2), x AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY unit::varchar)-1 AS child, count(*) OVER (PARTITION BY st) AS children FROM u),
+@query(f"""WITH {REG}, u AS (SELECT nation AS st, unit, {_SUMS} FROM {_CENTRED} GROUP BY 1,2), x AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY unit::varchar)-1 AS child, count(*) OVER (PARTITION BY st) AS children FROM u),
  q AS (SELECT st, children, row_number() OVER (ORDER BY st)-1 AS slot, count(*) OVER () AS size FROM (SELECT DISTINCT st, children FROM x)),
  f AS (SELECT b, slot, {_H.format(k=f"'{SEED}|root|'||b||'|'||slot")}%size AS at FROM q, range({R}) t(b)),
  g AS (SELECT f.b, f.slot, q.st, q.children, unnest(range(q.children)) AS c FROM f JOIN q ON f.at=q.slot),
  h AS (SELECT b, st, {_H.format(k=f"'{SEED}|child|'||b||'|'||slot||'|'||c")}%children AS child FROM g),
- r AS (SELECT h.b, sum(n)::bigint AS n, sum(sa) AS sa, sum(ss) AS ss, sum(sy) AS sy, sum(syy) AS syy FROM h JOIN x ON h.st=x.st AND h.child=x.child GROUP BY h.b),
- t AS (SELECT sum(n)::bigint AS n, sum(sa) AS sa, sum(ss) AS ss, sum(sy) AS sy, sum(syy) AS syy FROM u) {_interval('r', 't')}""")
+ r AS (SELECT h.b, {_TOTAL} FROM h JOIN x ON h.st=x.st AND h.child=x.child GROUP BY h.b),
+ t AS (SELECT {_TOTAL} FROM u) {_interval('r', 't')}""")
 def boot_hier(spark, sf_dir):
     units = resampling.unit_sums(eval_reg(spark, sf_dir), "y", "p_a", "unit", ["nation"])
-    return rounded(resampling.intervals(resampling.totals(units), resampling.hierarchical(units, "nation", "unit", R, SEED, list(resampling.SUMS)), R))
+    return rounded(resampling.intervals(resampling.totals(units), resampling.nested(units, ["nation", "unit"], R, SEED, list(resampling.SUMS), "md5"), R))
 
 
 @query(f"""WITH {BIN}, k AS (SELECT y, score, count(*) AS k FROM eval_bin GROUP BY 1,2), p AS (SELECT *, sum(k) OVER (PARTITION BY y ORDER BY score)-k AS f FROM k), c AS (SELECT y, sum(k)::bigint AS size FROM k GROUP BY y),
@@ -237,10 +262,64 @@ def boot_hier(spark, sf_dir):
  w AS (SELECT *, sum(neg) OVER (PARTITION BY b ORDER BY score) AS cneg FROM d), v AS (SELECT b, sum(pos*(cneg-neg/2))/(sum(pos)*sum(neg)) AS auroc FROM w GROUP BY b)
  SELECT 'auroc' AS metric, round(quantile_cont(auroc,0.025),6) AS lower, round(quantile_cont(auroc,0.975),6) AS upper, count(*) AS valid_resamples, 'evaluated' AS status FROM v""")
 def boot_stratified(spark, sf_dir):
-    values = resampling.stratified_auroc(eval_bin(spark, sf_dir), "y", "score", R, SEED)
+    values = resampling.stratified_auroc(eval_bin(spark, sf_dir), "y", "score", R, SEED, "md5")
     return rounded(resampling.interval(values, "auroc", R).select(F.lit("auroc").alias("metric"), "*"))
 
 
+@query(f"""WITH {MULTI}, v AS (SELECT y, list_position(probs, list_max(probs))-1 AS g FROM eval_multi), k AS (SELECT y, g, count(*) AS k FROM v GROUP BY 1,2), p AS (SELECT *, sum(k) OVER (PARTITION BY y ORDER BY g)-k AS f FROM k), c AS (SELECT y, sum(k)::bigint AS size FROM k GROUP BY y),
+ s AS (SELECT y, size, b, unnest(range(size)) AS slot FROM c, range(50) t(b)), a AS (SELECT y, b, {_H.format(k=f"'{SEED}|'||y||'|'||b||'|'||slot")}%size AS at FROM s),
+ d AS (SELECT a.b, p.y, p.g, count(*) AS w FROM a JOIN p ON a.y=p.y AND a.at>=p.f AND a.at<p.f+p.k GROUP BY ALL), x AS (SELECT b, y AS c, w AS t, 0 AS s, CASE WHEN y=g THEN w ELSE 0 END AS h FROM d UNION ALL SELECT b, g, 0, w, 0 FROM d),
+ f AS (SELECT b, c, sum(t)::double AS t, sum(s)::double AS s, sum(h)::double AS h FROM x GROUP BY 1,2), m AS (SELECT b, sum(h)/sum(t) AS accuracy, avg(2*h/(t+s)) AS macro_f1, sum(2*h/(t+s)*t)/sum(t) AS weighted_f1 FROM f GROUP BY b)
+ SELECT metric, round(quantile_cont(v,0.025),6) AS lower, round(quantile_cont(v,0.975),6) AS upper, count(v) AS valid_resamples, 'evaluated' AS status FROM (UNPIVOT m ON accuracy, macro_f1, weighted_f1 INTO NAME metric VALUE v) GROUP BY metric""")
+def boot_stratified_multiclass(spark, sf_dir):
+    v = eval_multi(spark, sf_dir).select("y", (F.array_position("probs", F.array_max("probs")) - 1).cast("int").alias("g"))
+    values = resampling.stratified_classes(v, "y", "g", 50, SEED, "md5")
+    long = values.select("b", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("accuracy", "macro_f1", "weighted_f1")))).alias("x")).select("b", "x.*")
+    return rounded(resampling.interval(long, "v", 50, ["metric"]))
+
+
+_DRAWN = f"""x AS (SELECT unit, row_number() OVER (ORDER BY unit::varchar)-1 AS slot, count(*) OVER () AS size FROM (SELECT DISTINCT unit FROM eval_bin)),
+ d AS (SELECT b, {_H.format(k=f"'{SEED}||'||b||'|'||slot")}%size AS at FROM x, range(50) t(b)), z AS (SELECT d.b, e.y, e.score FROM d JOIN x ON d.at=x.slot JOIN eval_bin e ON e.unit=x.unit)"""
+
+
+@query(f"""WITH {BIN}, {_DRAWN}, g AS (SELECT b, score, sum(y)::double AS pos, sum(1-y)::double AS neg FROM z GROUP BY 1,2), w AS (SELECT *, sum(neg) OVER (PARTITION BY b ORDER BY score) AS cneg FROM g),
+ a AS (SELECT b, sum(pos*(cneg-neg/2))/(sum(pos)*sum(neg)) AS auroc FROM w GROUP BY b), h AS (SELECT b, avg((y=(score>=0.5)::int)::int) AS accuracy FROM z GROUP BY b)
+ SELECT 'auroc' AS metric, round(quantile_cont(auroc,0.025),6) AS lower, round(quantile_cont(auroc,0.975),6) AS upper, count(auroc) AS valid_resamples, 'evaluated' AS status FROM a
+ UNION ALL SELECT 'accuracy', round(quantile_cont(accuracy,0.025),6), round(quantile_cont(accuracy,0.975),6), count(accuracy), 'evaluated' FROM h""")
+def boot_cluster_binary(spark, sf_dir):
+    v = eval_bin(spark, sf_dir).withColumn("g", (F.col("score") >= 0.5).cast("int"))
+    areas = resampling.interval(resampling.cluster_auroc(v, "y", "score", "unit", 50, SEED, None, "md5"), "auroc", 50).select(F.lit("auroc").alias("metric"), "*")
+    hits = resampling.interval(resampling.cluster_classes(v, "y", "g", "unit", 50, SEED, None, "md5"), "accuracy", 50).select(F.lit("accuracy").alias("metric"), "*")
+    return rounded(areas.union(hits))
+
+
+def _levels_sql() -> str:
+    h = lambda *k: _H.format(k="||'|'||".join(k))
+    return f"""WITH {REG}, e AS (SELECT region, nation, sample_id, y, p_a, row_number() OVER (PARTITION BY region, nation ORDER BY sample_id::varchar)-1 AS s3, count(*) OVER (PARTITION BY region, nation) AS n3 FROM eval_reg WHERE sample_id%20=3),
+ n AS (SELECT region, nation, n3, row_number() OVER (PARTITION BY region ORDER BY nation)-1 AS s2, count(*) OVER (PARTITION BY region) AS n2 FROM (SELECT DISTINCT region, nation, n3 FROM e)),
+ r AS (SELECT region, n2, row_number() OVER (ORDER BY region)-1 AS s1, count(*) OVER () AS n1 FROM (SELECT DISTINCT region, n2 FROM n)),
+ a AS (SELECT b, s1::varchar AS path, {h(f"'{SEED}|root'", "b", "s1")}%n1 AS at FROM r, range(20) t(b)), b2 AS (SELECT a.b, path, r.region, n2, unnest(range(n2)) AS c FROM a JOIN r ON a.at=r.s1),
+ c2 AS (SELECT b, path||'|'||c AS path, region, {h(f"'{SEED}|child'", "b", "path", "c")}%n2 AS at FROM b2), b3 AS (SELECT c2.b, c2.path, n.region, n.nation, n3, unnest(range(n3)) AS c FROM c2 JOIN n ON c2.region=n.region AND c2.at=n.s2),
+ c3 AS (SELECT b, region, nation, {h(f"'{SEED}|child2'", "b", "path", "c")}%n3 AS at FROM b3)
+ SELECT b, count(*) AS n, round(avg(abs(y-p_a)),6) AS mae FROM c3 JOIN e ON c3.region=e.region AND c3.nation=e.nation AND c3.at=e.s3 GROUP BY b"""
+
+
+@query(_levels_sql())
+def boot_levels_and_rows(spark, sf_dir):
+    """Regions, their nations, and rows of these, each drawn again."""
+    v = eval_reg(spark, sf_dir).where("sample_id % 20 = 3").select("region", "nation", "sample_id", F.lit(1).cast("long").alias("n"), F.abs(F.col("y") - F.col("p_a")).alias("sa"))
+    return rounded(resampling.nested(v, ["region", "nation", "sample_id"], 20, SEED, ["n", "sa"], "md5").select("b", "n", (F.col("sa") / F.col("n")).alias("mae")))
+
+
+@query("""WITH f(slice_column, slice_value, p, d) AS (VALUES ('site','a',0.01::double,true), ('site','b',0.2,true), ('site','c',NULL,true), ('lang','x',0.03,false), ('site','d',NULL,true)),
+ r AS (SELECT *, row_number() OVER (ORDER BY coalesce(p,1), slice_column||'/'||slice_value) AS k FROM f), w AS (SELECT *, coalesce(p,1)*5/k AS x FROM r), a AS (SELECT *, least(min(x) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),1) AS v FROM w)
+ SELECT slice_column, slice_value, p, round(CASE WHEN p IS NOT NULL THEN v END,6) AS adjusted_p, coalesce(p IS NOT NULL AND v<=0.05,false) AS reject, CASE WHEN slice_value='d' THEN 'missing_prespecified_slice' WHEN p IS NULL THEN 'missing' ELSE 'evaluated' END AS status, d AS prespecified FROM a""")
+def family_prespecified(spark, sf_dir):
+    slices = spark.createDataFrame([("site", "a", 0.01), ("site", "b", 0.2), ("site", "c", None), ("lang", "x", 0.03)], "slice_column string, slice_value string, p double")
+    declared = spark.createDataFrame([("site", v) for v in "abcd"], "slice_column string, slice_value string")
+    return rounded(resampling.family(slices, declared, ["slice_column", "slice_value"], "p", "bh"))
+
+
 _PAIR = "count(*) AS n, sum(abs(y-p_a)) AS sa_a, sum(abs(y-p_b)) AS sa_b, sum((y-p_a)*(y-p_a)) AS ss_a, sum((y-p_b)*(y-p_b)) AS ss_b"
 
 
@@ -257,7 +336,7 @@ def _pair_sums(df, unit):
 def boot_paired_cluster(spark, sf_dir):
     units = _pair_sums(eval_reg(spark, sf_dir), "unit")
     value = (F.col("sa_b") - F.col("sa_a")) / F.col("n")
-    found = resampling.replicates(units, "unit", R, SEED, ["n", "sa_a", "sa_b"]).select("b", value.alias("v"))
+    found = resampling.replicates(units, "unit", R, SEED, ["n", "sa_a", "sa_b"], None, "md5").select("b", value.alias("v"))
     point = units.agg(*(F.sum(c).alias(c) for c in ("n", "sa_a", "sa_b"))).select(value.alias("improvement"))
     both = point.crossJoin(resampling.interval(found, "v", R).drop("status"))
     decision, noninferior = paired.interval_decision(F.col("lower"), F.col("upper"), 0.05, 0.5)
@@ -276,7 +355,7 @@ def boot_delta_cohorts(spark, sf_dir):
         units = units.withColumn(f"n_{who}", F.when(F.col("cohort") == who, F.col("n"))).withColumn(f"sa_{who}", F.when(F.col("cohort") == who, F.col("sa")))
     sums = ["n_reference", "n_current", "sa_reference", "sa_current"]
     delta = F.col("sa_current") / F.col("n_current") - F.col("sa_reference") / F.col("n_reference")
-    found = resampling.replicates(units, "sample_id", R, SEED, sums, ["cohort"]).select("b", delta.alias("v"))
+    found = resampling.replicates(units, "sample_id", R, SEED, sums, ["cohort"], "md5").select("b", delta.alias("v"))
     point = units.agg((side("sa", "current") / side("n", "current") - side("sa", "reference") / side("n", "reference")).alias("degradation"))
     return rounded(point.crossJoin(resampling.interval(found, "v", R).select("lower", "upper", "valid_resamples")))
 
@@ -289,12 +368,12 @@ def _swap(unit: str) -> str:
 
 @query(_swap("sample_id"))
 def swap_test(spark, sf_dir):
-    return rounded(resampling.swap_test(_pair_sums(eval_reg(spark, sf_dir), "sample_id"), "sample_id", R, SEED))
+    return rounded(resampling.swap_test(_pair_sums(eval_reg(spark, sf_dir), "sample_id"), "sample_id", R, SEED, "mae", "md5"))
 
 
 @query(_swap("unit"))
 def swap_test_cluster(spark, sf_dir):
-    return rounded(resampling.swap_test(_pair_sums(eval_reg(spark, sf_dir), "unit"), "unit", R, SEED))
+    return rounded(resampling.swap_test(_pair_sums(eval_reg(spark, sf_dir), "unit"), "unit", R, SEED, "mae", "md5"))
 
 
 @query(f"""WITH {REG}, k AS (SELECT unit, count(*) AS k FROM eval_reg GROUP BY 1), a AS (SELECT count(*) AS n_units, min(k) AS min_size, max(k) AS max_size, quantile_cont(k,0.5) AS median_size FROM k),
@@ -568,3 +647,186 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["QUERIES", "SQL", "flagship", "partials"]
+
+
+_BY_SITE = """sm AS (SELECT 'm'||k AS model, nation AS site, count(*) AS n, avg(abs(y-y*(1+((sample_id*(37+2*k))%101-50)/500.0::double))) AS value FROM eval_reg, range(3) t(k) GROUP BY 1,2)"""
+
+
+def _by_site(spark, sf_dir):
+    v = eval_reg(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    p = F.col("y") * (1 + ((F.col("sample_id") * (37 + 2 * F.col("k"))) % 101 - 50) / 500.0)
+    rows = v.groupBy(F.concat(F.lit("m"), F.col("k").cast("string")).alias("model"), F.col("nation").alias("site")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y") - p)).alias("value"))
+    return rows.select("*", F.lit("mae").alias("metric"), F.lit("regression").alias("task"), F.lit("p@1").alias("protocol"), F.lit(None).cast("string").alias("benchmark"), F.lit(True).alias("verified"))
+
+
+@query(f"""WITH {REG}, {_BY_SITE} SELECT model, 'mae' AS metric, round(sum(value*n)/sum(n),6) AS pooled, 'pooled' AS status, round(min(value),6) AS "min", round(max(value),6) AS "max", round(max(value)-min(value),6) AS spread, round((max(value)-min(value))/abs(min(value)),6) AS relative,
+ arg_min(site, value) AS best_sites, arg_max(site, value) AS worst_sites, max(value)-min(value)>1.0 AS material FROM sm GROUP BY model""")
+def aggregate_receipts(spark, sf_dir):
+    return rounded(evidence.aggregated(_by_site(spark, sf_dir), "mae", approved={"model": ["m0", "m1", "m2"]}, material=1.0))
+
+
+@query(f"""WITH {REG}, u AS (SELECT nation AS site, count(DISTINCT unit) AS units FROM eval_reg GROUP BY 1), r AS (SELECT site, units FROM u UNION ALL SELECT site, CASE WHEN length(site)%3=0 THEN units+1 ELSE units END FROM u)
+ SELECT site, CASE WHEN count(DISTINCT units)=1 THEN min(units) END AS units, CASE WHEN count(DISTINCT units)>1 THEN 'inconsistent_units' WHEN min(units)<50 THEN 'below_population_floor' ELSE 'evaluated' END AS status FROM r GROUP BY site""")
+def population_units(spark, sf_dir):
+    units = eval_reg(spark, sf_dir).groupBy(F.col("nation").alias("site")).agg(F.countDistinct("unit").alias("units"))
+    again = units.withColumn("units", F.when(F.length("site") % 3 == 0, F.col("units") + 1).otherwise(F.col("units")))
+    return rounded(evidence.population_units(units.union(again), 50))
+
+
+_SERIES = """w AS (SELECT (dense_rank() OVER (ORDER BY date_trunc('week',ts)))-1 AS position, event_type AS slice_value, (score>=0.5)::int=y AS hit FROM eval_bin JOIN events ON event_id=sample_id),
+ e AS (SELECT position, 'event_type' AS slice_column, slice_value, avg(hit::int) AS estimate, avg(hit::int)-0.01*(1+position) AS lower, avg(hit::int)+0.02 AS upper, 0.95::double-0.01*position AS level FROM w WHERE NOT (position=2 AND slice_value='click') GROUP BY 1,3)"""
+
+
+def _series(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    v = eval_bin(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("sample_id"), "event_type"), "sample_id")
+    weeks = v.select(F.date_trunc("week", "ts").alias("week")).distinct()
+    weeks = weeks.withColumn("position", F.row_number().over(W.orderBy("week")) - 1)
+    hit = F.avg(((F.col("score") >= 0.5).cast("int") == F.col("y")).cast("int"))
+    rows = v.withColumn("week", F.date_trunc("week", "ts")).join(F.broadcast(weeks), "week").groupBy("position", F.col("event_type").alias("slice_value")).agg(hit.alias("estimate"))
+    rows = rows.where(~((F.col("position") == 2) & (F.col("slice_value") == "click")))
+    e = F.col("estimate")
+    return rows.select("position", F.lit("event_type").alias("slice_column"), "slice_value", "estimate", (e - 0.01 * (1 + F.col("position"))).alias("lower"), (e + 0.02).alias("upper"), (0.95 - 0.01 * F.col("position")).alias("level"))
+
+
+_TREND = f"""WITH {BIN}, {_SERIES}, g AS (SELECT * FROM (SELECT DISTINCT position FROM e), (SELECT DISTINCT slice_column, slice_value FROM e)), f AS (SELECT g.*, e.estimate, e.lower, e.upper, e.level, e.position IS NOT NULL AS there FROM g LEFT JOIN e USING (position, slice_column, slice_value)),
+ r AS (SELECT slice_value AS sv, estimate AS re, lower AS rl, upper AS ru, level AS rv FROM f WHERE position=0), x AS (SELECT f.*, re, rl, ru, rv, lag(estimate) OVER (PARTITION BY slice_column, slice_value ORDER BY position) AS prev FROM f LEFT JOIN r ON sv=slice_value),
+ b AS (SELECT *, CASE WHEN position=0 THEN 0 ELSE rl-upper END AS low, CASE WHEN position=0 THEN 0 ELSE ru-lower END AS high, re-estimate AS worse FROM x)"""
+
+
+@query(f"""{_TREND} SELECT position, slice_column, slice_value, round(estimate,6) AS estimate, round(estimate-re,6) AS from_reference, round(estimate-prev,6) AS from_previous, round(low,6) AS low, round(high,6) AS high,
+ round(CASE WHEN low IS NOT NULL THEN CASE WHEN position=0 THEN 1.0 ELSE greatest(0.0::double, level+rv-1) END END,6) AS coverage, CASE WHEN worse IS NULL THEN 'undefined' WHEN worse>0 AND worse>=0.005 THEN 'degraded' WHEN worse<0 AND worse<=-0.005 THEN 'improved' ELSE 'unchanged' END AS point_change,
+ CASE WHEN low IS NULL THEN 'undefined' WHEN low>0 AND low>=0.005 THEN 'confident_degradation' WHEN high<0 AND high<=-0.005 THEN 'confident_improvement' ELSE 'inconclusive' END AS interval_change, CASE WHEN NOT there THEN 'missing_slice' ELSE 'evaluated' END AS status FROM b""")
+def trend_slices(spark, sf_dir):
+    return rounded(evidence.trend_slices(_series(spark, sf_dir), "accuracy", threshold=0.005))
+
+
+@query(f"""{_TREND}, k AS (SELECT position, slice_column, slice_value, worse AS degradation, row_number() OVER (PARTITION BY position ORDER BY worse DESC, slice_value) AS place FROM b WHERE worse>0.0001)
+ SELECT position, place, slice_column, slice_value, round(degradation,6) AS degradation FROM k WHERE place<=2""")
+def trend_largest(spark, sf_dir):
+    return rounded(evidence.largest_degradations(evidence.trend_slices(_series(spark, sf_dir), "accuracy"), "accuracy", 0.0001, 2))
+
+
+@query(f"""WITH {REG}, {_BY_SITE}, s AS (SELECT model||'-'||site AS submission, model, '1' AS revision, value AS estimate, CASE WHEN length(site)%2=0 THEN value-0.1 END AS lower, CASE WHEN length(site)%2=0 THEN value+0.05 END AS upper FROM sm),
+ i AS (SELECT *, least(coalesce(lower,estimate),estimate) AS l, greatest(coalesce(upper,estimate),estimate) AS u FROM s), f AS (SELECT *, max(u) OVER (ORDER BY l, estimate, submission ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS front FROM i),
+ g AS (SELECT *, (sum(CASE WHEN front IS NULL OR l>front+0.01 THEN 1 ELSE 0 END) OVER (ORDER BY l, estimate, submission))::bigint AS rank_group FROM f)
+ SELECT row_number() OVER (ORDER BY estimate, model, revision, submission) AS place, model, revision, submission, round(estimate,6) AS estimate, round(coalesce(lower,estimate),6) AS lower, round(coalesce(upper,estimate),6) AS upper, rank_group FROM g""")
+def leaderboard(spark, sf_dir):
+    rows = _by_site(spark, sf_dir)
+    some = F.length("site") % 2 == 0
+    subs = rows.select(F.concat_ws("-", "model", "site").alias("submission"), F.lit("d").alias("digest"), "model", F.lit("1").alias("revision"), F.col("value").alias("estimate"), F.when(some, F.col("value") - 0.1).alias("lower"), F.when(some, F.col("value") + 0.05).alias("upper"), "verified")
+    return rounded(evidence.leaderboard(subs.union(subs.where("model = 'm1'")), "mae", 0.01))
+
+
+_GATES = [
+    {"name": "bound", "type": "upper_bound", "metric": "mae", "scope": "overall", "threshold": 50.0}, {"name": "floor", "type": "lower_bound", "metric": "r2", "scope": "overall", "threshold": 0.99},
+    {"name": "absolute", "type": "absolute_regression", "metric": "mae", "scope": "overall", "threshold": 0.1}, {"name": "relative", "type": "relative_regression", "metric": "mae", "scope": "worst", "threshold": 0.02},
+    {"name": "compared", "type": "comparison", "metric": "mae", "scope": "overall", "decisions": ["confident_improvement"]}, {"name": "design", "type": "status", "metric": "design", "scope": "overall", "decisions": ["pass", "warn"]},
+    {"name": "critical", "type": "maximum", "metric": "mae", "scope": "", "slices": ["region=ASIA", "region=EUROPE"], "threshold": 1e9}, {"name": "absent", "type": "maximum", "metric": "mae", "scope": "", "slices": ["region=ASIA", "region=MOON"], "threshold": 1e9},
+]
+
+
+@query(f"""WITH {REG}, o AS (SELECT avg(abs(y-p_a)) AS mae, avg(abs(y-p_b)) AS base FROM eval_reg), s AS (SELECT region, avg(abs(y-p_a)) AS mae, avg(abs(y-p_b)) AS base FROM eval_reg GROUP BY 1),
+ c AS (SELECT count(*) AS k, max(mae) AS m FROM s WHERE region IN ('ASIA','EUROPE')), r AS (SELECT 'bound' AS rule, mae+1 AS observed, 50.0::double AS threshold, mae+1<=50 AS ok FROM o UNION ALL SELECT 'floor', NULL, 0.99, NULL UNION ALL SELECT 'absolute', mae-base, 0.1, mae-base<=0.1 FROM o
+ UNION ALL SELECT 'relative', max((mae-base)/abs(base)), 0.02, max((mae-base)/abs(base))<=0.02 FROM s UNION ALL SELECT 'critical', CASE WHEN k=2 THEN m END, 1e9, CASE WHEN k=2 THEN m<=1e9 END FROM c UNION ALL SELECT 'absent', NULL, 1e9, NULL)
+ SELECT rule, round(observed,6) AS observed, threshold, CASE WHEN observed IS NULL THEN 'investigate' WHEN ok THEN 'pass' ELSE 'fail' END AS status FROM r UNION ALL SELECT 'compared', NULL, NULL, 'fail' UNION ALL SELECT 'design', NULL, NULL, 'pass'""")
+def gate_rules(spark, sf_dir):
+    v = eval_reg(spark, sf_dir)
+    a, b = F.abs(F.col("y") - F.col("p_a")), F.abs(F.col("y") - F.col("p_b"))
+    one = lambda df, scope: df.select(scope.alias("scope"), F.lit("mae").alias("metric"), F.col("e").alias("estimate"), F.lit("evaluated").alias("status"), F.lit(None).cast("double").alias("lower"), (F.col("e") + 1).alias("upper"), F.col("g").alias("baseline"), F.lit("inconclusive").alias("decision"))
+    sums = [F.avg(a).alias("e"), F.avg(b).alias("g")]
+    rows = one(v.agg(*sums), F.lit("overall")).union(one(v.groupBy("region").agg(*sums), F.concat(F.lit("region="), "region")))
+    more = spark.createDataFrame([("overall", "design", None, "warn", None, None, None, None), ("overall", "r2", 0.9, "evaluated", None, None, None, None)], rows.schema)
+    return rounded(evidence.gate(rows.union(more), _GATES))
+
+
+@query(f"""WITH {REG}, s AS ({_slices(_SLICED, 'eval_reg', 'cohort, y, p_a AS p')}), g AS (SELECT slice_column, slice_value, count(*) FILTER (cohort='reference') AS nr, count(*) FILTER (cohort='current') AS nc, avg(abs(y-p)) FILTER (cohort='current')-avg(abs(y-p)) FILTER (cohort='reference') AS d FROM s GROUP BY 1,2),
+ f AS (SELECT *, nr>=5 AND nc>=5 AS fine FROM g) SELECT slice_column, slice_value, round(CASE WHEN fine THEN d END,6) AS degradation, CASE WHEN fine THEN row_number() OVER (PARTITION BY fine ORDER BY d DESC, slice_column, slice_value) END AS "rank" FROM f""")
+def shift_ranked(spark, sf_dir):
+    return rounded(shift.diagnose(eval_reg(spark, sf_dir), "cohort", "sample_id", "y", "p_a", _SLICED)["slices"].select("slice_column", "slice_value", "degradation", "rank"))
+
+
+_DESIGN = {
+    "key": "sample_id", "role": "role", "evaluation": "test", "exclusions": [{"column": "lang", "op": "equals", "value": "en"}], "duplicates": {"columns": ["sample_id"]},
+    "overlap": {"columns": ["entity"], "pairs": [("train", "test"), ("validation", "test")]}, "repeated": {"entity": "entity", "policy": "review"}, "conflicts": {"entity": "entity", "target": "missing_target"},
+}
+
+
+@query(f"""WITH {AUDIT}, v AS (SELECT * FROM audit_rows WHERE NOT (role='test' AND lang IS NOT DISTINCT FROM 'en')), g AS (SELECT entity, bool_or(role='test') AS t, bool_or(role<>'test') AS o FROM v GROUP BY 1), o AS (SELECT count(*) AS k FROM v JOIN g USING (entity) WHERE t AND o),
+ r AS (SELECT coalesce(sum(k),0)::bigint AS k FROM (SELECT count(*) AS k FROM v GROUP BY role, entity HAVING count(*)>1 AND count(DISTINCT sample_id)>1))
+ SELECT 'duplicates' AS "check", 0::bigint AS affected_records, 'pass' AS status UNION ALL SELECT 'overlap', k, CASE WHEN k>0 THEN 'fail' ELSE 'pass' END FROM o UNION ALL SELECT 'repeated', k, CASE WHEN k>0 THEN 'warn' ELSE 'pass' END FROM r UNION ALL SELECT 'conflicts', 0, 'not_testable'""")
+def audit_design(spark, sf_dir):
+    return audit.audited(views.audit_rows(spark, sf_dir), _DESIGN)
+
+
+@query("""WITH f AS (SELECT p_partkey AS k, CASE WHEN p_partkey%2=0 THEN 'train' ELSE 'test' END AS role, list_distinct(list_concat([substr(p_name||p_type,i,3) FOR i IN range(1,length(p_name||p_type)-1)], [p_brand])) AS s FROM part)
+ SELECT a.k AS key_a, b.k AS key_b, round(len(list_intersect(a.s,b.s))::double/(len(a.s)+len(b.s)-len(list_intersect(a.s,b.s))),6) AS similarity FROM f a, f b WHERE a.role='train' AND b.role='test' AND len(list_intersect(a.s,b.s)) >= 0.8*(len(a.s)+len(b.s)-len(list_intersect(a.s,b.s)))-1e-9""")
+def audit_tanimoto(spark, sf_dir):
+    text = F.concat("p_name", "p_type")
+    grams = F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3)))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, "train").otherwise("test").alias("role"), F.array_union(grams, F.array("p_brand")).alias("set"))
+    return rounded(audit.tanimoto(rows, "p_partkey", "set", "role", [("train", "test")], 0.8))
+
+
+@query(f"""WITH {BIN}, v AS (SELECT *, CASE WHEN sample_id%10=0 THEN 'test' ELSE 'train' END AS role FROM eval_bin) SELECT count(*) FILTER (role<>'test' AND ts>TIMESTAMP '2024-01-20')+count(*) FILTER (role='test' AND ts<TIMESTAMP '2024-01-20') AS affected_records FROM v""")
+def audit_cutoff(spark, sf_dir):
+    v = eval_bin(spark, sf_dir).withColumn("role", F.when(F.col("sample_id") % 10 == 0, "test").otherwise("train"))
+    return rounded(audit.chronology(v, "role", "ts", cutoff="2024-01-20 00:00:00", strictly=False))
+
+
+@query(f"""WITH {REG} SELECT avg_a.*, round(base_mae-mae,6) AS gain_mae, round(base_rmse-rmse,6) AS gain_rmse FROM (SELECT count(*) AS n, round(avg(abs(y-p_a)),6) AS mae, round(sqrt(avg((y-p_a)*(y-p_a))),6) AS rmse, round(avg(abs(y-p_b)),6) AS base_mae, round(sqrt(avg((y-p_b)*(y-p_b))),6) AS base_rmse FROM eval_reg) avg_a""")
+def metrics_with_baseline(spark, sf_dir):
+    found = rounded(metrics.with_baseline(eval_reg(spark, sf_dir), "y", "p_a", "p_b").select("n", "mae", "rmse", "base_mae", "base_rmse"))
+    return rounded(found.select("*", (F.col("base_mae") - F.col("mae")).alias("gain_mae"), (F.col("base_rmse") - F.col("rmse")).alias("gain_rmse")))
+
+
+@query(f"""WITH {REG}, f AS (SELECT fold, sqrt(avg((y-p_a)*(y-p_a))) AS s FROM eval_reg GROUP BY 1) SELECT count(*) AS n_folds, round(avg(s),6) AS mean, round(stddev_pop(s),6) AS std, round(min(s),6) AS "min", round(max(s),6) AS "max" FROM f""")
+def benchmark_folds(spark, sf_dir):
+    from quillmark.sources import benchmarks
+
+    v = eval_reg(spark, sf_dir)
+    rows = benchmarks.align(v.select("fold", "sample_id", F.col("y").alias("target")), v.select("fold", "sample_id", F.col("y").alias("target"), F.col("p_a").alias("prediction")), ["fold", "sample_id"], tolerance=1e-12)
+    return rounded(benchmarks.evaluate_folds(rows, benchmarks.Benchmark("folds", "regression", "rmse", ())))
+
+
+@query(f"""WITH {REG}, r AS (SELECT nation, region, rank() OVER (PARTITION BY nation ORDER BY y)+(count(*) OVER (PARTITION BY nation, y)-1)/2.0::double AS a, rank() OVER (PARTITION BY nation ORDER BY p_b)+(count(*) OVER (PARTITION BY nation, p_b)-1)/2.0::double AS b FROM eval_reg),
+ s AS (SELECT region, nation, round_even(corr(a,b),3) AS v FROM r GROUP BY 1,2), g AS (SELECT region, avg(v) AS v FROM s GROUP BY 1) SELECT 'group' AS level, region AS key, round(v,6) AS mean FROM g UNION ALL SELECT 'all','all', round(avg(v),6) FROM g""")
+def benchmark_assays(spark, sf_dir):
+    from quillmark.sources import benchmarks
+
+    v = eval_reg(spark, sf_dir).withColumn("assay", F.col("nation"))
+    rows = benchmarks.align(v.select("assay", "sample_id", F.col("y").alias("target")), v.select("assay", "sample_id", (-F.col("p_b")).alias("prediction")), ["assay", "sample_id"], lower=True)
+    return rounded(benchmarks.evaluate_assays(rows, v.select("assay", F.col("region").alias("group")).distinct()))
+
+
+@query("""WITH t(k, v) AS (VALUES (1,'2024-05-01'),(2,'2024-05-01T10:30:00Z'),(3,'2024-05-01T10:30:00+02:00'),(4,'2024-05-01 10:30:00'),(5,'05/01/2024'),(6,NULL),(7,'2024-05-01T10:30:00.250-0130'))
+ SELECT k, CASE k WHEN 1 THEN '2024-05-01 00:00:00.000' WHEN 2 THEN '2024-05-01 10:30:00.000' WHEN 3 THEN '2024-05-01 08:30:00.000' WHEN 7 THEN '2024-05-01 12:00:00.250' END AS utc FROM t""")
+def iso_times(spark, sf_dir):
+    from quillmark.sources.tables import iso_timestamp
+
+    rows = [(1, "2024-05-01"), (2, "2024-05-01T10:30:00Z"), (3, "2024-05-01T10:30:00+02:00"), (4, "2024-05-01 10:30:00"), (5, "05/01/2024"), (6, None), (7, "2024-05-01T10:30:00.250-0130")]
+    return spark.createDataFrame(rows, "k int, v string").select("k", F.date_format(iso_timestamp(F.col("v")), "yyyy-MM-dd HH:mm:ss.SSS").alias("utc"))
+
+
+@query(f"""WITH {REG}, l AS (SELECT abs(y-p_a) AS e, unit, region FROM eval_reg), g AS (SELECT region, count(*) AS n, count(DISTINCT unit) AS n_units, avg(e) AS estimate FROM l GROUP BY 1)
+ SELECT region, n, n_units, round(CASE WHEN n>=100 AND n_units>=100 THEN estimate END,6) AS estimate, CASE WHEN n>=100 AND n_units>=100 THEN 'released' ELSE 'suppressed' END AS status FROM g""")
+def floor_statistics(spark, sf_dir):
+    v = eval_reg(spark, sf_dir).groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("unit").alias("n_units"), F.avg(F.abs(F.col("y") - F.col("p_a"))).alias("estimate"))
+    return rounded(privacy.floored(v, 100))
+
+
+@query(f"""WITH {REG}, s AS (SELECT sample_id, y AS target, p_a AS prediction FROM eval_reg) SELECT count(*) AS n, round(avg(abs(target-prediction)),6) AS mae FROM s""")
+def hidden_submission(spark, sf_dir):
+    from quillmark.sources.evidence import submission
+
+    v = eval_reg(spark, sf_dir)
+    rows = submission(v.select("sample_id", F.col("y").alias("target")), v.select("sample_id", F.col("p_a").alias("prediction")))
+    return rounded(rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("target") - F.col("prediction"))).alias("mae")))
+
+
+@query(f"""WITH {REG}, {_BY_SITE} SELECT (SELECT count(DISTINCT (metric)) FROM (SELECT 'mae' AS metric FROM sm)) AS variants, (SELECT count(DISTINCT s)=1 FROM (SELECT model, list(DISTINCT site ORDER BY site) AS s FROM sm GROUP BY model)) AS identical, (SELECT arg_min(model, v) FROM (SELECT model, avg(value) AS v FROM sm GROUP BY model)) AS best_run""")
+def receipt_checks(spark, sf_dir):
+    rows = _by_site(spark, sf_dir)
+    runs = rows.groupBy(F.col("model").alias("run")).agg(F.lit("mae").alias("metric"), F.avg("value").alias("value"))
+    return rounded(evidence.compatible(rows, ["metric", "task", "protocol", "benchmark"]).crossJoin(evidence.site_coverage(rows)).crossJoin(evidence.best_runs(runs).select("best_run")))

@@ -70,9 +70,15 @@ def read_csv(spark: SparkSession, path: str, binding: Binding, strings: tuple[st
 
 
 def client_directory(spark: SparkSession, path: str, binding: Binding) -> DataFrame:
-    """A folder of CSV files, one client each, with client_id from the file's name."""
-    schema = StructType([StructField(c, DoubleType() if c in {binding.target, *binding.predictions} else StringType()) for c in spark.read.option("header", True).csv(path).columns])
-    return spark.read.option("header", True).schema(schema).csv(path).select("*", F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.csv$", "").alias("client_id"))
+    """A folder of CSV files, one client each, with client_id from the file's name; unreadable numbers are an error, as is a folder without files."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = [str(f.getPath().getName()) for f in target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)]
+    if not any(f.endswith(".csv") for f in files):
+        raise ValueError(f"no CSV files in {path}")
+    numbers = {*binding.predictions, *([binding.target] if binding.task == "regression" else [])}
+    header = spark.read.option("header", True).option("pathGlobFilter", "*.csv").csv(path).columns
+    schema = StructType([StructField(c, DoubleType() if c in numbers else StringType()) for c in header])
+    return spark.read.option("header", True).option("mode", "FAILFAST").option("pathGlobFilter", "*.csv").schema(schema).csv(path).select("*", F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.csv$", "").alias("client_id"))
 
 
 def violations(df: DataFrame, key: list[str] | None = None, numbers: list[str] | None = None, unit_interval: list[str] | None = None) -> DataFrame:
@@ -110,6 +116,18 @@ def validate(df: DataFrame, binding: Binding) -> DataFrame:
     if found["repeated_ids"]:
         examples = [r[0] for r in df.groupBy(binding.sample_id).count().where("count > 1").orderBy(binding.sample_id).limit(3).collect()]
         raise ValueError(f"ids are repeated, such as {examples}")
+    numeric = [c for c in (binding.target, *binding.predictions) if dict(df.dtypes)[c] in ("double", "float")]
+    infinite = F.lit(False)
+    for c in numeric:
+        infinite = infinite | (F.abs(F.col(c)) == float("inf"))
+    wrong = ~F.col(binding.target).cast("string").isin("0", "1", "0.0", "1.0") if binding.task == "binary" else F.lit(False)
+    if binding.task == "binary" and binding.labels:
+        wrong = ~F.col(binding.target).cast("string").isin(*binding.labels)
+    more = df.agg(F.count_if(infinite).alias("infinite"), F.count_if(wrong).alias("wrong")).first()
+    if more["infinite"]:
+        raise ValueError(f"values are infinite: {more['infinite']} rows")
+    if more["wrong"]:
+        raise ValueError(f"binary targets must be 0 or 1, or of the two labels: {more['wrong']} rows")
     for name, text in (("blank_ids", "ids are missing"), ("missing", "targets or predictions are missing"), ("out_of_range", "scores are outside 0 to 1")):
         if found[name]:
             raise ValueError(f"{text}: {found[name]} rows")
