@@ -5,32 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm import bpe, decontaminate, near_dedup, quality, secrets
-from quillmark.llm.common import scratch
+from quillmark.llm.common import drop_stored, stored
 from quillmark.llm.queries import tokenizer_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null and empty texts are rejected; null languages and sources are groups of their own; of repeated rows all stay or none; rows with equal or null keys are judged on their own.
+    """
     return quality.good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, that of the smallest doc_id."""
+    """One document of each near-duplicate class, that of the smallest doc_id; null keys come last, and of equal keys the smallest hash of the text decides.
+
+    Of repeated rows one stays. Null and empty texts are copies of each other; texts without words are copies of equal texts only.
+    """
     return near_dedup.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item; null and empty texts hold none, and of repeated rows all stay or none."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts masked."""
+    """All documents, secrets in their texts masked and n_chars set anew for these; null texts stay null, repeated rows stay."""
     return secrets.without_secrets(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded bytes of every document."""
+    """Token counts and digests of ids and decoded bytes of every row, whatever its key; null and empty texts have no ids."""
     import public_tokenizers
 
     return bpe.digests(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -49,10 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written below the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written below the shared folder and read again; a stage's table goes when the next one is there, the last one stays for the result.
+
+    Texts may have any length, other columns any names; an empty table gives no rows.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        path = scratch(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        after = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop_stored(before)
+        docs = before = after
     return STAGES[-1][1](spark, docs, sf_dir)
