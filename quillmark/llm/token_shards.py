@@ -4,8 +4,8 @@ Ids come from a tokenizer file through its library. Each shard is compressed by
 ids are replaced by new symbols, again and again, and the shard stores the rules, the length of each rule's expansion and the remaining
 sequence. No rule crosses the end of a document, so each document is decoded on its own from its part of the sequence.
 
-Shard format, all little-endian: ``QTS1``; header of six unsigned 64-bit integers (documents, tokens, rules, symbols of the sequence,
-first rule symbol, bytes of a symbol: 2 where all fit, else 4); document keys (signed 64-bit) and a byte for each that is 1 where the key is null; tokens of each document (u64); start of each
+Shard format, all little-endian: ``QTS2``; header of six unsigned 64-bit integers (documents, tokens, rules, symbols of the sequence,
+first rule symbol, bytes of a symbol: 2 where all fit, else 4); the ids that occur (u32, as many as the first rule symbol: lower symbols are places in this list); document keys (signed 64-bit) and a byte for each that is 1 where the key is null; tokens of each document (u64); start of each
 document in the sequence (u64, one entry more); left and right symbols of the rules; expansion lengths (u64); the sequence.
 """
 
@@ -14,41 +14,58 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import struct
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import blocks, drop_stored, scratch, shared_dir, stored, texts
+from quillmark.llm.common import blocks, drop_stored, large_text, scratch, shared_dir, stored, texts
+from quillmark.llm.remembered import Remembered, unit_keys
 from quillmark.llm.token_counts import byte_letters
 
-#: Tokens of a shard (a longer document is a shard of its own), rounds, most new rules in a round, least occurrences.
-SHARD, ROUNDS, RULES, LEAST = 1 << 20, 5, 1024, 16
-MAGIC = b"QTS1"
-#: Characters encoded at once; words, and parts between spaces, in each generation of a worker's memory.
-_BLOCK, _WORDS, _PIECES = 1 << 20, 300_000, 150_000
+#: Tokens of a shard (a longer document is a shard of its own), most new rules in a round, and how often a pair must occur to become a rule (it wouldn't pay for its rule else).
+SHARD, RULES, LEAST = 1 << 20, 16_384, 16
+MAGIC = b"QTS2"
+#: Bytes encoded at once; units in a worker's memory.
+_BLOCK, _WORDS = 1 << 20, 800_000
 
 
 # ids
 
 
+#: The pattern and the normalisers of the tokenizer files whose text can be taken apart into units here.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_BREAK, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
+
+
+def _classes() -> np.ndarray:
+    """Class of each ASCII byte: breaks are the space and the line feed; odd ones can change how their neighbours are read."""
+    kinds = np.full(256, _ODD, np.uint8)
+    for c in range(0x21, 0x7F):
+        kinds[c] = _LETTER if chr(c).isalpha() else _DIGIT if chr(c).isdigit() else _OTHER
+    kinds[[0x20, 0x0A]] = _BREAK
+    kinds[[0x27, 0x7C]] = _ODD  # the quote of contractions, and the bar of special tokens
+    return kinds
+
+
+_CLASS = _classes()
+
+
 class LibraryEncoder:
-    """Ids by the tokenizers library; each word is encoded once and remembered.
+    """Ids by the tokenizers library; each unit of text is encoded once and remembered.
 
-    Sound for tokenizers that drop white space, lower the case, part letters, digits and other characters and never join text across a space. What stands between two
-    spaces is taken apart by the tokenizer's own pattern where it holds plain Latin letters alone, of which case and composition are certain; else it goes to the library whole.
+    Where a file's pre-tokenizer drops white space, lowers the case and parts letters, digits and other characters, text is taken apart at spaces and line feeds. A part that holds
+    plain characters alone (ASCII and precomposed Latin-1 letters, of which case and composition are certain, without quotes and bars) is taken apart further into
+    words, which the library's model encodes; any other part goes to the library whole. Texts of tokenizers of any other kind always go to the library whole.
     """
 
-    #: Characters that normalisation leaves alone but for case: ASCII and precomposed Latin-1 letters.
-    PLAIN = regex.compile(r"[\x21-\x7E\n\xC0-\xD6\xD8-\xF6\xF8-\xFF]*+").fullmatch
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -57,77 +74,86 @@ class LibraryEncoder:
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.special = tuple(x["content"] for x in spec["added_tokens"])
-        steps = spec["pre_tokenizer"]
-        first = (steps.get("pretokenizers") or [steps])[0]
-        normal = json.dumps(spec["normalizer"])
-        split = first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and '"Lowercase"' in normal
-        self.find = regex.compile(first["pattern"]["Regex"]).findall if split else None
-        levels = [first, *(steps.get("pretokenizers") or [])[1:]]
-        plain = len(levels) == 2 and levels[1].get("type") == "ByteLevel" and not levels[1].get("add_prefix_space") and not levels[1].get("use_regex")
-        self.find = self.find if plain else None
-        self.code = "H" if self.kind == "<u2" else "I"  # both are little-endian on the machines that Spark runs on
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        normal = spec.get("normalizer") or {}
+        split = len(steps) == 2 and steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed" and steps[0]["pattern"].get("Regex") == _PATTERN
+        plain = split and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+        lowered = [x.get("type") for x in normal.get("normalizers") or []] == _NORMALIZERS and normal["normalizers"][1] == {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+        marked = all("|" in x["content"] and not re.search(r"\s", x["content"]) for x in spec["added_tokens"])
+        self.apart = bool(plain and lowered and marked)
         self.letters = byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
+        self.known = Remembered(_WORDS, "u1", self.kind)
 
-    def _library(self, new: list[str]):
+    def whole(self, rows: list[str]) -> list[np.ndarray]:
+        """Ids of each text by the library."""
         run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for low in range(0, len(new), 2000):
-            for e in run(new[low : low + 2000], add_special_tokens=False):
-                yield array(self.code, e.ids).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """Ids of one plain word by the library's model, whose alphabet stands for bytes."""
-        if not word.isascii():
-            word = "".join(map(self.letters.__getitem__, word.encode()))
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
-
-    def _apart(self, piece: str) -> list[str] | None:
-        """The words of a piece of plain characters, else None."""
-        if not piece.isascii() and not self.PLAIN(piece):
-            return None
-        if piece.isalpha():
-            return [piece.lower()]
-        if piece[:-1].isalpha() and piece[-1] in ".,;:!?":
-            return [piece[:-1].lower(), piece[-1]]
-        if not self.PLAIN(piece) or any(x in piece for x in self.special):
-            return None
-        return self.find(piece.lower())
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Remembers all pieces; what memory held before its last clearing is taken over, the rest is encoded."""
-        if len(self.words) > _WORDS:
-            self.words, self.old_words = {}, self.words
-        if len(self.pieces) > _PIECES:
-            self.pieces, self.old_pieces = {}, self.pieces
-        whole, known, old_pieces, old_words = [], self.words, self.old_pieces, self.old_words
-        for p in pieces - self.pieces.keys():
-            ids = old_pieces.get(p)
-            if ids is None:
-                words = self._apart(p) if self.find else None
-                if words is None:
-                    whole.append(p)
-                    continue
-                parts = []
-                for w in words:
-                    own = known.get(w)
-                    if own is None:
-                        own = old_words.get(w)
-                        known[w] = own = self._word(w) if own is None else own
-                    parts.append(own)
-                ids = parts[0] if len(parts) == 1 else b"".join(parts)
-            self.pieces[p] = ids
-        self.pieces.update(zip(whole, self._library(whole)))
-
-    def encode(self, rows: list[str]) -> list[bytes]:
-        """Little-endian ids of each text, of 16 bits where the vocabulary allows, else of 32."""
-        parts = [t.split(" ") for t in rows]
-        self._learn(set().union(*parts))
-        get = self.pieces.__getitem__
-        return [b"".join(map(get, own)) for own in parts]
+        out = []
+        for low in range(0, len(rows), 2000):
+            out += [np.array(e.ids, self.kind) for e in run(rows[low : low + 2000], add_special_tokens=False)]
+        return out
+
+    def _word(self, raw: bytes) -> list[int]:
+        """Ids of one plain word, lower-cased, by the library's model, whose alphabet stands for bytes."""
+        word = raw.decode("ascii") if raw.isascii() else "".join(map(self.letters.__getitem__, raw))
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts ``data[offsets[i]:offsets[i + 1]]`` (UTF-8), end to end, and how many ids come before each text and in all."""
+        texts_, n = len(offsets) - 1, len(data)
+        if not n:
+            return np.zeros(0, self.kind), np.zeros(texts_ + 1, np.int64)
+        if not self.apart:
+            each = self.whole([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
+            return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        line, unit, end, odd = self._units(data, offsets)
+        key = unit_keys(line, unit, end)
+        key[odd] ^= np.uint64(0x9E3779B97F4A7C15)
+
+        def make(own: list[int]) -> list:
+            out: list = [None] * len(own)
+            parts = [k for k, i in enumerate(own) if odd[i]]
+            for k, ids in zip(parts, self.whole([line[unit[own[k]] : end[own[k]]].tobytes().decode() for k in parts])):
+                out[k] = ids.tolist()
+            for k, i in enumerate(own):
+                if out[k] is None:
+                    out[k] = self._word(line[unit[i] : end[i]].tobytes())
+            return out
+
+        slots = self.known.slots_of(key, line, unit, end, make)
+        at, count = self.known.at[slots], self.known.count[slots]
+        before = np.concatenate([[0], np.cumsum(count)])
+        ids = self.known.values[np.repeat(at - before[:-1], count) + np.arange(before[-1])]
+        return ids, before[np.searchsorted(unit, offsets)]
+
+    @staticmethod
+    def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes with plain parts lower-cased, where units begin and end, and which units are parts that aren't plain."""
+        n = len(data)
+        kind = _CLASS[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)  # the lead byte of Latin-1 letters
+        second = data[lead + 1]
+        lead = lead[(second != 0x97) & (second != 0xB7)]
+        kind[lead] = kind[lead + 1] = _LETTER
+        first = np.zeros(n + 1, bool)
+        first[offsets] = True
+        inside = kind != _BREAK
+        part = inside.copy()
+        part[1:] &= ~inside[:-1] | first[1:n]
+        number = np.cumsum(part) - 1
+        is_odd = np.zeros(int(number[-1]) + 1, bool)
+        is_odd[number[kind == _ODD]] = True
+        odd_byte = np.zeros(n, bool)
+        odd_byte[inside] = is_odd[number[inside]]
+        start = part.copy()
+        start[1:] |= inside[1:] & ~odd_byte[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+        line = data.copy()
+        line[(data >= 0x41) & (data <= 0x5A) & ~odd_byte] += 0x20
+        upper = lead[(data[lead + 1] <= 0x9E) & ~odd_byte[lead]] + 1
+        line[upper] += 0x20
+        marks = np.append(np.flatnonzero(start | ~inside), n)
+        begins = np.flatnonzero(start[marks[:-1]])
+        unit, end = marks[begins], marks[begins + 1]
+        return line, unit, end, odd_byte[unit]
 
 
 @functools.cache
@@ -138,13 +164,15 @@ def encoder(path: str) -> LibraryEncoder:
 def _encode(path: str, end: int):
     def run(batches):
         use = encoder(path)
-        last = np.array([end], use.kind).tobytes()
         for batch in batches:
-            rows = batch.column(1).to_pylist()
-            at = np.concatenate([[0], np.cumsum([len(t) for t in rows])])
-            for low, high in blocks(at, _BLOCK):
-                ids = [x + last for x in use.encode(rows[low:high])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            data, offsets = large_text(batch.column(1))
+            for low, high in blocks(offsets, _BLOCK):
+                at = offsets[low : high + 1]
+                ids, before = use.encode(data[at[0] : at[-1]], at - at[0])
+                ended = np.insert(ids, before[1:], np.array(end, ids.dtype))
+                places = (before + np.arange(high - low + 1)) * ended.itemsize
+                out = pa.Array.from_buffers(pa.large_binary(), high - low, [None, pa.py_buffer(places), pa.py_buffer(ended)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), out], ["doc_id", "ids"])
 
     return run
 
@@ -155,21 +183,19 @@ def _encode(path: str, end: int):
 def repair(sequence: np.ndarray, barrier: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Compresses ids; no pair reaches over an index in ``barrier`` (a boolean array: the last symbol of a document).
 
-    Each round counts all pairs, makes a rule of each of the most frequent ones and replaces them left to right without overlap. Returns the
+    Each round counts all pairs, makes a rule of each of the most frequent ones and replaces them left to right without overlap, until no pair occurs LEAST times. Returns the
     remaining sequence, its barriers, the left and right symbols of the rules, and the first rule symbol.
     """
-    first = int(sequence.max()) + 1 if len(sequence) else 1
-    symbol, left, right = first, [], []
-    for _ in range(ROUNDS):
-        if len(sequence) < 2:
-            break
+    first = int(sequence.max()) + 1 if len(sequence) else 0
+    symbol, left, right, exact = first, [], [], False
+    while len(sequence) > 1:
         # a table of hashed counts names the slots that can hold frequent pairs; only pairs in these are counted exactly
         narrow = sequence.astype(np.uint32)
         slot = (((narrow[:-1] * np.uint32(0x9E3779B1)) ^ (narrow[1:] * np.uint32(0x85EBCA77))) >> np.uint32(12)).astype(np.intp)
         slot[barrier[:-1]] = 1 << 20  # no pair
         load = np.bincount(slot, minlength=(1 << 20) + 1)
         load[-1] = 0
-        least = max(LEAST, int(np.partition(load, -2 * RULES)[-2 * RULES]))
+        least = LEAST if exact else max(LEAST, int(np.partition(load, -2 * RULES)[-2 * RULES]))
         maybe = np.flatnonzero((load >= least)[slot])
         if not len(maybe):
             break
@@ -179,7 +205,10 @@ def repair(sequence: np.ndarray, barrier: np.ndarray) -> tuple[np.ndarray, np.nd
         count = np.diff(np.append(edge, len(ordered)))
         often = np.flatnonzero(count >= LEAST)
         if not len(often):
-            break
+            if least == LEAST:
+                break
+            exact = True  # the fullest slots held rare pairs alone
+            continue
         often = often[np.argsort(-count[often], kind="stable")[:RULES]]
         chosen = np.sort(ordered[edge[often]])
         at = np.searchsorted(chosen, pair)
@@ -220,6 +249,10 @@ def pack(keys: list[int | None], documents: list[np.ndarray]) -> bytes:
     """A shard of documents."""
     count = np.array([len(d) for d in documents], "<u8")
     flat = np.concatenate(documents).astype(np.int64) if documents else np.zeros(0, np.int64)
+    alphabet = np.flatnonzero(np.bincount(flat))
+    place = np.zeros(int(alphabet[-1]) + 1 if len(alphabet) else 0, np.int64)
+    place[alphabet] = np.arange(len(alphabet))
+    flat = place[flat]
     barrier = np.zeros(len(flat), bool)
     filled = np.cumsum(count)[count > 0].astype(np.int64)
     barrier[filled - 1] = True
@@ -236,7 +269,7 @@ def pack(keys: list[int | None], documents: list[np.ndarray]) -> bytes:
     wide = 2 if first + len(left) <= 1 << 16 else 4
     head = struct.pack("<6Q", len(documents), len(flat), len(left), len(sequence), first, wide)
     symbols = [x.astype(f"<u{wide}").tobytes() for x in (left, right, sequence)]
-    return b"".join([MAGIC, head, ids.tobytes(), null.tobytes(), count.tobytes(), stop.tobytes(), *symbols[:2], length[first:].tobytes(), symbols[2]])
+    return b"".join([MAGIC, head, alphabet.astype("<u4").tobytes(), ids.tobytes(), null.tobytes(), count.tobytes(), stop.tobytes(), *symbols[:2], length[first:].tobytes(), symbols[2]])
 
 
 class Shard:
@@ -254,6 +287,7 @@ class Shard:
             at += out.nbytes
             return out
 
+        self.alphabet = take("<u4", self.first)
         self.keys, self.null, self.count, self.stop = take("<i8", n), take("u1", n), take("<u8", n), take("<u8", n + 1)
         self.left, self.right, self.length, self.sequence = take(kind, rules), take(kind, rules), take("<u8", rules), take(kind, symbols)
 
@@ -262,11 +296,11 @@ class Shard:
 
     def document(self, i: int) -> np.ndarray:
         """Ids of the i-th document."""
-        return expand(self.sequence[int(self.stop[i]) : int(self.stop[i + 1])], self.left, self.right, self.first).astype("<u4")
+        return self.alphabet[expand(self.sequence[int(self.stop[i]) : int(self.stop[i + 1])], self.left, self.right, self.first)]
 
     def every(self) -> np.ndarray:
         """Ids of all documents, end to end."""
-        return expand(self.sequence, self.left, self.right, self.first).astype("<u4")
+        return self.alphabet[expand(self.sequence, self.left, self.right, self.first)]
 
     def token(self, i: int, k: int) -> int:
         """The k-th id of the i-th document: a search in the summed expansion lengths, then one way down the rules."""
@@ -280,7 +314,7 @@ class Shard:
             one, two = int(self.left[symbol - self.first]), int(self.right[symbol - self.first])
             size = 1 if one < self.first else int(self.length[one - self.first])
             symbol, k = (one, k) if k < size else (two, k - size)
-        return symbol
+        return int(self.alphabet[symbol])
 
 
 def _write(batches, kind: str):
