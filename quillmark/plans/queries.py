@@ -673,7 +673,7 @@ def population_units(spark, sf_dir):
     return rounded(evidence.population_units(units.union(again), 50))
 
 
-_SERIES = """w AS (SELECT (dense_rank() OVER (ORDER BY date_trunc('week',ts)))-1 AS position, event_type AS slice_value, (score>=0.5)::int=y AS hit FROM eval_bin JOIN events ON event_id=sample_id),
+_SERIES = """w AS (SELECT (dense_rank() OVER (ORDER BY date_trunc('week',eval_bin.ts)))-1 AS position, event_type AS slice_value, (score>=0.5)::int=y AS hit FROM eval_bin JOIN events ON event_id=sample_id),
  e AS (SELECT position, 'event_type' AS slice_column, slice_value, avg(hit::int) AS estimate, avg(hit::int)-0.01*(1+position) AS lower, avg(hit::int)+0.02 AS upper, 0.95::double-0.01*position AS level FROM w WHERE NOT (position=2 AND slice_value='click') GROUP BY 1,3)"""
 
 
@@ -737,7 +737,7 @@ def gate_rules(spark, sf_dir):
     one = lambda df, scope: df.select(scope.alias("scope"), F.lit("mae").alias("metric"), F.col("e").alias("estimate"), F.lit("evaluated").alias("status"), F.lit(None).cast("double").alias("lower"), (F.col("e") + 1).alias("upper"), F.col("g").alias("baseline"), F.lit("inconclusive").alias("decision"))
     sums = [F.avg(a).alias("e"), F.avg(b).alias("g")]
     rows = one(v.agg(*sums), F.lit("overall")).union(one(v.groupBy("region").agg(*sums), F.concat(F.lit("region="), "region")))
-    more = spark.createDataFrame([("overall", "design", None, "warn", None, None, None, None), ("overall", "r2", 0.9, "evaluated", None, None, None, None)], rows.schema)
+    more = spark.createDataFrame([("overall", "design", None, "warn", None, None, None, None), ("overall", "r2", 0.9, "evaluated", None, None, None, None)], "scope string, metric string, estimate double, status string, lower double, upper double, baseline double, decision string")
     return rounded(evidence.gate(rows.union(more), _GATES))
 
 
