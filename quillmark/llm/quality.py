@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quillmark.llm.common import blocks, drop_stored, large_text, per_batch, small, stored, worker_store
+from quillmark.llm.common import blocks, drop_stored, large_text, per_batch, small, stored, unused, worker_store
 from quillmark.llm.words import shingles, words
 
-#: Share of texts that a step keeps, the factor that makes its covariance consistent with 4 normal statistics, least texts of a group, most steps.
-COVER, CONSISTENT, LEAST, STEPS = 0.75, 1.49, 50, 12
+#: Share of texts that a step keeps, the factor that makes its covariance consistent with 4 normal statistics, least texts of a group.
+COVER, CONSISTENT, LEAST = 0.75, 1.49, 50
 #: Least standard deviation of each statistic: more even groups are treated as if they varied so much.
 FLOORS = {"symbols": 0.4, "word_length": 0.2, "dup_lines": 0.08, "repeats": 0.08}
 #: Squared distance beyond which a text is rejected; 4 normal statistics exceed it once in 10 million texts.
@@ -84,34 +84,39 @@ def block_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack([count, _sums(in_word, offsets), _sums(_SYMBOL[data], offsets), dup, _sums(np.cumsum(cover)[:-1] > 0, before), kept_lines])
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the columns __n_words, __word_chars, __n_symbols, __n_dup_lines, __n_repeat_words, __n_lines; null text counts as empty."""
-    at = docs.columns.index(text)
-    names = [f"__{s}" for s in _STATS]
+def with_statistics(docs: DataFrame, text: str = "text", text_kept: bool = True) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, and its name: a struct of _STATS. Null text counts as empty. Without ``text_kept`` the text itself goes."""
+    at, (name,) = docs.columns.index(text), unused(docs, "__statistics")
+    kept = [i for i in range(len(docs.columns)) if text_kept or i != at]
 
     def make(batch):
         worker_store("quality")
         data, offsets = large_text(batch.column(at).fill_null(""))
         parts = [block_statistics(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]) for low, high in blocks(offsets, 1 << 19)]
-        found = np.concatenate(parts, axis=1)
-        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x.astype(np.int64)) for x in found)], [*batch.schema.names, *names])
+        found = pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in np.concatenate(parts, axis=1)], list(_STATS))
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), found], [*(batch.schema.names[i] for i in kept), name])
 
-    schema = StructType([*docs.schema.fields, *(StructField(name, LongType()) for name in names)])
-    return docs.mapInArrow(per_batch(make), schema)
+    fields = [docs.schema.fields[i] for i in kept]
+    return docs.mapInArrow(per_batch(make), StructType([*fields, StructField(name, StructType([StructField(s, LongType()) for s in _STATS]))])), name
 
 
-def base_failed() -> Column:
-    return (F.col("__n_words") < 10) | (100 * F.col("__n_repeat_words") > 20 * F.col("__n_words"))
+def _of(name: str):
+    """The fields of a struct column."""
+    return lambda field: F.col(f"`{name}`.{field}")
 
 
-def vector() -> dict[str, Column]:
+def base_failed(stat) -> Column:
+    return (stat("n_words") < 10) | (100 * stat("n_repeat_words") > 20 * stat("n_words"))
+
+
+def vector(stat) -> dict[str, Column]:
     """The transformed statistics; a few words or lines are added to each denominator so that short texts don't stray by chance."""
-    words_ = F.col("__n_words")
+    words_ = stat("n_words")
     return {
-        "symbols": F.log1p(100 * F.col("__n_symbols") / (words_ + 30)),
-        "word_length": F.log(F.greatest(F.col("__word_chars") / F.greatest(words_, F.lit(1)), F.lit(1.0))),
-        "dup_lines": F.col("__n_dup_lines") / (F.col("__n_lines") + 5),
-        "repeats": F.col("__n_repeat_words") / (words_ + 30),
+        "symbols": F.log1p(100 * stat("n_symbols") / (words_ + 30)),
+        "word_length": F.log(F.greatest(stat("word_chars") / F.greatest(words_, F.lit(1)), F.lit(1.0))),
+        "dup_lines": stat("n_dup_lines") / (stat("n_lines") + 5),
+        "repeats": stat("n_repeat_words") / (words_ + 30),
     }
 
 
@@ -137,36 +142,38 @@ def _factored(moments: DataFrame) -> DataFrame:
     return moments
 
 
-def squared_distance(x: list[Column]) -> Column:
-    """Squared Mahalanobis distance of ``x`` from the columns m_i under the factor l_i_j, by forward substitution."""
+def squared_distance(x: list[Column], of=F.col) -> Column:
+    """Squared Mahalanobis distance of ``x`` from the centre m_i under the factor l_i_j, by forward substitution; ``of`` gives the column of such a name."""
     z: list[Column] = []
     for i, value in enumerate(x):
-        rest = value - F.col(f"m_{i}")
+        rest = value - of(f"m_{i}")
         for k in range(i):
-            rest = rest - F.col(f"l_{i}_{k}") * z[k]
-        z.append(rest / F.col(f"l_{i}_{i}"))
+            rest = rest - of(f"l_{i}_{k}") * z[k]
+        z.append(rest / of(f"l_{i}_{i}"))
     return sum((v * v for v in z[1:]), z[0] * z[0])
 
 
-def estimates(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """The estimate for each language and source of ``docs``: lang_source, centre m_i, factor l_i_j, texts n."""
+def estimates(rows: DataFrame) -> DataFrame:
+    """The estimate for each language and source of ``rows`` (lang_source, only_lang, x_i: a row for each text that can be learnt from): lang_source, estimate (m_i, l_i_j, n).
+
+    Steps end when no determinant falls below the least that its group has had by a thousandth; a determinant can't fall for ever, so neither do they go on for ever.
+    """
     p, floors = len(_VECTOR), list(FLOORS.values())
     x = [F.col(f"x_{i}") for i in range(p)]
-    named = docs.select(F.col(f"`{text}`").alias("text"), _group(lang, source).alias("lang_source"), _group(lang).alias("only_lang"))
-    keyed = with_statistics(named).where(~base_failed()).select("lang_source", "only_lang", *(v.alias(f"x_{i}") for i, v in enumerate(vector().values())))
-    rows = stored(keyed, "statistics")
     groups = F.array(F.concat(F.lit("2"), "lang_source"), F.concat(F.lit("1"), "only_lang"), F.lit("0"))
-    every = rows.select(F.explode(groups).alias("of"), *x)
-    middle = every.groupBy("of").agg(*(F.percentile_approx(x[i], 0.5, 1000).alias(f"m_{i}") for i in range(p)))
-    off = every.join(small(stored(middle, "middle")), "of").groupBy("of", *(f"m_{i}" for i in range(p)))
+    every = rows.where("x_0 is not null").select(F.explode(groups).alias("of"), *x)
+    middle = every.groupBy("of").agg(*(F.percentile_approx(x[i], 0.5, 1000).alias(f"m_{i}") for i in range(p)), F.count(F.lit(1)).alias("n"))
+    middle = stored(middle, "middle")
+    off = every.join(small(middle), "of").groupBy("of", *(f"m_{i}" for i in range(p)))
     start = off.agg(*(F.percentile_approx(F.abs(x[i] - F.col(f"m_{i}")), 0.5, 1000).alias(f"d_{i}") for i in range(p)))
     spread = lambda i: F.pow(F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(floors[i])), 2)
     squares = [(spread(i) if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)]
-    held = stored(_factored(start.select("of", *(f"m_{i}" for i in range(p)), *squares)).withColumn("det", F.lit(float("inf"))), "estimate")
-    for _ in range(STEPS):
+    held = stored(_factored(start.select("of", *(f"m_{i}" for i in range(p)), *squares)).withColumn("least", F.lit(float("inf"))), "estimate")
+    falls = True
+    while falls:
         far = every.join(small(held), "of").select("of", *x, squared_distance(x).alias("d2"))
-        limit = far.groupBy("of").agg(F.percentile_approx("d2", COVER, 1000).alias("most"))
-        near = far.join(small(stored(limit, "limit")), "of").where("d2 <= most")
+        limit = stored(far.groupBy("of").agg(F.percentile_approx("d2", COVER, 1000).alias("most")), "limit")
+        near = far.join(small(limit), "of").where("d2 <= most")
         means = [F.avg(x[i]).alias(f"m_{i}") for i in range(p)]
         square = lambda i, j: CONSISTENT * F.covar_pop(x[i], x[j])
         squares = [(F.greatest(square(i, j), F.lit(floors[i] ** 2)) if i == j else square(i, j)).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)]
@@ -174,51 +181,68 @@ def estimates(docs: DataFrame, lang: str = "lang", source: str = "source", text:
         for i in range(p):
             det = det * F.col(f"l_{i}_{i}")
         step = _factored(near.groupBy("of").agg(*means, *squares)).withColumn("det", det)
-        new = stored(step.join(held.select("of", F.col("det").alias("was")), "of"), "estimate")
-        falls = new.where("det < was * 0.999").limit(1).count()
+        new = stored(step.join(held.select("of", F.col("least").alias("was")), "of").withColumn("least", F.least("det", "was")), "estimate")
+        falls = not new.where("det < was * 0.999").isEmpty()
         drop_stored(held)
-        held = new.drop("was")
+        drop_stored(limit)
+        held = new.drop("was", "det")
         held._quillmark_path = new._quillmark_path
-        if not falls:
-            break
-    size = every.groupBy("of").agg(F.count(F.lit(1)).alias("n"))
-    sized = held.join(size, "of").drop("det", *(f"s_{i}_{j}" for i in range(p) for j in range(i + 1)))
-    own = docs.select(_group(lang, source).alias("lang_source"), _group(lang).alias("only_lang")).distinct()
-    asked = own.select("lang_source", F.explode(groups).alias("of")).join(sized.where(F.col("of").isin("0") | (F.col("n") >= LEAST)), "of")
-    best = asked.groupBy("lang_source").agg(F.max_by(F.struct(*(c for c in asked.columns if c != "lang_source")), "of").alias("best"))
-    out = stored(best.select("lang_source", "best.*").drop("of"), "estimates")
-    drop_stored(rows)
+    sized = held.join(middle.select("of", "n"), "of").drop("least", *(f"s_{i}_{j}" for i in range(p) for j in range(i + 1)))
+    asked = rows.select("lang_source", F.explode(groups).alias("of")).distinct().join(sized.where(F.col("of").isin("0") | (F.col("n") >= LEAST)), "of")
+    best = asked.groupBy("lang_source").agg(F.max_by(F.struct(*(c for c in asked.columns if c not in ("lang_source", "of"))), "of").alias("estimate"))
+    out = stored(best, "estimates")
     drop_stored(held)
+    drop_stored(middle)
     return out
 
 
-def judged(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """``docs`` with the statistics of ``with_statistics``, __base_failed, __distance (squared; null if no text could be estimated from) and __kept.
+def _learnable(marked: DataFrame, stat, lang: str, source: str, *more) -> DataFrame:
+    """(lang_source, only_lang, x_i) of each text with statistics; x_i is null for texts that fail the fixed limits."""
+    values = vector(stat).values()
+    return marked.select(*more, _group(lang, source).alias("lang_source"), _group(lang).alias("only_lang"), *(F.when(~base_failed(stat), v).alias(f"x_{i}") for i, v in enumerate(values)))
 
-    Null languages and sources are groups of their own. No row is lost; an empty table gives no rows.
-    """
-    known = estimates(docs, lang, source, text)
-    shift = F.lit(0.0)
-    x = list(vector().values())
+
+def verdicts(stat, est) -> tuple[Column, Column]:
+    """Squared distance (null if no text could be estimated from), and whether a text is kept, from its statistics and its group's estimate."""
+    x, shift = list(vector(stat).values()), F.lit(0.0)
     for i, name in enumerate(_VECTOR):
-        off = x[i] - F.col(f"m_{i}")
+        off = x[i] - est(f"m_{i}")
         shift = shift + (F.abs(off) if name == "word_length" else off) / FLOORS[name]
     at = _VECTOR.index("word_length")
-    odd = F.pow(x[at] - F.col(f"m_{at}"), 2) > CUTOFF * sum((F.pow(F.col(f"l_{at}_{k}"), 2) for k in range(at + 1)), F.lit(0.0))
-    marked = with_statistics(docs, text).withColumn("lang_source", _group(lang, source)).join(small(known), "lang_source", "left")
-    marked = marked.withColumn("__base_failed", base_failed()).withColumn("__distance", squared_distance(x)).withColumn("__worse", (shift > 0) | odd)
-    far = F.coalesce((F.col("__distance") > CUTOFF) & F.col("__worse"), F.lit(False))
-    marked = marked.withColumn("__kept", ~F.col("__base_failed") & ~far)
-    return marked.select(*(F.col(f"`{c}`") for c in docs.columns), *(f"__{s}" for s in _STATS), "__base_failed", "__distance", "__kept")
+    odd = F.pow(x[at] - est(f"m_{at}"), 2) > CUTOFF * sum((F.pow(est(f"l_{at}_{k}"), 2) for k in range(at + 1)), F.lit(0.0))
+    distance = squared_distance(x, est)
+    far = F.coalesce((distance > CUTOFF) & ((shift > 0) | odd), F.lit(False))
+    return distance, ~base_failed(stat) & ~far
 
 
 def quality(docs: DataFrame, key: str = "doc_id", lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance) of every row."""
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance) of every row, repeated rows included.
+
+    Null text counts as empty; null languages and sources are groups of their own; a null key stays null; texts may have any length; other columns don't matter; an empty
+    table gives no rows. Texts are read once: their statistics are written to the shared folder and everything else is made from these.
+    """
     only = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))
-    names = [*_STATS[:5], "base_failed", "kept", "distance"]
-    return judged(only).select("doc_id", *(F.col(f"__{n}").alias(n) for n in names))
+    marked, name = with_statistics(only, text_kept=False)
+    marked, stat = stored(marked, "statistics"), _of(name)
+    known = estimates(_learnable(marked, stat, "lang", "source"))
+    distance, kept = verdicts(stat, _of("estimate"))
+    joined = marked.withColumn("lang_source", _group("lang", "source")).join(small(known), "lang_source", "left")
+    return joined.select("doc_id", *(stat(s).alias(s) for s in _STATS[:5]), base_failed(stat).alias("base_failed"), kept.alias("kept"), distance.alias("distance"))
 
 
 def good(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the columns that they had."""
-    return judged(docs, lang, source, text).where("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that the rules keep, with the columns that they had, whatever their names.
+
+    Null text counts as empty, which the rules reject; null languages and sources are groups of their own; of repeated rows all are kept or none; texts may have any length.
+    Texts are read twice, as statistics can't be brought back to rows that have no certain key.
+    """
+    named = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))
+    first, name = with_statistics(named, text_kept=False)
+    rows = stored(_learnable(first, _of(name), "lang", "source"), "statistics")
+    known = estimates(rows)
+    drop_stored(rows)
+    marked, name = with_statistics(docs, text)
+    group, estimate = unused(marked, "__group", "__estimate")
+    known = known.select(F.col("lang_source").alias(group), F.col("estimate").alias(estimate))
+    _, kept = verdicts(_of(name), _of(estimate))
+    return marked.withColumn(group, _group(lang, source)).join(small(known), group, "left").where(kept).select(*(F.col(f"`{c}`") for c in docs.columns))
