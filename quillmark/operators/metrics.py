@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.stats import EPSILON, arg_max, mae, number, r2, ratio, rmse
-from quillmark.operators.ordered import average_rank, running
+from quillmark.operators.ordered import average_rank, quantiles, running
 
 
 def regression(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
@@ -133,7 +133,7 @@ def colliding_slices(df: DataFrame, columns: list[str]) -> DataFrame:
 def error_slices_regression(df: DataFrame, y: str, p: str) -> DataFrame:
     """Errors by target quartile, the 90th percentile of errors and the share at or above it, biases, and the share of predictions three deviations from their mean."""
     e = df.select(F.col(y).alias("y"), F.col(p).alias("p"), (F.col(p) - F.col(y)).alias("d"), F.abs(F.col(p) - F.col(y)).alias("a"))
-    cut = e.agg(F.percentile("y", 0.25).alias("q1"), F.percentile("y", 0.75).alias("q3"), F.percentile("a", 0.9).alias("p90"), F.stddev_pop("p").alias("sd"), F.avg("p").alias("centre"), F.avg("d").alias("mean"), F.percentile("d", 0.5).alias("med"))
+    cut = e.agg(F.stddev_pop("p").alias("sd"), F.avg("p").alias("centre"), F.avg("d").alias("mean")).crossJoin(quantiles(e, {"q1": ("y", 0.25), "q3": ("y", 0.75), "p90": ("a", 0.9), "med": ("d", 0.5)}))  # one row each
     sd = F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd"))
     return e.crossJoin(cut).agg(
         F.avg(F.when(F.col("y") <= F.col("q1"), F.col("a"))).alias("low_target_mae"), F.avg(F.when(F.col("y") >= F.col("q3"), F.col("a"))).alias("high_target_mae"),

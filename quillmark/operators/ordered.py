@@ -46,3 +46,35 @@ def average_rank(df: DataFrame, column: str, by: list[str] | None = None) -> Dat
     counted = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("__k"))
     placed = running(counted, by, column, ["__k"])
     return placed.select(*by, column, (F.col("before___k") + (F.col("__k") + 1) / 2).alias("rank"))
+
+
+def quantiles(df: DataFrame, columns: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row with the exact, linearly interpolated quantiles ``{name: (column, share)}`` of numbers, nulls left out.
+
+    Approximate quantiles just below and above each share bracket it; only values inside a bracket are counted and ranked, so that no task holds
+    all values of a column.
+    """
+    error = 1.0 / 5_000
+    own = {c: F.col(c).cast("double") for c, _ in columns.values()}
+    size = df.agg(*(F.count(own[c]).alias(name) for name, (c, q) in columns.items())).first()
+    spare = {name: error + 2.0 / max(size[name], 1) for name in columns}  # the values on either side of a share are inside its bracket
+    ends = df.agg(*(F.percentile_approx(own[c], [max(0.0, q - spare[name]), min(1.0, q + spare[name])], 10_000).alias(name) for name, (c, q) in columns.items())).first()
+    known = {name: (c, q, *ends[name]) for name, (c, q) in columns.items() if ends[name] is not None}
+    if not known:
+        return df.sparkSession.range(1).select(*(F.lit(None).cast("double").alias(name) for name in columns))
+    under = df.agg(*(F.count_if(own[c] < low).alias(name) for name, (c, q, low, high) in known.items())).first()
+    inside = F.array(*(F.struct(F.lit(name).alias("name"), F.when(own[c].between(low, high), own[c]).alias("value")) for name, (c, q, low, high) in known.items()))
+    counts = df.select(F.explode(inside).alias("x")).where("x.value is not null").groupBy("x.name", "x.value").agg(F.count(F.lit(1)).alias("k"))
+    placed = running(counts, ["name"], "value", ["k"])
+    place = {name: (size[name] - 1) * q for name, (c, q, *_) in known.items()}
+    out = []
+    for name in columns:
+        if name not in known:
+            out.append(F.lit(None).cast("double").alias(name))
+            continue
+        below, at = under[name], place[name]
+        first = below + F.col("before_k")
+        holds = lambda k, first=first, name=name: F.max(F.when((F.col("name") == name) & (first <= k) & (k < first + F.col("k")), F.col("value")))
+        low, part = int(at), at - int(at)
+        out.append((holds(low) if part == 0 else holds(low) * (1 - part) + holds(low + 1) * part).alias(name))
+    return placed.agg(*out)

@@ -584,21 +584,30 @@ def bounded_mean_center(spark, sf_dir):
     return rounded(privacy.bounded_center(eval_reg(spark, sf_dir), "y", 0.0, 300.0))
 
 
-@query()
+_LAPLACE = "(-{scale}*sign({u}-0.5)*ln(1-2*abs({u}-0.5)))"
+_UNIFORM = "(('0x'||substr(md5('{seed}|{i}'),1,13))::bigint/4503599627370496.0::double)"
+
+
+def _noise(scale: str, i: int) -> str:
+    return _LAPLACE.format(scale=scale, u=_UNIFORM.format(seed=SEED, i=i))
+
+
+@query(f"WITH {REG}, c AS (SELECT count(*) AS n, avg(least(greatest(y,0),300)) AS m FROM eval_reg) SELECT n, round(m+{_noise('(300.0::double/n/0.5)', 0)},6) AS value, 0.5::double AS epsilon FROM c")
 def bounded_mean_release(spark, sf_dir):
     from quillmark.governance.privacy import Budget, release_mean
 
     center = privacy.bounded_center(eval_reg(spark, sf_dir), "y", 0.0, 300.0).first()
     value = release_mean(center["clipped_mean"], center["n"], 0.0, 300.0, 0.5, Budget(1.0), seed=SEED)
-    return spark.createDataFrame([(center["n"], value, 0.5)], "n long, value double, epsilon double")
+    return rounded(spark.createDataFrame([(center["n"], value, 0.5)], "n long, value double, epsilon double"))
 
 
-@query()
+@query(f"""WITH {REG}, m AS (SELECT {_REG_METRICS.replace('round(', '(').replace(',6)', ')')} FROM (SELECT y, p_a AS p FROM eval_reg))
+ SELECT 'mae' AS metric, round(mae+{_noise('0.01', 0)},6) AS value FROM m UNION ALL SELECT 'rmse', round(rmse+{_noise('0.01', 1)},6) FROM m UNION ALL SELECT 'r2', round(r2+{_noise('0.01', 2)},6) FROM m""")
 def metric_perturbation(spark, sf_dir):
     from quillmark.governance.privacy import perturbed
 
     found = metrics.regression(eval_reg(spark, sf_dir), "y", "p_a").select("mae", "rmse", "r2").first().asDict()
-    return spark.createDataFrame(sorted(perturbed(found, 1.0, 0.01, SEED).items()), "metric string, value double")
+    return rounded(spark.createDataFrame(sorted(perturbed(found, 1.0, 0.01, SEED).items()), "metric string, value double"))
 
 
 @query(f"""WITH {REG}, c AS (SELECT 'region' AS slice_column, region AS slice_value, count(*) AS n FROM eval_reg GROUP BY 2), d AS (SELECT 'status' AS slice_column, status AS slice_value, count(*) AS n FROM eval_reg GROUP BY 2)
@@ -830,3 +839,31 @@ def receipt_checks(spark, sf_dir):
     rows = _by_site(spark, sf_dir)
     runs = rows.groupBy(F.col("model").alias("run")).agg(F.lit("mae").alias("metric"), F.avg("value").alias("value"))
     return rounded(evidence.compatible(rows, ["metric", "task", "protocol", "benchmark"]).crossJoin(evidence.site_coverage(rows)).crossJoin(evidence.best_runs(runs).select("best_run")))
+
+
+@query(f"""WITH {REG}, h AS (SELECT stratum, ('0x'||substr(md5('{SEED}|'||sample_id),1,15))::bigint AS h FROM eval_reg), r AS (SELECT stratum, row_number() OVER (PARTITION BY stratum ORDER BY h)-1 AS k, count(*) OVER (PARTITION BY stratum) AS n FROM h)
+ SELECT stratum, CASE WHEN k<round(n*0.2) THEN 'test' ELSE 'train' END AS part, count(*) AS n FROM r GROUP BY 1,2""")
+def baseline_split(spark, sf_dir):
+    from quillmark.operators import models
+
+    rows = models.split(eval_reg(spark, sf_dir), "sample_id", 0.2, SEED, "stratum", "md5")
+    return rounded(rows.groupBy("stratum", "part").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query(f"""WITH {REG} SELECT region, count(*) AS n, round(quantile_cont(abs(y-p_a),0.5),6) AS median_error, round(avg((abs(y-p_a)<=0.1*abs(y))::int),6) AS within_tenth FROM eval_reg GROUP BY region""")
+def custom_metrics(spark, sf_dir):
+    from quillmark.operators import models
+
+    y, p = F.col("y"), F.col("p_a")
+    found = models.custom(eval_reg(spark, sf_dir), {"median_error": F.percentile(F.abs(y - p), 0.5), "within_tenth": F.avg((F.abs(y - p) <= 0.1 * F.abs(y)).cast("int"))}, ["region"])
+    return rounded(found)
+
+
+@query("""SELECT p_partkey AS k, round(0.5*((p_size-25.0)/10.0)-0.25*((p_retailprice-1500.0)/400.0)+1.0,6) AS score FROM part""")
+def trusted_model(spark, sf_dir):
+    from quillmark.operators import models
+
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
+    load, predict = models.LINEAR
+    weights = b'{"intercept": 1.0, "weights": [[0.5, 25.0, 10.0], [-0.25, 1500.0, 400.0]]}'
+    return rounded(models.scored(rows, "k", ["size", "price"], weights, load, predict))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from quillmark import cli
 from quillmark.governance import bundles, documents, policies
 from quillmark.governance.privacy import Budget, LedgerBudget, release_means
-from quillmark.operators import audit, evidence, paired, resampling, shift
+from quillmark.operators import audit, evidence, models, paired, resampling, shift
+from quillmark.operators.ordered import quantiles
 from quillmark.sources import benchmarks, tables
 from quillmark.sources.binding import Binding, client_directory, validate
 
@@ -232,3 +233,26 @@ def test_more_verbs(spark, tmp_path, capsys):
     assert abs(json.loads(capsys.readouterr().out)["score"] - 0.5) < 1e-9
     (tmp_path / "policy.json").write_text(json.dumps({"metrics": ["mae"]}))
     assert cli.main(["release-check", str(tmp_path / "r0.json"), str(tmp_path / "policy.json")]) == 1
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    for values in (draw.normal(size=3001), draw.integers(0, 3, 500).astype(float), np.array([2.0]), np.array([1.0, 4.0])):
+        v = spark.createDataFrame([(float(x), None if i % 5 == 0 else float(x)) for i, x in enumerate(values)], "x double, y double").repartition(3)
+        shares = {"a": ("x", 0.25), "b": ("x", 0.9), "c": ("x", 0.0), "d": ("x", 1.0)}
+        got = quantiles(v, shares).first().asDict()
+        assert all(np.isclose(got[k], np.quantile(values, q)) for k, (_, q) in shares.items()), (values[:5], got)
+        rest = [x for i, x in enumerate(values) if i % 5]
+        assert not rest or np.isclose(quantiles(v, {"m": ("y", 0.5)}).first()["m"], np.median(rest))
+    assert quantiles(v.where("false"), {"m": ("x", 0.5)}).first()["m"] is None
+
+
+def test_forest_baseline_of_classes(spark):
+    rows = [(i, "C" * (1 + i % 6) + ("O" if i % 2 else "N"), i % 2) for i in range(80)]
+    v = spark.createDataFrame(rows, "k int, smiles string, label int")
+    out = models.baseline(v, "k", "smiles", "label", "binary", bits=16, trees=5).collect()
+    assert len(out) == 16 and sum(r["label"] for r in out) == 8 and all((r["prediction"] > 0.5) == bool(r["label"]) for r in out)
+    one = models.baseline(v.withColumn("label", F.lit(0)), "k", "smiles", "label", "binary", bits=16, trees=5)
+    assert {r["prediction"] for r in one.collect()} == {0.0}
