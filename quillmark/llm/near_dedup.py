@@ -272,10 +272,11 @@ def _classified(docs: DataFrame, key: str, text: str, size: int, threshold: floa
         drop_stored(table)
     labels = _joined(labels, links)
     owned = head.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    smallest = owned.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    owned = stored(owned.select("set_a", "set_b", "doc_id", "component"), "owned")
+    smallest = stored(owned.groupBy("component").agg(F.min("doc_id").alias("class_id")), "smallest")  # a table, so that the join can split a large class
     classes = owned.join(smallest, "component").select("set_a", "set_b", "class_id", "component")
     out = stored(sketch.join(classes, ["set_a", "set_b"]).select("doc_id", "hash", "class_id", "component", F.col("size").alias("n_shingles")), "classes")
-    for table in (links, labels, head, sketch):
+    for table in (links, labels, head, owned, smallest, sketch):
         drop_stored(table)
     return out
 
@@ -302,11 +303,14 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     choice = {"size": SIZE, "threshold": THRESHOLD, "rows": ROWS, "count": BANDS, "tile": TILE} | options
     found = _classified(docs, key, text, **choice)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
-    first = found.groupBy("component").agg(F.min(rank).alias("first"))
-    each = found.groupBy("component", "doc_id", "hash").agg(F.count(F.lit(1)).alias("copies")).join(first, "component")
+    counted = stored(found.groupBy("component", "doc_id", "hash").agg(F.count(F.lit(1)).alias("copies")), "counted")
+    first = stored(counted.groupBy("component").agg(F.min(rank).alias("first")), "first")  # tables, so that the join can split a large class
+    each = counted.join(first, "component")
     chosen = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash"))
     id_, hash_ = unused(docs, "__key", "__hash")
     each = stored(each.select(F.col("doc_id").alias(id_), F.col("hash").alias(hash_), "copies", chosen.alias("chosen")), "survivors")
+    for table in (found, counted, first):
+        drop_stored(table)
     at = F.col(f"`{key}`").cast(each.schema[id_].dataType).eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))) == F.col(hash_))
     gone, again = each.where("not chosen").select(id_, hash_), each.where("chosen and copies > 1").select(id_, hash_)
     kept = docs.join(small(gone), at, "left_anti")
