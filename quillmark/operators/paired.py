@@ -112,8 +112,8 @@ def compare(a: DataFrame, b: DataFrame, key: str, target: str, prediction: str,
         units = part.groupBy(own).agg(F.count(F.lit(1)).alias("n"), each("a"), each("b"))
         point = units.agg(*(F.sum(x).alias(x) for x in sums)).select("n", value(F.col(sums[1])).alias("metric_a"), value(F.col(sums[2])).alias("metric_b"), gain.alias("estimate"))
         draws = resampling.replicates(units, own, resamples, seed, sums).select("b", "n", gain.alias("v"))
-        found = resampling.interval(draws, "v", resamples).withColumn("metric", F.lit(metric)).crossJoin(point.withColumnRenamed("n", "__n"))
-        held = resampling.guarded(found, draws).crossJoin(point.drop("estimate"))
+        found = resampling.interval(draws, "v", resamples, rows="n").withColumn("metric", F.lit(metric)).crossJoin(point.withColumnRenamed("n", "__n"))
+        held = resampling.guarded(found).crossJoin(point.drop("estimate"))
         test = resampling.swap_outcome(resampling.swap_test(units, own, permutations, seed, metric), permutations, exchangeable or unit is None).select("p_value")
         decision, noninferior = interval_decision(F.col("lower"), F.col("upper"), threshold, margin)
         few = F.col("n") < least

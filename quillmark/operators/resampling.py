@@ -34,9 +34,9 @@ def combined(sums: list[str]) -> list[Column]:
     return [_EXTREMES.get(c, F.sum)(c).alias(c) for c in sums]
 
 
-def fitting(units: DataFrame) -> DataFrame:
-    """``units``, marked for broadcast if their counted rows are within BROADCAST bytes."""
-    return F.broadcast(units) if units.count() * 16 * (len(units.columns) + 1) <= BROADCAST else units
+def fitting(units: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """``units``, marked for broadcast if their rows, counted in ``of`` if that has as many and is cheaper, are within BROADCAST bytes."""
+    return F.broadcast(units) if (units if of is None else of).count() * 16 * (len(units.columns) + 1) <= BROADCAST else units
 
 
 def indexed(units: DataFrame, unit: str, strata: list[str]) -> DataFrame:
@@ -73,7 +73,7 @@ def replicates(units: DataFrame, unit: str, resamples: int, seed: int, sums: lis
     """(b, sums): totals of ``resamples`` draws with replacement of whole units, within strata."""
     strata = strata or []
     table = indexed(units, unit, strata)
-    return drawn(table, resamples, seed, strata, mode).join(fitting(table.select(*strata, "slot", *sums)), [*strata, "slot"]).groupBy("b").agg(*combined(sums))
+    return drawn(table, resamples, seed, strata, mode).join(fitting(table.select(*strata, "slot", *sums), units), [*strata, "slot"]).groupBy("b").agg(*combined(sums))
 
 
 def nested(rows: DataFrame, levels: list[str], resamples: int, seed: int, sums: list[str], mode: str = "xxhash64") -> DataFrame:
@@ -81,21 +81,22 @@ def nested(rows: DataFrame, levels: list[str], resamples: int, seed: int, sums:
 
     With a row's id as the last level, rows of the leaves are drawn again as well. Multiplicities aren't stored: each drawn node is a row.
     """
+    rows = rows.select(*levels, *sums)
     if not 1 <= len(levels) <= 8:
         raise ValueError("one to eight levels are supported")
     roots = indexed(rows.select(levels[0]).distinct(), levels[0], [])
     first = numbered(roots.select(F.col("slot").alias("__slot"), "size"), F.lit(resamples), "b")
     now = first.select("b", F.col("__slot").cast("string").alias("path"), draw(F.col("size"), seed, "root", F.col("b"), F.col("__slot"), mode=mode).alias("slot"))
-    now = now.join(fitting(roots.select("slot", levels[0])), "slot").select("b", "path", levels[0])
+    now = now.join(fitting(roots.select("slot", levels[0]), rows), "slot").select("b", "path", levels[0])
     for k in range(1, len(levels)):
         above, own, last = levels[:k], levels[k], k + 1 == len(levels)
         kept = [*above, own, *(sums if last else [])]
         table = indexed(rows.select(*kept) if last else rows.select(*kept).distinct(), own, above)
         sizes = table.groupBy(*above).agg(F.max("size").alias("size"))
-        below = numbered(now.join(fitting(sizes), above), F.col("size"), "c")
+        below = numbered(now.join(fitting(sizes, rows), above), F.col("size"), "c")
         name = "child" + (str(k) if k > 1 else "")
         picked = below.select("b", F.concat_ws("|", "path", F.col("c").cast("string")).alias("path"), *above, draw(F.col("size"), seed, name, F.col("b"), F.col("path"), F.col("c"), mode=mode).alias("slot"))
-        now = picked.join(fitting(table.select(*above, own, "slot", *(sums if last else []))), [*above, "slot"]).drop("slot")
+        now = picked.join(fitting(table.select(*above, own, "slot", *(sums if last else [])), rows), [*above, "slot"]).drop("slot")
     return (now if len(levels) > 1 else now.join(fitting(rows.select(levels[0], *sums)), levels[0])).groupBy("b").agg(*combined(sums))
 
 
@@ -106,15 +107,16 @@ def metric_values(suffix: str = "") -> dict[str, Column]:
     return {"mae": sa / n, "rmse": F.sqrt(ss / n), "r2": F.when((F.col("lo") < F.col("hi")) & (sst > 1e-13 * syy), 1 - ss / sst)}
 
 
-def interval(values: DataFrame, column: str, resamples: int, by: list[str] | None = None, level: float = 0.95) -> DataFrame:
-    """(by, lower, upper, valid_resamples, status): percentiles of the defined replicates, of which at least max(20, 80 %) are needed."""
+def interval(values: DataFrame, column: str, resamples: int, by: list[str] | None = None, level: float = 0.95, rows: str | None = None) -> DataFrame:
+    """(by, lower, upper, valid_resamples, status): percentiles of the defined replicates, of which at least max(20, 80 %) are needed; with ``rows``, also the most of that column as __rows."""
     need = max(FEWEST, -(-int(VALID * 1000) * resamples // 1000))
     low = (1 - level) / 2
     fine = F.count_if(F.col(column).isNotNull() & ~F.isnan(column))
     p = lambda q: F.percentile(F.when(~F.isnan(column), F.col(column)), q)
-    out = values.groupBy(*(by or [])).agg(fine.alias("valid_resamples"), p(low).alias("lower"), p(1 - low).alias("upper"))
+    more = [F.max(rows).alias("__rows")] if rows else []
+    out = values.groupBy(*(by or [])).agg(fine.alias("valid_resamples"), p(low).alias("lower"), p(1 - low).alias("upper"), *more)
     enough = F.col("valid_resamples") >= need
-    return out.select(*(by or []), F.when(enough, F.col("lower")).alias("lower"), F.when(enough, F.col("upper")).alias("upper"), "valid_resamples", F.when(enough, "evaluated").otherwise("insufficient_valid_resamples").alias("status"))
+    return out.select(*(by or []), F.when(enough, F.col("lower")).alias("lower"), F.when(enough, F.col("upper")).alias("upper"), "valid_resamples", F.when(enough, "evaluated").otherwise("insufficient_valid_resamples").alias("status"), *(["__rows"] if rows else []))
 
 
 def intervals(estimate: DataFrame, values: DataFrame, resamples: int, level: float = 0.95, most: int = MOST_ROWS) -> DataFrame:
@@ -124,20 +126,18 @@ def intervals(estimate: DataFrame, values: DataFrame, resamples: int, level: flo
     """
     def long(df, name):
         one = F.array(*(F.struct(F.lit(m).alias("metric"), v.alias(name)) for m, v in metric_values().items()))
-        return df.select(F.explode(one).alias("x")).select("x.*")
+        return df.select("n", F.explode(one).alias("x")).select("n", "x.*")
 
-    points = long(estimate, "estimate")
-    found = interval(long(values, "value"), "value", resamples, ["metric"], level)
-    return guarded(points.join(found, "metric"), values, most)
+    found = interval(long(values, "value"), "value", resamples, ["metric"], level, "n")
+    return guarded(long(estimate, "estimate").drop("n").join(found, "metric"), most)
 
 
-def guarded(found: DataFrame, values: DataFrame, most: int = MOST_ROWS) -> DataFrame:
-    """``found`` (metric, estimate, lower, upper, valid_resamples, status) under the limit of rows in a replicate of ``values`` (n)."""
+def guarded(found: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """``found`` (metric, estimate, lower, upper, valid_resamples, status, __rows) under the limit of rows in a replicate."""
     over = F.coalesce(F.col("__rows") > most, F.lit(False))
     status = F.when(over, "not_supported_resource_limit").when(F.col("estimate").isNull(), "undefined_point_estimate").otherwise(F.col("status"))
     limit = lambda c: F.when(~over, F.col(c)).alias(c)
-    joined = found.crossJoin(values.agg(F.max("n").alias("__rows")))
-    return joined.select("metric", "estimate", limit("lower"), limit("upper"), F.when(over, F.lit(0).cast("long")).otherwise(F.col("valid_resamples")).alias("valid_resamples"), status.alias("status"))
+    return found.select("metric", "estimate", limit("lower"), limit("upper"), F.when(over, F.lit(0).cast("long")).otherwise(F.col("valid_resamples")).alias("valid_resamples"), status.alias("status"))
 
 
 def totals(units: DataFrame) -> DataFrame:

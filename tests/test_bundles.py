@@ -11,7 +11,7 @@ from quillmark.governance import bundles, documents, policies
 from quillmark.governance.privacy import Budget, LedgerBudget, release_means
 from quillmark.operators import audit, evidence, models, paired, resampling, shift
 from quillmark.operators.ordered import quantiles
-from quillmark.sources import benchmarks, tables
+from quillmark.sources import benchmarks, sinks, tables
 from quillmark.sources.binding import Binding, client_directory, validate
 
 
@@ -256,3 +256,19 @@ def test_forest_baseline_of_classes(spark):
     assert len(out) == 16 and sum(r["label"] for r in out) == 8 and all((r["prediction"] > 0.5) == bool(r["label"]) for r in out)
     one = models.baseline(v.withColumn("label", F.lit(0)), "k", "smiles", "label", "binary", bits=16, trees=5)
     assert {r["prediction"] for r in one.collect()} == {0.0}
+
+
+def test_sinks_write_whole_tables(spark, tmp_path):
+    v = spark.range(5).withColumn("k", F.col("id") % 2)
+    path = str(tmp_path / "t")
+    sinks.write(v, path)
+    with pytest.raises(ValueError):
+        sinks.write(v, path)
+    with pytest.raises(ValueError):
+        sinks.write(spark.read.parquet(path), path, overwrite=True)
+    sinks.write(v.limit(2), path, overwrite=True, by=["k"])
+    assert spark.read.parquet(path).count() == 2 and not list(tmp_path.glob("*.part"))
+    sinks.write_csv_file(v.orderBy("id"), str(tmp_path / "x.csv"))
+    assert (tmp_path / "x.csv").read_text().splitlines()[:2] == ["id,k", "0,0"]
+    with pytest.raises(ValueError):
+        sinks.write_csv_file(v, str(tmp_path / "y.csv"), 4)
