@@ -18,8 +18,9 @@ def write(df: DataFrame, path: str, form: str = "parquet", overwrite: bool = Fal
     A target that exists is refused without ``overwrite``, and one that the plan reads is refused always.
     """
     target, files = _paths(df, path)
-    whole = files.makeQualified(target).toString().rstrip("/")
-    if any(x == whole or x.startswith(f"{whole}/") for x in df.inputFiles()):
+    plain = lambda x: files.makeQualified(x).toUri().getPath().rstrip("/")
+    whole, make = plain(target), df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    if any(f"{make(x).toUri().getPath()}/".startswith(f"{whole}/") for x in df.inputFiles()):
         raise ValueError("an output is one of the inputs")
     if files.exists(target) and not overwrite:
         raise ValueError(f"{path} exists")
