@@ -74,4 +74,28 @@ PII = f"""WITH {_DOCS}, f AS ({_PII}), c AS (SELECT *, lower(text[greatest(s-40,
  g AS (SELECT r, count(*) FILTER (rank=0) AS n_email, count(*) FILTER (rank=1) AS n_ip, count(*) FILTER (rank=2) AS n_card, count(*) FILTER (rank=3) AS n_phone, {_LIST} FILTER (rank<4) AS base, {_LIST} AS spans, count(*) AS n_found, max(score) AS top_score FROM k GROUP BY r)
  SELECT doc_id::bigint AS doc_id, coalesce(n_email,0) AS n_email, coalesce(n_ip,0) AS n_ip, coalesce(n_card,0) AS n_card, coalesce(n_phone,0) AS n_phone, sha256(coalesce(base,'')) AS base_sha256, coalesce(spans,'') AS spans, coalesce(n_found,0) AS n_found, coalesce(top_score,0.0::double) AS top_score FROM d LEFT JOIN g USING (r)"""
 
-SQL = {"op2_pii": PII, "op6_decontamination": DECONTAMINATION, "op9_secrets": SECRETS}
+
+
+def _clusters_sql(clusters: int = 40, rounds: int = 5) -> str:
+    """A query for each round: distances to all centroids, the nearest, the floors of means."""
+    square = "list_sum([(p[1]-p[2])*(p[1]-p[2]) FOR p IN list_zip(k.q, c.q)])"
+    near = lambda i: f"a{i} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, c := c)) AS m FROM (SELECT k.r, c.c, {square} AS d FROM k, c{i} c) GROUP BY r)"
+    mean = lambda i: f"""c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(n.q, c.q) AS q FROM c{i} c LEFT JOIN (SELECT c, list(m ORDER BY i) AS q FROM (SELECT c, i, floor(sum(x)/count(*))::bigint AS m
+ FROM (SELECT a.m.c AS c, unnest(k.q) AS x, unnest(range(64)) AS i FROM k JOIN a{i} a USING (r)) GROUP BY 1,2) GROUP BY c) n USING (c))"""
+    steps = ", ".join(f"{near(i)}, {mean(i)}" for i in range(rounds))
+    return f"""WITH k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [floor(256*x::double)::bigint FOR x IN embedding] AS q, sha256('2:'||coalesce(vec_id::varchar,'')) AS h FROM embeddings WHERE len(embedding)=64 AND len(list_filter(embedding, lambda x: isfinite(x)))=64),
+ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q)-1 AS c, q FROM k ORDER BY h, q LIMIT {clusters}), {steps}, {near(rounds)}
+ SELECT vec_id, c.c::int AS cluster, a.m.d::bigint AS distance, (sum(a.m.d) OVER (PARTITION BY c.c))::bigint AS cluster_inertia, (sum(a.m.d) OVER ())::bigint AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+ FROM k JOIN a{rounds} a USING (r) JOIN c{rounds} c ON c.c=a.m.c"""
+
+
+FILTERS = r"""WITH d AS (SELECT doc_id, coalesce(text,'') AS text, coalesce(source,'') AS part FROM documents), w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS one FROM d),
+ l AS (SELECT doc_id, coalesce(bool_or(quality=1),false) AS g, coalesce(bool_or(toxic=1),false) AS t FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+ c AS (SELECT part, [len(ws)<50, 100*len(list_distinct(ws))<65*len(ws), 100*length(regexp_replace(text,'[^A-Z]','','g'))>5*length(text), regexp_matches(text,'[#$%&*|]'), coalesce(doc_id>one,false)] AS f, count(*) AS n, count(*) FILTER (g) AS g, count(*) FILTER (t) AS t FROM w LEFT JOIN l USING (doc_id) GROUP BY 1,2),
+ o AS (SELECT [i,j,k,m,15-i-j-k-m] AS s FROM range(1,6) a(i), range(1,6) b(j), range(1,6) x(k), range(1,6) y(m) WHERE len(list_distinct([i,j,k,m,15-i-j-k-m]))=5 AND 15-i-j-k-m BETWEEN 1 AND 5), p AS (SELECT s, unnest(range(1,6)) AS step FROM o),
+ v AS (SELECT part, s, step, s[step] AS own, n, g, t, f[s[step]] AS fails, coalesce(list_bool_or([f[x] FOR x IN s[1:step-1]]),false) AS gone, len(list_filter(f, lambda x: x)) AS many FROM c, p),
+ r AS (SELECT part, s, step, own, coalesce(sum(n) FILTER (NOT fails AND NOT gone),0)::bigint AS kept, coalesce(sum(n) FILTER (fails AND NOT gone),0)::bigint AS removed, coalesce(sum(n) FILTER (fails AND gone),0)::bigint AS redundant,
+ coalesce(sum(n) FILTER (fails AND many=1),0)::bigint AS unique_fails, coalesce(sum(g) FILTER (fails AND NOT gone),0)::bigint AS good_lost, coalesce(sum(t) FILTER (fails AND NOT gone),0)::bigint AS toxic_lost FROM v GROUP BY ALL)
+ SELECT part, array_to_string(['ABCDE'[x] FOR x IN s],'') AS filter_order, step::int AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::bigint AS shapley FROM r"""
+
+SQL = {"op2_pii": PII, "op6_decontamination": DECONTAMINATION, "op9_secrets": SECRETS, "op12_centroids": _clusters_sql(), "op13_filter_audit": FILTERS}

@@ -80,8 +80,26 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(_table(spark, sf_dir, "pages"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.nb_svm import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.centroids import clusters_of
+
+    return clusters_of(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.filter_audit import filter_audit
+
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_pii, op3_bpe, op4_token_shards, op5_language_id, op6_decontamination, op7_token_counts, op8_quality, op9_secrets, op10_html_text)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_pii, op3_bpe, op4_token_shards, op5_language_id, op6_decontamination, op7_token_counts, op8_quality, op9_secrets, op10_html_text, op11_quality_classifier, op12_centroids, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
