@@ -43,7 +43,7 @@ _SECRETS = " UNION ALL ".join(
         _found("access", 1, "AKIA[A-Z0-9]+", "length(m)>=18"),
         _found("hex", 2, "[0-9a-f]{16,}"),
         _found("private_key", 3, "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-        _found("service_token", 4, "gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,250}|sk_live_[A-Za-z0-9]{16,250}", before="[^A-Za-z0-9]"),
+        _found("service_token", 4, "gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}", before="[^A-Za-z0-9]"),
         _found("web_token", 5, "eyJ[A-Za-z0-9_-]{10,}\\.eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}", before="[^A-Za-z0-9_-]"),
     ]
 )

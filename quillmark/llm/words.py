@@ -42,14 +42,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = FOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word in reading order, and per text the number of words before it (one entry more than texts).
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = FOLD, ends_too: bool = False) -> tuple[np.ndarray, ...]:
+    """Hash of each word in reading order, and per text the number of words before it (one entry more than texts); with ``ends_too`` also where each word begins and ends.
 
-    ``table`` gives each byte's part in a word's hash; a word is a run of bytes whose part isn't 0.
+    ``table`` gives each byte's part in a word's hash; a word is a run of bytes whose part isn't 0. Different words may have one hash: who needs to be sure compares them.
     """
     n = len(data)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return (np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), *((np.zeros(0, np.int64), np.zeros(0, np.int64)) if ends_too else ()))
     folded = table[data]
     inside = folded != 0
     starts = inside.copy()
@@ -68,7 +68,7 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = FOLD) -> tu
     np.cumsum(folded * power[:n], out=total[1:])
     hashes = (total[end] - total[begin]) * inverse[begin]
     hashes += (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(hashes), np.searchsorted(begin, offsets)
+    return (mix(hashes), np.searchsorted(begin, offsets), *((begin, end) if ends_too else ()))
 
 
 def shingles(hashes: np.ndarray, before: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

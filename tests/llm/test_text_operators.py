@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -37,6 +38,56 @@ def fuzz(n, seed=1):
     return ["".join(draw.choice(FUZZ) for _ in range(draw.randint(0, 20))) for _ in range(n)] + [None, "", "a" * 30_000, "word " * 5_000, "\x00"]
 
 
+def test_matches_of_words_that_repeat_themselves():
+    def plain_matches(text, items):
+        found = set()
+        for k, item in enumerate(items):
+            size = min(10, len(item))
+            for i in range(len(text)):
+                for j in range(len(item)):
+                    if size and (i == 0 or j == 0 or text[i - 1] != item[j - 1]):
+                        n = 0
+                        while i + n < len(text) and j + n < len(item) and text[i + n] == item[j + n]:
+                            n += 1
+                        if n >= size:
+                            found.add((i, k, j, n))
+        return sorted(found)
+
+    draw = random.Random(6)
+    for case in range(60):
+        words = ["the", "a", "b"][: 1 + case % 3]
+        items = [[draw.choice(words) for _ in range(draw.choice([1, 5, 10, 14, 40]))] for _ in range(4)] + [["the"] * 30]
+        text = [draw.choice(words) for _ in range(draw.choice([3, 12, 60]))] + ["the"] * 25
+        raw = " ".join(text).encode()
+        before, mark, held, longest = decontaminate.matches(decontaminate.Benchmark([(str(i), " ".join(x)) for i, x in enumerate(items)]), np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        want = plain_matches(text, items)
+        assert sorted(map(tuple, longest[1:].T[:, [0, 1, 2, 3]].tolist())) == want
+        assert np.flatnonzero(mark).tolist() == sorted({p for i, _, _, n in want for p in range(i, i + n)}) and sorted(held[1].tolist()) == sorted({k for _, k, _, _ in want})
+    n = 200_000
+    raw = ("The " * n).encode()
+    began = time.process_time()
+    _, mark, _, longest = decontaminate.matches(decontaminate.Benchmark([("i", "the " * n)]), np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert mark.sum() == n and longest.shape[1] == 2 * (n - 9) - 1 and time.process_time() - began < 60
+
+
+def test_different_words_with_one_hash_are_told_apart():
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    hashes = decontaminate.words(np.frombuffer(f"{one} {other}".encode(), np.uint8), np.array([0, 2049]))[0]
+    assert hashes[0] == hashes[1]
+
+    def items_of(text, items):
+        raw = text.encode()
+        _, mark, held, _ = decontaminate.matches(decontaminate.Benchmark(items), np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        return mark.tolist(), held[1].tolist()
+
+    assert items_of(other, [("i", one)]) == ([False], [])
+    assert items_of(f"x {one} {other}", [("i", one), ("j", other), ("k", f"{other} y")]) == ([False, True, True], [0, 1])
+    assert items_of(f"{other} y", [("i", one), ("k", f"{other} y"), ("l", f"{one} y")]) == ([True, True], [1])
+
+
 def test_near_duplicates_against_brute_force(spark):
     draw = random.Random(4)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -537,6 +588,50 @@ def test_main_text(page, text):
     assert html_text.main_text(page or "") == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='content'><p>Long story that goes on</p></div><article class='teaser'>Teaser</article>", "Long story that goes on Teaser"),
+        ("<article>A story that goes on for some time here</article><article class='teaser'>Teaser</article>", "A story that goes on for some time here"),
+        ("<div class='main-menu'>Home About</div><div class='content-sidebar'>x</div><nav class='main'>y</nav><div id='post-body'>Story</div>", "Story"),
+        ("<div class='content has-sidebar'><div class='entry-header'>Title</div>Story</div>", "Title Story"),
+        ("<article>Story of some length</article><div id='responses'><article class='response'>I like it</article></div>", "Story of some length"),
+        ("<article>Story of some length<div class='comment-list'>I like it</div><ul class='replies'><li>me too</ul></article>", "Story of some length"),
+    ],
+)
+def test_names_and_marks(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<b x='", "<script ", "<a<", '<a ">"', "<div>", "<div></span>", "<span><p>", "<table><tr><td>", "</p>", "<!-", "<p>text", '<div class="' + "x" * 300 + '">'])
+def test_broken_pages_of_any_length(piece):
+    took = []
+    for n in (5_000, 40_000):
+        page = piece * n
+        began = time.process_time()
+        html_text.main_text(page)
+        features = html_text._features(page)
+        took.append(time.process_time() - began)
+        assert max(len(f[0]) for f in features) <= (html_text.DEPTH + 1) * (html_text.STYLE + 1)
+    assert took[1] < 1 + 30 * took[0]  # eight times the length; the square would be 64 times the work
+
+
+def test_where_a_tag_ends():
+    assert [t[3] for t in html_text.tags("<a x='>'><b><!-- <i> --><script>'<p>'</script><c>")] == ["a", "b", "", "", "c"]
+    assert html_text.main_text("<p title=\"a>b</p><p title='c>d'>e</p>") == "b d'>e"  # an open quote: tags end at their first >
+    assert html_text.main_text("1 < 2 <3 text < <!-- no") == "1 < 2 <3 text <"
+
+
+def test_sure_trees_decide_alone(spark):
+    draw = random.Random(19)
+    body = lambda: " ".join("".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(30))
+    for n, removed in ((html_text.SURE + 2, False), (html_text.PAGES + 2, True)):  # a name that says nothing good, and a body unlike any other
+        texts = [body() for _ in range(n)]
+        rows = [(i, f"http://h.example/{i}", f'<body><div class="alpha">the same on every page</div><div class="rail"><p>{t}</p>{"<p>x</p>" * (i % 7)}</div></body>') for i, t in enumerate(texts)]
+        got = {r["page_id"]: r["text"] for r in html_text.extracted(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+        assert all((t in got[i]) != removed for i, t in enumerate(texts))
+
+
 def test_style_tree_removes_repeated_branches(spark):
     draw = random.Random(9)
     body = lambda: " ".join("".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(30))
@@ -599,4 +694,4 @@ def test_pipeline_on_small_tables(spark):
 def test_queries_are_registered():
     from quillmark.llm.queries import queries
 
-    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 14)]
