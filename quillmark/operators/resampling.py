@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.stats import label_index, partials, ratio
 from quillmark.operators.ordered import running
+from quillmark.sources.scratch import kept, task_count
 
 #: Share of replicates that must be defined, and the least of them; most rows of a replicate; bytes of units that are broadcast.
 VALID, FEWEST, MOST_ROWS, BROADCAST = 0.8, 20, 2_000_000, 64 << 20
@@ -34,15 +35,15 @@ def combined(sums: list[str]) -> list[Column]:
     return [_EXTREMES.get(c, F.sum)(c).alias(c) for c in sums]
 
 
-def fitting(units: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """``units``, marked for broadcast if their rows, counted in ``of`` if that has as many and is cheaper, are within BROADCAST bytes."""
-    return F.broadcast(units) if (units if of is None else of).count() * 16 * (len(units.columns) + 1) <= BROADCAST else units
+def fitting(units: DataFrame, rows: int | None = None) -> DataFrame:
+    """``units``, marked for broadcast if their ``rows``, counted unless the caller knows a bound, are within BROADCAST bytes."""
+    return F.broadcast(units) if (units.count() if rows is None else rows) * 16 * (len(units.columns) + 1) <= BROADCAST else units
 
 
-def indexed(units: DataFrame, unit: str, strata: list[str]) -> DataFrame:
+def indexed(units: DataFrame, unit: str, strata: list[str], rows: int | None = None) -> DataFrame:
     """``units`` (one row each) with slot, the place of a unit among its stratum's in string order, and size, the stratum's units. No task holds a whole stratum."""
     named = units.withColumn("__unit", F.col(unit).cast("string")).withColumn("__one", F.lit(1).cast("long"))
-    placed = running(named, strata, "__unit", ["__one"]).withColumnRenamed("before___one", "slot").drop("__unit", "__one")
+    placed = running(named, strata, "__unit", ["__one"], rows).withColumnRenamed("before___one", "slot").drop("__unit", "__one")
     sizes = units.groupBy(*strata).agg(F.count(F.lit(1)).alias("size"))
     return placed.join(sizes, strata) if strata else placed.crossJoin(sizes)
 
@@ -57,23 +58,35 @@ def numbered(df: DataFrame, count: Column, name: str, first: Column | None = Non
 
 
 def unit_sums(df: DataFrame, y: str, p: str, unit: str, strata: list[str] | None = None) -> DataFrame:
-    """Regression sums of each unit; targets are taken from their mean over all rows, so that large offsets don't cancel."""
-    centred = df.crossJoin(df.agg(F.coalesce(F.avg(y), F.lit(0.0)).alias("__mean")))
-    return centred.groupBy(*(strata or []), unit).agg(*partials(F.col(y), F.col(p), F.col("__mean")))
+    """Regression sums of each unit; targets are taken from their mean over all rows, so that large offsets don't cancel.
+
+    Rows are read once: a unit's own mean and squared deviations are kept, and moved to the mean of all afterwards.
+    """
+    t = F.col(y)
+    each = kept(df.groupBy(*(strata or []), unit).agg(*partials(t, F.col(p)), F.avg(t).alias("__own"), (F.var_pop(t) * F.count(t)).alias("__within")), "units")
+    centred = each.crossJoin(each.agg(F.coalesce(F.sum(F.col("n") * F.col("__own")) / F.sum("n"), F.lit(0.0)).alias("__mean")))
+    gap = F.col("__own") - F.col("__mean")
+    return centred.withColumn("sy", F.col("n") * gap).withColumn("syy", F.col("__within") + F.col("n") * gap * gap).select(*(strata or []), unit, *SUMS)
 
 
 def drawn(table: DataFrame, resamples: int, seed: int, strata: list[str], mode: str) -> DataFrame:
     """(strata, b, slot): as many draws with replacement from each stratum of an indexed ``table`` as it has units, for each replicate."""
-    slots = numbered(table.select(*strata, F.col("slot").alias("__slot"), "size"), F.lit(resamples), "b")
+    dealt = table.select(*strata, F.col("slot").alias("__slot"), "size").repartition(task_count(table))  # few rows that become many
+    slots = numbered(dealt, F.lit(resamples), "b")
     label = F.concat_ws("/", *(F.col(s).cast("string") for s in strata)) if strata else F.lit("")
-    return slots.select(*strata, "b", draw(F.col("size"), seed, label, F.col("b"), F.col("__slot"), mode=mode).alias("slot"))
+    return slots.select(*strata, "b", _once(draw(F.col("size"), seed, label, F.col("b"), F.col("__slot"), mode=mode)).alias("slot"))
+
+
+def _once(number: Column) -> Column:
+    """``number``, which is never null, marked so: a join then has no filter that computes it again."""
+    return F.coalesce(number, F.lit(0).cast("long"))
 
 
 def replicates(units: DataFrame, unit: str, resamples: int, seed: int, sums: list[str], strata: list[str] | None = None, mode: str = "xxhash64") -> DataFrame:
     """(b, sums): totals of ``resamples`` draws with replacement of whole units, within strata."""
-    strata = strata or []
-    table = indexed(units, unit, strata)
-    return drawn(table, resamples, seed, strata, mode).join(fitting(table.select(*strata, "slot", *sums), units), [*strata, "slot"]).groupBy("b").agg(*combined(sums))
+    strata, rows = strata or [], units.count()
+    table = kept(indexed(units, unit, strata, rows), "slots")
+    return drawn(table, resamples, seed, strata, mode).join(fitting(table.select(*strata, "slot", *sums), rows), [*strata, "slot"]).groupBy("b").agg(*combined(sums))
 
 
 def nested(rows: DataFrame, levels: list[str], resamples: int, seed: int, sums: list[str], mode: str = "xxhash64") -> DataFrame:
@@ -82,21 +95,22 @@ def nested(rows: DataFrame, levels: list[str], resamples: int, seed: int, sums:
     With a row's id as the last level, rows of the leaves are drawn again as well. Multiplicities aren't stored: each drawn node is a row.
     """
     rows = rows.select(*levels, *sums)
+    most = rows.count()
     if not 1 <= len(levels) <= 8:
         raise ValueError("one to eight levels are supported")
-    roots = indexed(rows.select(levels[0]).distinct(), levels[0], [])
-    first = numbered(roots.select(F.col("slot").alias("__slot"), "size"), F.lit(resamples), "b")
-    now = first.select("b", F.col("__slot").cast("string").alias("path"), draw(F.col("size"), seed, "root", F.col("b"), F.col("__slot"), mode=mode).alias("slot"))
-    now = now.join(fitting(roots.select("slot", levels[0]), rows), "slot").select("b", "path", levels[0])
+    roots = indexed(rows.select(levels[0]).distinct(), levels[0], [], most)
+    first = numbered(roots.select(F.col("slot").alias("__slot"), "size"), F.lit(resamples), "b").repartition(task_count(rows), "b", "__slot")  # few rows that become many
+    now = first.select("b", F.col("__slot").cast("string").alias("path"), _once(draw(F.col("size"), seed, "root", F.col("b"), F.col("__slot"), mode=mode)).alias("slot"))
+    now = now.join(fitting(roots.select("slot", levels[0]), most), "slot").select("b", "path", levels[0])
     for k in range(1, len(levels)):
         above, own, last = levels[:k], levels[k], k + 1 == len(levels)
-        kept = [*above, own, *(sums if last else [])]
-        table = indexed(rows.select(*kept) if last else rows.select(*kept).distinct(), own, above)
+        held = [*above, own, *(sums if last else [])]
+        table = indexed(rows.select(*held) if last else rows.select(*held).distinct(), own, above, most)
         sizes = table.groupBy(*above).agg(F.max("size").alias("size"))
-        below = numbered(now.join(fitting(sizes, rows), above), F.col("size"), "c")
+        below = numbered(now.join(fitting(sizes, most), above), F.col("size"), "c")
         name = "child" + (str(k) if k > 1 else "")
-        picked = below.select("b", F.concat_ws("|", "path", F.col("c").cast("string")).alias("path"), *above, draw(F.col("size"), seed, name, F.col("b"), F.col("path"), F.col("c"), mode=mode).alias("slot"))
-        now = picked.join(fitting(table.select(*above, own, "slot", *(sums if last else [])), rows), [*above, "slot"]).drop("slot")
+        picked = below.select("b", F.concat_ws("|", "path", F.col("c").cast("string")).alias("path"), *above, _once(draw(F.col("size"), seed, name, F.col("b"), F.col("path"), F.col("c"), mode=mode)).alias("slot"))
+        now = picked.join(fitting(table.select(*above, own, "slot", *(sums if last else [])), most), [*above, "slot"]).drop("slot")
     return (now if len(levels) > 1 else now.join(fitting(rows.select(levels[0], *sums)), levels[0])).groupBy("b").agg(*combined(sums))
 
 
@@ -151,7 +165,7 @@ def stratified_auroc(df: DataFrame, y: str, score: str, resamples: int, seed: in
     """
     from quillmark.operators.metrics import auroc
 
-    placed = _placed(df, y, score)
+    placed = kept(_placed(df, y, score), "scores")
     return auroc(_stratified(placed, y, resamples, seed, mode).withColumnRenamed("times", "w"), y, score, ["b"], "w")
 
 
@@ -169,8 +183,8 @@ def _stratified(placed: DataFrame, y: str, resamples: int, seed: int, mode: str)
     """(b, y, others, times) of draws of rows, as many in each class as it has. Every row of a class is a slot, and no array holds them all."""
     others = [c for c in placed.columns if c not in (y, "k", "first", "size")]
     rows = numbered(placed, F.col("k"), "slot", F.col("first"))
-    slots = numbered(rows.select(y, "size", F.col("slot").alias("__slot")), F.lit(resamples), "b")
-    at = slots.select(y, "b", draw(F.col("size"), seed, F.col(y), F.col("b"), F.col("__slot"), mode=mode).alias("slot"))
+    slots = numbered(rows.select(y, "size", F.col("slot").alias("__slot")).repartition(task_count(placed)), F.lit(resamples), "b")
+    at = slots.select(y, "b", _once(draw(F.col("size"), seed, F.col(y), F.col("b"), F.col("__slot"), mode=mode)).alias("slot"))
     return at.join(fitting(rows.select(y, "slot", *others)), [y, "slot"]).groupBy("b", y, *others).agg(F.count(F.lit(1)).alias("times"))
 
 
@@ -184,7 +198,7 @@ def _classes(cells: DataFrame, by: list[str], y: str, p: str, times: str) -> Dat
 
 def stratified_classes(df: DataFrame, y: str, p: str, resamples: int, seed: int, mode: str = "xxhash64") -> DataFrame:
     """(b, n, accuracy, macro_f1, weighted_f1) of predicted classes: each class keeps its number of rows, whatever the number of classes."""
-    return _classes(_stratified(_placed(df, y, p), y, resamples, seed, mode), ["b"], y, p, "times")
+    return _classes(_stratified(kept(_placed(df, y, p), "classes"), y, resamples, seed, mode), ["b"], y, p, "times")
 
 
 def class_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -195,8 +209,8 @@ def class_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
 def cluster_classes(df: DataFrame, y: str, p: str, unit: str, resamples: int, seed: int, strata: list[str] | None = None, mode: str = "xxhash64") -> DataFrame:
     """(b, n, accuracy, macro_f1, weighted_f1) of predicted classes under draws of whole units."""
     strata = strata or []
-    cells = df.groupBy(*strata, unit, y, p).agg(F.count(F.lit(1)).alias("times"))
-    table = indexed(df.select(*strata, unit).distinct(), unit, strata)
+    cells = kept(df.groupBy(*strata, unit, y, p).agg(F.count(F.lit(1)).alias("times")), "cells")
+    table = indexed(cells.select(*strata, unit).distinct(), unit, strata)
     held = table.select(*strata, unit, "slot").join(cells, [*strata, unit]).select(*strata, "slot", y, p, "times")
     counted = drawn(table, resamples, seed, strata, mode).join(fitting(held), [*strata, "slot"]).groupBy("b", y, p).agg(F.sum("times").alias("times"))
     return _classes(counted, ["b"], y, p, "times")
@@ -207,8 +221,8 @@ def cluster_auroc(df: DataFrame, y: str, score: str, unit: str, resamples: int,
     from quillmark.operators.metrics import auroc
 
     strata = strata or []
-    cells = df.groupBy(*strata, unit, y, score).agg(F.count(F.lit(1)).alias("times"))
-    table = indexed(df.select(*strata, unit).distinct(), unit, strata)
+    cells = kept(df.groupBy(*strata, unit, y, score).agg(F.count(F.lit(1)).alias("times")), "cells")
+    table = indexed(cells.select(*strata, unit).distinct(), unit, strata)
     held = table.select(*strata, unit, "slot").join(cells, [*strata, unit]).select(*strata, "slot", y, score, "times")
     counted = drawn(table, resamples, seed, strata, mode).join(fitting(held), [*strata, "slot"]).groupBy("b", y, score).agg(F.sum("times").alias("w"))
     return auroc(counted, y, score, ["b"], "w")
@@ -224,7 +238,8 @@ def swap_test(units: DataFrame, unit: str, permutations: int, seed: int, metric:
 
     Two-sided: the share of permutations whose improvement is at least as large as the observed one, both counted with it.
     """
-    every = numbered(units, F.lit(permutations), "b")
+    units = kept(units, "units")
+    every = numbered(units.repartition(task_count(units)), F.lit(permutations), "b")
     swapped = flip(seed, F.col("b"), F.col(unit), mode)
     pick = lambda c: (F.sum(F.when(swapped, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))), F.sum(F.when(swapped, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))))
     value = {"rmse": lambda s, n: F.sqrt(s / n), "accuracy": lambda s, n: -s / n}.get(metric, lambda s, n: s / n)  # more hits are better

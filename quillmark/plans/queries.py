@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmark.functions.stats import label_index, partials, split_role
 from quillmark.operators import audit, evidence, metrics, molecules, paired, privacy, resampling, shift
 from quillmark.plans import views
+from quillmark.sources.scratch import kept
 from quillmark.plans.views import AUDIT, BIN, DOC, MULTI, NEAR, REG, eval_bin, eval_doc, eval_multi, eval_reg, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -325,7 +326,7 @@ _PAIR = "count(*) AS n, sum(abs(y-p_a)) AS sa_a, sum(abs(y-p_b)) AS sa_b, sum((y
 
 def _pair_sums(df, unit):
     y = F.col("y")
-    return df.groupBy(unit).agg(F.count(F.lit(1)).alias("n"), *(s(y - F.col(f"p_{m}")).alias(f"{name}_{m}") for m in "ab" for name, s in (("sa", lambda e: F.sum(F.abs(e))), ("ss", lambda e: F.sum(e * e)))))
+    return kept(df.groupBy(unit).agg(F.count(F.lit(1)).alias("n"), *(s(y - F.col(f"p_{m}")).alias(f"{name}_{m}") for m in "ab" for name, s in (("sa", lambda e: F.sum(F.abs(e))), ("ss", lambda e: F.sum(e * e))))), "units")
 
 
 @query(f"""WITH {REG}, u AS (SELECT unit, {_PAIR} FROM eval_reg GROUP BY 1), x AS (SELECT *, row_number() OVER (ORDER BY unit::varchar)-1 AS slot, count(*) OVER () AS size FROM u),
@@ -353,7 +354,7 @@ def boot_delta_cohorts(spark, sf_dir):
     side = lambda c, who: F.sum(F.when(F.col("cohort") == who, F.col(c)))
     for who in ("reference", "current"):
         units = units.withColumn(f"n_{who}", F.when(F.col("cohort") == who, F.col("n"))).withColumn(f"sa_{who}", F.when(F.col("cohort") == who, F.col("sa")))
-    sums = ["n_reference", "n_current", "sa_reference", "sa_current"]
+    units, sums = kept(units, "units"), ["n_reference", "n_current", "sa_reference", "sa_current"]
     delta = F.col("sa_current") / F.col("n_current") - F.col("sa_reference") / F.col("n_reference")
     found = resampling.replicates(units, "sample_id", R, SEED, sums, ["cohort"], "md5").select("b", delta.alias("v"))
     point = units.agg((side("sa", "current") / side("n", "current") - side("sa", "reference") / side("n", "reference")).alias("degradation"))
