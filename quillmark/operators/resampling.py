@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.functions.stats import label_index, partials, ratio
-from quillmark.operators.ordered import running
+from quillmark.operators.ordered import running, suffix_least
 from quillmark.sources.scratch import kept, task_count
 
 #: Share of replicates that must be defined, and the least of them; most rows of a replicate; bytes of units that are broadcast.
@@ -286,24 +286,44 @@ def plan_status(df: DataFrame, unit: str, parent: str | None = None, stratum: st
     return out.select(status.alias("status"), "n_units", "min_size", "max_size", "median_size")
 
 
-def adjusted(df: DataFrame, p: str, method: str, alpha: float = 0.05, tie: str = "label") -> DataFrame:
-    """``df`` with adjusted_p, reject and status, by Benjamini-Hochberg or -Yekutieli over the whole family; a missing p counts as 1 and stays null.
+def stepped_up(df: DataFrame, p: str, method: str, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
+    """``df`` with adjusted_p and reject, by Benjamini-Hochberg (bh) or -Yekutieli (by) over each family ``by``; a missing p counts as 1, stays null and isn't rejected (null).
 
-    The family is declared by hand and small, so one task may order it.
+    Equal p have equal results, so ranks are taken of different p: the last of its rank. One family of any size is ordered by ranges, several families each on its own; no p is collected.
     """
     if method not in ("bh", "by"):
         raise ValueError("method must be bh or by")
-    order = W.orderBy(F.coalesce(F.col(p), F.lit(1.0)), F.col(tie))
-    family = df.crossJoin(df.agg(F.count(F.lit(1)).alias("__m")))
-    factor = F.aggregate(F.sequence(F.lit(1), F.col("__m").cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / i) if method == "by" else F.lit(1.0)
-    ranked = family.withColumn("__rank", F.row_number().over(order)).withColumn("__raw", F.coalesce(F.col(p), F.lit(1.0)) * F.col("__m") * factor / F.col("__rank"))
-    least = F.least(F.min("__raw").over(W.orderBy("__rank").rowsBetween(0, W.unboundedFollowing)), F.lit(1.0))
-    value = F.when(F.col(p).isNotNull(), F.col("__least"))
-    out = ranked.withColumn("__least", least)
-    return out.select(*df.columns, value.alias("adjusted_p"), F.coalesce(value <= alpha, F.lit(False)).alias("reject"), F.when(F.col(p).isNull(), "missing").otherwise("evaluated").alias("status"))
+    by = by or []
+    value = F.coalesce(F.col(p), F.lit(1.0))
+    wrong = df.where(F.isnan(p) | (F.col(p) < 0) | (F.col(p) > 1)).limit(1).count()
+    if wrong:
+        raise ValueError("p values must be between 0 and 1")
+    counts = kept(df.groupBy(*by, value.alias("__p")).agg(F.count(F.lit(1)).alias("__k")), "p-values")
+    size = counts.groupBy(*by).agg(F.sum("__k").alias("__m"))
+    n = counts.count()
+    ranked = running(counts, by, "__p", ["__k"], n)
+    harmonic = F.when(F.col("__m") <= 10_000, F.aggregate(F.sequence(F.lit(1), F.least("__m", F.lit(10_000)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / i)).otherwise(
+        F.log(F.col("__m").cast("double")) + 0.5772156649015329 + 1 / (2.0 * F.col("__m")) - 1 / (12.0 * F.col("__m") * F.col("__m"))  # to the last digits beyond 10,000 tests
+    )
+    sized = ranked.join(size, by) if by else ranked.crossJoin(size)  # one row without families
+    raw = sized.withColumn("__raw", F.col("__p") * F.col("__m") * (harmonic if method == "by" else F.lit(1.0)) / (F.col("before___k") + F.col("__k")))
+    if by:
+        least = raw.withColumn("least___raw", F.min("__raw").over(W.partitionBy(*by).orderBy("__p").rowsBetween(0, W.unboundedFollowing)))
+    else:
+        least = suffix_least(raw, "__p", "__raw", n)
+    found = kept(least.select(*by, "__p", F.least("least___raw", F.lit(1.0)).alias("__a")), "p-adjusted")
+    joined = df.withColumn("__p", value).join(found, [*by, "__p"], "left")
+    shown = F.when(F.col(p).isNotNull(), F.col("__a"))
+    return joined.select(*df.columns, shown.alias("adjusted_p"), (shown <= alpha).alias("reject"))
+
+
+def adjusted(df: DataFrame, p: str, method: str, alpha: float = 0.05, tie: str = "label") -> DataFrame:
+    """``stepped_up`` over one family, with reject false where p is missing, and status; ``tie`` doesn't matter, as equal p have equal results."""
+    out = stepped_up(df, p, method, alpha)
+    return out.withColumn("reject", F.coalesce("reject", F.lit(False))).withColumn("status", F.when(F.col(p).isNull(), "missing").otherwise("evaluated"))
 
 
 __all__ = [
     "adjusted", "class_metrics", "cluster_auroc", "cluster_classes", "combined", "draw", "drawn", "family", "fitting", "flip", "guarded", "indexed", "interval", "intervals", "label_index", "ladder", "nested",
-    "numbered", "plan_status", "ratio", "replicates", "stratified_auroc", "stratified_classes", "swap_outcome", "swap_test", "totals", "unit_sums",
+    "numbered", "plan_status", "ratio", "replicates", "stepped_up", "stratified_auroc", "stratified_classes", "swap_outcome", "swap_test", "totals", "unit_sums",
 ]

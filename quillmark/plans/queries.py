@@ -312,12 +312,39 @@ def boot_levels_and_rows(spark, sf_dir):
     return rounded(resampling.nested(v, ["region", "nation", "sample_id"], 20, SEED, ["n", "sa"], "md5").select("b", "n", (F.col("sa") / F.col("n")).alias("mae")))
 
 
-@query("""WITH f(slice_column, slice_value, p, d) AS (VALUES ('site','a',0.01::double,true), ('site','b',0.2,true), ('site','c',NULL,true), ('lang','x',0.03,false), ('site','d',NULL,true)),
- r AS (SELECT *, row_number() OVER (ORDER BY coalesce(p,1), slice_column||'/'||slice_value) AS k FROM f), w AS (SELECT *, coalesce(p,1)*5/k AS x FROM r), a AS (SELECT *, least(min(x) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),1) AS v FROM w)
- SELECT slice_column, slice_value, p, round(CASE WHEN p IS NOT NULL THEN v END,6) AS adjusted_p, coalesce(p IS NOT NULL AND v<=0.05,false) AS reject, CASE WHEN slice_value='d' THEN 'missing_prespecified_slice' WHEN p IS NULL THEN 'missing' ELSE 'evaluated' END AS status, d AS prespecified FROM a""")
+#: A chi-squared test with two degrees of freedom, whose p has a closed form: do a group's statuses have the shares that all orders have?
+_P_SQL = """v AS (SELECT {keys}, o_orderstatus AS s FROM orders), a AS (SELECT s, count(*)/(SELECT count(*) FROM v) AS share FROM v GROUP BY s), g AS (SELECT {names}, count(*) AS n FROM v GROUP BY ALL), c AS (SELECT {names}, s, count(*) AS k FROM v GROUP BY ALL),
+ x AS (SELECT {names}, n, sum((coalesce(k,0)-n*share)*(coalesce(k,0)-n*share)/(n*share)) AS chi FROM g CROSS JOIN a LEFT JOIN c USING ({names}, s) GROUP BY ALL), t AS (SELECT {names}, CASE WHEN n>=5 THEN exp(-chi/2) END AS p FROM x)"""
+
+
+def _status_tests(rows, keys):
+    """(keys, p) of each group of orders, null below five of them."""
+    share = rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("k")).crossJoin(rows.agg(F.count(F.lit(1)).alias("total"))).select("o_orderstatus", (F.col("k") / F.col("total")).alias("share"))
+    shares = {r.o_orderstatus: r.share for r in share.collect()}  # one for each status
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("o_orderstatus") == s).alias(f"k_{s}") for s in shares))
+    chi = sum((F.pow(F.col(f"k_{s}") - F.col("n") * v, 2) / (F.col("n") * v) for s, v in shares.items()), F.lit(0.0))
+    return counts.select(*keys, F.when(F.col("n") >= 5, F.exp(-chi / 2)).alias("p"))
+
+
+_FAMILY_SLICES = """v AS (SELECT 'priority' AS slice_column, o_orderpriority AS slice_value, o_orderstatus AS s FROM orders UNION ALL SELECT 'month', strftime(o_orderdate,'%Y-%m'), o_orderstatus FROM orders)"""
+
+
+@query(f"""WITH {_FAMILY_SLICES},
+ n0 AS (SELECT count(*) AS n FROM orders), a AS (SELECT o_orderstatus AS s, count(*)/(SELECT n FROM n0) AS share FROM orders GROUP BY 1), g AS (SELECT slice_column, slice_value, count(*) AS n FROM v GROUP BY 1,2), c AS (SELECT slice_column, slice_value, s, count(*) AS k FROM v GROUP BY ALL),
+ x AS (SELECT slice_column, slice_value, n, sum((coalesce(k,0)-n*share)*(coalesce(k,0)-n*share)/(n*share)) AS chi FROM g CROSS JOIN a LEFT JOIN c USING (slice_column, slice_value, s) GROUP BY ALL), t AS (SELECT slice_column, slice_value, CASE WHEN n>=5 THEN exp(-chi/2) END AS p, slice_column='priority' AS d FROM x
+ UNION ALL SELECT 'priority', '0-UNHEARD OF', NULL, true), r AS (SELECT *, row_number() OVER (ORDER BY coalesce(p,1)) AS k, count(*) OVER () AS m FROM t), w AS (SELECT *, coalesce(p,1)*m/k AS q FROM r), z AS (SELECT *, least(min(q) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),1) AS y FROM w)
+ SELECT slice_column, slice_value, round(p,6) AS p, round(CASE WHEN p IS NOT NULL THEN y END,6) AS adjusted_p, coalesce(p IS NOT NULL AND y<=0.05,false) AS reject, CASE WHEN slice_value='0-UNHEARD OF' THEN 'missing_prespecified_slice' WHEN p IS NULL THEN 'missing' ELSE 'evaluated' END AS status, d AS prespecified FROM z""")
 def family_prespecified(spark, sf_dir):
-    slices = spark.createDataFrame([("site", "a", 0.01), ("site", "b", 0.2), ("site", "c", None), ("lang", "x", 0.03)], "slice_column string, slice_value string, p double")
-    declared = spark.createDataFrame([("site", v) for v in "abcd"], "slice_column string, slice_value string")
+    """Priorities were declared, one that no order has among them; months weren't."""
+    orders = table(spark, sf_dir, "orders")
+    pairs = F.array(F.struct(F.lit("priority").alias("slice_column"), F.col("o_orderpriority").alias("slice_value")), F.struct(F.lit("month").alias("slice_column"), F.date_format("o_orderdate", "yyyy-MM").alias("slice_value")))
+    rows = orders.select("o_orderstatus", F.explode(pairs).alias("x")).select("o_orderstatus", "x.*")
+    shares = {r.o_orderstatus: r.k for r in orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("k")).collect()}  # one for each status
+    total = sum(shares.values())
+    counts = rows.groupBy("slice_column", "slice_value").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("o_orderstatus") == s).alias(f"k_{s}") for s in shares))
+    chi = sum((F.pow(F.col(f"k_{s}") - F.col("n") * (k / total), 2) / (F.col("n") * (k / total)) for s, k in shares.items()), F.lit(0.0))
+    slices = counts.select("slice_column", "slice_value", F.when(F.col("n") >= 5, F.exp(-chi / 2)).alias("p"))
+    declared = rows.where("slice_column = 'priority'").select("slice_column", "slice_value").distinct().union(spark.createDataFrame([("priority", "0-UNHEARD OF")], "slice_column string, slice_value string"))
     return rounded(resampling.family(slices, declared, ["slice_column", "slice_value"], "p", "bh"))
 
 
@@ -391,25 +418,27 @@ def plan_status(spark, sf_dir):
     return rounded(out)
 
 
-_FAMILY = [("s1", 0.01), ("s2", 0.04), ("s3", 0.03), ("s4", None), ("s5", 0.2), ("s6", 0.0004)]
+def _adjust_sql(method: str) -> str:
+    factor = "(SELECT sum(1.0::double/i) FROM range(1,(SELECT count(*)+1 FROM t)) z(i))" if method == "by" else "1"
+    return f"""WITH {_P_SQL.format(keys='o_custkey AS label', names='label')}, r AS (SELECT *, row_number() OVER (ORDER BY coalesce(p,1)) AS k, count(*) OVER () AS m FROM t), w AS (SELECT *, coalesce(p,1)*m*{factor}/k AS q FROM r),
+ z AS (SELECT *, least(min(q) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),1) AS y FROM w)
+ SELECT label, round(p,6) AS raw_p, round(CASE WHEN p IS NOT NULL THEN y END,6) AS adjusted_p, coalesce(p IS NOT NULL AND y<=0.05, false) AS reject, CASE WHEN p IS NULL THEN 'missing' ELSE 'evaluated' END AS status FROM z"""
 
 
-def _adjust_sql(method: str) -> str:
-    rows = ", ".join(f"('{k}', {'NULL' if p is None else p}::double)" for k, p in _FAMILY)
-    factor = "(SELECT sum(1.0::double/i) FROM range(1,7) t(i))" if method == "by" else "1"
-    return f"""WITH f(label, raw_p) AS (VALUES {rows}), r AS (SELECT *, row_number() OVER (ORDER BY coalesce(raw_p,1), label) AS k FROM f), w AS (SELECT *, coalesce(raw_p,1)*6*{factor}/k AS x FROM r),
- a AS (SELECT *, least(min(x) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),1) AS y FROM w)
- SELECT label, raw_p, round(CASE WHEN raw_p IS NOT NULL THEN y END,6) AS adjusted_p, coalesce(raw_p IS NOT NULL AND y<=0.05, false) AS reject, CASE WHEN raw_p IS NULL THEN 'missing' ELSE 'evaluated' END AS status FROM a"""
+def _customers(spark, sf_dir, method):
+    tests = _status_tests(table(spark, sf_dir, "orders").withColumn("label", F.col("o_custkey")), ["label"]).withColumnRenamed("p", "raw_p")
+    return rounded(resampling.adjusted(tests, "raw_p", method))
 
 
 @query(_adjust_sql("bh"))
 def adjust_bh(spark, sf_dir):
-    return rounded(resampling.adjusted(spark.createDataFrame(_FAMILY, "label string, raw_p double"), "raw_p", "bh"))
+    """A family of a test for each customer."""
+    return _customers(spark, sf_dir, "bh")
 
 
 @query(_adjust_sql("by"))
 def adjust_by(spark, sf_dir):
-    return rounded(resampling.adjusted(spark.createDataFrame(_FAMILY, "label string, raw_p double"), "raw_p", "by"))
+    return _customers(spark, sf_dir, "by")
 
 
 @query(f"""WITH {REG}, s AS ({_slices(_SLICED, 'eval_reg', 'cohort, y, p_a AS p')}), g AS (SELECT slice_column, slice_value, count(*) FILTER (cohort='reference') AS n_reference, count(*) FILTER (cohort='current') AS n_current,
@@ -810,13 +839,18 @@ def benchmark_assays(spark, sf_dir):
     return rounded(benchmarks.evaluate_assays(rows, v.select("assay", F.col("region").alias("group")).distinct()))
 
 
-@query("""WITH t(k, v) AS (VALUES (1,'2024-05-01'),(2,'2024-05-01T10:30:00Z'),(3,'2024-05-01T10:30:00+02:00'),(4,'2024-05-01 10:30:00'),(5,'05/01/2024'),(6,NULL),(7,'2024-05-01T10:30:00.250-0130'))
- SELECT k, CASE k WHEN 1 THEN '2024-05-01 00:00:00.000' WHEN 2 THEN '2024-05-01 10:30:00.000' WHEN 3 THEN '2024-05-01 08:30:00.000' WHEN 7 THEN '2024-05-01 12:00:00.250' END AS utc FROM t""")
+@query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey%7 IN (4,5) THEN NULL ELSE strftime(CASE o_orderkey%7 WHEN 0 THEN date_trunc('day',o_orderdate) WHEN 2 THEN o_orderdate-INTERVAL 2 HOUR WHEN 3 THEN o_orderdate+INTERVAL 90 MINUTE ELSE o_orderdate END, '%Y-%m-%d %H:%M:%S')
+ || CASE WHEN o_orderkey%7=3 THEN '.250' ELSE '.000' END END AS utc FROM orders""")
 def iso_times(spark, sf_dir):
+    """Dates of orders as texts in seven styles, of which those without a zone and those of another order are none."""
     from quillmark.sources.tables import iso_timestamp
 
-    rows = [(1, "2024-05-01"), (2, "2024-05-01T10:30:00Z"), (3, "2024-05-01T10:30:00+02:00"), (4, "2024-05-01 10:30:00"), (5, "05/01/2024"), (6, None), (7, "2024-05-01T10:30:00.250-0130")]
-    return spark.createDataFrame(rows, "k int, v string").select("k", F.date_format(iso_timestamp(F.col("v")), "yyyy-MM-dd HH:mm:ss.SSS").alias("utc"))
+    k, at = F.col("o_orderkey") % 7, lambda style: F.date_format("o_orderdate", style)
+    styles = ["yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss'+02:00'", "yyyy-MM-dd'T'HH:mm:ss'.250-0130'", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy"]
+    text = at("yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    for i, style in enumerate(styles):
+        text = F.when(k == i, at(style)).otherwise(text)
+    return rounded(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.date_format(iso_timestamp(text), "yyyy-MM-dd HH:mm:ss.SSS").alias("utc")))
 
 
 @query(f"""WITH {REG}, l AS (SELECT abs(y-p_a) AS e, unit, region FROM eval_reg), g AS (SELECT region, count(*) AS n, count(DISTINCT unit) AS n_units, avg(e) AS estimate FROM l GROUP BY 1)
@@ -860,11 +894,15 @@ def custom_metrics(spark, sf_dir):
     return rounded(found)
 
 
-@query("""SELECT p_partkey AS k, round(0.5*((p_size-25.0)/10.0)-0.25*((p_retailprice-1500.0)/400.0)+1.0,6) AS score FROM part""")
+@query("""SELECT p_partkey AS k, round(1.0::double+0.3::double*(p_size-25.0::double)/7.0::double+(-0.2::double)*(p_retailprice-1500.0::double)/370.0::double,6) AS score FROM part""")
 def trusted_model(spark, sf_dir):
+    """Scales that give no short decimals: engines round exact halves differently."""
     from quillmark.operators import models
 
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
     load, predict = models.LINEAR
-    weights = b'{"intercept": 1.0, "weights": [[0.5, 25.0, 10.0], [-0.25, 1500.0, 400.0]]}'
+    weights = b'{"intercept": 1.0, "weights": [[0.3, 25.0, 7.0], [-0.2, 1500.0, 370.0]]}'
     return rounded(models.scored(rows, "k", ["size", "price"], weights, load, predict))
+
+
+from quillmark.plans import resampled_queries as _resampled_queries  # noqa: E402, F401  (it registers its queries here)
