@@ -116,7 +116,7 @@ def _shares(resamples: int, seed: int):
                 parts = sorted((p["part"], p["k"]) for p in row["parts"])
                 total = sum(k for _, k in parts)
                 key = _seed(seed, "ranges", *(row[c] for c in (*BY, "stratum")))
-                shares = np.stack([_generator(key, b).multinomial(total, [k / total for _, k in parts]) for b in range(resamples)], axis=1)
+                shares = np.array([_generator(key, b).multinomial(total, [k / total for _, k in parts]) for b in range(resamples)], np.int64).reshape(resamples, len(parts)).T
                 yield pa.RecordBatch.from_pylist([{**{c: row[c] for c in (*BY, "stratum")}, "part": p, "share": s.tolist()} for (p, _), s in zip(parts, shares)], _SHARE)
 
     return run
