@@ -26,14 +26,42 @@ def _evaluate(args) -> dict:
     row = metrics.regression(df, y, p).first()
     slices = [r.asDict() for r in metrics.slices(df, y, p, args.slice, args.min_slice_size).collect()] if args.slice else []
     cells = [{"slice_column": s["slice_column"], "slice_value": s["slice_value"], "n": s["n"], "status": s["status"], "metrics": {m: s[m] for m in ("mae", "rmse", "r2")}} for s in slices]
+    if args.resamples:
+        from quillmark.operators import resampled
+        from quillmark.operators.designs import BootstrapConfig
+
+        design = _design(args.design)
+        rows = validate(read_csv(spark, args.input, found, tuple(dict.fromkeys([*args.slice, *(design.columns if design else ())]))), found)
+        config = BootstrapConfig(resamples=args.resamples, include_slices=bool(args.slice))
+        return {"intervals": _interval_rows(resampled.metric_intervals(rows, found.sample_id, y, p, args.task, slices=tuple(args.slice), design=design, config=config))}
     return documents.receipt({"id": args.model, "revision": args.revision}, "regression", {m: row[m] for m in ("mae", "rmse", "r2")}, row["n"], slices=cells)
 
 
+def _design(path: str | None):
+    """A sampling design from a JSON file, or none."""
+    from quillmark.operators.designs import SamplingDesign
+
+    return SamplingDesign.from_dict(_read(path)) if path else None
+
+
+def _interval_rows(df) -> list[dict]:
+    return [r.asDict() for r in df.orderBy("slice_column", "slice_value", "metric").collect()]
+
+
 def _compare(args) -> dict:
     from quillmark.operators import paired
     from quillmark.sources.binding import bind, read_csv
 
     spark = _spark()
+    if args.resamples:
+        from quillmark.operators.designs import PairedConfig
+
+        design = _design(args.design)
+        found = bind(spark.read.option("header", True).csv(args.a).columns, args.target, args.prediction, args.sample_id)
+        strings = tuple(dict.fromkeys([*args.slice, *(design.columns if design else ()), *(c for c, _ in (design.critical_slices if design else ()))]))
+        config = PairedConfig(resamples=args.resamples, permutations=args.resamples, practical_threshold=args.threshold, include_slice_uncertainty=bool(strings))
+        sides = [read_csv(spark, path, found, strings) for path in (args.a, args.b)]
+        return {"comparison": _interval_rows(paired.compare_models(*sides, found.sample_id, found.target, found.predictions[0], args.task, slices=tuple(args.slice), design=design, config=config))}
     found = bind(spark.read.option("header", True).csv(args.a).columns, args.target, args.prediction, args.sample_id)
     both = paired.aligned(read_csv(spark, args.a, found), read_csv(spark, args.b, found), found.sample_id, found.target, found.predictions[0])
     return {"improvements": [r.asDict() for r in paired.improvement(both, found.target, "p_a", "p_b", args.threshold).collect()]}
@@ -162,8 +190,11 @@ def main(arguments: list[str] | None = None) -> int:
             one.add_argument(side)
         for option, default in (("--target", None), ("--prediction", None), ("--sample-id", "sample_id"), ("--output", None)):
             one.add_argument(option, default=default)
+        one.add_argument("--slice", action="append", default=[])
+        one.add_argument("--task", default="regression", choices=("regression", "binary"))
+        one.add_argument("--resamples", type=int, default=0, help="intervals of every metric by so many replicates")
+        one.add_argument("--design", default=None, help="a sampling design as JSON")
         if name == "evaluate":
-            one.add_argument("--slice", action="append", default=[])
             one.add_argument("--min-slice-size", type=int, default=5)
             one.add_argument("--model", default="model")
             one.add_argument("--revision", default="1")

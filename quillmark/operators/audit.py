@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.stats import number
+from quillmark.sources.scratch import kept
 
 
 def roles(column: str, rules: Mapping[str, Sequence[str]]) -> Column:
@@ -146,27 +147,76 @@ def near_duplicates(df: DataFrame, key: str, vector: str, role: str, pairs: Sequ
     return found.where(F.col("similarity") >= threshold)
 
 
-def tanimoto(df: DataFrame, key: str, features: str, role: str, pairs: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
-    """(key_a, key_b, similarity): rows of forbidden role pairs whose feature sets (arrays of distinct values) have a Tanimoto similarity of at least the threshold.
+def set_classes(df: DataFrame, key: str, features: str, role: str) -> tuple[DataFrame, DataFrame]:
+    """(id, set, n, roles) of each different feature set that isn't empty, and (id, key, role) of its rows, both kept: equal sets are compared once, however many rows have them."""
+    own = F.array_sort(F.array_distinct(features))
+    rows = df.select(F.col(key).alias("key"), F.col(role).cast("string").alias("role"), own.alias("set")).where(F.size("set") > 0)
+    named = rows.withColumn("id", F.sha2(F.to_json(F.struct("set")), 256))
+    classes = named.groupBy("id").agg(F.first("set").alias("set"), F.array_sort(F.collect_set("role")).alias("roles"))  # roles are few
+    return kept(classes.withColumn("n", F.size("set")), "sets"), kept(named.select("id", "key", "role"), "members")
 
-    Exact by a prefix filter: sets that are similar enough share one of the rarest features of either, so rows only meet where they do. Frequent features are
-    hardly ever among a set's rarest.
-    """
-    rows = df.select(F.col(key).alias("key"), F.col(role).alias("role"), F.array_distinct(features).alias("set")).where(F.size("set") > 0)
-    often = rows.select(F.explode("set").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("often"))
-    counted = rows.select("key", "role", F.size("set").alias("n"), F.explode("set").alias("feature")).join(often, "feature")
-    ordered = counted.groupBy("key", "role", "n").agg(F.array_sort(F.collect_list(F.struct("often", "feature"))).alias("ordered"))  # the features of one row
+
+def _heads(classes: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, roles, feature): the rarest features of each set, of which two sets that are similar enough share at least one."""
+    often = classes.select(F.explode("set").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("often"))
+    counted = classes.select("id", "n", F.explode("set").alias("feature")).join(often, "feature")
+    ordered = counted.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "feature"))).alias("ordered"))  # the features of one set
     first = F.slice("ordered", 1, (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int"))
-    heads = ordered.select("key", "role", "n", F.explode(F.transform(first, lambda x: x["feature"])).alias("feature"))
-    a, b = (heads.select(*(F.col(c).alias(f"{c}_{side}") for c in ("key", "role", "n")), "feature") for side in "ab")
-    wanted = _any((F.col("role_a") == x) & (F.col("role_b") == y) for x, y in pairs)
+    return kept(ordered.select("id", "n", F.explode(F.transform(first, lambda x: x["feature"])).alias("feature")).join(classes.select("id", "roles"), "id"), "heads")
+
+
+def candidate_bound(heads: DataFrame, pairs: Sequence[tuple[str, str]]) -> int:
+    """The most pairs of sets that a join of ``heads`` on their features can give, from counts of each feature alone."""
+    has = lambda r: F.array_contains("roles", r)
+    names = sorted({r for pair in pairs for r in pair})
+    counts = heads.groupBy("feature").agg(*(F.count_if(has(r)).alias(f"c{i}") for i, r in enumerate(names)))
+    made = sum((F.col(f"c{names.index(a)}").cast("decimal(38,0)") * F.col(f"c{names.index(b)}") for a, b in pairs), F.lit(0).cast("decimal(38,0)"))
+    return int(counts.agg(F.sum(made)).first()[0] or 0)
+
+
+def similar_sets(classes: DataFrame, heads: DataFrame, pairs: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
+    """(id_a, role_a, id_b, role_b, similarity) of sets of forbidden role pairs that are similar enough; a set that both roles have is similar to itself."""
+    a, b = (heads.select(*(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "roles")), "feature") for side in "ab")
     fits = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9
-    met = a.join(b, "feature").where(wanted & fits).select("key_a", "role_a", "key_b", "role_b").distinct()
-    sets = rows.select("key", "role", "set")
-    both = met.join(sets.toDF("key_a", "role_a", "set_a"), ["key_a", "role_a"]).join(sets.toDF("key_b", "role_b", "set_b"), ["key_b", "role_b"])
+    wanted = F.array(*(F.struct(F.lit(x).alias("role_a"), F.lit(y).alias("role_b")) for x, y in pairs))
+    held = lambda left, right: F.filter(wanted, lambda p: F.array_contains(left, p["role_a"]) & F.array_contains(right, p["role_b"]))
+    met = a.join(b, "feature").where(fits & (F.col("id_a") != F.col("id_b"))).withColumn("as", held(F.col("roles_a"), F.col("roles_b"))).where(F.size("as") > 0).select("id_a", "id_b", "as").distinct()
+    sets = classes.select("id", "set")
+    both = met.join(sets.toDF("id_a", "set_a"), "id_a").join(sets.toDF("id_b", "set_b"), "id_b")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    found = both.select("key_a", "key_b", (common / (F.size("set_a") + F.size("set_b") - common)).alias("similarity"))
-    return found.where(F.col("similarity") >= F.lit(threshold) - 1e-12)
+    found = both.select("id_a", "id_b", "as", (common / (F.size("set_a") + F.size("set_b") - common)).alias("similarity")).where(F.col("similarity") >= F.lit(threshold) - 1e-12)
+    equal = classes.withColumn("as", held(F.col("roles"), F.col("roles"))).where(F.size("as") > 0).select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), "as", F.lit(1.0).alias("similarity"))
+    return found.unionByName(equal).select("id_a", "id_b", "similarity", F.explode("as").alias("p")).select("id_a", "p.role_a", "id_b", "p.role_b", "similarity")
+
+
+def _within(df: DataFrame, key: str, features: str, role: str, pairs: Sequence[tuple[str, str]], threshold: float, budget: int | None) -> tuple[DataFrame, DataFrame]:
+    classes, members = set_classes(df, key, features, role)
+    heads = _heads(classes, threshold)
+    if budget is not None and (most := candidate_bound(heads, pairs)) > budget:
+        raise OverBudget(f"up to {most} candidate pairs, more than the declared budget")
+    return similar_sets(classes, heads, pairs, threshold), members
+
+
+def tanimoto(df: DataFrame, key: str, features: str, role: str, pairs: Sequence[tuple[str, str]], threshold: float, budget: int | None = None) -> DataFrame:
+    """(key_a, key_b, similarity): rows of forbidden role pairs whose feature sets (arrays of distinct values) have a Tanimoto similarity of at least the threshold.
+
+    Exact by a prefix filter: sets that are similar enough share one of the rarest features of either, so sets only meet where they do. Equal sets are one; only the result has their rows. With a ``budget`` of
+    candidate pairs, a bound of these is computed from counts before any pair is made, and OverBudget is raised beyond it. Rows without features, or with a null role, are similar to none.
+    """
+    found, members = _within(df, key, features, role, pairs, threshold, budget)
+    rows = members.select("id", "key", "role")
+    return found.join(rows.toDF("id_a", "key_a", "role_a"), ["id_a", "role_a"]).join(rows.toDF("id_b", "key_b", "role_b"), ["id_b", "role_b"]).select("key_a", "key_b", "similarity")
+
+
+def tanimoto_finding(df: DataFrame, key: str, features: str, role: str, pairs: Sequence[tuple[str, str]], threshold: float, budget: int = 100_000, policy: str = "forbid") -> DataFrame:
+    """(check, affected_records, status) of similar rows, counted by sets without making pairs of rows; beyond the budget the status is pair_budget_exceeded and no pair was made."""
+    try:
+        found, members = _within(df, key, features, role, pairs, threshold, budget)
+    except OverBudget:
+        return df.sparkSession.range(1).select(F.lit("near_duplicates").alias("check"), F.lit(None).cast("long").alias("affected_records"), F.lit("pair_budget_exceeded").alias("status"))
+    sides = F.array(F.struct(F.col("id_a").alias("id"), F.col("role_a").alias("role")), F.struct(F.col("id_b").alias("id"), F.col("role_b").alias("role")))
+    touched = found.select(F.explode(sides).alias("x")).select("x.id", "x.role").distinct()
+    return finding("near_duplicates", members.join(touched, ["id", "role"], "left_semi").select("key").distinct().agg(F.count(F.lit(1)).alias("affected_records")), policy)
 
 
 def examples(df: DataFrame, key: str, most: int = 10) -> DataFrame:

@@ -86,7 +86,7 @@ def interval_decision(lower: Column, upper: Column, threshold: float, margin: fl
     return decision, noninferior
 
 
-#: Most values of a slice column of ``compare``; more are refused.
+#: Most values of a slice column of ``compare``, which has a plan for each; ``compare_models`` takes any number.
 SLICES = 200
 _METRICS = {"mae": mae, "rmse": rmse, "r2": r2}
 
@@ -148,3 +148,25 @@ def slice_improvement(df: DataFrame, y: str, a: str, b: str, columns: list[str],
     rows = unpivoted(df.select(y, a, b, *columns), columns)
     wide = rows.groupBy("slice_column", "slice_value").agg(F.count(F.lit(1)).alias("n"), *(f(F.col(y), F.col(p)).alias(f"{side}_{m}") for m, f in _METRICS.items() for side, p in (("a", a), ("b", b))))
     return _long(wide.withColumn("status", gate(least)).where("status = 'evaluated'"), ["slice_column", "slice_value", "n"], threshold)
+
+
+def compare_models(a: DataFrame, b: DataFrame, key: str, target: str, prediction: str, task: str = "regression", classes: int = 2, metrics: list[str] | None = None, slices: tuple[str, ...] = (), design=None, config=None, mode: str = "counts") -> DataFrame:
+    """Two prediction tables of the same rows, aligned and compared by every metric of a task: the rows of ``resampled.paired_intervals``, for the whole table and each slice as one plan of any number of slices.
+
+    ``design`` (SamplingDesign) names units, strata, critical slices and the multiplicity policy, ``config`` (PairedConfig) the rest. Targets are numbers or class indexes; predictions of several classes are arrays.
+    Raises if the tables don't hold the same rows, as ``aligned`` does.
+    """
+    from quillmark.operators import resampled
+    from quillmark.operators.designs import PairedConfig
+
+    config = config or PairedConfig()
+    wanted = tuple(dict.fromkeys([*slices, *(c for c, _ in (design.critical_slices if design else ()))]))
+    metadata = list(dict.fromkeys([*wanted, *(design.columns if design else ())]))
+    if task == "multiclass":
+        problem = alignment(a, b, key, target, metadata).first()
+        if any(problem):
+            raise ValueError(f"paired tables differ: {problem.asDict()}")
+        rows = a.withColumnRenamed(prediction, "p_a").select(key, target, *metadata, "p_a").join(b.select(key, F.col(prediction).alias("p_b")), key)
+    else:
+        rows = aligned(a, b, key, target, prediction, metadata, task)
+    return resampled.paired_intervals(rows, key, target, "p_a", "p_b", task, classes, metrics, slices, design, config, mode)

@@ -88,3 +88,14 @@ def floored(statistics: DataFrame, least: int) -> DataFrame:
     small = (F.col("n") < least) | (F.coalesce(F.col("n_units"), F.col("n")) < least)
     kept = {c: F.when(~small, F.col(c)) for c in ("estimate", "lower", "upper") if c in statistics.columns}
     return statistics.withColumns(kept).withColumn("status", F.when(small, "suppressed").otherwise("released"))
+
+
+def approved_family(tests: DataFrame, approved: DataFrame, keys: list[str], p: str, method: str = "by", alpha: float = 0.05) -> DataFrame:
+    """(keys, p, adjusted_p, reject) of the tests that may be shown, adjusted anew as a family of their own: adjusted values of a larger family would tell of tests that aren't shown.
+
+    Approved keys without a test are tests without a p, which keep their place in the family. Repeated keys in ``approved`` count once.
+    """
+    from quillmark.operators.resampling import stepped_up
+
+    shown = approved.select(*keys).distinct().join(tests.select(*keys, p), keys, "left")
+    return stepped_up(shown, p, method, alpha)

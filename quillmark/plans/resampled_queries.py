@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillmark.operators import resampled
@@ -138,3 +140,51 @@ def resample_limits(spark, sf_dir):
 def intervals_by_counts(spark, sf_dir):
     """Regression metrics of single rows by multinomial counts, for all orders and by status; these draws have no SQL."""
     return rounded(resampled.metric_intervals(eval_reg(spark, sf_dir), "sample_id", "y", "p_a", "regression", slices=("status",), config=BootstrapConfig(resamples=200, seed=SEED, include_slices=True)))
+
+
+@query("""WITH f AS (SELECT p_partkey AS k, CASE WHEN p_partkey%2=0 THEN 'train' ELSE 'test' END AS role, list_sort(list_distinct(string_split(p_type,' ') || [p_brand, substr(p_name,1,4)])) AS s FROM part),
+ p AS (SELECT a.k AS x, b.k AS y FROM f a, f b WHERE a.role='train' AND b.role='test' AND len(list_intersect(a.s,b.s)) >= 0.6*(len(a.s)+len(b.s)-len(list_intersect(a.s,b.s)))-1e-9), t AS (SELECT x AS k FROM p UNION SELECT y FROM p)
+ SELECT 'within' AS budget, 'near_duplicates' AS "check", count(*) AS affected_records, CASE WHEN count(*)>0 THEN 'fail' ELSE 'pass' END AS status FROM t UNION ALL SELECT 'beyond', 'near_duplicates', NULL, 'pair_budget_exceeded'""")
+def audit_pair_budget(spark, sf_dir):
+    """Parts with the same words, once within a budget of candidate pairs and once beyond it."""
+    from quillmark.operators import audit
+
+    words = F.array_union(F.split("p_type", " "), F.array("p_brand", F.substring("p_name", 1, 4)))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, "train").otherwise("test").alias("role"), words.alias("set"))
+    one = lambda name, budget: audit.tanimoto_finding(rows, "p_partkey", "set", "role", [("train", "test")], 0.6, budget).select(F.lit(name).alias("budget"), "check", "affected_records", "status")
+    return one("within", 10**15).union(one("beyond", 0))
+
+
+@query("""WITH c AS (SELECT o_custkey AS label, count(*) AS n, count(*) FILTER (o_orderstatus='F') AS f FROM orders GROUP BY 1), a AS (SELECT count(*) FILTER (o_orderstatus='F')/count(*) AS share FROM orders), t AS (SELECT label, exp(-2*n*(f/n-share)*(f/n-share)) AS p FROM c, a WHERE n>=3),
+ s AS (SELECT c_custkey AS label, p FROM customer LEFT JOIN t ON c_custkey=label WHERE c_mktsegment='BUILDING'), r AS (SELECT *, row_number() OVER (ORDER BY coalesce(p,1)) AS k, count(*) OVER () AS m FROM s), w AS (SELECT *, coalesce(p,1)*m*(SELECT sum(1.0::double/i) FROM range(1,m+1) z(i))/k AS q FROM r),
+ z AS (SELECT *, least(min(q) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),1) AS y FROM w) SELECT label, round(p,6) AS p, round(CASE WHEN p IS NOT NULL THEN y END,6) AS adjusted_p, CASE WHEN p IS NOT NULL THEN y<=0.05 END AS reject FROM z""")
+def approved_tests(spark, sf_dir):
+    """Bounds of customers' shares of one status as p values; only the customers of one segment may be shown, and their family is adjusted anew."""
+    from quillmark.operators.privacy import approved_family
+
+    orders = table(spark, sf_dir, "orders")
+    share = orders.agg((F.count_if(F.col("o_orderstatus") == "F") / F.count(F.lit(1))).alias("share"))
+    gap = F.col("f") / F.col("n") - F.col("share")
+    tests = orders.groupBy(F.col("o_custkey").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("f")).where("n >= 3").crossJoin(share).select("label", F.exp(-2 * F.col("n") * gap * gap).alias("p"))
+    shown = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("label"))
+    return rounded(approved_family(tests, shown, ["label"], "p"))
+
+
+_LINE = "c_custkey||','||c_nationkey||',\"'||replace(c_name,'\"','\"\"')||'; '||c_mktsegment||'\"'"
+
+
+@query(f"""SELECT c_mktsegment AS segment, count(*) AS n, sum(c_custkey)::bigint AS keys, count(DISTINCT c_nationkey) AS nations, sha256(string_agg({_LINE}||chr(10), '' ORDER BY c_custkey)) AS sha256 FROM customer GROUP BY 1""")
+def scan_digests(spark, sf_dir):
+    """Customers written as a CSV file for each segment, then rows and digests of these files by one read of each."""
+    from quillmark.sources.scratch import shared_folder
+    from quillmark.sources.tables import scanned_files, verified_rows
+
+    c = table(spark, sf_dir, "customer")
+    text = F.concat_ws(",", F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"), F.concat(F.lit('"'), F.replace("c_name", F.lit('"'), F.lit('""')), F.lit("; "), F.col("c_mktsegment"), F.lit('"')))
+    folder = f"{shared_folder(spark)}/quillmark/segments-{uuid.uuid4().hex}"
+    c.select("c_custkey", "c_mktsegment", text.alias("value")).repartition("c_mktsegment").sortWithinPartitions("c_mktsegment", "c_custkey").select("value", "c_mktsegment").write.partitionBy("c_mktsegment").text(folder)
+    scan = scanned_files(spark, folder, ["key", "nation", "name"], header=False)
+    pins = {r.path.rsplit("/", 1)[-1]: r.d for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.sha2("content", 256).alias("d")).collect()}  # a file for each segment
+    rows = verified_rows(scan, pins)
+    segment = F.regexp_extract("name", "; (.*)$", 1).alias("segment")
+    return rounded(rows.groupBy(segment, "sha256").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("key").cast("long")).alias("keys"), F.countDistinct("nation").alias("nations")))

@@ -41,10 +41,15 @@ def read_cohorts(spark: SparkSession, reference: str, current: str, binding: Bin
     return parts[0].unionByName(parts[1])
 
 
-def eligible(df: DataFrame, role: str, rules: Sequence[Mapping], wanted: str | None = None) -> DataFrame:
-    """The rows that are kept by ``rules``, of one role if it is named; excluded rows are left out before anything looks at their values."""
-    kept = audit.excluded(rules)
-    out = df.where(~F.coalesce(kept, F.lit(False)))
+def eligible(df: DataFrame, role: str, rules: Sequence[Mapping], wanted: str | None = None, evaluation: str | None = None) -> DataFrame:
+    """The rows that are kept by ``rules``, of one role if it is named; excluded rows are left out before anything looks at their values.
+
+    With an ``evaluation`` role, rules exclude rows of this role alone and training rows stay; without one they exclude rows of every role.
+    """
+    gone = F.coalesce(audit.excluded(rules), F.lit(False))
+    if evaluation is not None:
+        gone = gone & F.coalesce(F.col(role) == evaluation, F.lit(False))
+    out = df.where(~gone)
     return out.where(F.col(role) == wanted) if wanted else out
 
 
@@ -138,3 +143,61 @@ def iso_timestamp(c: Column) -> Column:
 def slug(c: Column) -> Column:
     """Lower-case letters, digits and single hyphens."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "-"), "^-|-$", "")
+
+
+def scanned_files(spark: SparkSession, path: str, names: list[str], header: bool = True, wanted: list[str] | None = None, rows_at_once: int = 8192) -> DataFrame:
+    """(file, sha256, row, wanted columns as text) of CSV files, by one read: the digest is that of exactly the bytes that the rows were taken from.
+
+    A file is one task's work, and at most 2 GB; its rows leave in batches of ``rows_at_once``. Quoted fields may hold separators and line ends. Empty fields are null. Rows of another length than
+    ``names``, and a header that isn't ``names``, are errors. An empty file has no rows, and none either with a header alone.
+    """
+    import csv
+    import io
+
+    wanted = wanted or names
+    at = [names.index(c) for c in wanted]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("sha256"), "content")
+    kinds = "file string, sha256 string, row long, " + ", ".join(f"`{c}` string" for c in wanted)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, digest, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                lines = csv.reader(io.StringIO(content.decode(), newline=""))
+                if header and (first := next(lines, names)) != names:
+                    raise ValueError(f"{name} has the columns {first}")
+                part, done = [], 0
+                for line in lines:
+                    if line:
+                        if len(line) != len(names):
+                            raise ValueError(f"row {done + len(part)} of {name} has {len(line)} fields")
+                        part.append([line[i] or None for i in at])
+                    if len(part) == rows_at_once:
+                        yield _batch(pa, name, digest, done, part, wanted)
+                        done, part = done + len(part), []
+                if part:
+                    yield _batch(pa, name, digest, done, part, wanted)
+
+    return files.mapInArrow(run, kinds)
+
+
+def _batch(pa, name, digest, done, part, wanted):
+    n = len(part)
+    columns = [pa.array([name] * n), pa.array([digest] * n), pa.array(range(done, done + n), pa.int64()), *(pa.array([r[i] for r in part], pa.string()) for i in range(len(wanted)))]
+    return pa.RecordBatch.from_arrays(columns, ["file", "sha256", "row", *wanted])
+
+
+def verified_rows(scan: DataFrame, pins: Mapping[str, str]) -> DataFrame:
+    """The rows of ``scanned_files``, kept, if every file's digest is the one that is pinned for its name; else an error before any row counts. The files are read once; what is checked is what is returned.
+
+    ``pins`` has the last part of a file's path; a pinned file without rows isn't seen here.
+    """
+    from quillmark.sources.scratch import kept
+
+    held = kept(scan, "scan")
+    seen = {r.file.rsplit("/", 1)[-1]: r.sha256 for r in held.select("file", "sha256").distinct().collect()}  # one row for each file
+    wrong = sorted(name for name, digest in seen.items() if pins.get(name) != digest)
+    if wrong:
+        raise ValueError(f"files differ from their pinned digests: {wrong[:3]}")
+    return held
