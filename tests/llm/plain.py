@@ -119,7 +119,7 @@ def masked(text):
     if text is None:
         return None
     spans = []
-    for pattern in (secrets.ASSIGN, secrets.ACCESS, secrets.HEX.replace(r"(?:\G|(?<![0-9a-f]))", ""), secrets.PRIVATE_KEY, secrets.WEB_TOKEN, secrets.KEY_BLOCK, secrets.LONG_TOKEN):
+    for pattern in (secrets.ASSIGN, secrets.ACCESS, secrets.HEX.replace(r"(?:\G|(?<![0-9a-f]))", ""), secrets.PRIVATE_KEY, secrets.WEB_TOKEN, secrets.KEY_BLOCK, secrets.SERVICE_TOKEN):
         for m in re.finditer(pattern, text):
             if pattern != secrets.ASSIGN or len(m[2]) >= 12:
                 spans.append(m.span())
