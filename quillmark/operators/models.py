@@ -92,24 +92,34 @@ def _linear(model, features):
 LINEAR = (json.loads, _linear)
 
 
-def baseline(df: DataFrame, key: str, smiles: str, target: str, task: str = "regression", test: float = 0.2, seed: int = 13, bits: int = 256, trees: int = 200) -> DataFrame:
-    """(key, target, prediction) of the test part: a random forest over hashed fingerprints, the split stratified for classes.
+def forest_scores(df: DataFrame, key: str, smiles: str, target: str, task: str = "regression", test: float = 0.2, seed: int = 13, bits: int = 256, trees: int = 200) -> DataFrame:
+    """(key, part, target, prediction, vector) of both parts: a random forest over hashed fingerprints that learns from the part train; for classes the split is stratified and both classes weigh the same.
 
-    With a single class in training, the other class has the probability 0.
+    With a single class in training, a model of class 0 alone gives 0 for the other, and one of class 1 alone gives 1.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import RandomForestRegressor
 
     from quillmark.operators.molecules import dense_fingerprint
+    from quillmark.sources.scratch import kept
 
     parts = split(df.select(key, smiles, target), key, test, seed, target if task == "binary" else None)
-    rows = dense_fingerprint(parts, key, smiles, bits).withColumn("__label", F.col(target).cast("double"))
-    train, held = rows.where("part = 'train'"), rows.where("part = 'test'")
+    rows = kept(dense_fingerprint(parts, key, smiles, bits).withColumn("__label", F.col(target).cast("double")), "fingerprints")
+    train = rows.where("part = 'train'")
+    out = [F.col(key), F.col("part"), F.col(target)]
+    vector = vector_to_array("features").alias("vector")
     if task == "binary":
-        if train.select("__label").distinct().count() < 2:
-            return held.select(key, target, F.lit(0.0).alias("prediction"))
-        model = RandomForestClassifier(featuresCol="features", labelCol="__label", numTrees=trees, seed=seed, probabilityCol="__p").fit(train)
-        return model.transform(held).select(key, target, F.get(vector_to_array("__p"), 1).alias("prediction"))
+        classes = {r["__label"]: r["count"] for r in train.groupBy("__label").count().collect()}
+        if len(classes) < 2:
+            return rows.select(*out, F.lit(float(next(iter(classes), 0.0))).alias("prediction"), vector)
+        weight = F.when(F.col("__label") == 1, sum(classes.values()) / (2.0 * classes[1.0])).otherwise(sum(classes.values()) / (2.0 * classes[0.0]))
+        model = RandomForestClassifier(featuresCol="features", labelCol="__label", weightCol="__weight", numTrees=trees, seed=seed, probabilityCol="__p").fit(train.withColumn("__weight", weight))
+        return model.transform(rows).select(*out, F.get(vector_to_array("__p"), 1).alias("prediction"), vector)
     model = RandomForestRegressor(featuresCol="features", labelCol="__label", numTrees=trees, seed=seed, predictionCol="prediction").fit(train)
-    return model.transform(held).select(key, target, "prediction")
+    return model.transform(rows).select(*out, "prediction", vector)
+
+
+def baseline(df: DataFrame, key: str, smiles: str, target: str, task: str = "regression", test: float = 0.2, seed: int = 13, bits: int = 256, trees: int = 200) -> DataFrame:
+    """(key, target, prediction) of the test part of ``forest_scores``."""
+    return forest_scores(df, key, smiles, target, task, test, seed, bits, trees).where("part = 'test'").select(key, target, "prediction")

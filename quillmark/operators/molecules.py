@@ -45,15 +45,3 @@ def linear_score(features: dict[str, float], intercept: float = 0.0, centre: dic
             x = (x - (centre or {}).get(name, 0.0)) / scale[name]
         z = z + weight * x
     return z if not sigmoid else F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z)))
-
-
-def forest_baseline(df: DataFrame, key: str, smiles: str, target: str, bits: int = 64, trees: int = 20, seed: int = 13) -> DataFrame:
-    """One row (n_train, n_test, mae, rmse): a random forest on fingerprints, every fifth row by key hash held out."""
-    from pyspark.ml.regression import RandomForestRegressor
-
-    ready = dense_fingerprint(df.select(key, smiles, target).where(is_smiles(F.col(smiles))), key, smiles, bits).withColumn("label", F.col(target).cast("double")).withColumn("held", F.pmod(F.xxhash64(key), F.lit(5)) == 0)
-    model = RandomForestRegressor(numTrees=trees, seed=seed, maxDepth=5).fit(ready.where("not held"))
-    scored = model.transform(ready.where("held"))
-    e = F.col("label") - F.col("prediction")
-    size = ready.agg(F.count_if(~F.col("held")).alias("n_train"), F.count_if(F.col("held")).alias("n_test"))
-    return size.crossJoin(scored.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse")))

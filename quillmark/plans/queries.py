@@ -676,7 +676,11 @@ def feature_shift(spark, sf_dir):
 
 @query()
 def random_forest_baseline(spark, sf_dir):
-    return rounded(molecules.forest_baseline(table(spark, sf_dir, "part"), "p_partkey", "p_type", "p_retailprice"))
+    """Size, metrics, errors, shift and risk of a forest over part names; its trees are Spark's, so no SQL follows them (split_chain checks all that comes after the scores)."""
+    from quillmark.operators import chained, models
+
+    scores = models.forest_scores(table(spark, sf_dir, "part"), "p_partkey", "p_type", "p_retailprice", bits=64, trees=20)
+    return rounded(chained.evaluated_split(scores, "part", "p_retailprice", "prediction", "regression", "vector"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -905,4 +909,5 @@ def trusted_model(spark, sf_dir):
     return rounded(models.scored(rows, "k", ["size", "price"], weights, load, predict))
 
 
-from quillmark.plans import resampled_queries as _resampled_queries  # noqa: E402, F401  (it registers its queries here)
+from quillmark.plans import chain_queries as _chain_queries  # noqa: E402, F401  (they register their queries here)
+from quillmark.plans import resampled_queries as _resampled_queries  # noqa: E402, F401  (as above)
