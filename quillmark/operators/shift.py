@@ -52,14 +52,18 @@ def degradation(df: DataFrame, cohort: str, y: str, p: str, columns: list[str],
     rows = unpivoted(df.select(cohort, y, p, *columns), columns)
     ref, cur = F.col(cohort) == "reference", F.col(cohort) == "current"
     pick = lambda who: value(F.when(who, F.col(y)), F.when(who, F.col(p)))
-    grouped = rows.groupBy("slice_column", "slice_value").agg(F.count_if(ref).alias("n_reference"), F.count_if(cur).alias("n_current"), pick(ref).alias("mr"), pick(cur).alias("mc"))
-    size = df.agg(F.count_if(ref).alias("tr"), F.count_if(cur).alias("tc"))
+    cells = rows.groupBy("slice_column", "slice_value").agg(F.count_if(ref).alias("n_reference"), F.count_if(cur).alias("n_current"), pick(ref).alias("reference"), pick(cur).alias("current"))
+    return degradation_of(cells, df.agg(F.count_if(ref).alias("tr"), F.count_if(cur).alias("tc")), metric, least, prevalence_threshold)
+
+
+def degradation_of(cells: DataFrame, size: DataFrame, metric: str, least: int = 5, prevalence_threshold: float = 0.1) -> DataFrame:
+    """``degradation`` of cells (slice_column, slice_value, n_reference, n_current, reference, current: the metric in either cohort) and one row (tr, tc) of the cohorts' sizes."""
     sign = 1.0 if DIRECTIONS[metric] == "lower_is_better" else -1.0
     change = ratio(F.col("n_current"), F.col("tc")) - ratio(F.col("n_reference"), F.col("tr"))
     status = F.when(F.col("n_reference") == 0, "new_slice").when(F.col("n_current") == 0, "missing_slice").when(F.least("n_reference", "n_current") < least, "skipped_min_slice_size").otherwise("evaluated")
-    worse = F.when(F.col("status") == "evaluated", sign * (F.col("mc") - F.col("mr")))
-    out = grouped.crossJoin(size).withColumn("status", status).withColumn("prevalence_change", change).withColumn("degradation", worse)
-    return out.select("slice_column", "slice_value", "n_reference", "n_current", "prevalence_change", (F.abs("prevalence_change") > prevalence_threshold).alias("material"), "degradation", ratio(F.col("degradation"), F.abs("mr")).alias("relative"), "status")
+    worse = F.when(F.col("status") == "evaluated", sign * (F.col("current") - F.col("reference")))
+    out = cells.crossJoin(size).withColumn("status", status).withColumn("prevalence_change", change).withColumn("degradation", worse)  # size is one row
+    return out.select("slice_column", "slice_value", "n_reference", "n_current", "prevalence_change", (F.abs("prevalence_change") > prevalence_threshold).alias("material"), "degradation", ratio(F.col("degradation"), F.abs("reference")).alias("relative"), "status")
 
 
 def ranked(degradations: DataFrame) -> DataFrame:

@@ -910,4 +910,5 @@ def trusted_model(spark, sf_dir):
 
 
 from quillmark.plans import chain_queries as _chain_queries  # noqa: E402, F401  (they register their queries here)
+from quillmark.plans import release_queries as _release_queries  # noqa: E402, F401  (as above)
 from quillmark.plans import resampled_queries as _resampled_queries  # noqa: E402, F401  (as above)
