@@ -74,11 +74,23 @@ class Protocols:
         return sorted(f"{i}@{v}" for i, v in self._known)
 
 
-def discovered(group: str, registry: Registry) -> list[str]:
-    """Adds the plug-ins that installed packages offer under an entry-point ``group``: a function, a (name, function) pair, or a list of pairs. Names that are taken are refused."""
+def discovered(group: str, registry: Registry | Protocols) -> list[str]:
+    """Adds the plug-ins that installed packages offer under an entry-point ``group``; names that are taken are refused, unless it is by an unchanged protocol.
+
+    A registry is given functions: one, a (name, function) pair, or a list of pairs. Protocols are given protocols: one, a list, or a function without arguments that gives either; anything else is refused before any of it is added.
+    """
     added = []
     for entry in sorted(metadata.entry_points(group=group), key=lambda e: e.name):
         offered = entry.load()
+        if isinstance(registry, Protocols):
+            found = offered() if callable(offered) else offered
+            found = [found] if isinstance(found, Protocol) else list(found)
+            if not all(isinstance(p, Protocol) for p in found):
+                raise ValueError(f"{entry.value} offers something that is no protocol")
+            for protocol in found:
+                registry.add(protocol)
+                added.append(f"{protocol.id}@{protocol.version}")
+            continue
         pairs = [(entry.name, offered)] if callable(offered) else [offered] if isinstance(offered, tuple) else list(offered)
         for name, runner in pairs:
             registry.register(name, runner, f"from {entry.value}")
