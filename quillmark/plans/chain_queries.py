@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmark.operators import chained
+from quillmark.operators import chained, metrics, privacy
 from quillmark.plans.queries import _AREA, _REG_METRICS, _SUMMARY, query, rounded
 from quillmark.plans.views import BIN, REG, eval_bin, eval_reg
 
@@ -55,3 +55,39 @@ def split_chain_binary(spark, sf_dir):
     known.register("mean_gap", chained.mean_gap, "mean losses of members and others")
     v = eval_bin(spark, sf_dir).select("y", "score", F.when(F.col("unit") % 4 == 0, "test").otherwise("train").alias("part"))
     return rounded(chained.evaluated_split(v, "part", "y", "score", "binary", attacks={n: known.get(n) for n in known.names()}))
+
+
+@query(f"""WITH {BIN}, l AS (SELECT unit%4<>0 AS m, -ln(CASE WHEN y=1 THEN score ELSE 1-score END) AS loss FROM eval_bin), {_RISK}
+ SELECT n_member, n_nonmember, round(advantage,6) AS advantage, round(auc,6) AS auc, CASE WHEN greatest(advantage,(auc-0.5)*2)>=0.35 THEN 'high' WHEN greatest(advantage,(auc-0.5)*2)>=0.15 THEN 'moderate' ELSE 'low' END AS level, greatest(advantage,(auc-0.5)*2)<0.15 AND advantage<=0.1 AND auc<=0.55 AS passed FROM r""")
+def risk_gated(spark, sf_dir):
+    """The membership audit of a quarter of the users against the others, held against limits of level, advantage and area."""
+    v = eval_bin(spark, sf_dir).select((F.col("unit") % 4 != 0).alias("member"), privacy.loss(F.col("y"), F.col("score"), "binary").alias("loss"))
+    found = privacy.risk_gate(privacy.membership_audit(v, "member", "loss"), "low", 0.1, 0.55)
+    return rounded(found.select("n_member", "n_nonmember", "advantage", "auc", "level", "passed"))
+
+
+@query(f"WITH {REG} SELECT row_number() OVER (ORDER BY sample_id)-1 AS place, round(y,6) AS target, floor(p_a*1000)::bigint AS prediction FROM eval_reg")
+def aligned_positions(spark, sf_dir):
+    """Predictions (whole thousandths, as engines round exact halves differently) in the declared order of a benchmark, whose ids they don't have: places are matched."""
+    from quillmark.sources.benchmarks import align_positions
+
+    v = eval_reg(spark, sf_dir)
+    owner = v.select(F.col("sample_id").alias("place"), F.col("y").alias("target"))
+    found = align_positions(owner, v.select((F.col("sample_id") * 10 + 7).alias("place"), F.col("p_a").alias("prediction")), "place")
+    return rounded(found.withColumn("prediction", F.floor(F.col("prediction") * 1000)))
+
+
+@query(f"""WITH {REG} SELECT sample_id, round(y,6) AS y, floor(p_a*1000)::bigint AS p_a, NULL::bigint AS unit, NULL::varchar AS nation FROM eval_reg WHERE fold=0 UNION ALL SELECT sample_id, round(y,6), NULL, unit, nation FROM eval_reg WHERE fold<>0""")
+def evaluation_with_reference(spark, sf_dir):
+    """Evaluation rows above a training reference that has other columns."""
+    from quillmark.sources.tables import with_reference
+
+    v = eval_reg(spark, sf_dir)
+    return rounded(with_reference(v.where("fold = 0").select("sample_id", "y", F.floor(F.col("p_a") * 1000).alias("p_a")), v.where("fold <> 0").select("sample_id", "y", "unit", "nation")))
+
+
+@query(f"""WITH {REG} SELECT array_to_string(list_sort(list(DISTINCT region)),',') AS region, array_to_string(list_sort(list(DISTINCT status)),',') AS status, array_to_string(list_sort(list(DISTINCT fold::varchar)),',') AS fold FROM eval_reg""")
+def label_sets(spark, sf_dir):
+    """The different values of three columns of few values."""
+    found = metrics.distinct_sets(eval_reg(spark, sf_dir), ["region", "status", "fold"])
+    return found.select(*(F.array_join(c, ",").alias(c) for c in found.columns))
