@@ -20,20 +20,20 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import blocks, drop_stored, large_text, scratch, shared_dir, stored, texts
-from quillmark.llm.remembered import Remembered, unit_keys
 from quillmark.llm.token_counts import byte_letters
 
 #: Tokens of a shard (a longer document is a shard of its own), most new rules in a round, and how often a pair must occur to become a rule (it wouldn't pay for its rule else).
 SHARD, RULES, LEAST = 1 << 20, 16_384, 16
 MAGIC = b"QTS2"
-#: Bytes encoded at once; units in a worker's memory.
-_BLOCK, _WORDS = 1 << 20, 800_000
+#: Bytes encoded at once; bytes of units and their ids that a worker remembers.
+_BLOCK, _HELD = 8 << 20, 32 << 20
 
 
 # ids
@@ -55,7 +55,8 @@ def _classes() -> np.ndarray:
     return kinds
 
 
-_CLASS = _classes()
+_CLASS = _classes().tobytes()
+_LOWER = bytes(range(256)).lower()
 
 
 class LibraryEncoder:
@@ -81,8 +82,11 @@ class LibraryEncoder:
         lowered = [x.get("type") for x in normal.get("normalizers") or []] == _NORMALIZERS and normal["normalizers"][1] == {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
         marked = all("|" in x["content"] and not re.search(r"\s", x["content"]) for x in spec["added_tokens"])
         self.apart = bool(plain and lowered and marked)
-        self.letters = byte_letters()
-        self.known = Remembered(_WORDS, "u1", self.kind)
+        self.letters = {b: c for b, c in enumerate(byte_letters()) if b != 0x20}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = self.ids = pa.array([], pa.large_binary())
 
     def whole(self, rows: list[str]) -> list[np.ndarray]:
         """Ids of each text by the library."""
@@ -92,68 +96,81 @@ class LibraryEncoder:
             out += [np.array(e.ids, self.kind) for e in run(rows[low : low + 2000], add_special_tokens=False)]
         return out
 
-    def _word(self, raw: bytes) -> list[int]:
-        """Ids of one plain word, lower-cased, by the library's model, whose alphabet stands for bytes."""
-        word = raw.decode("ascii") if raw.isascii() else "".join(map(self.letters.__getitem__, raw))
-        return [t.id for t in self.tokenizer.model.tokenize(word)]
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts ``data[offsets[i]:offsets[i + 1]]`` (UTF-8), end to end, and how many ids come before each text and in all."""
-        texts_, n = len(offsets) - 1, len(data)
-        if not n:
-            return np.zeros(0, self.kind), np.zeros(texts_ + 1, np.int64)
+    def _learn(self, units: pa.LargeBinaryArray, odd: np.ndarray) -> None:
+        """Remembers new units and their ids: of plain words by the library's model, whose alphabet stands for bytes, of other parts by the whole library."""
+        raw, flat, count = units.to_pylist(), [], []
+        whole = iter(self.whole([raw[k].decode() for k in np.flatnonzero(odd).tolist()]))
+        words = b" ".join(raw).decode("latin-1").translate(self.letters).split(" ")
+        for word, strange in zip(words, odd.tolist()):
+            ids = next(whole).tolist() if strange else [t.id for t in self.tokenizer.model.tokenize(word)]
+            flat += ids
+            count.append(len(ids))
+        self.known = pa.concat_arrays([self.known, units])
+        self.ids = pa.concat_arrays([self.ids, _binary(np.concatenate([[0], np.cumsum(count)]), np.array(flat, self.kind))])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> pa.LargeBinaryArray:
+        """Ids of each text ``data[offsets[i]:offsets[i + 1]]`` (UTF-8) and the end id after them."""
+        last = np.array(end, self.kind).tobytes()
         if not self.apart:
             each = self.whole([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
-            return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
-        line, unit, end, odd = self._units(data, offsets)
-        key = unit_keys(line, unit, end)
-        key[odd] ^= np.uint64(0x9E3779B97F4A7C15)
-
-        def make(own: list[int]) -> list:
-            out: list = [None] * len(own)
-            parts = [k for k, i in enumerate(own) if odd[i]]
-            for k, ids in zip(parts, self.whole([line[unit[own[k]] : end[own[k]]].tobytes().decode() for k in parts])):
-                out[k] = ids.tolist()
-            for k, i in enumerate(own):
-                if out[k] is None:
-                    out[k] = self._word(line[unit[i] : end[i]].tobytes())
-            return out
-
-        slots = self.known.slots_of(key, line, unit, end, make)
-        at, count = self.known.at[slots], self.known.count[slots]
-        before = np.concatenate([[0], np.cumsum(count)])
-        ids = self.known.values[np.repeat(at - before[:-1], count) + np.arange(before[-1])]
-        return ids, before[np.searchsorted(unit, offsets)]
+            return pa.array([x.tobytes() + last for x in each], pa.large_binary())
+        units, odd, stop = self._units(data, offsets)
+        if self.known.nbytes + self.ids.nbytes > _HELD:
+            self._forget()
+        slots = pc.index_in(units, value_set=self.known).fill_null(-1).to_numpy()
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            fresh = units.take(pa.array(new)).dictionary_encode()
+            own = fresh.indices.to_numpy()
+            slots = slots.copy()
+            slots[new] = len(self.known) + own
+            strange = np.zeros(len(fresh.dictionary), bool)
+            strange[own] = odd[new]
+            self._learn(fresh.dictionary, strange)
+        ids = pa.concat_arrays([self.ids, pa.array([last], pa.large_binary())])
+        taken = ids.take(pa.array(np.insert(slots, stop, len(self.ids))))
+        _, places, values = taken.buffers()
+        places = np.frombuffer(places, np.int64)[np.concatenate([[0], stop + np.arange(1, len(offsets))])]
+        return pa.Array.from_buffers(pa.large_binary(), len(stop), [None, pa.py_buffer(places), values])
 
     @staticmethod
-    def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The bytes with plain parts lower-cased, where units begin and end, and which units are parts that aren't plain."""
+    def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]:
+        """The units without the breaks between them, plain ones lower-cased, which of them are parts that aren't plain, and how many there are up to the end of each text."""
         n = len(data)
-        kind = _CLASS[data]
+        raw = bytearray(data)
+        low = raw.translate(_LOWER)
+        kind, line = np.frombuffer(raw.translate(_CLASS), np.uint8), np.frombuffer(low, np.uint8)
         lead = np.flatnonzero(data[:-1] == 0xC3)  # the lead byte of Latin-1 letters
         second = data[lead + 1]
         lead = lead[(second != 0x97) & (second != 0xB7)]
         kind[lead] = kind[lead + 1] = _LETTER
+        line[lead[data[lead + 1] <= 0x9E] + 1] += 0x20
         first = np.zeros(n + 1, bool)
         first[offsets] = True
-        inside = kind != _BREAK
-        part = inside.copy()
-        part[1:] &= ~inside[:-1] | first[1:n]
-        number = np.cumsum(part) - 1
-        is_odd = np.zeros(int(number[-1]) + 1, bool)
-        is_odd[number[kind == _ODD]] = True
-        odd_byte = np.zeros(n, bool)
-        odd_byte[inside] = is_odd[number[inside]]
-        start = part.copy()
-        start[1:] |= inside[1:] & ~odd_byte[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
-        line = data.copy()
-        line[(data >= 0x41) & (data <= 0x5A) & ~odd_byte] += 0x20
-        upper = lead[(data[lead + 1] <= 0x9E) & ~odd_byte[lead]] + 1
-        line[upper] += 0x20
-        marks = np.append(np.flatnonzero(start | ~inside), n)
-        begins = np.flatnonzero(start[marks[:-1]])
-        unit, end = marks[begins], marks[begins + 1]
-        return line, unit, end, odd_byte[unit]
+        first, inside = first[:n], kind != _BREAK
+        odd = kind == _ODD
+        odd[1:] &= (kind[:-1] != _ODD) | first[1:]
+        odd = np.flatnonzero(odd)
+        if len(odd):  # a part with an odd byte is odd as a whole and stays as it is
+            part = inside.copy()
+            part[1:] &= ~inside[:-1] | first[1:]
+            stops = np.append(np.flatnonzero(part | ~inside), n)
+            at = np.unique(np.searchsorted(stops, odd, side="right"))
+            begin, size = stops[at - 1], stops[at] - stops[at - 1]
+            own = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+            kind[own], line[own] = _ODD, data[own]
+        mark = first | (kind == _DIGIT)
+        mark[1:] |= kind[1:] != kind[:-1]
+        mark &= inside
+        begin = np.flatnonzero(mark)
+        odd, stop = kind[begin] == _ODD, np.searchsorted(begin, offsets[1:])
+        line = np.frombuffer(low.translate(None, b" \n"), np.uint8)
+        return _binary(np.append(np.flatnonzero(mark[inside]), len(line)), line), odd, stop
+
+
+def _binary(places: np.ndarray, values: np.ndarray) -> pa.LargeBinaryArray:
+    """Rows of bytes: row i holds ``values[places[i]:places[i + 1]]``."""
+    return pa.Array.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int64) * values.itemsize), pa.py_buffer(values)])
 
 
 @functools.cache
@@ -161,17 +178,27 @@ def encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+def _gathered(batches):
+    """Neighbouring batches together, up to _BLOCK bytes: what is remembered is looked through once for each block, however short the texts are."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > _BLOCK:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _encode(path: str, end: int):
     def run(batches):
         use = encoder(path)
-        for batch in batches:
+        for batch in _gathered(batches):
             data, offsets = large_text(batch.column(1))
             for low, high in blocks(offsets, _BLOCK):
                 at = offsets[low : high + 1]
-                ids, before = use.encode(data[at[0] : at[-1]], at - at[0])
-                ended = np.insert(ids, before[1:], np.array(end, ids.dtype))
-                places = (before + np.arange(high - low + 1)) * ended.itemsize
-                out = pa.Array.from_buffers(pa.large_binary(), high - low, [None, pa.py_buffer(places), pa.py_buffer(ended)]).cast(pa.binary())
+                out = use.encode(data[at[0] : at[-1]], at - at[0], end).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), out], ["doc_id", "ids"])
 
     return run
@@ -180,56 +207,63 @@ def _encode(path: str, end: int):
 # Re-Pair
 
 
-def repair(sequence: np.ndarray, barrier: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+def repair(sequence: np.ndarray, barrier: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Compresses ids; no pair reaches over an index in ``barrier`` (a boolean array: the last symbol of a document).
 
-    Each round counts all pairs, makes a rule of each of the most frequent ones and replaces them left to right without overlap, until no pair occurs LEAST times. Returns the
-    remaining sequence, its barriers, the left and right symbols of the rules, and the first rule symbol.
+    Each round counts pairs, makes a rule of each of the most frequent ones and replaces them left to right without overlap, until no pair occurs LEAST times. A pair of known symbols never
+    becomes more frequent, so that after the first round only places of frequent pairs and of new symbols are counted. Returns the remaining sequence, its barriers,
+    the left and right symbols of the rules, the expansion length of every symbol, and the first rule symbol.
     """
     first = int(sequence.max()) + 1 if len(sequence) else 0
-    symbol, left, right, exact = first, [], [], False
-    while len(sequence) > 1:
-        # a table of hashed counts names the slots that can hold frequent pairs; only pairs in these are counted exactly
-        narrow = sequence.astype(np.uint32)
-        slot = (((narrow[:-1] * np.uint32(0x9E3779B1)) ^ (narrow[1:] * np.uint32(0x85EBCA77))) >> np.uint32(12)).astype(np.intp)
-        slot[barrier[:-1]] = 1 << 20  # no pair
-        load = np.bincount(slot, minlength=(1 << 20) + 1)
-        load[-1] = 0
-        least = LEAST if exact else max(LEAST, int(np.partition(load, -2 * RULES)[-2 * RULES]))
-        maybe = np.flatnonzero((load >= least)[slot])
-        if not len(maybe):
+    sequence, length, left, right = sequence.astype(np.uint32), np.ones(first, np.uint64), [], []
+    last, ask, new = 1, 2, 4  # flags of each symbol: its document ends, its pair with the next one may be frequent, it is new
+    flag = np.where(barrier, last, ask).astype(np.uint8)
+    flag[-1:] = last
+    while True:
+        at = np.flatnonzero((flag & (last | ask)) == ask)
+        pair, place = _grouped(sequence, at, len(length))
+        edge = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else at
+        count = np.diff(np.append(edge, len(pair)))
+        often = count >= LEAST
+        rules = np.flatnonzero(often)
+        if not len(rules):
             break
-        pair = (sequence[maybe].astype(np.int64) << 32) | sequence[maybe + 1]
-        ordered = np.sort(pair)
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        count = np.diff(np.append(edge, len(ordered)))
-        often = np.flatnonzero(count >= LEAST)
-        if not len(often):
-            if least == LEAST:
-                break
-            exact = True  # the fullest slots held rare pairs alone
-            continue
-        often = often[np.argsort(-count[often], kind="stable")[:RULES]]
-        chosen = np.sort(ordered[edge[often]])
-        at = np.searchsorted(chosen, pair)
-        at[at == len(chosen)] = 0
-        hit = chosen[at] == pair
-        place, at = maybe[hit], at[hit]
-        run = np.flatnonzero(np.concatenate([[True], np.diff(place) != 1])) if len(place) else place
-        offset = np.arange(len(place)) - np.repeat(run, np.diff(np.append(run, len(place))))
-        place, at = place[offset % 2 == 0], at[offset % 2 == 0]
-        sequence = sequence.copy()
-        sequence[place] = symbol + at
-        barrier = barrier.copy()
-        barrier[place] = barrier[place + 1]
+        if len(rules) > RULES:
+            rules = np.sort(rules[np.argsort(-count[rules], kind="stable")[:RULES]])
+        symbol = np.zeros(len(sequence), np.uint32)
+        flag &= last
+        flag[place[np.repeat(often, count)]] |= ask
+        taken = np.zeros(len(count), bool)
+        taken[rules] = True
+        symbol[place[np.repeat(taken, count)]] = np.repeat(np.arange(len(length), len(length) + len(rules), dtype=np.uint32), count[rules])
+        at = np.flatnonzero(symbol != 0)
+        run = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
+        at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) & 1 == 0]
+        one, two = sequence[place[edge[rules]]], sequence[place[edge[rules]] + 1]
+        left.append(one)
+        right.append(two)
+        length = np.concatenate([length, length[one] + length[two]])
+        sequence[at] = symbol[at]
+        flag[at] = (flag[at + 1] & last) | ask | new
         keep = np.ones(len(sequence), bool)
-        keep[place + 1] = False
-        sequence, barrier = sequence[keep], barrier[keep]
-        left.append(chosen >> 32)
-        right.append(chosen & 0xFFFFFFFF)
-        symbol += len(chosen)
+        keep[at + 1] = False
+        sequence, flag = sequence[keep], flag[keep]
+        at = np.flatnonzero((flag & new) != 0)
+        flag[at[at > 0] - 1] |= ask
     join = lambda x: np.concatenate(x).astype("<u4") if x else np.zeros(0, "<u4")
-    return sequence, barrier, join(left), join(right), first
+    return sequence, (flag & last).astype(bool), join(left), join(right), length, first
+
+
+def _grouped(sequence: np.ndarray, at: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number for the pair at each place of ``at``, and the places, equal pairs together and each pair's places in order."""
+    wide, room = np.uint64(max(1, (symbols - 1).bit_length())), np.uint64(len(sequence).bit_length())
+    pair = (sequence[at].astype(np.uint64) << wide) | sequence[at + 1]
+    if 2 * wide + room > 64:  # places don't fit beside their pairs
+        order = np.argsort(pair, kind="stable")
+        return pair[order], at[order]
+    both = (pair << room) | at.astype(np.uint64)
+    both.sort()
+    return both >> room, (both & ((np.uint64(1) << room) - np.uint64(1))).astype(np.int64)
 
 
 def expand(sequence: np.ndarray, left: np.ndarray, right: np.ndarray, first: int) -> np.ndarray:
@@ -256,10 +290,7 @@ def pack(keys: list[int | None], documents: list[np.ndarray]) -> bytes:
     barrier = np.zeros(len(flat), bool)
     filled = np.cumsum(count)[count > 0].astype(np.int64)
     barrier[filled - 1] = True
-    sequence, ends, left, right, first = repair(flat, barrier)
-    length = np.ones(first + len(left), "<u8")
-    for i in range(0, len(left)):
-        length[first + i] = length[left[i]] + length[right[i]]
+    sequence, ends, left, right, length, first = repair(flat, barrier)
     stop = np.zeros(len(count) + 1, "<u8")
     own = np.zeros(len(count), np.int64)
     own[count > 0] = np.flatnonzero(ends) + 1
@@ -269,7 +300,7 @@ def pack(keys: list[int | None], documents: list[np.ndarray]) -> bytes:
     wide = 2 if first + len(left) <= 1 << 16 else 4
     head = struct.pack("<6Q", len(documents), len(flat), len(left), len(sequence), first, wide)
     symbols = [x.astype(f"<u{wide}").tobytes() for x in (left, right, sequence)]
-    return b"".join([MAGIC, head, alphabet.astype("<u4").tobytes(), ids.tobytes(), null.tobytes(), count.tobytes(), stop.tobytes(), *symbols[:2], length[first:].tobytes(), symbols[2]])
+    return b"".join([MAGIC, head, alphabet.astype("<u4").tobytes(), ids.tobytes(), null.tobytes(), count.tobytes(), stop.tobytes(), *symbols[:2], length[first:].astype("<u8").tobytes(), symbols[2]])
 
 
 class Shard:
@@ -300,7 +331,10 @@ class Shard:
 
     def every(self) -> np.ndarray:
         """Ids of all documents, end to end."""
-        return self.alphabet[expand(self.sequence, self.left, self.right, self.first)]
+        rules = expand(np.arange(self.first, self.first + len(self.left), dtype=np.uint32), self.left, self.right, self.first)
+        places = np.concatenate([np.arange(self.first + 1), self.first + np.cumsum(self.length).astype(np.int64)])
+        each = _binary(places, self.alphabet[np.concatenate([np.arange(self.first), rules])])
+        return np.frombuffer(each.take(pa.array(self.sequence.astype(np.uint32))).buffers()[2] or b"", "<u4")[: self.tokens]
 
     def token(self, i: int, k: int) -> int:
         """The k-th id of the i-th document: a search in the summed expansion lengths, then one way down the rules."""

@@ -405,6 +405,68 @@ def test_repair_random_access():
         assert (shard.document(i) == d).all() and all(shard.token(i, k) == d[k] for k in range(0, len(d), 13))
 
 
+def test_repair_counts_again_only_what_can_be_frequent(monkeypatch):
+    asked, grouped = [], token_shards._grouped
+    monkeypatch.setattr(token_shards, "_grouped", lambda sequence, at, symbols: asked.append(len(at)) or grouped(sequence, at, symbols))
+    draw = np.random.default_rng(8)
+    words = [draw.integers(0, 3000, n) for n in draw.integers(2, 60, 400)]
+    documents = [np.concatenate([words[k] for k in draw.integers(0, 400, n)]).astype("<u2") for n in draw.integers(1, 40, 300)]
+    token_shards.Shard(token_shards.pack(list(range(300)), documents))
+    assert len(asked) > 5 and sum(asked) < 2 * sum(map(len, documents))  # all pairs of each round are 4.4 times as many as ids
+
+
+def test_repair_by_few_rules_and_by_wide_symbols(monkeypatch):
+    draw = np.random.default_rng(9)
+    words = [draw.integers(0, 30, n) for n in draw.integers(1, 9, 40)] + [np.zeros(33, int)]
+    documents = [np.concatenate([words[k] for k in draw.integers(0, 41, n)]).astype("<u4") for n in draw.integers(1, 40, 100)]
+    blobs = []
+    for rules, symbols in ((16_384, None), (16_384, 1 << 31), (5, None), (5, 1 << 31)):
+        with monkeypatch.context() as patch:
+            patch.setattr(token_shards, "RULES", rules)
+            if symbols:  # as if places didn't fit beside their pairs
+                grouped = token_shards._grouped
+                patch.setattr(token_shards, "_grouped", lambda sequence, at, _: grouped(sequence, at, symbols))
+            blobs.append(token_shards.pack(list(range(100)), documents))
+        shard, pairs = token_shards.Shard(blobs[-1]), collections.Counter()
+        assert (shard.every() == np.concatenate(documents)).all() and (shard.document(7) == documents[7]).all()
+        for a, b in zip(shard.stop[:-1].tolist(), shard.stop[1:].tolist()):
+            part = shard.sequence[a:b].tolist()
+            pairs.update(zip(part, part[1:]))
+        assert max(v for (x, y), v in pairs.items() if x != y) < token_shards.LEAST
+    assert blobs[0] == blobs[1] and blobs[2] == blobs[3]
+    assert len(token_shards.Shard(token_shards.pack([], [])).every()) == 0
+
+
+def test_rules_are_expanded_once_for_a_shard():
+    draw = np.random.default_rng(10)
+    words = [draw.integers(0, 2000, n) for n in draw.integers(1, 6, 20_000)]
+    documents = [np.concatenate([words[k] for k in (20_000 * draw.random(300) ** 3).astype(int)]).astype("<u2") for _ in range(600)]
+    shard, spent = token_shards.Shard(token_shards.pack(list(range(600)), documents)), []
+    for _ in range(3):
+        began = time.process_time()
+        token_shards.expand(shard.sequence, shard.left, shard.right, shard.first)
+        stepwise = time.process_time()
+        assert (shard.every() == np.concatenate(documents)).all()
+        spent.append((time.process_time() - stepwise) / (stepwise - began))
+    assert min(spent) < 0.7, spent  # the whole sequence once for each level of the rules takes more than 1
+
+
+def test_units_are_forgotten_and_blocks_end_anywhere(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    texts = [t or "" for t in fuzz(2000, 11)] + ["<|ENDOFTEXT|>", "\u0397'", "\u00e9", "\u00c9t\u00c9 \u00dfa\u00f7", "", " ", "\n"] + ["\u0434\u0430", "\u0434 \u0434", "x"] * 3
+    want = [np.array([*e.ids, 1], "<u2").tobytes() for e in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
+    for block, held in ((64, 300), (1 << 20, 300), (1 << 20, 1 << 20)):
+        monkeypatch.setattr(token_shards, "_BLOCK", block)
+        monkeypatch.setattr(token_shards, "_HELD", held)
+        rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+        out = list(token_shards._encode(WORDS, 1)(rows.slice(i, 150) for i in range(0, len(texts), 150)))
+        assert [k for b in out for k in b.column(0).to_pylist()] == list(range(len(texts)))
+        assert [x for b in out for x in b.column(1).to_pylist()] == want
+        assert block == 64 or len(out) == 1  # short batches are looked up together
+
+
 def test_language_id(spark):
     words = {"aa": ["bla", "blu", "kli"], "bb": ["zor", "zeft", "mux"]}
     draw = random.Random(7)
