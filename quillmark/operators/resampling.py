@@ -1,8 +1,8 @@
 """Bootstrap and randomization by counted hash draws.
 
 A draw is a hash of the seed, stratum, replicate and slot, so a result doesn't depend on partitions, retries or random state. Rows shrink to
-sums by unit first; replicates then add up the sums of the drawn units. Each stratum keeps its number of units. Units that fit are
-broadcast to their draws, so that only one partial sum for each replicate and task is shuffled.
+sums by unit first; replicates then add up the sums of the drawn units. Each stratum keeps its number of units. Draws of whole units and of rows
+are counted by ranges of slots (``tallies``); where draws are joined (levels, classes and areas by clusters), units that fit are broadcast to them, and draws never are.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.functions.stats import label_index, partials, ratio
+from quillmark.operators import tallies
 from quillmark.operators.ordered import running, suffix_least
 from quillmark.sources.scratch import kept, task_count
 
@@ -36,8 +37,11 @@ def combined(sums: list[str]) -> list[Column]:
 
 
 def fitting(units: DataFrame, rows: int | None = None) -> DataFrame:
-    """``units``, marked for broadcast if their ``rows``, counted unless the caller knows a bound, are within BROADCAST bytes."""
-    return F.broadcast(units) if (units.count() if rows is None else rows) * 16 * (len(units.columns) + 1) <= BROADCAST else units
+    """``units``, marked for broadcast if their ``rows``, counted unless the caller knows a bound, are within BROADCAST bytes.
+
+    Others are marked to be merged: the size of draws is estimated from the few rows that they come from, so that Spark would broadcast the draws.
+    """
+    return F.broadcast(units) if (units.count() if rows is None else rows) * 16 * (len(units.columns) + 1) <= BROADCAST else units.hint("merge")
 
 
 def indexed(units: DataFrame, unit: str, strata: list[str], rows: int | None = None) -> DataFrame:
@@ -86,7 +90,8 @@ def replicates(units: DataFrame, unit: str, resamples: int, seed: int, sums: lis
     """(b, sums): totals of ``resamples`` draws with replacement of whole units, within strata."""
     strata, rows = strata or [], units.count()
     table = kept(indexed(units, unit, strata, rows), "slots")
-    return drawn(table, resamples, seed, strata, mode).join(fitting(table.select(*strata, "slot", *sums), rows), [*strata, "slot"]).groupBy("b").agg(*combined(sums))
+    kinds = {c: "min" if c == "lo" else "max" for c in sums if c in _EXTREMES}
+    return tallies.slot_sums(table, strata, [], sums, kinds, rows, resamples, seed, mode, draw).groupBy("b").agg(*combined(sums))
 
 
 def nested(rows: DataFrame, levels: list[str], resamples: int, seed: int, sums: list[str], mode: str = "xxhash64") -> DataFrame:
@@ -133,10 +138,10 @@ def interval(values: DataFrame, column: str, resamples: int, by: list[str] | Non
     return out.select(*(by or []), F.when(enough, F.col("lower")).alias("lower"), F.when(enough, F.col("upper")).alias("upper"), "valid_resamples", F.when(enough, "evaluated").otherwise("insufficient_valid_resamples").alias("status"), *(["__rows"] if rows else []))
 
 
-def intervals(estimate: DataFrame, values: DataFrame, resamples: int, level: float = 0.95, most: int = MOST_ROWS) -> DataFrame:
+def intervals(estimate: DataFrame, values: DataFrame, resamples: int, level: float = 0.95, most: int | None = MOST_ROWS) -> DataFrame:
     """(metric, estimate, lower, upper, valid_resamples, status) of the regression metrics from totals and from replicates.
 
-    If any replicate holds more than ``most`` rows there are no intervals, and the status says so: no draw is ever left out to keep the limit.
+    If any replicate holds more than ``most`` rows there are no intervals, and the status says so: no draw is ever left out to keep the limit. None is no limit.
     """
     def long(df, name):
         one = F.array(*(F.struct(F.lit(m).alias("metric"), v.alias(name)) for m, v in metric_values().items()))
@@ -146,9 +151,9 @@ def intervals(estimate: DataFrame, values: DataFrame, resamples: int, level: flo
     return guarded(long(estimate, "estimate").drop("n").join(found, "metric"), most)
 
 
-def guarded(found: DataFrame, most: int = MOST_ROWS) -> DataFrame:
-    """``found`` (metric, estimate, lower, upper, valid_resamples, status, __rows) under the limit of rows in a replicate."""
-    over = F.coalesce(F.col("__rows") > most, F.lit(False))
+def guarded(found: DataFrame, most: int | None = MOST_ROWS) -> DataFrame:
+    """``found`` (metric, estimate, lower, upper, valid_resamples, status, __rows) under the limit of rows in a replicate, if there is one."""
+    over = F.lit(False) if most is None else F.coalesce(F.col("__rows") > most, F.lit(False))
     status = F.when(over, "not_supported_resource_limit").when(F.col("estimate").isNull(), "undefined_point_estimate").otherwise(F.col("status"))
     limit = lambda c: F.when(~over, F.col(c)).alias(c)
     return found.select("metric", "estimate", limit("lower"), limit("upper"), F.when(over, F.lit(0).cast("long")).otherwise(F.col("valid_resamples")).alias("valid_resamples"), status.alias("status"))
@@ -182,10 +187,7 @@ def _placed(df: DataFrame, y: str, *others: str) -> DataFrame:
 def _stratified(placed: DataFrame, y: str, resamples: int, seed: int, mode: str) -> DataFrame:
     """(b, y, others, times) of draws of rows, as many in each class as it has. Every row of a class is a slot, and no array holds them all."""
     others = [c for c in placed.columns if c not in (y, "k", "first", "size")]
-    rows = numbered(placed, F.col("k"), "slot", F.col("first"))
-    slots = numbered(rows.select(y, "size", F.col("slot").alias("__slot")).repartition(task_count(placed)), F.lit(resamples), "b")
-    at = slots.select(y, "b", _once(draw(F.col("size"), seed, F.col(y), F.col("b"), F.col("__slot"), mode=mode)).alias("slot"))
-    return at.join(fitting(rows.select(y, "slot", *others)), [y, "slot"]).groupBy("b", y, *others).agg(F.count(F.lit(1)).alias("times"))
+    return tallies.cell_times(placed, y, [y, *others], resamples, seed, mode, draw).groupBy("b", y, *others).agg(F.sum("times").alias("times"))
 
 
 def _classes(cells: DataFrame, by: list[str], y: str, p: str, times: str) -> DataFrame:
