@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.stats import DIRECTIONS, EPSILON, arg_max, ratio
-from quillmark.operators import resampling
+from quillmark.operators import resampling, tallies
 from quillmark.operators.designs import BootstrapConfig, PairedConfig, SamplingDesign
 from quillmark.sources.scratch import kept, task_count
 
@@ -196,13 +196,15 @@ def replicate_sums(units: DataFrame, names: list[str], resamples: int, seed: int
         return found.groupBy(*BY, "b").agg(*_combined(names))
     strata = [*BY, "stratum"]
     whole = units.groupBy(*BY).agg(*_combined(names)).withColumn("b", F.lit(resamples).cast("long")).select(*BY, "b", *names)
+    if not resamples:
+        return whole
     if flips:
         every = resampling.numbered(units.repartition(task_count(units)), F.lit(resamples), "b").where(_coin(seed, mode))
         return every.groupBy(*BY, "b").agg(*_combined(names)).unionByName(whole)
     rows = units.count()
     table = kept(resampling.indexed(units, "unit", strata, rows), "slots")
-    at = resampling.drawn(table, resamples, seed, strata, mode)
-    return at.join(resampling.fitting(table.select(*strata, "slot", *names), rows), [*strata, "slot"]).groupBy(*BY, "b").agg(*_combined(names)).unionByName(whole)
+    extremes = {c: "min" if c == "lo" else "max" for c in names if c in _EXTREME}
+    return tallies.slot_sums(table, strata, BY, names, extremes, rows, resamples, seed, mode, resampling.draw).groupBy(*BY, "b").agg(*_combined(names)).unionByName(whole)
 
 
 def _coin(seed: int, mode: str) -> Column:
@@ -215,14 +217,14 @@ def occurrences(units: DataFrame, resamples: int, seed: int, mode: str = "counts
         parted, shares = _ranged(units, resamples, seed)
         keys = [*BY, "stratum", "part"]
         return parted.groupBy(*keys).cogroup(shares.groupBy(*keys)).applyInArrow(_replicate_sums(["n"], resamples, seed, True, flips), "slice_column string, slice_value string, unit string, times binary")
+    if not resamples:
+        return units.select(*BY, "unit", F.lit(np.ones(1, np.uint16).tobytes()).alias("times"))
     strata = [*BY, "stratum"]
-    if flips:
-        counted = resampling.numbered(units.repartition(task_count(units)), F.lit(resamples), "b").where(_coin(seed, mode)).select(*BY, "unit", "b", F.lit(1).alias("times"))
-    else:
+    if not flips:
         rows = units.count()
         table = kept(resampling.indexed(units, "unit", strata, rows), "slots")
-        at = resampling.drawn(table, resamples, seed, strata, mode)
-        counted = at.join(resampling.fitting(table.select(*strata, "slot", "unit"), rows), [*strata, "slot"]).groupBy(*BY, "unit", "b").agg(F.count(F.lit(1)).alias("times"))
+        return tallies.slot_times(table, strata, [*BY, "unit"], rows, resamples, seed, mode, resampling.draw)
+    counted = resampling.numbered(units.repartition(task_count(units)), F.lit(resamples), "b").where(_coin(seed, mode)).select(*BY, "unit", "b", F.lit(1).alias("times"))
     lists = units.select(*BY, "unit").join(counted.groupBy(*BY, "unit").agg(F.collect_list(F.struct(F.col("b").cast("int").alias("b"), F.col("times").cast("int").alias("times"))).alias("times")), [*BY, "unit"], "left")
 
     def packed(batches):

@@ -12,6 +12,8 @@ from quillmark.plans.queries import _H, query, rounded
 from quillmark.plans.views import BIN, DOC, REG, eval_bin, eval_doc, eval_reg, table
 
 N, SEED = 100, 13
+#: Most rows of a replicate where the SQL has no limit.
+ANY = 1 << 62
 
 
 def _draws(source: str, unit: str = "unit", n: int = N) -> str:
@@ -65,7 +67,7 @@ _PAIRED = """o AS (SELECT * REPLACE (CASE WHEN pl='fine' THEN k ELSE 0 END AS k,
 def paired_areas(spark, sf_dir):
     """Two scores of labelled documents: areas and hits under draws and swaps of whole sources, for all and by language, tests of the languages adjusted together."""
     v = eval_doc(spark, sf_dir).select("sample_id", "y", F.col("score").alias("p_a"), (F.col("sample_id") * 37 % 101 / 100.0).alias("p_b"), "lang", "source")
-    design = SamplingDesign("source", "cluster_bootstrap", ("source",), min_independent_units=2, exchangeability="model_vectors_within_clusters", multiplicity=MultiplicityPolicy())
+    design = SamplingDesign("source", "cluster_bootstrap", ("source",), min_independent_units=2, max_resample_rows=ANY, exchangeability="model_vectors_within_clusters", multiplicity=MultiplicityPolicy())
     config = PairedConfig(resamples=N, permutations=N, seed=SEED, practical_threshold=0.02, noninferiority_margin=0.1, include_slice_uncertainty=True)
     return rounded(resampled.paired_intervals(v, "sample_id", "y", "p_a", "p_b", "binary", metrics=["accuracy", "auroc"], slices=("lang",), design=design, config=config, mode="md5"))
 
@@ -112,7 +114,7 @@ def paired_classes(spark, sf_dir):
     y = (F.array_position(F.array(F.lit("F"), F.lit("O"), F.lit("P")), F.col("o_orderstatus")) - 1).cast("int")
     v = table(spark, sf_dir, "orders").select(k.alias("sample_id"), y.alias("y"), *probs, F.col("o_custkey").alias("unit"), F.col("o_orderpriority").alias("priority"))
     policy = MultiplicityPolicy("benjamini_hochberg", "critical_slices", 0.05, "independent_or_prds")
-    design = SamplingDesign("customer", "cluster_bootstrap", ("unit",), min_independent_units=2, exchangeability="model_vectors_within_clusters", critical_slices=(("priority", "1-URGENT"), ("priority", "5-LOW"), ("priority", "9-NEVER")), multiplicity=policy)
+    design = SamplingDesign("customer", "cluster_bootstrap", ("unit",), min_independent_units=2, max_resample_rows=ANY, exchangeability="model_vectors_within_clusters", critical_slices=(("priority", "1-URGENT"), ("priority", "5-LOW"), ("priority", "9-NEVER")), multiplicity=policy)
     config = PairedConfig(resamples=N, permutations=N, seed=SEED, include_slice_uncertainty=True)
     return rounded(resampled.paired_intervals(v, "sample_id", "y", "p_a", "p_b", "multiclass", 3, ["accuracy", "macro_f1", "log_loss"], ("priority",), design, config, "md5"))
 
