@@ -186,7 +186,7 @@ def scan_digests(spark, sf_dir):
     folder = f"{shared_folder(spark)}/quillmark/segments-{uuid.uuid4().hex}"
     c.select("c_custkey", "c_mktsegment", text.alias("value")).repartition("c_mktsegment").sortWithinPartitions("c_mktsegment", "c_custkey").select("value", "c_mktsegment").write.partitionBy("c_mktsegment").text(folder)
     scan = scanned_files(spark, folder, ["key", "nation", "name"], header=False)
-    pins = {r.path.rsplit("/", 1)[-1]: r.d for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.sha2("content", 256).alias("d")).collect()}  # a file for each segment
+    pins = {"/".join(r.path.rsplit("/", 2)[1:]): r.d for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.sha2("content", 256).alias("d")).collect()}  # a file for each segment, by its folder, as a task gives the files of all its segments one name
     rows = verified_rows(scan, pins)
     segment = F.regexp_extract("name", "; (.*)$", 1).alias("segment")
     return rounded(rows.groupBy(segment, "sha256").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("key").cast("long")).alias("keys"), F.countDistinct("nation").alias("nations")))

@@ -191,13 +191,18 @@ def _batch(pa, name, digest, done, part, wanted):
 def verified_rows(scan: DataFrame, pins: Mapping[str, str]) -> DataFrame:
     """The rows of ``scanned_files``, kept, if every file's digest is the one that is pinned for its name; else an error before any row counts. The files are read once; what is checked is what is returned.
 
-    ``pins`` has the last part of a file's path; a pinned file without rows isn't seen here.
+    ``pins`` has the last part of a file's path, or as many of its last parts as tell files apart; a pin of more parts comes first. A pinned file without rows isn't seen here.
     """
     from quillmark.sources.scratch import kept
 
     held = kept(scan, "scan")
-    seen = {r.file.rsplit("/", 1)[-1]: r.sha256 for r in held.select("file", "sha256").distinct().collect()}  # one row for each file
-    wrong = sorted(name for name, digest in seen.items() if pins.get(name) != digest)
+    seen = {(r.file, r.sha256) for r in held.select("file", "sha256").distinct().collect()}  # one row for each file
+
+    def pinned(path: str) -> str | None:
+        parts = path.split("/")
+        return next((pins[name] for name in ("/".join(parts[k:]) for k in range(len(parts))) if name in pins), None)
+
+    wrong = sorted(path for path, digest in seen if pinned(path) != digest)
     if wrong:
         raise ValueError(f"files differ from their pinned digests: {wrong[:3]}")
     return held
